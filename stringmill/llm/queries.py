@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, simple8b
+from . import packing, quality_rules, simple8b, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op5_warc": warc.op5_warc,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
     "op10_simple8b": simple8b.op10_simple8b,
 }
 
