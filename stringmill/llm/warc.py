@@ -224,7 +224,9 @@ def write_archives(pages: DataFrame, out_dir: str, *, min_bytes: int = 0) -> Dat
         firsts = list(range(0, n, READ_RECORDS))
         return pa.table({"path": pa.array([target] * len(firsts)), "first": pa.array(firsts, pa.int32()), "last": pa.array([min(n, f + READ_RECORDS) for f in firsts], pa.int32())})
 
-    done = common.materialize(verdicts.groupBy("shard").applyInArrow(normalise, "path string, first int, last int"), "archives")
+    # A number of partitions of our own: the rows are few bytes but each shard is much work.
+    dealt = verdicts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+    done = common.materialize(dealt.groupBy("shard").applyInArrow(normalise, "path string, first int, last int"), "archives")
     common.remove(spark, streams)
     return done
 
