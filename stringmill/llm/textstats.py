@@ -85,6 +85,10 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     return common.only(docs, *keep, "text").mapInArrow(run, schema)
 
 
+#: Ratios of the counts, in the order of ``shares``.
+SHARES = ("symbol_share", "repeat_share", "dup_line_share", "upper_share", "digit_share", "stop_share", "bang_share", "same_next_share", "distinct_share", "word_length", "line_words", "letter_share", "log_words", "longest_word")
+
+
 def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(part / F.when(whole != 0, whole), F.lit(0.0))
 
