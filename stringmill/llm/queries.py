@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, rule_ensemble, simple8b, toxicity, warc
+from . import neardup, packing, quality_rules, rule_ensemble, simple8b, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_rule_ensemble": rule_ensemble.op4_rule_ensemble,
     "op5_warc": warc.op5_warc,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_superminhash": neardup.op8_superminhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simple8b": simple8b.op10_simple8b,
 }
