@@ -9,10 +9,12 @@
    or two for all but very small sets.
 3. Classes that agree in all rows of a band share a bucket.  Each bucket's members
    are compared with its smallest doc_id, on full sets; links are grouped.
-4. Buckets that still hold more than one group are unresolved: their members of
-   different groups are compared with each other, many centres at a time, until
-   every bucket is one group or has been compared in full.  So a bucket of n near
-   copies costs n comparisons, not n squared, and no link is given up.
+4. Buckets that still hold more than one group are unresolved.  Members outside a
+   bucket's largest group are compared with a few members inside and outside it,
+   then with more, until every bucket is one group or has been compared in full; as
+   soon as all that is left is linear in the members, it is compared at once.  A
+   bucket of n near copies costs some n comparisons, not n squared, and no link is
+   given up.
 5. Grouping is union-find inside partitions, then distributed star contraction.
 """
 
@@ -31,10 +33,10 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 #: Two sets are linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Unresolved buckets up to this size are compared in full at once.
-SMALL_BUCKET = 32
-#: Centres of larger unresolved buckets in the first further round; four times as many in each one after.
-CENTRES = 64
+#: Centres a group and unresolved bucket in the first further round; eight times as many in each one after.
+CENTRES = 2
+#: All comparisons that are left are made at once if they are at most so many a member.
+AT_ONCE = 32
 #: Comparisons that share one copy of a centre's text.
 PER_CENTRE = 48
 #: At most so many ids are broadcast to pick their texts; beyond, texts are shuffled.
@@ -245,14 +247,14 @@ def group(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     again = classed.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     buckets = classed.filter("bands IS NOT NULL").select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     first = buckets.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = common.materialize(buckets.join(first, "bucket").select("bucket", "size", "doc", "n", F.col("first.doc").alias("a"), F.col("first.n").alias("a_n")), "buckets")
+    buckets = common.materialize(buckets.join(first, "bucket").select("bucket", "doc", "n", F.col("first.doc").alias("a"), F.col("first.n").alias("a_n")), "buckets")
 
     tried = buckets.filter("doc != a").filter(similar_sizes("n", "a_n")).select("a", F.col("doc").alias("b")).distinct()
     tried = common.materialize(tried, "candidates")
     repeated = common.materialize(again.join(classed.filter("doc_id = rep").select(F.col("doc_id").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "repeated-ids")
     links = common.materialize(verify(tried, docs), "links").union(repeated)
     forest = components(links)
-    open_buckets = _unresolved(buckets.select("bucket", "size", "doc", "n"), forest)
+    open_buckets = _unresolved(buckets.select("bucket", "doc", "n"), forest)
     centres = CENTRES
     while not open_buckets.isEmpty():
         more, left = _further_pairs(open_buckets, centres)
@@ -262,7 +264,7 @@ def group(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame
         if not found.isEmpty():
             forest = components(forest.select(F.col("node").alias("b"), F.col("up").alias("a")).select("a", "b").union(found))
         open_buckets = _unresolved(left, forest)
-        centres *= 4
+        centres *= 8
 
     rows_in = classed.select("doc_id", "n_shingles", "rep")
     found = rows_in.join(forest.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("up", "rep").alias("component_id"))
@@ -271,28 +273,36 @@ def group(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame
 
 
 def _unresolved(members: DataFrame, forest: DataFrame) -> DataFrame:
-    """(bucket, size, doc, n, component) of the buckets that hold more than one component."""
-    own = members.join(forest.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "size", "doc", "n", F.coalesce("up", "doc").alias("component"))
-    many = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket")
-    return common.materialize(own.join(many, "bucket"), "unresolved")
+    """(bucket, doc, n, component, size, inside, minor) of the buckets that hold more than one component.
+
+    ``inside`` is the number of members of the bucket's largest component, ``minor``
+    whether the member is outside it.
+    """
+    own = members.join(forest.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("up", "doc").alias("component"))
+    groups = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    many = groups.groupBy("bucket").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("most")).filter("size > most.k")
+    met = own.join(many, "bucket")
+    return common.materialize(met.select("bucket", "doc", "n", "component", "size", F.col("most.k").alias("inside"), (F.col("component") != F.col("most.component")).alias("minor")), "unresolved")
 
 
 def _further_pairs(members: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs across components, and the members still to be compared afterwards.
+    """Pairs across components that have a member outside the bucket's largest one, and the members left for later.
 
-    Small buckets: every such pair.  Larger ones: the smallest doc of each of
-    ``centres`` slots against all members of other components; it is then done
-    with, and the rest stay for the next round.
+    If all such pairs are few enough they are made, and none is left.  Else the
+    members outside meet ``centres`` members inside and as many outside, which
+    then have been compared with all they had to be.
     """
-    pair = [F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")]
-    fits = (F.col("x.component") != F.col("y.component")) & similar_sizes("x.n", "y.n")
-    small, large = members.filter(F.col("size") <= SMALL_BUCKET), members.filter(F.col("size") > SMALL_BUCKET)
-    near = small.alias("x").join(small.alias("y"), "bucket").filter((F.col("x.doc") < F.col("y.doc")) & fits).select(*pair)
-    chosen = large.groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(centres)).alias("slot")).agg(F.min(F.struct("doc", "n", "component")).alias("c")).select("bucket", "c.doc", "c.n", "c.component")
-    chosen = common.materialize(chosen, "centres")
-    far = large.alias("x").join(chosen.alias("y"), "bucket").filter((F.col("x.doc") != F.col("y.doc")) & fits).select(*pair)
-    left = large.join(chosen.select("bucket", "doc"), ["bucket", "doc"], "left_anti").select("bucket", "size", "doc", "n")
-    return near.union(far).distinct(), left
+    work, total = members.filter("minor").agg(F.sum(F.col("inside") + (F.col("size") - F.col("inside")) / 2)).first()[0], members.count()
+    if work <= AT_ONCE * total:
+        chosen, left = members, members.limit(0)
+    else:
+        slot = F.pmod(F.xxhash64("doc", F.lit(centres)), F.lit(centres))
+        chosen = members.groupBy("bucket", "minor", slot.alias("slot")).agg(F.min(F.struct("doc", "n", "component")).alias("c")).select("bucket", "minor", "c.doc", "c.n", "c.component")
+        chosen = common.materialize(chosen, "centres")
+        left = members.join(chosen.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
+    x, y = members.filter("minor").select("bucket", "doc", "n", "component").alias("x"), chosen.select("bucket", "minor", "doc", "n", "component").alias("y")
+    met = x.join(y, "bucket").filter((F.col("x.component") != F.col("y.component")) & similar_sizes("x.n", "y.n"))
+    return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct(), left.select("bucket", "doc", "n")
 
 
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,10 +118,11 @@ def test_groups_against_brute_force(spark, seed):
     assert wrong <= len(rows) // 100  # banding finds 99.8 % of the links at the very threshold
 
 
-def test_large_group_with_many_centres(spark, monkeypatch):
+@pytest.mark.parametrize("at_once", [0, 1, 32])
+def test_large_group_with_many_centres(spark, monkeypatch, at_once):
     """Near copies that are often no copies of their bucket's first document."""
-    monkeypatch.setattr(N, "SMALL_BUCKET", 4)
-    monkeypatch.setattr(N, "CENTRES", 4)
+    monkeypatch.setattr(N, "AT_ONCE", at_once)
+    monkeypatch.setattr(N, "CENTRES", 1)
     rnd = random.Random(9)
     base, rows = prose(rnd, 80), []
     for k in range(120):
