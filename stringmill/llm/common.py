@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,8 +67,24 @@ def ensure_parent(uri: str) -> None:
     system.create_dir(path.rpartition("/")[0], recursive=True)
 
 
+#: Most bytes, and most rows, that go to a Python worker in one Arrow batch.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches small for this session: some texts are long, and copies of one lie together."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if not (now and 0 < int(now[1]) <= most):
+            spark.conf.set(key, str(most))
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """These columns alone, found by their exact names; extra columns fall away."""
+    """These columns alone, found by their exact names; extra columns fall away.
+
+    Every operator that hands texts to Python begins here, so batches are bounded here.
+    """
+    bound_batches(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
@@ -100,7 +117,7 @@ def running_sum(counts: DataFrame, key: str, order: str, n: str) -> DataFrame:
     return counts.select(order, key, F.coalesce(F.sum(n).over(w), F.lit(0)).alias("before"))
 
 
-def batches(rows: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterator[pa.RecordBatch], most_bytes: int = BATCH_BYTES, most_rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut large record batches so that a worker holds few texts at a time."""
     for batch in rows:
         if not batch.num_rows:

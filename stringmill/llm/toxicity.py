@@ -362,6 +362,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lexicon, w = learn(docs, labels, 5, 0)
     shared = spark.sparkContext.broadcast((lexicon, w))
     at = docs.columns.index("text")
+    common.bound_batches(spark)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weights = shared.value
