@@ -20,6 +20,7 @@ class _Page:
         self.wanted: list[str] = []
         #: Some pages leave out end tags that the standard lets one leave out.
         self.lazy = rnd.random() < 0.3
+        self.style = rnd.choice(["rows", "marks", "shout", "again"]) if rnd.random() < 0.2 else ""
 
     def word(self) -> str:
         return "".join(self.rnd.choice(_SYLLABLES) for _ in range(self.rnd.randint(1, 4)))
@@ -27,6 +28,18 @@ class _Page:
     def words(self, low: int, high: int) -> str:
         return " ".join(self.word() for _ in range(self.rnd.randint(low, high)))
 
+    def styled(self, text: str) -> str:
+        """Poor text is content too: now and then a page has rows of marks, shouting or one word again and again."""
+        if self.style == "rows":
+            return text.replace(" ", " | ") + self.rnd.choice(["", " |"])
+        if self.style == "marks":
+            return " ".join(w + self.rnd.choice(["%%%", "###", "$$$", "***"]) for w in text.split())
+        if self.style == "shout":
+            return text.upper().replace(" ", "!! ")
+        if self.style == "again":
+            return " ".join([text.split()[0]] * len(text.split()))
+        return text
+
     def sentence(self, low: int = 2, high: int = 30) -> str:
         return self.words(low, high).capitalize() + self.rnd.choice("....!?")
 
@@ -41,6 +54,8 @@ class _Page:
 
     def content(self, tag: str, text: str, attributes: str = "", close: bool = True) -> None:
         """A block of main text, now and then with inline markup."""
+        if self.style and self.rnd.random() < 0.7:
+            text = self.styled(text)
         words = text.split(" ")
         if len(words) > 4 and self.rnd.random() < 0.4:
             k = self.rnd.randrange(len(words) - 2)
@@ -151,7 +166,7 @@ def _article(p: _Page) -> None:
         else:
             p.content(title, p.words(2, 14).capitalize())
     middles = [_advert, _share, _related, _form, _notice]
-    for k in range(r.randint(1, 12)):
+    for k in range(r.choice([1, 2, r.randint(1, 12), r.randint(1, 12)])):
         roll = r.random()
         if roll < 0.64:
             p.content("p", r.choice([p.prose(1, 8), p.prose(1, 3), p.sentence(1, 4)]), r.choice(["", "", "", " class='lead'", " style='x'"]))
@@ -200,6 +215,9 @@ def labelled_pages(n: int = 900, seed: int = 11) -> list[tuple[str, list[bool]]]
         p.put(f"<!DOCTYPE html><html><head><title>{p.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>")
         before = [x for x, share in ((_page_header, 0.6), (_navigation, 0.7), (_notice, 0.35), (_advert, 0.4), (_sidebar, 0.2), (_form, 0.15)) if rnd.random() < share]
         after = [x for x, share in ((_comments, 0.35), (_related, 0.3), (_sidebar, 0.3), (_advert, 0.3), (_form, 0.2), (_share, 0.2), (_notice, 0.2)) if rnd.random() < share]
+        bare = rnd.random() < 0.12  # nothing but the article
+        if bare:
+            before, after = [], []
         rnd.shuffle(before)
         rnd.shuffle(after)
         wrap = rnd.random() < 0.3
@@ -210,7 +228,7 @@ def labelled_pages(n: int = 900, seed: int = 11) -> list[tuple[str, list[bool]]]
         _article(p)
         for x in after:
             x(p)
-        if rnd.random() < 0.85:
+        if not bare and rnd.random() < 0.85:
             _footer(p)
         p.put("</div>" * wrap + ("</body></html>" if rnd.random() < 0.9 else ""))
         html = "".join(p.parts)

@@ -34,6 +34,8 @@ def test_leaf_blocks():
 def test_viterbi_is_the_best_of_all_sequences(field):
     for html, y in labelled_pages(30, seed=5):
         blocks = H.leaf_blocks(html)[:10]
+        if not blocks:
+            continue
         unary = [sum(field.weights.get(f, 0) for f in own) for own in H.describe(blocks)]
 
         def score(labels):
