@@ -1,10 +1,607 @@
-"""Every query of the engine, by name, with its SQL counterpart."""
+"""Every query of the engine, by name, with its SQL counterpart.
+
+Searches over ``documents`` and ``benchmark`` take whole tables and whole texts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import approx, exact, index, report, trace
+from ..sources import datagen, readers
+from . import registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+SHORT = ("the", "ere", "on")
+WILD = ("th?re", "a?e", "?on")
+REPEATING = ("ABABACA", "AABAACAADAABAABA", "kitten", "AAAA", "GCAGAGAG")
+ALPHABET = ("A", "C", "G", "T")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("text_id"), "text")
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("text_id"), "text")
+
+
+def words(spark: SparkSession, values: tuple[str, ...] = SHORT) -> DataFrame:
+    return spark.createDataFrame([(v,) for v in values], "pattern string")
+
+
+def values(names: tuple[str, ...] = SHORT) -> str:
+    return "(VALUES " + ", ".join(f"('{v}')" for v in names) + ") p(pattern)"
+
+
+def rolled(word: str) -> int:
+    """The rolling hash of a word, for the SQL."""
+    h = 0
+    for c in word:
+        h = (h * 256 + ord(c)) % 101
+    return h
+
+
+def as_doc(df: DataFrame, to: str = "doc_id") -> DataFrame:
+    return df.withColumnRenamed("text_id", to)
+
+
+# Each step looks for the next hit one character after the last one.
+HITS = f"""
+WITH RECURSIVE hits AS (
+  SELECT doc_id, pattern, text, CAST(instr(text, pattern) - 1 AS BIGINT) AS pos FROM documents, {values()} WHERE instr(text, pattern) > 0
+  UNION ALL
+  SELECT doc_id, pattern, substring(text, instr(text, pattern) + 1), pos + instr(substring(text, instr(text, pattern) + 1), pattern)
+  FROM hits WHERE instr(substring(text, instr(text, pattern) + 1), pattern) > 0)
+"""
+ALL_HITS = HITS + "SELECT doc_id, pattern, pos FROM hits"
+
+
+@query(ALL_HITS)
+def kmp_search(spark, sf):
+    return as_doc(exact.by_split(documents(spark, sf), words(spark)))
+
+
+@query(ALL_HITS)
+def bm_search(spark, sf):
+    return as_doc(exact.by_find(documents(spark, sf), words(spark)))
+
+
+@query(ALL_HITS)
+def naive_search(spark, sf):
+    return as_doc(exact.by_windows(documents(spark, sf), words(spark)))
+
+
+@query(ALL_HITS)
+def rk_search(spark, sf):
+    return as_doc(exact.by_hash(documents(spark, sf), words(spark)))
+
+
+@query(ALL_HITS)
+def suffix_search(spark, sf):
+    return as_doc(exact.by_suffixes(documents(spark, sf), words(spark), 8))
+
+
+@query(ALL_HITS)
+def shiftor_exact(spark, sf):
+    return as_doc(exact.by_bits(documents(spark, sf), words(spark)))
+
+
+@query(ALL_HITS)
+def chunked_search(spark, sf):
+    return as_doc(exact.chunked(documents(spark, sf), words(spark), 500))
+
+
+@query(HITS + f"SELECT d.doc_id, p.pattern, CAST(count(h.pos) AS BIGINT) AS n FROM documents d CROSS JOIN {values()} LEFT JOIN hits h ON h.doc_id = d.doc_id AND h.pattern = p.pattern GROUP BY d.doc_id, p.pattern")
+def count_overlapping(spark, sf):
+    return as_doc(exact.count_overlapping(documents(spark, sf), words(spark)))
+
+
+@query(HITS + f"SELECT p.pattern, CAST(count(h.pos) AS BIGINT) AS n, CAST(count(DISTINCT h.doc_id) AS BIGINT) AS texts FROM {values()} LEFT JOIN hits h ON h.pattern = p.pattern GROUP BY p.pattern")
+def multi_pattern_counts(spark, sf):
+    return exact.pattern_counts(documents(spark, sf), words(spark))
+
+
+@query(HITS + "SELECT d.doc_id, CAST(count(h.pos) AS BIGINT) AS n FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id GROUP BY d.doc_id")
+def multi_text_counts(spark, sf):
+    return as_doc(exact.text_counts(documents(spark, sf), words(spark)))
+
+
+@query(
+    f"""WITH pieces AS (SELECT doc_id, pattern, unnest(string_split(text, pattern)) AS piece, generate_subscripts(string_split(text, pattern), 1) AS k, length(pattern) AS m FROM documents, {values()}),
+    ends AS (SELECT doc_id, pattern, k, sum(length(piece) + m) OVER (PARTITION BY doc_id, pattern ORDER BY k) - 1 AS e, max(k) OVER (PARTITION BY doc_id, pattern) AS last FROM pieces)
+    SELECT doc_id, pattern, CAST(e AS BIGINT) AS end_pos FROM ends WHERE k < last"""
+)
+def regex_nonoverlapping(spark, sf):
+    return as_doc(exact.non_overlapping(documents(spark, sf), words(spark)))
+
+
+@query("SELECT doc_id, p.pattern, CAST(k - 1 AS BIGINT) AS turn, matched FROM (SELECT doc_id, pattern, unnest(regexp_extract_all(text, pattern)) AS matched, generate_subscripts(regexp_extract_all(text, pattern), 1) AS k FROM documents, (VALUES ('th[a-z]re'), ('on{2}')) q(pattern)) p")
+def regex_unescaped(spark, sf):
+    return as_doc(exact.regex_matches(documents(spark, sf), words(spark, ("th[a-z]re", "on{2}"))))
+
+
+@query()
+def wildcard_search(spark, sf):
+    return as_doc(exact.wildcard_search(documents(spark, sf), words(spark, WILD)))
+
+
+@query(
+    f"""SELECT item_id, pattern, CAST(i AS BIGINT) AS pos FROM (SELECT item_id, text, pattern, unnest(range(0, greatest(length(text) - length(pattern) + 1, 0))) AS i FROM benchmark, {values(WILD)})
+    WHERE len(list_filter(range(1, length(pattern) + 1), lambda j: substring(pattern, j, 1) <> '?' AND substring(pattern, j, 1) <> substring(text, i + j, 1))) = 0"""
+)
+def wildcard_items(spark, sf):
+    return as_doc(exact.wildcard_search(items(spark, sf), words(spark, WILD)), "item_id")
+
+
+WINDOWS = f"""WITH w AS (SELECT item_id, pattern, length(pattern) AS m, i, substring(text, i + 1, length(pattern)) AS win FROM
+  (SELECT item_id, text, pattern, unnest(range(0, greatest(length(text) - length(pattern) + 1, 0))) AS i FROM benchmark, {values()})),
+c AS (SELECT *, len(list_filter(range(1, m + 1), lambda j: substring(win, 1, j) = substring(pattern, 1, j))) AS lcp FROM w),
+s AS (SELECT item_id, pattern, CAST(sum(least(lcp + 1, m)) AS BIGINT) AS comparisons, CAST(sum(CASE WHEN lcp = m THEN 1 ELSE 0 END) AS BIGINT) AS matches, count(*) AS positions FROM c GROUP BY item_id, pattern)
+"""
+
+
+@query(WINDOWS + "SELECT item_id, pattern, comparisons, matches, positions FROM s")
+def naive_comparisons(spark, sf):
+    return as_doc(exact.comparisons(items(spark, sf), words(spark)), "item_id")
+
+
+@query(
+    WINDOWS
+    + """SELECT s.item_id, s.pattern, length(b.text) AS n, length(s.pattern) AS m, matches, comparisons, (length(b.text) - length(s.pattern) + 1) * length(s.pattern) AS worst,
+    round(100 * comparisons / ((length(b.text) - length(s.pattern) + 1) * length(s.pattern)), 6) AS efficiency FROM s JOIN benchmark b ON b.item_id = s.item_id"""
+)
+def complexity_analysis(spark, sf):
+    return as_doc(exact.complexity(items(spark, sf), words(spark)), "item_id")
+
+
+@query(
+    WINDOWS
+    + """SELECT s.item_id, s.pattern, comparisons AS total_comparisons, comparisons - (positions - matches) AS successful_comparisons, positions - matches AS failed_comparisons, positions AS positions_checked,
+    matches AS matches_found, length(b.text) * length(s.pattern) AS worst_case_comparisons, round(comparisons / positions, 6) AS average_comparisons, round(100 * matches / comparisons, 6) AS efficiency
+    FROM s JOIN benchmark b ON b.item_id = s.item_id"""
+)
+def trace_naive(spark, sf):
+    return as_doc(trace.naive(items(spark, sf), words(spark)), "item_id")
+
+
+@query(
+    f"""SELECT pattern, CAST(i AS BIGINT) AS i, CAST(list_max(list_filter(range(0, i + 1), lambda k: substring(pattern, 1, k) = substring(pattern, i + 2 - k, k))) AS BIGINT) AS failure
+    FROM (SELECT pattern, unnest(range(0, length(pattern))) AS i FROM {values(REPEATING)})"""
+)
+def kmp_failure(spark, sf):
+    return index.failure_function(words(spark, REPEATING))
+
+
+@query("SELECT text AS pattern, substring(text, i, 1) AS ch, CAST(max(i) - 1 AS BIGINT) AS last_pos FROM (SELECT DISTINCT text, unnest(range(1, length(text) + 1)) AS i FROM benchmark) GROUP BY text, substring(text, i, 1)")
+def bm_bad_char(spark, sf):
+    return index.bad_characters(items(spark, sf).select(F.col("text").alias("pattern")))
+
+
+@query(
+    f"""WITH seen AS (SELECT pattern, substring(pattern, i, 1) AS ch, i - 1 AS k FROM (SELECT pattern, unnest(range(1, length(pattern) + 1)) AS i FROM {values(REPEATING)})
+    UNION ALL SELECT pattern, ch, -1 FROM {values(REPEATING)}, (VALUES ('A'), ('C'), ('G'), ('T')) q(ch))
+    SELECT pattern, ch, CAST(max(k) AS BIGINT) AS last_pos FROM seen GROUP BY pattern, ch"""
+)
+def bm_bad_char_seeded(spark, sf):
+    return index.bad_characters(words(spark, REPEATING), "ACGT")
+
+
+@query()
+def bm_good_suffix(spark, sf):
+    return index.good_suffixes(items(spark, sf).select(F.col("text").alias("pattern")).union(words(spark, REPEATING)))
+
+
+@query(
+    f"""SELECT pattern, ch, CAST(sum(1::BIGINT << (i - 1)) AS BIGINT) AS present, CAST((1::BIGINT << length(pattern)) - 1 - sum(1::BIGINT << (i - 1)) AS BIGINT) AS shift_or
+    FROM (SELECT pattern, i, substring(pattern, i, 1) AS ch FROM (SELECT pattern, CAST(unnest(range(1, length(pattern) + 1)) AS INT) AS i FROM {values(REPEATING)})) GROUP BY pattern, ch"""
+)
+def shiftor_masks(spark, sf):
+    return index.character_masks(words(spark, REPEATING))
+
+
+HASH4 = "((((unicode(substring(text, i + 1, 1)) % 101) * 256 + unicode(substring(text, i + 2, 1))) % 101 * 256 + unicode(substring(text, i + 3, 1))) % 101 * 256 + unicode(substring(text, i + 4, 1))) % 101"
+
+
+@query(f"SELECT item_id, CAST(i AS BIGINT) AS pos, CAST({HASH4} AS BIGINT) AS hash FROM (SELECT item_id, text, unnest(range(0, greatest(length(text) - 3, 0))) AS i FROM benchmark)")
+def rk_window_hash(spark, sf):
+    return as_doc(index.window_hashes(items(spark, sf), 4), "item_id")
+
+
+@query("SELECT doc_id, CAST(i AS BIGINT) AS pos, substring(text, i + 1, 8) AS suffix FROM (SELECT item_id AS doc_id, text, unnest(range(0, length(text))) AS i FROM benchmark)")
+def suffix_table(spark, sf):
+    return as_doc(exact.suffixes(items(spark, sf), 8))
+
+
+@query("SELECT suffix, count(*) AS n FROM (SELECT substring(text, i + 1, 4) AS suffix FROM (SELECT text, unnest(range(0, length(text))) AS i FROM benchmark)) GROUP BY suffix")
+def suffix_counts(spark, sf):
+    return index.suffix_counts(items(spark, sf), 4)
+
+
+@query(
+    """SELECT n_nationkey, 1 + count(DISTINCT sub) AS nodes, max(length(n_name)) AS depth FROM
+    (SELECT n_nationkey, n_name, substring(n_name, i, k) AS sub FROM (SELECT n_nationkey, n_name, i, unnest(range(1, length(n_name) - i + 2)) AS k FROM (SELECT n_nationkey, n_name, unnest(range(1, length(n_name) + 1)) AS i FROM nation))) GROUP BY n_nationkey"""
+)
+def trie_sizes(spark, sf):
+    nations = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("text_id"), F.col("n_name").alias("text"))
+    return as_doc(index.trie_sizes(nations), "n_nationkey")
+
+
+@query(
+    f"""WITH p AS (SELECT pattern, length(pattern) AS m, CASE pattern {' '.join(f"WHEN '{w}' THEN {rolled(w)}" for w in SHORT)} END AS hash FROM {values()}),
+    w AS (SELECT item_id, pattern, m, hash, substring(text, i + 1, m) AS win FROM (SELECT item_id, text, pattern, m, hash, unnest(range(0, greatest(length(text) - m + 1, 0))) AS i FROM benchmark, p)),
+    c AS (SELECT *, len(list_filter(range(1, m + 1), lambda j: substring(win, 1, j) = substring(pattern, 1, j))) AS lcp,
+      CASE m WHEN 2 THEN (unicode(win) % 101 * 256 + unicode(substring(win, 2, 1))) % 101 ELSE ((unicode(win) % 101 * 256 + unicode(substring(win, 2, 1))) % 101 * 256 + unicode(substring(win, 3, 1))) % 101 END AS h FROM w)
+    SELECT item_id, pattern, count(*) AS hash_comparisons, CAST(coalesce(sum(CASE WHEN h = hash THEN least(lcp + 1, m) END), 0) AS BIGINT) AS character_comparisons,
+      CAST(sum(CASE WHEN h = hash AND lcp < m THEN 1 ELSE 0 END) AS BIGINT) AS spurious_hits, CAST(sum(CASE WHEN lcp = m THEN 1 ELSE 0 END) AS BIGINT) AS matches_found FROM c GROUP BY item_id, pattern"""
+)
+def rk_hash_stats(spark, sf):
+    return as_doc(trace.rolling_hash(items(spark, sf), words(spark)), "item_id")
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS dist FROM nation a, nation b")
+def levenshtein_pairs(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select("n_name")
+    return approx.distances(n.select(F.col("n_name").alias("a")), n.select(F.col("n_name").alias("b")))
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS dist FROM nation a, nation b WHERE levenshtein(a.n_name, b.n_name) <= 4")
+def levenshtein_within(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select("n_name")
+    return approx.distances(n.select(F.col("n_name").alias("a")), n.select(F.col("n_name").alias("b")), 4)
+
+
+@query(
+    """SELECT item_id, pattern, CAST(i AS BIGINT) AS pos, CAST(d AS BIGINT) AS dist FROM (SELECT item_id, pattern, i, len(list_filter(range(1, length(pattern) + 1), lambda j: substring(pattern, j, 1) <> substring(text, i + j, 1))) AS d
+    FROM (SELECT item_id, text, pattern, unnest(range(0, greatest(length(text) - length(pattern) + 1, 0))) AS i FROM benchmark, (VALUES ('tion'), ('there')) p(pattern))) WHERE d <= 1"""
+)
+def hamming_search(spark, sf):
+    return as_doc(approx.hamming_search(items(spark, sf), words(spark, ("tion", "there")), 1), "item_id")
+
+
+@query()
+def hamming_documents(spark, sf):
+    return as_doc(approx.hamming_search(documents(spark, sf), words(spark, ("tion", "there")), 1))
+
+
+@query()
+def approx_documents(spark, sf):
+    return as_doc(approx.edit_search(documents(spark, sf), words(spark, ("tionth", "thereing")), 1))
+
+
+# DuckDB's distance counts bytes, so other characters are each written as one byte that no pattern has.
+CANDIDATES = """WITH RECURSIVE t AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g') AS text FROM benchmark),
+c AS (SELECT item_id, pattern, length(pattern) AS m, i AS pos, k AS len, levenshtein(pattern, substring(text, i + 1, k)) AS dist FROM
+  (SELECT *, unnest(range(greatest(1, length(pattern) - 1), least(length(text) - i, length(pattern) + 1) + 1)) AS k FROM
+    (SELECT item_id, text, pattern, unnest(range(0, length(text))) AS i FROM t, (VALUES ('tion'), ('there')) p(pattern))))
+"""
+
+
+@query(
+    CANDIDATES
+    + """, best AS (SELECT item_id, pattern, m, pos, min(dist) AS dist FROM c GROUP BY ALL HAVING min(dist) <= 1),
+    g AS (SELECT item_id, pattern, m, min(pos) AS pos FROM best GROUP BY item_id, pattern, m
+      UNION ALL SELECT g.item_id, g.pattern, g.m, (SELECT min(b.pos) FROM best b WHERE b.item_id = g.item_id AND b.pattern = g.pattern AND b.pos >= g.pos + g.m) FROM g WHERE g.pos IS NOT NULL)
+    SELECT g.item_id, g.pattern, CAST(g.pos AS BIGINT) AS pos, CAST(b.dist AS BIGINT) AS dist FROM g JOIN best b ON b.item_id = g.item_id AND b.pattern = g.pattern AND b.pos = g.pos"""
+)
+def edit_search_greedy(spark, sf):
+    return as_doc(approx.edit_search_greedy(items(spark, sf), words(spark, ("tion", "there")), 1), "item_id")
+
+
+@query(CANDIDATES + "SELECT item_id, pattern, CAST(pos AS BIGINT) AS pos, CAST(min(len) AS BIGINT) AS len, CAST(arg_min(dist, len) AS BIGINT) AS dist FROM c WHERE dist <= 1 GROUP BY item_id, pattern, pos")
+def edit_search_first_length(spark, sf):
+    return as_doc(approx.edit_search_first_length(items(spark, sf), words(spark, ("tion", "there")), 1), "item_id")
+
+
+@query(CANDIDATES + "SELECT item_id, pattern, CAST(pos + len - 1 AS BIGINT) AS end_pos, CAST(min(dist) AS BIGINT) AS dist FROM c GROUP BY item_id, pattern, pos + len - 1 HAVING min(dist) <= 1")
+def approx_search(spark, sf):
+    return as_doc(approx.edit_search(items(spark, sf), words(spark, ("tion", "there")), 1), "item_id")
+
+
+@query()
+def levenshtein_banded_compat(spark, sf):
+    return as_doc(approx.levenshtein_banded_compat(items(spark, sf), words(spark, ("tion", "there")), 1), "item_id")
+
+
+@query()
+def bitvector_score_compat(spark, sf):
+    return as_doc(approx.bitvector_score_compat(items(spark, sf), words(spark, ("tion", "there")), 1), "item_id")
+
+
+@query()
+def alignment(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select("n_name")
+    out = approx.alignments(n.select(F.col("n_name").alias("pattern")).crossJoin(n.select(F.col("n_name").alias("text"))))
+    return out.withColumn("operations", F.array_join("operations", ","))
+
+
+@query(
+    """WITH subs AS (SELECT k, t2, t1, i, substring(t2, i, n) AS sub, n FROM (SELECT k, t1, t2, i, unnest(range(1, length(t2) - i + 2)) AS n FROM
+      (SELECT a.n_nationkey AS k, r.r_name AS t1, a.n_name AS t2, unnest(range(1, length(a.n_name) + 1)) AS i FROM nation a JOIN region r ON a.n_regionkey = r.r_regionkey))),
+    best AS (SELECT k, sub, n, row_number() OVER (PARTITION BY k ORDER BY n DESC, i) AS place FROM subs WHERE contains(t1, sub))
+    SELECT a.n_nationkey, coalesce(b.sub, '') AS common, coalesce(b.n, 0) AS length FROM nation a LEFT JOIN best b ON b.k = a.n_nationkey AND b.place = 1"""
+)
+def longest_common_substring(spark, sf):
+    n, r = spark.read.parquet(f"{sf}/nation.parquet"), spark.read.parquet(f"{sf}/region.parquet")
+    left = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", F.col("r_name").alias("text1"))
+    return exact.longest_common_substring(left, n.select("n_nationkey", F.col("n_name").alias("text2")), ["n_nationkey"])
+
+
+def passages(spark, sf):
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern"))
+
+
+@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def contamination_join(spark, sf):
+    return exact.holding(documents(spark, sf), passages(spark, sf)).select(F.col("text_id").alias("doc_id"), F.col("pattern_id").alias("item_id"))
+
+
+@query("SELECT item_id FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
+def patterns_present_semi(spark, sf):
+    return exact.present(documents(spark, sf), passages(spark, sf)).withColumnRenamed("pattern_id", "item_id")
+
+
+@query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
+def patterns_absent_anti(spark, sf):
+    return exact.absent(documents(spark, sf), passages(spark, sf)).withColumnRenamed("pattern_id", "item_id")
+
+
+@query("SELECT item_id, pattern, CASE WHEN known = m THEN m ELSE known + 1 END AS nodes_visited, known = m AS pattern_found, CAST(CASE WHEN known = m THEN hits ELSE 0 END AS BIGINT) AS matches_found FROM (SELECT item_id, pattern, length(pattern) AS m, CAST(len(list_filter(range(1, length(pattern) + 1), lambda k: contains(text, substring(pattern, 1, k)))) AS BIGINT) AS known, len(list_filter(range(0, greatest(length(text) - length(pattern) + 1, 0)), lambda i: substring(text, i + 1, length(pattern)) = pattern)) AS hits FROM benchmark, " + values() + ")")
+def trace_suffix(spark, sf):
+    return as_doc(trace.suffix_trie(items(spark, sf), words(spark)), "item_id")
+
+
+@query(f"SELECT doc_id, pattern, length(text) * 4 AS total_shifts, length(text) * 2 AS total_or_operations, length(text) - length(pattern) + 1 AS matches_found FROM documents, {values()} WHERE length(text) >= length(pattern)")
+def trace_shiftor_counters(spark, sf):
+    return as_doc(trace.shift_or_counters(documents(spark, sf), words(spark), 1))
+
+
+@query(
+    CANDIDATES
+    + """, f AS (SELECT item_id, pattern, m, pos, min(CASE WHEN dist <= 1 THEN len END) AS stop FROM c GROUP BY ALL),
+    s AS (SELECT f.item_id, f.pattern, f.m, f.pos, f.stop, sum(c.len * f.m) FILTER (WHERE f.stop IS NULL OR c.len <= f.stop) AS cells FROM f JOIN c ON c.item_id = f.item_id AND c.pattern = f.pattern AND c.pos = f.pos GROUP BY ALL)
+    SELECT s.item_id, s.pattern, CAST(sum(cells) AS BIGINT) AS total_cells_computed, count(*) AS positions_checked, CAST(sum(CASE WHEN stop IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS matches_found
+    FROM s JOIN t ON t.item_id = s.item_id WHERE s.pos < length(t.text) - s.m + 2 GROUP BY s.item_id, s.pattern"""
+)
+def trace_lev_cells(spark, sf):
+    return as_doc(trace.levenshtein_cells(items(spark, sf), words(spark, ("tion", "there")), 1), "item_id")
+
+
+@query()
+def trace_kmp(spark, sf):
+    return as_doc(trace.kmp(documents(spark, sf), words(spark)))
+
+
+@query()
+def trace_bm(spark, sf):
+    return as_doc(trace.boyer_moore(documents(spark, sf), words(spark)))
+
+
+@query()
+def trace_steps(spark, sf):
+    both = trace.kmp(items(spark, sf), words(spark), steps=True).select(F.lit("kmp").alias("algorithm"), "text_id", "pattern", "steps").union(trace.boyer_moore(items(spark, sf), words(spark), steps=True).select(F.lit("boyer_moore").alias("algorithm"), "text_id", "pattern", "steps"))
+    return both.select("algorithm", F.col("text_id").alias("item_id"), "pattern", F.inline("steps"))
+
+
+# Benchmark rows without clocks: language and source stand for category and algorithm, lengths for times.
+RUNS = """WITH runs AS (SELECT CAST(doc_id AS VARCHAR) AS pattern_name, lang AS category, source AS algorithm, CAST(n_chars AS INT) AS pattern_length, (doc_id % 7) * 0.5 AS preprocessing_ms,
+  n_chars / 8.0 AS search_ms, n_chars / 4.0 AS memory_kb, CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS matches_count FROM documents)
+"""
+BUCKET = "CASE WHEN pattern_length <= 10 THEN 'small' WHEN pattern_length <= 50 THEN 'medium' WHEN pattern_length <= 200 THEN 'large' ELSE 'vlarge' END"
+
+
+def runs(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.select(
+        F.col("doc_id").cast("string").alias("pattern_name"), F.col("lang").alias("category"), F.col("source").alias("algorithm"), F.col("n_chars").cast("int").alias("pattern_length"), ((F.col("doc_id") % 7) * 0.5).alias("preprocessing_ms"),
+        (F.col("n_chars") / 8.0).alias("search_ms"), (F.col("n_chars") / 4.0).alias("memory_kb"), (F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))).cast("long").alias("matches_count"),
+    )
+
+
+@query(RUNS + f"SELECT {BUCKET} AS bucket, min(pattern_length) AS shortest, max(pattern_length) AS longest, count(*) AS runs, round(avg(search_ms), 6) AS mean_ms, CAST(list_position(['small', 'medium', 'large', 'vlarge'], {BUCKET}) AS BIGINT) AS place FROM runs GROUP BY {BUCKET}")
+def size_buckets(spark, sf):
+    return report.by_bucket(runs(spark, sf))
+
+
+@query(RUNS + "SELECT algorithm, round(avg(search_ms), 6) AS mean_ms, round(median(search_ms), 6) AS median_ms, round(stddev_samp(search_ms), 6) AS std_ms, round(min(search_ms), 6) AS min_ms, round(max(search_ms), 6) AS max_ms, round(avg(preprocessing_ms), 6) AS mean_pre, round(avg(memory_kb), 6) AS mean_kb, count(*) AS runs, round(median(search_ms) * count(*) + avg(preprocessing_ms), 6) AS total_ms FROM runs GROUP BY algorithm")
+def algo_summary(spark, sf):
+    return report.by_algorithm(runs(spark, sf))
+
+
+@query(RUNS + "SELECT category, algorithm, round(avg(search_ms), 6) AS mean_ms, round(stddev_samp(search_ms), 6) AS std_ms, round(avg(preprocessing_ms), 6) AS mean_pre, round(avg(memory_kb), 6) AS mean_kb, count(*) AS runs, round(avg(search_ms) * count(*) + avg(preprocessing_ms), 6) AS total_ms FROM runs GROUP BY category, algorithm")
+def category_summary(spark, sf):
+    return report.by_category(runs(spark, sf))
+
+
+@query(
+    RUNS
+    + """, s AS (SELECT r.category, r.pattern_name, r.algorithm, coalesce(b.search_ms / nullif(r.search_ms, 0), 1.0) AS speedup FROM runs r LEFT JOIN runs b ON b.algorithm = 'src0' AND b.category = r.category AND b.pattern_name = r.pattern_name)
+    SELECT category, pattern_name, algorithm, round(speedup, 6) AS speedup, CASE WHEN speedup >= 2 THEN 'much faster' WHEN speedup >= 1 THEN 'faster' WHEN speedup >= 0.5 THEN 'slower' WHEN speedup >= 0.1 THEN 'much slower' ELSE 'far slower' END AS band FROM s"""
+)
+def speedup_vs_baseline(spark, sf):
+    return report.speedup(runs(spark, sf), "src0")
+
+
+@query(RUNS + "SELECT category, " + ", ".join(f"round(coalesce(avg(search_ms) FILTER (WHERE algorithm = '{a}'), 0.0), 6) AS {a}" for a in ("src0", "src1", "src2")) + " FROM runs GROUP BY category")
+def category_pivot(spark, sf):
+    return report.pivoted(runs(spark, sf), "category", ["src0", "src1", "src2"])
+
+
+@query(RUNS + f"SELECT category, {BUCKET} AS bucket, algorithm, round(log10(avg(search_ms) + 1), 6) AS log_ms FROM runs GROUP BY category, {BUCKET}, algorithm")
+def log_by_bucket(spark, sf):
+    return report.log_by_bucket(runs(spark, sf))
+
+
+@query(
+    RUNS
+    + """, long AS (SELECT algorithm, 'search_ms' AS measure, search_ms AS value FROM runs UNION ALL SELECT algorithm, 'preprocessing_ms', preprocessing_ms FROM runs UNION ALL SELECT algorithm, 'memory_kb', memory_kb FROM runs)
+    SELECT algorithm, measure, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std FROM long GROUP BY algorithm, measure"""
+)
+def unpivot_summary(spark, sf):
+    return report.unpivoted(runs(spark, sf))
+
+
+@query(
+    RUNS
+    + """, a AS (SELECT algorithm, round(avg(search_ms), 6) AS t, round(avg(memory_kb), 6) AS m FROM runs GROUP BY algorithm)
+    SELECT (SELECT algorithm FROM a ORDER BY t, algorithm LIMIT 1) AS fastest, (SELECT min(t) FROM a) AS fastest_ms, (SELECT algorithm FROM a ORDER BY m, algorithm LIMIT 1) AS leanest, (SELECT min(m) FROM a) AS leanest_kb"""
+)
+def fastest_argmin(spark, sf):
+    return report.best(runs(spark, sf))
+
+
+@query(RUNS + "SELECT algorithm, round(min(memory_kb), 6) AS low, round(quantile_cont(memory_kb, 0.25), 6) AS q1, round(quantile_cont(memory_kb, 0.5), 6) AS q2, round(quantile_cont(memory_kb, 0.75), 6) AS q3, round(max(memory_kb), 6) AS high FROM runs GROUP BY algorithm")
+def memory_quartiles(spark, sf):
+    return report.memory_quartiles(runs(spark, sf))
+
+
+@query(RUNS + "SELECT category, pattern_name, row_number() OVER (PARTITION BY category ORDER BY pattern_name) - 1 AS place FROM (SELECT DISTINCT category, pattern_name FROM runs)")
+def pattern_rank(spark, sf):
+    return report.pattern_places(runs(spark, sf))
+
+
+@query(RUNS + "SELECT count(DISTINCT pattern_name) AS patterns, count(DISTINCT category) AS categories, count(DISTINCT algorithm) AS algorithms, count(*) AS runs, CAST(sum(matches_count) AS BIGINT) AS matches FROM runs")
+def report_totals(spark, sf):
+    return report.totals(runs(spark, sf))
+
+
+@query(RUNS + ", a AS (SELECT algorithm, avg(search_ms) AS t FROM runs GROUP BY algorithm) SELECT a.algorithm, round(a.t, 6) AS mean_ms, round(a.t / b.t, 6) AS ratio FROM a, a b WHERE b.algorithm = 'src0'")
+def ratio_of_means(spark, sf):
+    return report.ratio_of_means(runs(spark, sf), "src0")
+
+
+@query(RUNS + "SELECT * FROM runs WHERE NOT (algorithm = 'naive' AND pattern_length > 100) AND NOT (algorithm = 'src1' AND category = 'en')")
+def skip_policy(spark, sf):
+    r = report.kept_runs(runs(spark, sf))
+    return r.filter(~((F.col("algorithm") == "src1") & (F.col("category") == "en")))
+
+
+@query(RUNS + "SELECT pattern_name, algorithm, greatest(0, search_ms) + preprocessing_ms AS total_ms, round(500000 / nullif(search_ms, 0), 4) AS throughput FROM runs")
+def throughput(spark, sf):
+    return report.with_throughput(runs(spark, sf), 500_000).select("pattern_name", "algorithm", "total_ms", "throughput")
+
+
+@query("SELECT CASE WHEN length(text) > 20 THEN substring(text, 1, 17) || '...' ELSE text END AS shown, lang AS category, source AS algorithm, round(n_chars / 8.0, 6) AS search_ms FROM documents")
+def report_listing(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return report.listing(d.select(F.col("text").alias("pattern_name"), F.col("lang").alias("category"), F.col("source").alias("algorithm"), (F.col("n_chars") / 8.0).alias("search_ms")))
+
+
+APPROX = """WITH r AS (SELECT 'dna|' || lang || '|len' || CAST(doc_id % 3 AS VARCHAR) || '|i0' AS header, CAST(doc_id % 3 AS INT) AS seq_len, CAST(doc_id % 2 AS INT) AS query_len, CAST(doc_id % 6 AS INT) AS edits,
+  n_chars / 64.0 AS re_time, n_chars / 16.0 AS re_mem, (n_chars + doc_id % 11) / 8.0 AS shiftor_time, n_chars / 16.0 AS shiftor_mem, (n_chars + doc_id % 5) / 2.0 AS levenshtein_time, n_chars / 8.0 AS levenshtein_mem FROM documents)
+"""
+APPROX_SUMMARY = APPROX + """, s AS (SELECT string_split(header, '|')[2] AS sequence_type, seq_len AS sequence_length, avg(re_time) AS a, avg(re_mem) AS b, avg(shiftor_time) AS c, avg(shiftor_mem) AS d, avg(levenshtein_time) AS e, avg(levenshtein_mem) AS f FROM r GROUP BY ALL),
+z AS (SELECT sequence_type, sequence_length, round(a, 6) AS re_avg_time, round(b, 6) AS re_avg_mem, round(c, 6) AS shiftor_avg_time, round(d, 6) AS shiftor_avg_mem, round(e, 6) AS levenshtein_avg_time, round(f, 6) AS levenshtein_avg_mem,
+round(c / a, 6) AS shiftor_vs_regex, round(e / a, 6) AS levenshtein_vs_regex FROM s)
+"""
+
+
+def approx_rows(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    i, n = F.col("doc_id"), F.col("n_chars")
+    return d.select(
+        F.format_string("dna|%s|len%d|i0", "lang", i % 3).alias("header"), (i % 3).cast("int").alias("seq_len"), (i % 2).cast("int").alias("query_len"), (i % 6).cast("int").alias("edits"), (n / 64.0).alias("re_time"), (n / 16.0).alias("re_mem"),
+        ((n + i % 11) / 8.0).alias("shiftor_time"), (n / 16.0).alias("shiftor_mem"), ((n + i % 5) / 2.0).alias("levenshtein_time"), (n / 8.0).alias("levenshtein_mem"),
+    )
+
+
+@query(APPROX_SUMMARY + "SELECT * FROM z")
+def approx_summary(spark, sf):
+    return report.approx_summary(approx_rows(spark, sf))
+
+
+@query(APPROX_SUMMARY + "SELECT round(avg(shiftor_vs_regex), 6) AS shiftor_vs_regex, round(avg(levenshtein_vs_regex), 6) AS levenshtein_vs_regex, round(avg(levenshtein_vs_regex) / avg(shiftor_vs_regex), 6) AS quotient FROM z")
+def mean_of_ratios(spark, sf):
+    return report.mean_of_ratios(report.approx_summary(approx_rows(spark, sf)))
+
+
+@query(APPROX + "SELECT edits, seq_len, round(avg(re_time), 6) AS re_time, round(avg(shiftor_time), 6) AS shiftor_time, round(avg(levenshtein_time), 6) AS levenshtein_time FROM r GROUP BY edits, seq_len")
+def means_by_edits(spark, sf):
+    return report.means_by(approx_rows(spark, sf), "edits", "seq_len")
+
+
+@query(APPROX + "SELECT query_len, round(avg(re_time), 6) AS re_time, round(avg(shiftor_time), 6) AS shiftor_time, round(avg(levenshtein_time), 6) AS levenshtein_time FROM r GROUP BY query_len")
+def means_by_query_length(spark, sf):
+    return report.means_by(approx_rows(spark, sf), "query_len")
+
+
+@query("SELECT spec, unnest(lens) AS len FROM (VALUES ('100', [100]), ('5-9:2', [5, 7, 9]), ('20-30', [20, 30]), ('3,1,2-2,1-4:1', [1, 2, 3, 4])) v(spec, lens)")
+def parse_lengths(spark, sf):
+    specs = spark.createDataFrame([("100",), ("5-9:2",), ("20-30",), ("3,1,2-2,1-4:1",)], "spec string")
+    return specs.select("spec", F.explode(datagen.parse_lengths(F.col("spec"))).alias("len"))
+
+
+@query("SELECT type, len, CAST(inst AS INT) AS inst, 'dna|' || type || '|len' || len || '|i' || inst AS header FROM (VALUES ('random'), ('high_gc'), ('repetitive'), ('low_complexity'), ('mutated')) t(type), (VALUES (100), (500)) l(len), (SELECT unnest(range(0, 3)) AS inst)")
+def dataset_grid(spark, sf):
+    return datagen.sequence_grid(spark, list(datagen.KINDS), [100, 500], 3)
+
+
+@query("SELECT 'rep_' || CASE motif WHEN 'A' THEN 'allA' ELSE motif END || '_' || n AS name, substring(repeat(motif, n), 1, n) AS pattern FROM (VALUES ('A'), ('AC'), ('AT')) m(motif), (VALUES (20), (50), (100)) l(n)")
+def repetitive_sequences(spark, sf):
+    return datagen.repetitive_patterns(spark)
+
+
+@query()
+def generated_sequences(spark, sf):
+    return datagen.sequences(datagen.sequence_grid(spark, list(datagen.KINDS), [100, 500], 3))
+
+
+@query()
+def generated_corpus(spark, sf):
+    genome = datagen.planted_text(spark, 20_000, "ACGTTGCAACGT", 200, 5)
+    return datagen.pattern_corpus(genome)
+
+
+@query()
+def sampled_queries(spark, sf):
+    s = datagen.samples(items(spark, sf), [20, 50], 3)
+    return s.select("text_id", "length", "turn", "start", "query", datagen.with_substitutions(F.col("query"), F.concat_ws(":", "text_id", "length", "turn"), 3, 2).alias("changed"))
+
+
+@query("SELECT algorithm, CAST(size AS BIGINT) AS size, CAST(CASE WHEN algorithm = 'levenshtein' THEN size // 8 ELSE size // 4 - 1 END AS BIGINT) AS matches FROM (VALUES ('naive'), ('kmp'), ('boyer_moore'), ('suffix_tree'), ('levenshtein'), ('shift_or'), ('rabin_karp')) a(algorithm), (VALUES (100), (1000), (10000)) s(size)")
+def api_benchmark_counts(spark, sf):
+    return registry.benchmark_counts(spark)
+
+
+@query("SELECT key, pattern, CAST(i AS BIGINT) AS pos FROM (SELECT *, unnest(range(0, length(text) - length(pattern) + 1)) AS i FROM (VALUES " + ", ".join(f"('{k}', '{t}', '{p}')" for k, _, t, p in registry.SAMPLES) + ") s(key, text, pattern)) WHERE substring(text, i + 1, length(pattern)) = pattern")
+def sample_searches(spark, sf):
+    s = registry.samples(spark)
+    hits = exact.by_split(s.select(F.col("key").alias("text_id"), "text"), s.select("pattern"))
+    return hits.withColumnRenamed("text_id", "key").join(s.select("key", "pattern"), ["key", "pattern"])
+
+
+@query()
+def search_all_algorithms(spark, sf):
+    return as_doc(registry.search(items(spark, sf), words(spark, ("tion", "there"))), "item_id")
+
+
+@query("SELECT page_id || '.' || CASE page_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'FASTA' WHEN 2 THEN 'exe' ELSE 'dat' END AS name, substring(html, 1, 2000) AS content, length(html) AS size, length(html) > 2000 AS truncated FROM pages WHERE page_id % 4 <> 2")
+def upload_filter(spark, sf):
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    kind = F.element_at(F.array(*map(F.lit, ("txt", "FASTA", "exe", "dat"))), (F.col("page_id") % 4 + 1).cast("int"))
+    return readers.accepted_uploads(p.select(F.concat(F.col("page_id").cast("string"), F.lit("."), kind).alias("name"), F.col("html").alias("content")), 2000)
+
+
+@query("SELECT category, count(*) AS n FROM (SELECT lang AS category FROM documents) GROUP BY category")
+def count_total_patterns(spark, sf):
+    return readers.count_patterns(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("lang").alias("category")))
+
+
+@query("SELECT algorithm, category FROM (VALUES ('naive', 'Exact Matching'), ('kmp', 'Exact Matching'), ('boyer_moore', 'Exact Matching'), ('suffix_tree', 'Exact Matching'), ('levenshtein', 'Approximate Matching'), ('shift_or', 'Approximate Matching'), ('rabin_karp', 'Exact Matching')) v(algorithm, category)")
+def algorithm_info(spark, sf):
+    return registry.algorithms(spark).select("algorithm", "category")
