@@ -10,11 +10,10 @@
 3. Classes that agree in all rows of a band share a bucket.  Each bucket's members
    are compared with its smallest doc_id, on full sets; links are grouped.
 4. Buckets that still hold more than one group are unresolved.  Members outside a
-   bucket's largest group are compared with a few members inside and outside it,
-   then with more, until every bucket is one group or has been compared in full; as
-   soon as all that is left is linear in the members, it is compared at once.  A
-   bucket of n near copies costs some n comparisons, not n squared, and no link is
-   given up.
+   bucket's largest group are compared with all others of the bucket, block against
+   block, by counting shared shingles of whole blocks at once; no pairs are made,
+   only links come out.  So a bucket of n near copies costs n comparisons and what
+   lies outside it, and no link is given up.
 5. Grouping is union-find inside partitions, then distributed star contraction.
 """
 
@@ -33,10 +32,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 #: Two sets are linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Centres a group and unresolved bucket in the first further round; eight times as many in each one after.
-CENTRES = 2
-#: All comparisons that are left are made at once if they are at most so many a member.
-AT_ONCE = 32
+#: Shingles of a block of an unresolved bucket: of the members outside its largest group, and of all.
+BLOCK_OUTSIDE, BLOCK_ALL = 100_000, 400_000
 #: Comparisons that share one copy of a centre's text.
 PER_CENTRE = 48
 #: At most so many ids are broadcast to pick their texts; beyond, texts are shuffled.
@@ -137,6 +134,16 @@ def similar_sizes(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def _with_texts(needs: DataFrame, docs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``needs`` with the text of each doc_id, dealt out by ``keys`` and sorted in each partition."""
+    ids = needs.select("doc_id").distinct()
+    texts = common.only(docs, "doc_id", "text")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    met = needs.join(texts, "doc_id").select(*keys, *order, "text")
+    return met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, *order)
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 
@@ -144,16 +151,10 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ``PER_CENTRE`` of them, to as many places as it takes, so a centre of a third of
     the corpus is no hot key.  A task holds one centre's set and one other at a time.
     """
-    spark = pairs.sparkSession
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_CENTRE).alias("copies"))
     dealt = common.materialize(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).alias("copy")), "pairs")
     needs = dealt.select(F.col("b").alias("doc_id"), "a", "copy", F.lit(1).alias("turn")).union(dealt.select(F.col("a").alias("doc_id"), "a", "copy", F.lit(0).alias("turn")).distinct())
-    ids = needs.select("doc_id").distinct()
-    texts = common.only(docs, "doc_id", "text")
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    met = needs.join(texts, "doc_id").select("a", "copy", "turn", "doc_id", "text")
-    dealt_out = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "copy").sortWithinPartitions("a", "copy", "turn", "doc_id")
+    dealt_out = _with_texts(needs, docs, ["a", "copy"], ["turn", "doc_id"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, centres = None, []
@@ -249,22 +250,13 @@ def group(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     first = buckets.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = common.materialize(buckets.join(first, "bucket").select("bucket", "doc", "n", F.col("first.doc").alias("a"), F.col("first.n").alias("a_n")), "buckets")
 
-    tried = buckets.filter("doc != a").filter(similar_sizes("n", "a_n")).select("a", F.col("doc").alias("b")).distinct()
-    tried = common.materialize(tried, "candidates")
+    pairs = buckets.filter("doc != a").filter(similar_sizes("n", "a_n")).select("a", F.col("doc").alias("b")).distinct()
+    pairs = common.materialize(pairs, "candidates")
     repeated = common.materialize(again.join(classed.filter("doc_id = rep").select(F.col("doc_id").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "repeated-ids")
-    links = common.materialize(verify(tried, docs), "links").union(repeated)
-    forest = components(links)
-    open_buckets = _unresolved(buckets.select("bucket", "doc", "n"), forest)
-    centres = CENTRES
-    while not open_buckets.isEmpty():
-        more, left = _further_pairs(open_buckets, centres)
-        more = common.materialize(more.join(tried, ["a", "b"], "left_anti"), "candidates")
-        tried = tried.union(more)
-        found = common.materialize(verify(more, docs), "links")
-        if not found.isEmpty():
-            forest = components(forest.select(F.col("node").alias("b"), F.col("up").alias("a")).select("a", "b").union(found))
-        open_buckets = _unresolved(left, forest)
-        centres *= 8
+    forest = components(common.materialize(verify(pairs, docs), "links").union(repeated))
+    found = common.materialize(verify_blocks(buckets.select("bucket", "doc", "n"), forest, docs), "links")
+    if not found.isEmpty():
+        forest = components(forest.select(F.col("up").alias("a"), F.col("node").alias("b")).union(found))
 
     rows_in = classed.select("doc_id", "n_shingles", "rep")
     found = rows_in.join(forest.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("up", "rep").alias("component_id"))
@@ -272,37 +264,66 @@ def group(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id")).union(nameless)
 
 
-def _unresolved(members: DataFrame, forest: DataFrame) -> DataFrame:
-    """(bucket, doc, n, component, size, inside, minor) of the buckets that hold more than one component.
+def verify_blocks(members: DataFrame, forest: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one bucket but different components.
 
-    ``inside`` is the number of members of the bucket's largest component, ``minor``
-    whether the member is outside it.
+    Every member outside the bucket's largest component meets every other member.
+    A bucket's rows go to as many tasks as it has pairs of blocks; a block's shingles
+    are bounded, so a task's memory is.
     """
     own = members.join(forest.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("up", "doc").alias("component"))
-    groups = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-    many = groups.groupBy("bucket").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("most")).filter("size > most.k")
-    met = own.join(many, "bucket")
-    return common.materialize(met.select("bucket", "doc", "n", "component", "size", F.col("most.k").alias("inside"), (F.col("component") != F.col("most.component")).alias("minor")), "unresolved")
+    groups = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    many = groups.groupBy("bucket").agg(F.sum("k").alias("size"), F.sum("w").alias("weight"), F.max(F.struct("k", "component", "w")).alias("most")).filter("size > most.k")
+    blocks = many.select("bucket", F.col("most.component").alias("main"), F.ceil((F.col("weight") - F.col("most.w")) / BLOCK_OUTSIDE).alias("outside"), F.ceil(F.col("weight") / BLOCK_ALL).alias("all"))
+    met = common.materialize(own.join(blocks, "bucket"), "unresolved")
+    part = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    x = met.filter("component != main").select("bucket", part("outside").alias("x"), each("all").alias("y"), F.lit(0).alias("side"), F.col("doc").alias("doc_id"), "component")
+    y = met.select("bucket", each("outside").alias("x"), part("all").alias("y"), F.lit(1).alias("side"), F.col("doc").alias("doc_id"), "component")
+    dealt = _with_texts(x.union(y), docs, ["bucket", "x", "y"], ["side", "doc_id", "component"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+        for batch in common.batches(batches):
+            for *new, side, doc_id, component, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if new != key:
+                    yield from _links(*sides)
+                    key, sides = new, ([], [])
+                sides[side].append((doc_id, component, shingles(text)))
+        yield from _links(*sides)
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists, by products of 0-1 matrices over the shingles that both have."""
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    both = np.intersect1d(np.unique(np.concatenate(xs)), np.unique(np.concatenate(ys)), assume_unique=True)
+    step = 2048
+    if not len(both):
+        return out
+    at = lambda s: (k := np.minimum(np.searchsorted(both, s), len(both) - 1))[both[k] == s]
+    places = [[at(s) for s in side] for side in (xs, ys)]
+    for at in range(0, len(both), step):
+        m = []
+        for side in places:
+            one = np.zeros((len(side), min(step, len(both) - at)), np.float32)
+            for row, p in zip(one, side):
+                row[p[np.searchsorted(p, at) : np.searchsorted(p, at + step)] - at] = 1
+            m.append(one)
+        out += m[0] @ m[1].T
+    return out
 
-def _further_pairs(members: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs across components that have a member outside the bucket's largest one, and the members left for later.
 
-    If all such pairs are few enough they are made, and none is left.  Else the
-    members outside meet ``centres`` members inside and as many outside, which
-    then have been compared with all they had to be.
-    """
-    work, total = members.filter("minor").agg(F.sum(F.col("inside") + (F.col("size") - F.col("inside")) / 2)).first()[0], members.count()
-    if work <= AT_ONCE * total:
-        chosen, left = members, members.limit(0)
-    else:
-        slot = F.pmod(F.xxhash64("doc", F.lit(centres)), F.lit(centres))
-        chosen = members.groupBy("bucket", "minor", slot.alias("slot")).agg(F.min(F.struct("doc", "n", "component")).alias("c")).select("bucket", "minor", "c.doc", "c.n", "c.component")
-        chosen = common.materialize(chosen, "centres")
-        left = members.join(chosen.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
-    x, y = members.filter("minor").select("bucket", "doc", "n", "component").alias("x"), chosen.select("bucket", "minor", "doc", "n", "component").alias("y")
-    met = x.join(y, "bucket").filter((F.col("x.component") != F.col("y.component")) & similar_sizes("x.n", "y.n"))
-    return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct(), left.select("bucket", "doc", "n")
+def _links(xs: list, ys: list) -> Iterator[pa.RecordBatch]:
+    if not xs or not ys:
+        return
+    both = shared_counts([s for _, _, s in xs], [s for _, _, s in ys])
+    total = np.add.outer([len(s) for _, _, s in xs], [len(s) for _, _, s in ys])
+    i, j = np.nonzero((both > 0) & (100 * both >= PERCENT * (total - both)))
+    rows = {(min(xs[a][0], ys[b][0]), max(xs[a][0], ys[b][0])) for a, b in zip(i.tolist(), j.tolist()) if xs[a][1] != ys[b][1]}
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b"])
 
 
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

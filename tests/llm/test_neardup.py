@@ -118,11 +118,11 @@ def test_groups_against_brute_force(spark, seed):
     assert wrong <= len(rows) // 100  # banding finds 99.8 % of the links at the very threshold
 
 
-@pytest.mark.parametrize("at_once", [0, 1, 32])
-def test_large_group_with_many_centres(spark, monkeypatch, at_once):
+@pytest.mark.parametrize("block", [300, 100_000])
+def test_large_group_in_blocks(spark, monkeypatch, block):
     """Near copies that are often no copies of their bucket's first document."""
-    monkeypatch.setattr(N, "AT_ONCE", at_once)
-    monkeypatch.setattr(N, "CENTRES", 1)
+    monkeypatch.setattr(N, "BLOCK_OUTSIDE", block)
+    monkeypatch.setattr(N, "BLOCK_ALL", block)
     rnd = random.Random(9)
     base, rows = prose(rnd, 80), []
     for k in range(120):
@@ -133,6 +133,13 @@ def test_large_group_with_many_centres(spark, monkeypatch, at_once):
     assert run(spark, rows) == brute(rows)
 
 
+def test_shared_counts():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 6000, rng.integers(1, 5000)).astype(np.uint64)) for _ in range(12)]
+    got = N.shared_counts(sets[:5], sets[5:])
+    assert (got == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]).all()
+
+
 def test_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 200)] + [(500, 501), (501, 503), (502, 503)], "a long, b long").repartition(8)
     got = {r.node: r.up for r in N.components(links).collect()}
