@@ -2,8 +2,8 @@
 
 The vocabulary of the ``tokenizers`` library used here drops white space, so the
 ids of a text are the ids of its white-space separated chunks, one after the
-other.  Chunks repeat; their ids are kept per worker in a bounded cache and only
-chunks not seen before go to the library, many in one call.  ``encode_all`` gives
+other.  Chunks repeat; their ids are kept per worker in a bounded cache, and only
+words not seen before go to the library's merge model.  ``encode_all`` gives
 exactly what ``Tokenizer.encode(text, add_special_tokens=False)`` gives (tests
 compare the two on prose and on random Unicode).
 """
@@ -16,12 +16,9 @@ import regex
 
 #: Bound of each of the two caches of one worker: ids of chunks, ids of words.
 MAX_CACHED = 600_000
-#: Most characters sent to the library in one call.
-CALL_CHARS = 20_000
 
 #: White space for ``str.split`` but not for the vocabulary's splitter; special tokens.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
-_SEPARATOR = "<|endoftext|>"
 #: Below this code point no character is changed by NFC and lower case needs no context.
 _SIMPLE = "\u0250"
 #: The splitting pattern that the public vocabulary file states.  Fixed value.
@@ -55,6 +52,17 @@ def load(path: str | None = None) -> "WordTokenizer":
     return _loaded[path]
 
 
+class _Chunks(dict):
+    """Ids by chunk; a chunk not seen before is encoded when it is first asked for."""
+
+    def __init__(self, owner: "WordTokenizer"):
+        self.owner = owner
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self[chunk] = self.owner._chunk(chunk)
+        return got
+
+
 class WordTokenizer:
     """Texts to little-endian unsigned 32-bit ids, as bytes."""
 
@@ -67,13 +75,9 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.end = self.tokenizer.token_to_id(_SEPARATOR)
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Chunks(self)
         self.words: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]):
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-
     def _word(self, word: str) -> bytes:
         """Ids of one piece of the splitting pattern, in lower case."""
         got = self.words.get(word)
@@ -83,58 +87,32 @@ class WordTokenizer:
             got = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
         return got
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Put the ids of new chunks into the cache."""
-        cache, word, rest, size = self.cache, self._word, [], 0
-        for c in chunks:
-            if max(c) < _SIMPLE:
-                low = c.lower()
-                cache[c] = word(low) if low.isalpha() else b"".join(map(word, _SPLIT.findall(low)))
-            else:
-                rest.append(c)
-                size += len(c) + len(_SEPARATOR)
-                if size > CALL_CHARS:
-                    self._call(rest)
-                    rest, size = [], 0
-        if rest:
-            self._call(rest)
-
-    def _call(self, chunks: list[str]) -> None:
-        """The same by the library's own normalising and splitting."""
-        import numpy as np
-
-        ids = np.array(self._encode([_SEPARATOR.join(chunks)])[0].ids, dtype="<u4")
-        ends = np.flatnonzero(ids == self.end)
-        if len(ends) != len(chunks) - 1:  # never seen; the plain way is always right
-            for c, e in zip(chunks, self._encode(chunks)):
-                self.cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-            return
-        raw, begin, cache = ids.tobytes(), 0, self.cache
-        for c, e in zip(chunks, [*(ends * 4).tolist(), len(raw)]):
-            cache[c] = raw[begin:e]
-            begin = e + 4
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk that is not in the cache."""
+        if max(chunk) >= _SIMPLE:  # normalising may do anything: the library's own way
+            return self._plain(chunk)
+        low = chunk.lower()
+        if low.isalpha():
+            return self._word(low)
+        if low[:-1].isalpha() and not low[-1].isalnum():
+            return self._word(low[:-1]) + self._word(low[-1])
+        return b"".join(map(self._word, _SPLIT.findall(low)))
+
+    def _plain(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: as empty), 4 bytes each, without special tokens."""
-        import numpy as np
-
         for cache in (self.cache, self.words):
             if len(cache) > MAX_CACHED:
                 cache.clear()
-        split, odd = [], {}
-        for k, text in enumerate(texts):
+        get, out = self.cache.__getitem__, []
+        for text in texts:
             if not text:
-                split.append(())
+                out.append(b"")
             elif any(x in text for x in _ODD):
-                odd[k] = text
-                split.append(())
+                out.append(self._plain(text))
             else:
-                split.append(text.split())
-        new = set().union(*split).difference(self.cache)
-        if new:
-            self._learn(new)
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        for k, text in odd.items():
-            out[k] = np.array(self._encode([text])[0].ids, dtype="<u4").tobytes()
+                out.append(b"".join(map(get, text.split())))
         return out
