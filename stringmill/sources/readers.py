@@ -89,7 +89,7 @@ def accepted_uploads(files: DataFrame, most: int = UPLOAD_CHARS) -> DataFrame:
 def read_uploads(spark: SparkSession, path: str, most: int = UPLOAD_CHARS) -> DataFrame:
     """Files of a path or glob as uploads; bytes that are no UTF-8 are dropped by the decoder's replacement."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
     return accepted_uploads(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), text.alias("content")), most)
 
 
