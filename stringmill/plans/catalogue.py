@@ -399,7 +399,7 @@ def trace_steps(spark, sf):
 
 
 # Benchmark rows without clocks: language and source stand for category and algorithm, lengths for times.
-RUNS = """WITH runs AS (SELECT CAST(doc_id AS VARCHAR) AS pattern_name, lang AS category, source AS algorithm, CAST(n_chars AS INT) AS pattern_length, (doc_id % 7) * 0.5 AS preprocessing_ms,
+RUNS = """WITH runs AS (SELECT CAST(doc_id AS VARCHAR) AS pattern_name, lang AS category, source AS algorithm, CAST(n_chars AS INT) AS pattern_length, CAST((doc_id % 7) * 0.5 AS DOUBLE) AS preprocessing_ms,
   n_chars / 8.0 AS search_ms, n_chars / 4.0 AS memory_kb, CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS matches_count FROM documents)
 """
 BUCKET = "CASE WHEN pattern_length <= 10 THEN 'small' WHEN pattern_length <= 50 THEN 'medium' WHEN pattern_length <= 200 THEN 'large' ELSE 'vlarge' END"
