@@ -28,8 +28,12 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing is made there yet."""
-    return f"{shared_root(spark)}/stringmill/{name}-{uuid.uuid4().hex}"
+    """A new path of this application below the shared folder; nothing is made there yet."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/stringmill/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -43,10 +47,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def remove_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table and file of this subpackage below the shared folder."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/stringmill")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete this application's scratch tables and files; frames not yet written that read them are lost."""
+    remove(spark, _own(spark))
 
 
 def remove(spark: SparkSession, uri: str) -> None:

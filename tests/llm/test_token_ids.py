@@ -79,3 +79,12 @@ def test_query_against_brute_force(spark, sf_dir):
 
 def test_shared_root_is_read_from_the_session(spark):
     assert common.scratch(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_scratch_is_removed(spark):
+    df = common.materialize(spark.range(5), "numbers")
+    assert df.count() == 5
+    inputs = df.inputFiles()
+    common.remove(spark, inputs[0].rpartition("/")[0])
+    system, path = common.file_system(inputs[0])
+    assert system.get_file_info(path).type.name == "NotFound"
