@@ -6,7 +6,7 @@ test (the Clopper-Pearson bound turned round) tells whether the true share is at
 most ``risk``.  For each rule and stratum the cutoffs are tested from the loosest
 to the strictest and the last one before the first failure is kept: this fixed
 order needs no correction over cutoffs.  Over rules and strata the confidence is
-split evenly (Bonferroni), and so is the risk over rules.  With probability
+split evenly (Bonferroni), and the risk is split over rules by ``SHARES``.  With probability
 1 - ``delta`` then, in every stratum at once, the rules together reject at most
 ``risk`` of the good documents.  A stratum with too few labels for any cutoff to
 pass has no rules, and none of its documents is rejected by them.
@@ -29,14 +29,9 @@ MAX_REPEAT_PERCENT = 50
 
 #: Cutoffs of each rule, loosest first; fixed before any label is seen.
 _SHARE = tuple(round(1 - k / 40, 3) for k in range(1, 38)) + (0.06, 0.045, 0.03, 0.02, 0.015, 0.01, 0.0075, 0.005)
-GRIDS: dict[str, tuple[float, ...]] = {
-    "symbol_share": _SHARE,
-    "repeat_share": _SHARE,
-    "dup_line_share": _SHARE,
-    "upper_share": _SHARE,
-    "bang_share": _SHARE,
-    "same_next_share": _SHARE,
-}
+GRIDS: dict[str, tuple[float, ...]] = {"symbol_share": _SHARE, "repeat_share": _SHARE, "dup_line_share": _SHARE, "upper_share": _SHARE}
+#: Part of the risk that each rule may use; a larger part needs fewer labels.
+SHARES = {"symbol_share": 0.55, "repeat_share": 0.15, "dup_line_share": 0.15, "upper_share": 0.15}
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -66,14 +61,13 @@ def calibrate(good: DataFrame, stratum: str, *, risk: float = RISK, delta: float
     Strata with fewer labels than any test needs are left out before that.
     """
     level_of = lambda strata: delta / (len(GRIDS) * max(1, strata))
-    own_risk = risk / len(GRIDS)
-    least = math.ceil(math.log(delta / len(GRIDS)) / math.log1p(-own_risk))
+    least = math.ceil(math.log(delta / len(GRIDS)) / math.log1p(-risk * max(SHARES.values())))
     sums = [F.sum((F.col(rule) > cutoff).cast("long")).alias(f"{rule}_{k}") for rule, grid in GRIDS.items() for k, cutoff in enumerate(grid)]
     rows = good.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *sums).filter(F.col("n") >= least).collect()
     level = level_of(len(rows))
     out: dict[str, dict[str, float]] = {}
     for r in rows:
-        found = {rule: pick_cutoff(grid, [r[f"{rule}_{k}"] for k in range(len(grid))], r["n"], own_risk, level) for rule, grid in GRIDS.items()}
+        found = {rule: pick_cutoff(grid, [r[f"{rule}_{k}"] for k in range(len(grid))], r["n"], risk * SHARES[rule], level) for rule, grid in GRIDS.items()}
         out[r[stratum]] = {rule: c for rule, c in found.items() if c is not None}
     return out
 
