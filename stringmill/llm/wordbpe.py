@@ -33,6 +33,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 _loaded: dict[str, "WordTokenizer"] = {}
 
@@ -52,14 +53,36 @@ def load(path: str | None = None) -> "WordTokenizer":
     return _loaded[path]
 
 
+class _Words(dict):
+    """Ids of pieces of the splitting pattern, in lower case; made when first asked for."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.tokenize(letters)]
+        got = self[word] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+        return got
+
+
 class _Chunks(dict):
-    """Ids by chunk; a chunk not seen before is encoded when it is first asked for."""
+    """Ids of chunks between white space; made when first asked for."""
 
     def __init__(self, owner: "WordTokenizer"):
-        self.owner = owner
+        self.owner, self.words = owner, owner.words
 
     def __missing__(self, chunk: str) -> bytes:
-        got = self[chunk] = self.owner._chunk(chunk)
+        words = self.words
+        if not chunk.isascii() and max(chunk) >= _SIMPLE:  # normalising may do anything: the library's own way
+            got = self.owner._plain(chunk)
+        elif (low := chunk.lower()).isalpha():
+            got = words[low]
+        elif low[:-1].isalpha() and not low[-1].isalnum():
+            got = words[low[:-1]] + words[low[-1]]
+        else:
+            got = b"".join(map(words.__getitem__, _SPLIT.findall(low)))
+        self[chunk] = got
         return got
 
 
@@ -74,29 +97,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.words = _Words(self.tokenizer.model)
         self.cache = _Chunks(self)
-        self.words: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one piece of the splitting pattern, in lower case."""
-        got = self.words.get(word)
-        if got is None:
-            letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_LETTERS)
-            ids = [t.id for t in self.model.tokenize(letters)]
-            got = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk that is not in the cache."""
-        if max(chunk) >= _SIMPLE:  # normalising may do anything: the library's own way
-            return self._plain(chunk)
-        low = chunk.lower()
-        if low.isalpha():
-            return self._word(low)
-        if low[:-1].isalpha() and not low[-1].isalnum():
-            return self._word(low[:-1]) + self._word(low[-1])
-        return b"".join(map(self._word, _SPLIT.findall(low)))
 
     def _plain(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
