@@ -92,6 +92,27 @@ def log_by_bucket(runs: DataFrame) -> DataFrame:
     return runs.filter(F.col("category") != MANY).groupBy("category", b.alias("bucket"), "algorithm").agg(r6(F.log10(F.avg("search_ms") + 1)).alias("log_ms"))
 
 
+def scatter(runs: DataFrame) -> DataFrame:
+    """Length against time, a row a run."""
+    return runs.filter(F.col("category") != MANY).select("pattern_length", "algorithm", r6(F.col("search_ms")).alias("search_ms"))
+
+
+def preprocessing(runs: DataFrame) -> DataFrame:
+    """Mean preprocessing against mean search of the algorithms that preprocess."""
+    return runs.filter(F.col("preprocessing_ms") > 0).groupBy("algorithm").agg(r6(F.avg("preprocessing_ms")).alias("mean_pre"), r6(F.avg("search_ms")).alias("mean_ms"), F.count(F.lit(1)).alias("runs"))
+
+
+def bucket_by_algorithm(runs: DataFrame) -> DataFrame:
+    b = size_bucket(F.col("pattern_length"))
+    return runs.filter(F.col("category") != MANY).groupBy(b.alias("bucket"), "algorithm").agg(r6(F.avg("search_ms")).alias("mean_ms"))
+
+
+def patterns_of(runs: DataFrame, category: str, algorithms: list[str]) -> DataFrame:
+    """Time by pattern and algorithm in one category, 0 where there is none."""
+    p = runs.filter(F.col("category") == category).groupBy("pattern_name").pivot("algorithm", algorithms).agg(F.min("search_ms"))
+    return p.select("pattern_name", *[r6(F.coalesce(F.col(f"`{a}`"), F.lit(0.0))).alias(a) for a in algorithms])
+
+
 def unpivoted(runs: DataFrame) -> DataFrame:
     """Mean, median and deviation of each measure, long form."""
     long = runs.select("algorithm", F.expr("stack(3, 'search_ms', search_ms, 'preprocessing_ms', preprocessing_ms, 'memory_kb', memory_kb) AS (measure, value)"))

@@ -169,3 +169,76 @@ def bit_states(text: str, pattern: str, most: int = 1) -> list[dict]:
         levels = [old[0] << 1 | mask] + [(s << 1) & low for s, low in zip(old[1:], old)]
         out.append({"text_index": i, "mask": format(mask, f"0{m}b"), "states": [format(s, f"0{m}b") for s in levels]})
     return out
+
+
+def _naive_steps(text: str, pattern: str) -> Iterator[tuple]:
+    m = len(pattern)
+    for i in range(len(text) - m + 1):
+        same = next((j for j in range(m) if text[i + j] != pattern[j]), m)
+        yield "search", i, 0, i + 1, min(same + 1, m), same == m, "match" if same == m else f"{text[i + same]!r} is not {pattern[same]!r}"
+
+
+def _hash_steps(text: str, pattern: str, base: int = 256, prime: int = 101) -> Iterator[tuple]:
+    m = len(pattern)
+    lead = pow(base, m - 1, prime)
+    roll = lambda s: sum(ord(c) * pow(base, m - 1 - k, prime) for k, c in enumerate(s)) % prime
+    wanted, now = roll(pattern), roll(text[:m])
+    yield "preprocessing", None, None, None, 0, False, f"hash {wanted}, base {base}, prime {prime}, leading factor {lead}"
+    for i in range(len(text) - m + 1):
+        same = next((j for j in range(m) if text[i + j] != pattern[j]), m) if now == wanted else None
+        note = "hash differs" if same is None else "match" if same == m else "hash agrees, characters do not"
+        yield "search", i, now, i + 1, 0 if same is None else min(same + 1, m), same == m, note
+        if i + m < len(text):
+            now = ((now - ord(text[i]) * lead) * base + ord(text[i + m])) % prime
+
+
+def _suffix_steps(text: str, pattern: str) -> Iterator[tuple]:
+    starts = range(len(text))
+    for k, c in enumerate(pattern):
+        starts = [i for i in starts if i + k < len(text) and text[i + k] == c]
+        yield "search", None, k, len(starts), 1, False, f"{c!r} at depth {k + 1}: " + (", ".join(map(str, starts[:10])) if starts else "no suffix goes on so")
+        if not starts:
+            return
+    yield "result", starts[0], len(pattern), len(starts), 0, True, ", ".join(map(str, starts[:10]))
+
+
+def _edit_steps(text: str, pattern: str, most: int = 1) -> Iterator[tuple]:
+    m = len(pattern)
+    for i in range(len(text) - m + most + 1):
+        for n in range(max(1, m - most), min(len(text) - i, m + most) + 1):
+            a, b, operations = approx.align(pattern, text[i : i + n])
+            d = sum(o != "match" for o in operations)
+            yield ("match_found" if d <= most else "dp_computation"), i, n, d, m * n, d <= most, f"{a} / {b}"
+            if d <= most:
+                break
+
+
+def _bit_steps(text: str, pattern: str, most: int = 1) -> Iterator[tuple]:
+    for x in bit_states(text, pattern, most):
+        i = x["text_index"]
+        hit = i + 1 >= len(pattern) and any(s[-len(pattern)] == "0" for s in x["states"])
+        yield "bit_operation", i, None, None, 1 + most, hit, f"mask {x['mask']}, states {' '.join(x['states'])}"
+
+
+#: Steps of each algorithm of the registry, by name.
+STEPPERS: dict[str, Callable[[str, str], Iterator[tuple]]] = {
+    "naive": _naive_steps,
+    "kmp": lambda t, p: iter(_kmp(t, p)[1]),
+    "boyer_moore": lambda t, p: iter(_bad_character(t, p)[1]),
+    "suffix_tree": _suffix_steps,
+    "rabin_karp": _hash_steps,
+    "levenshtein": _edit_steps,
+    "shift_or": _bit_steps,
+}
+
+
+def steps(texts: DataFrame, patterns: DataFrame, algorithm: str) -> DataFrame:
+    """(algorithm, text_id, pattern, step_number, step_type, text_index, pattern_index, moved_to, comparisons, is_match, note), a row a step.
+
+    ``pattern_index`` is the place in the pattern, the window's hash for the rolling
+    hash, the window's length for edits; ``moved_to`` the next place or state, the
+    suffixes left, or the distance.
+    """
+    run_one = STEPPERS[algorithm]
+    out = _traced(texts, patterns, (), lambda t, p: ([], list(run_one(t, p))), True)
+    return out.select(F.lit(algorithm).alias("algorithm"), "text_id", "pattern", F.inline("steps"))

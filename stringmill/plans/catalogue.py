@@ -394,8 +394,11 @@ def trace_bm(spark, sf):
 
 @query()
 def trace_steps(spark, sf):
-    both = trace.kmp(items(spark, sf), words(spark), steps=True).select(F.lit("kmp").alias("algorithm"), "text_id", "pattern", "steps").union(trace.boyer_moore(items(spark, sf), words(spark), steps=True).select(F.lit("boyer_moore").alias("algorithm"), "text_id", "pattern", "steps"))
-    return both.select("algorithm", F.col("text_id").alias("item_id"), "pattern", F.inline("steps"))
+    out = None
+    for name in trace.STEPPERS:
+        own = trace.steps(items(spark, sf), words(spark, ("tion", "there")), name)
+        out = own if out is None else out.union(own)
+    return as_doc(out, "item_id")
 
 
 # Benchmark rows without clocks: language and source stand for category and algorithm, lengths for times.
@@ -442,6 +445,26 @@ def category_pivot(spark, sf):
     return report.pivoted(runs(spark, sf), "category", ["src0", "src1", "src2"])
 
 
+@query(RUNS + "SELECT pattern_length, algorithm, round(search_ms, 6) AS search_ms FROM runs")
+def length_scatter(spark, sf):
+    return report.scatter(runs(spark, sf))
+
+
+@query(RUNS + "SELECT algorithm, round(avg(preprocessing_ms), 6) AS mean_pre, round(avg(search_ms), 6) AS mean_ms, count(*) AS runs FROM runs WHERE preprocessing_ms > 0 GROUP BY algorithm")
+def preprocessing_against_search(spark, sf):
+    return report.preprocessing(runs(spark, sf))
+
+
+@query(RUNS + f"SELECT {BUCKET} AS bucket, algorithm, round(avg(search_ms), 6) AS mean_ms FROM runs GROUP BY {BUCKET}, algorithm")
+def bucket_by_algorithm(spark, sf):
+    return report.bucket_by_algorithm(runs(spark, sf))
+
+
+@query(RUNS + "SELECT pattern_name, " + ", ".join(f"round(coalesce(min(search_ms) FILTER (WHERE algorithm = '{a}'), 0.0), 6) AS {a}" for a in ("src0", "src1", "src2")) + " FROM runs WHERE category = 'en' GROUP BY pattern_name")
+def category_patterns(spark, sf):
+    return report.patterns_of(runs(spark, sf), "en", ["src0", "src1", "src2"])
+
+
 @query(RUNS + f"SELECT category, {BUCKET} AS bucket, algorithm, round(log10(avg(search_ms) + 1), 6) AS log_ms FROM runs GROUP BY category, {BUCKET}, algorithm")
 def log_by_bucket(spark, sf):
     return report.log_by_bucket(runs(spark, sf))

@@ -24,7 +24,7 @@ APPROXIMATE: dict[str, Builder] = {
 }
 ALL = EXACT | APPROXIMATE
 
-#: (name, title, kind, time, space): facts about the algorithms.
+#: (name, title, kind, time, space) of each algorithm.  Fixed values.
 FACTS = (
     ("naive", "Naive String Matching", "Exact Matching", "O(nm)", "O(1)"),
     ("kmp", "Knuth-Morris-Pratt (KMP)", "Exact Matching", "O(n+m)", "O(m)"),

@@ -184,6 +184,19 @@ def test_traces(spark):
     assert [x["states"][0][-4] for x in states] == ["1", "1", "1", "1", "0"]
 
 
+def test_steps_find_what_the_searches_find(spark):
+    text, pattern = "ABABDABACDABABCABAB", "ABAB"
+    t, p = frames(spark, [text], [pattern])
+    hits = overlapping(text, pattern)
+    found = {n: [r for r in trace.steps(t, p, n).orderBy("step_number").collect()] for n in trace.STEPPERS}
+    assert [r.text_index for r in found["naive"] if r.is_match] == hits == [r.text_index for r in found["rabin_karp"] if r.is_match]
+    assert [r.text_index - 3 for r in found["kmp"] if r.is_match] == hits == [r.text_index for r in found["boyer_moore"] if r.is_match]
+    assert found["suffix_tree"][-1].note == ", ".join(map(str, hits)) and len(found["suffix_tree"]) == 5
+    assert {r.text_index for r in found["levenshtein"] if r.is_match} >= set(hits)
+    assert [r.is_match for r in found["shift_or"]] == [i >= 3 for i in range(len(text))]
+    assert all(r.step_number == k for rows in found.values() for k, r in enumerate(rows))
+
+
 def test_traces_over_documents(spark, sf_dir):
     rows = {r.text_id: r.text for r in catalogue.documents(spark, sf_dir).collect()}
     for name in ("trace_kmp", "trace_bm"):
