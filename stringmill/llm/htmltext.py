@@ -269,14 +269,16 @@ def train(pages: Iterable[tuple[str, list[bool]]], *, ridge: float = 0.02, steps
     longest, n = max((len(x) for x, _ in pages), default=0), len(pages)
     if not n:
         return Field({}, [[0.0, 0.0], [0.0, 0.0]], [0.0, 0.0])
-    x = np.zeros((n, longest, len(names)), np.float32)
     y, mask = np.zeros((n, longest), int), np.zeros((n, longest), bool)
+    cells, features = [], []  # which block has which feature
     for i, (own, labels) in enumerate(pages):
         mask[i, : len(own)] = True
         y[i, : len(own)] = labels
-        for t, features in enumerate(own):
-            x[i, t, [names[f] for f in features if f in names]] = 1
-    flat = x.reshape(n * longest, -1)
+        for t, present in enumerate(own):
+            known = {names[f] for f in present if f in names}
+            features += known
+            cells += [i * longest + t] * len(known)
+    cells, features = np.array(cells), np.array(features)
     theta = np.zeros(len(names) + 6)
     m = v = np.zeros_like(theta)
     one = np.eye(2)
@@ -284,7 +286,7 @@ def train(pages: Iterable[tuple[str, list[bool]]], *, ridge: float = 0.02, steps
     for k in range(1, steps + 1):
         w, step, start = theta[:-6], theta[-6:-2].reshape(2, 2), theta[-2:]
         score = np.zeros((n, longest, 2))
-        score[:, :, 1] = (flat @ w).reshape(n, longest)
+        score[:, :, 1] = np.bincount(cells, w[features], n * longest).reshape(n, longest)
         score[:, 0] += start
         alpha, beta = score.copy(), np.zeros_like(score)
         for t in range(1, longest):
@@ -298,7 +300,7 @@ def train(pages: Iterable[tuple[str, list[bool]]], *, ridge: float = 0.02, steps
         joint = np.exp(alpha[:, :-1, :, None] + step + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]) * pairs[:, :, None, None]
         target = one[y] * mask[:, :, None]
         g = np.concatenate([
-            flat.T @ (p - target)[:, :, 1].ravel().astype(np.float32),
+            np.bincount(features, (p - target)[:, :, 1].ravel()[cells], len(names)),
             (joint - target[:, :-1, :, None] * target[:, 1:, None, :]).sum((0, 1)).ravel(),
             (p - target)[:, 0].sum(0),
         ]) + ridge * theta
