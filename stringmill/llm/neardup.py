@@ -241,9 +241,11 @@ def group(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     nameless = signed.filter("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     empty = signed.filter("doc_id IS NOT NULL AND n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))
     full = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    same = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    # A class may hold a third of all rows: Spark splits such a side of an inner join.
-    classed = common.materialize(full.join(same, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
+    full = full.withColumn("set", F.struct("k1", "k2", "n_shingles"))
+    same = full.groupBy("set").agg(F.min("doc_id").alias("rep"))
+    # A class may hold a third of all rows, so its rows meet its smallest doc_id in many places.
+    classed = common.attach(full, "set", "doc_id", same).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"))
+    classed = common.materialize(classed, "classes")
     # Rows of one doc_id but different sets are linked.
     again = classed.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     buckets = classed.filter("bands IS NOT NULL").select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
