@@ -192,11 +192,6 @@ def fit(x: np.ndarray, y: np.ndarray, *, seed: int = SEED) -> Model:
     return Model(float(w[0]), [(r, float(v)) for r, v in zip(kept, w[1:]) if v], [(*r, float(v)) for r, v in zip(lines, w[1 + len(kept) :]) if v])
 
 
-def sample_rows(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows, those with the smallest hashes of ``key``: a top-k, never a sort of all."""
-    return rows.orderBy(F.xxhash64(key), key).limit(most)
-
-
 def score(docs: DataFrame, labels: DataFrame, *, fold: int = 3, held_fold: int = 1, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
@@ -213,7 +208,7 @@ def score(docs: DataFrame, labels: DataFrame, *, fold: int = 3, held_fold: int =
     stats = common.materialize(textstats.statistics(docs, "doc_id"), "statistics")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold)) == held_fold, F.lit(False))
     own = common.only(labels, "doc_id", "quality").filter(~held & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = sample_rows(stats.join(own, "doc_id").select("doc_id", "quality", *[c.alias(f"_{n}") for n, c in columns.items()]), "doc_id", max_rows).collect()
+    rows = common.sample_by_hash(stats.join(own, "doc_id").select("doc_id", "quality", *[c.alias(f"_{n}") for n, c in columns.items()]), "doc_id", max_rows).collect()
     x = np.array([[float(v) for v in r[2:]] for r in rows]).reshape(len(rows), len(FEATURES))
     model = fit(x, np.array([float(r.quality == 1) for r in rows]))
     scored = stats.select("doc_id", held.alias("held_out"), model.expression(columns).alias("score"))

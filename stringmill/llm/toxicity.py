@@ -208,7 +208,7 @@ def _training(docs: DataFrame, labels: DataFrame, fold: int, held_fold: int) ->
     own = (
         common.only(labels, "doc_id", "toxic").filter(~held_out(fold, held_fold) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    chosen = [own.filter((F.col("toxic") == 1) == toxic).orderBy(F.xxhash64("doc_id")).limit(most) for toxic, most in ((True, MAX_TOXIC), (False, MAX_OTHER))]
+    chosen = [common.sample_by_hash(own.filter((F.col("toxic") == 1) == toxic), "doc_id", most) for toxic, most in ((True, MAX_TOXIC), (False, MAX_OTHER))]
     ids = chosen[0].union(chosen[1])
     # At most MAX_TOXIC + MAX_OTHER rows of two numbers: small by the bounds above.
     rows = common.only(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])

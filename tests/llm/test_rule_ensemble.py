@@ -61,3 +61,12 @@ def test_held_out_accuracy(spark):
     a = auc(np.array([q for q, _ in y]), np.array([s for _, s in y]))
     print("held-out AUC", a)
     assert a > 0.95
+
+
+def test_samples_are_bounded_and_repeatable(spark):
+    from stringmill.llm import common
+
+    df = spark.range(5000).selectExpr("id AS doc_id")
+    a, b = ({r.doc_id for r in common.sample_by_hash(d, "doc_id", 300).collect()} for d in (df, df.repartition(9)))
+    assert len(a) == 300 and a == b
+    assert common.sample_by_hash(df, "doc_id", 10_000).count() == 5000
