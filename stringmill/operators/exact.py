@@ -18,6 +18,8 @@ from ..functions import text as T
 
 BROADCAST_PATTERNS = 10_000
 SUFFIX_LENGTH = 32
+#: Window hashes of so many lengths, none longer than this, are written out character by character.
+UNROLLED_LENGTHS, UNROLLED_LONGEST = 4, 16
 
 
 def pair(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -86,8 +88,16 @@ def hashed_windows(texts: DataFrame, patterns: DataFrame, base: int = 256, prime
     """The windows whose hash is that of a pattern of their length: text_id, pattern, pos, window."""
     p = patterns.select("pattern", F.length("pattern").alias("m"), T.polynomial_hash(F.col("pattern"), base, prime).alias("hash")).filter("m > 0")
     lengths = p.select("m").distinct()
-    w = T.windows(T.chunks(pair(texts, lengths), "text", F.col("m") - 1), F.col("m"))
-    w = w.select("text_id", "m", "pos", "window", T.polynomial_hash(F.col("window"), base, prime).alias("hash"))
+    few = [r.m for r in lengths.limit(UNROLLED_LENGTHS + 1).collect()]
+    if few and len(few) <= UNROLLED_LENGTHS and max(few) <= UNROLLED_LONGEST:
+        # One scan a length; the hash is then one expression without a loop.
+        w = None
+        for m in few:
+            own = T.windows(T.chunks(texts, "text", m - 1), F.lit(m)).select("text_id", F.lit(m).alias("m"), "pos", "window", T.polynomial_hash_of(F.col("window"), m, base, prime).alias("hash"))
+            w = own if w is None else w.union(own)
+    else:
+        w = T.windows(T.chunks(pair(texts, lengths), "text", F.col("m") - 1), F.col("m"))
+        w = w.select("text_id", "m", "pos", "window", T.polynomial_hash(F.col("window"), base, prime).alias("hash"))
     return w.join(F.broadcast(p) if patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS else p, ["m", "hash"]).select("text_id", "pattern", "pos", "window")
 
 
