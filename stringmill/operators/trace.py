@@ -26,14 +26,14 @@ def _pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return exact.pair(texts, patterns).filter((F.length("pattern") > 0) & (F.length("text") >= F.length("pattern")))
 
 
-def _traced(texts: DataFrame, patterns: DataFrame, names: tuple[str, ...], run_one: Callable[[str, str], Trace], steps: bool) -> DataFrame:
+def _traced(texts: DataFrame, patterns: DataFrame, names: tuple[str, ...], run_one: Callable[[str, str, bool], Trace], steps: bool) -> DataFrame:
     both = _pairs(texts, patterns).select("text_id", "pattern", "text")
     kind = texts.schema["text_id"].dataType.simpleString()
     schema = ", ".join([f"text_id {kind}", "pattern string", *(f"{n} long" for n in names)]) + (f", steps array<struct<{STEP.replace(' ', ':').replace(',:', ',')}>>" if steps else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            traces = [run_one(t, p) for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            traces = [run_one(t, p, steps) for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             columns = [batch.column(0), batch.column(1), *(pa.array([t[0][k] for t in traces], pa.int64()) for k in range(len(names)))]
             if steps:
                 columns.append(pa.array([[dict(zip([f.name for f in _STEP_TYPE], (n, *s))) for n, s in enumerate(t[1])] for t in traces], pa.list_(_STEP_TYPE)))
@@ -67,7 +67,7 @@ def borders(pattern: str) -> list[int]:
     return out
 
 
-def _kmp(text: str, pattern: str) -> Trace:
+def _kmp(text: str, pattern: str, keep: bool) -> Trace:
     fail, j = borders(pattern), 0
     same = falls = hits = 0
     steps = []
@@ -80,7 +80,8 @@ def _kmp(text: str, pattern: str) -> Trace:
         whole = j == len(pattern)
         if whole:
             hits, j = hits + 1, fail[j - 1]
-        steps.append(("search", i, at, j, 1, whole, f"{ch!r} " + ("ends a match" if whole else "fits" if equal else "does not fit") + f" after {fell} fall(s)"))
+        if keep:
+            steps.append(("search", i, at, j, 1, whole, f"{ch!r} " + ("ends a match" if whole else "fits" if equal else "does not fit") + f" after {fell} fall(s)"))
     return [len(text), same, len(text) - same, falls, hits], steps
 
 
@@ -89,10 +90,10 @@ def kmp(texts: DataFrame, patterns: DataFrame, steps: bool = False) -> DataFrame
     return _traced(texts, patterns, ("total_comparisons", "successful_comparisons", "failed_comparisons", "backtrack_count", "matches_found"), _kmp, steps)
 
 
-def _bad_character(text: str, pattern: str) -> Trace:
+def _bad_character(text: str, pattern: str, keep: bool) -> Trace:
     n, m = len(text), len(pattern)
     last = {c: k for k, c in enumerate(pattern)}
-    same = different = shifted = hits = at = 0
+    same = different = shifted = hits = at = count = 0
     steps = []
     while at <= n - m:
         j = m - 1
@@ -105,10 +106,11 @@ def _bad_character(text: str, pattern: str) -> Trace:
         else:
             different += 1
             shift = max(1, j - last.get(text[at + j], -1))
-        shifted += shift
-        steps.append(("search", at, j, at + max(1, shift), m - 1 - j + (j >= 0), j < 0, f"shift {shift}"))
+        shifted, count = shifted + shift, count + 1
+        if keep:
+            steps.append(("search", at, j, at + max(1, shift), m - 1 - j + (j >= 0), j < 0, f"shift {shift}"))
         at += max(1, shift)
-    return [same + different, same, different, len(steps), shifted, shifted - len(steps), hits], steps
+    return [same + different, same, different, count, shifted, shifted - count, hits], steps
 
 
 def boyer_moore(texts: DataFrame, patterns: DataFrame, steps: bool = False) -> DataFrame:
@@ -223,8 +225,8 @@ def _bit_steps(text: str, pattern: str, most: int = 1) -> Iterator[tuple]:
 #: Steps of each algorithm of the registry, by name.
 STEPPERS: dict[str, Callable[[str, str], Iterator[tuple]]] = {
     "naive": _naive_steps,
-    "kmp": lambda t, p: iter(_kmp(t, p)[1]),
-    "boyer_moore": lambda t, p: iter(_bad_character(t, p)[1]),
+    "kmp": lambda t, p: iter(_kmp(t, p, True)[1]),
+    "boyer_moore": lambda t, p: iter(_bad_character(t, p, True)[1]),
     "suffix_tree": _suffix_steps,
     "rabin_karp": _hash_steps,
     "levenshtein": _edit_steps,
@@ -240,5 +242,5 @@ def steps(texts: DataFrame, patterns: DataFrame, algorithm: str) -> DataFrame:
     suffixes left, or the distance.
     """
     run_one = STEPPERS[algorithm]
-    out = _traced(texts, patterns, (), lambda t, p: ([], list(run_one(t, p))), True)
+    out = _traced(texts, patterns, (), lambda t, p, keep: ([], list(run_one(t, p))), True)
     return out.select(F.lit(algorithm).alias("algorithm"), "text_id", "pattern", F.inline("steps"))

@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("text_id"), "text")
+    return readers.spread(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("text_id"), "text"))
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:

@@ -19,6 +19,15 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over at least as many partitions as there are cores: a small file is one partition, and searching it is much work.
+
+    A table with enough splits of its own is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def stripped(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(c, "^\\s+|\\s+$", "")
