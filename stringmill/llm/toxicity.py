@@ -36,7 +36,7 @@ WINDOW = 10
 #: Edits allowed in a term, by its length: from 5 letters one, from 10 two.
 EDITS = ((10, 2), (5, 1))
 MAX_STATES = 100_000
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W_]+", re.UNICODE)
 _QUOTES = '"“”«»„'
