@@ -31,6 +31,8 @@ MAX_TOXIC, MAX_OTHER = 6_000, 12_000
 MAX_CANDIDATES, MAX_TERMS = 200_000, 5_000
 MIN_CONTEXTS = 4
 MIN_PRECISION = 0.8
+#: Chance, over all candidates together, that a word of no meaning becomes a term.
+CHANCE = 0.01
 #: Words on either side of a hit that belong to its context.
 WINDOW = 10
 #: Edits allowed in a term, by its length: from 5 letters one, from 10 two.
@@ -220,8 +222,16 @@ def held_out(fold: int, held_fold: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold)) == held_fold, F.lit(False))
 
 
+def at_least(k: int, n: int, p: float) -> float:
+    """P(at least k of n), exact."""
+    if not 0 < p < 1:
+        return 1.0 if p >= 1 or not k else 0.0
+    log = math.lgamma(n + 1)
+    return sum(math.exp(log - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1))
+
+
 def learn_lexicon(toxic: DataFrame, other: DataFrame) -> Lexicon:
-    """Terms with at least MIN_CONTEXTS contexts in toxic documents, of which at most few are in others."""
+    """Terms with at least MIN_CONTEXTS contexts in toxic documents, few in others, and that by no chance."""
 
     def contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -250,12 +260,14 @@ def learn_lexicon(toxic: DataFrame, other: DataFrame) -> Lexicon:
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(counts.keys()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
-    # At most MAX_CANDIDATES rows.
-    used = {r["word"]: r["n"] for r in other.select("text").mapInArrow(uses, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    # At most MAX_CANDIDATES rows each.
+    used, within = ({r["word"]: r["n"] for r in docs.select("text").mapInArrow(uses, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()} for docs in (other, toxic))
+    sizes = toxic.count(), other.count()
+    share = sizes[0] / max(1, sum(sizes))
     weighed = []
     for w, n in found.items():
-        m = used.get(w, 0)
-        if n / (n + m) >= MIN_PRECISION:
+        n, m = min(n, within.get(w, 0)), used.get(w, 0)
+        if n >= MIN_CONTEXTS and n / (n + m) >= MIN_PRECISION and at_least(n, n + m, share) <= CHANCE / len(found):
             weighed.append((math.log((n + 0.5) / (m + 0.5)), w))
     weighed.sort(reverse=True)
     return Lexicon({w: v for v, w in weighed[:MAX_TERMS]})
