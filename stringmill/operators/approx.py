@@ -103,9 +103,22 @@ def edit_windows(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFr
     return rows.select("text_id", "pattern", "m", (F.col("start") + F.col("k")).cast("long").alias("pos"), F.col("len").cast("long").alias("len"), F.levenshtein(window, F.col("pattern")).cast("long").alias("dist"))
 
 
+def edit_starts(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
+    """(text_id, pattern, m, n, pos, all): the same, a row a start; ``all`` holds (len, dist) by length, ``n`` is the text's length."""
+    m = F.length("pattern")
+    both = exact.pair(texts, patterns).filter((m > 0) & (F.length("text") > 0)).withColumn("n", F.length("text"))
+    pieces = T.chunks(both, "text", m + most)
+    starts = pieces.select("text_id", "pattern", "n", m.alias("m"), "chunk", "start", F.explode(F.sequence(F.lit(0), F.least(F.length("chunk"), F.lit(T.CHUNK)).cast("int") - 1)).alias("k"))
+    room = F.least(F.col("m") + most, F.length("chunk") - F.col("k"))
+    least = F.greatest(F.lit(1), F.col("m") - most)
+    own = F.transform(F.sequence(least, room), lambda x: F.struct(x.cast("long").alias("len"), F.levenshtein(F.substring(F.col("chunk"), F.col("k") + 1, x), F.col("pattern")).cast("long").alias("dist")))
+    return starts.filter(room >= least).select("text_id", "pattern", "m", "n", (F.col("start") + F.col("k")).cast("long").alias("pos"), own.alias("all"))
+
+
 def edit_search_greedy(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
     """(text_id, pattern, pos, dist): the best length at each start, then from the left no start within a pattern's length of the one before."""
-    best = edit_windows(texts, patterns, most).groupBy("text_id", "pattern", "m", "pos").agg(F.min("dist").alias("dist")).filter(F.col("dist") <= most)
+    near = edit_windows(texts, patterns, most).filter(F.col("dist") <= most)
+    best = near.groupBy("text_id", "pattern", "m", "pos").agg(F.min("dist").alias("dist"))
     ordered = best.groupBy("text_id", "pattern", "m").agg(F.array_sort(F.collect_list(F.struct("pos", "dist"))).alias("all"))
     taken = F.aggregate(
         "all",
@@ -141,12 +154,27 @@ def banded_score(pattern: str, window: str, most: int) -> int | None:
 def banded_hits(text: str, pattern: str, most: int) -> Hits:
     if not pattern:
         return [(i, 0) for i in range(len(text))]
+    m = len(pattern)
     out = []
-    for end in range(1, len(text) + 1):
-        d = banded_score(pattern, text[max(0, end - len(pattern) - most) : end], most)
+    for end in range(1, min(len(text), m + most - 1) + 1):
+        d = banded_score(pattern, text[:end], most)
         if d is not None:
             out.append((end - 1, d))
-    return out
+    # The windows from here on are of one length, so the recurrence runs over all of them at once.
+    n, count = m + most, len(text) - m - most + 1
+    if count <= 0:
+        return out
+    t, far = _codes(text), np.full(count, most + 1, np.int32)
+    above = {j: np.full(count, j, np.int32) for j in range(min(n, most) + 1)}
+    for i, p in enumerate(_codes(pattern), 1):
+        row: dict[int, np.ndarray] = {}
+        for j in range(max(1, i - most), min(n, i + most) + 1):
+            changed = above.get(j - 1, far) + (t[j - 1 : j - 1 + count] != p)
+            row[j] = np.minimum(np.minimum(row.get(j - 1, far), above.get(j, far)) + 1, changed)
+        above = row
+    score = above.get(n, far)
+    at = np.flatnonzero(score <= most)
+    return out + list(zip((at + n - 1).tolist(), score[at].tolist()))
 
 
 def levenshtein_banded_compat(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:

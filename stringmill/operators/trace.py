@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +19,8 @@ from . import approx, exact
 
 STEP = "step_number int, step_type string, text_index long, pattern_index long, moved_to long, comparisons long, is_match boolean, note string"
 _STEP_TYPE = pa.struct([("step_number", pa.int32()), ("step_type", pa.string()), ("text_index", pa.int64()), ("pattern_index", pa.int64()), ("moved_to", pa.int64()), ("comparisons", pa.int64()), ("is_match", pa.bool_()), ("note", pa.string())])
+#: Steps that leave a worker at once.
+STEP_ROWS = 10_000
 
 Trace = tuple[list[int], list[tuple]]
 
@@ -144,10 +147,10 @@ def rolling_hash(texts: DataFrame, patterns: DataFrame, base: int = 256, prime:
 
 def levenshtein_cells(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
     """Cells of the distance tables filled, start by start, until the first length within ``most``."""
-    w = approx.edit_windows(texts, patterns, most)
-    first = w.groupBy("text_id", "pattern", "m", "pos").agg(F.min(F.when(F.col("dist") <= most, F.col("len"))).alias("stop"), F.collect_list("len").alias("lens"))
-    cells = F.aggregate(F.filter("lens", lambda x: x <= F.coalesce(F.col("stop"), x)), F.lit(0).cast("long"), lambda a, x: a + x * F.col("m"))
-    starts = first.join(texts.select("text_id", F.length("text").alias("n")), "text_id").filter(F.col("pos") < F.col("n") - F.col("m") + most + 1)
+    stop = F.array_min(F.transform(F.filter("all", lambda x: x["dist"] <= most), lambda x: x["len"]))
+    starts = approx.edit_starts(texts, patterns, most).filter(F.col("pos") < F.col("n") - F.col("m") + most + 1).select("text_id", "pattern", "m", "all", stop.alias("stop"))
+    # Only sums leave the task in which a text is read.
+    cells = F.aggregate(F.filter("all", lambda x: x["len"] <= F.coalesce(F.col("stop"), x["len"])), F.lit(0).cast("long"), lambda a, x: a + x["len"] * F.col("m"))
     return starts.groupBy("text_id", "pattern").agg(F.sum(cells).alias("total_cells_computed"), F.count(F.lit(1)).alias("positions_checked"), F.sum(F.col("stop").isNotNull().cast("long")).alias("matches_found"))
 
 
@@ -242,5 +245,26 @@ def steps(texts: DataFrame, patterns: DataFrame, algorithm: str) -> DataFrame:
     suffixes left, or the distance.
     """
     run_one = STEPPERS[algorithm]
-    out = _traced(texts, patterns, (), lambda t, p, keep: ([], list(run_one(t, p))), True)
-    return out.select(F.lit(algorithm).alias("algorithm"), "text_id", "pattern", F.inline("steps"))
+    both = _pairs(texts, patterns).select("text_id", "pattern", "text")
+    kind = texts.schema["text_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = enumerate(run_one(batch.column(2)[k].as_py(), batch.column(1)[k].as_py()))
+                # Steps leave in blocks, so the memory does not grow with the texts of a batch.
+                while block := list(islice(own, STEP_ROWS)):
+                    at = pa.array([k] * len(block), pa.int32())
+                    columns = zip(*((n, *s) for n, s in block))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, f.type) for c, f in zip(columns, _STEP_TYPE))], ["text_id", "pattern", *(f.name for f in _STEP_TYPE)])
+
+    return both.mapInArrow(run, f"text_id {kind}, pattern string, {STEP}").select(F.lit(algorithm).alias("algorithm"), "*")
+
+
+def step_sums(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(algorithm, text_id, pattern, steps, comparisons, matches) over all steps of all algorithms."""
+    out = None
+    for name in STEPPERS:
+        own = steps(texts, patterns, name).select("algorithm", "text_id", "pattern", "comparisons", "is_match")
+        out = own if out is None else out.union(own)
+    return out.groupBy("algorithm", "text_id", "pattern").agg(F.count(F.lit(1)).alias("steps"), F.sum("comparisons").alias("comparisons"), F.sum(F.col("is_match").cast("long")).alias("matches"))

@@ -342,6 +342,37 @@ def longest_common_substring(spark, sf):
     return exact.longest_common_substring(left, n.select("n_nationkey", F.col("n_name").alias("text2")), ["n_nationkey"])
 
 
+def neighbours(texts: DataFrame) -> DataFrame:
+    """Longest common substring of each document and the one with the next id; '' for the last."""
+    following = texts.select((F.col("text_id") - 1).alias("text_id"), F.col("text").alias("text2"))
+    return exact.longest_common_substring(texts.select("text_id", F.col("text").alias("text1")), texts.select("text_id").join(following, "text_id", "left"), ["text_id"])
+
+
+NEAR = ("tion", "there")
+#: The queries over small tables again, over whole documents and without SQL; tests compare with brute force.
+OVER_DOCUMENTS: dict[str, Callable[[SparkSession, DataFrame], DataFrame]] = {
+    "naive_comparisons": lambda spark, t: exact.comparisons(t, words(spark)),
+    "complexity_analysis": lambda spark, t: exact.complexity(t, words(spark)),
+    "trace_naive": lambda spark, t: trace.naive(t, words(spark)),
+    "trace_suffix": lambda spark, t: trace.suffix_trie(t, words(spark)),
+    "trace_lev_cells": lambda spark, t: trace.levenshtein_cells(t, words(spark, NEAR), 1),
+    "trace_steps": lambda spark, t: trace.step_sums(t, words(spark, NEAR)),
+    "rk_hash_stats": lambda spark, t: trace.rolling_hash(t, words(spark)),
+    "rk_window_hash": lambda spark, t: index.window_hashes(t, 4),
+    "suffix_table": lambda spark, t: exact.suffixes(t, 8),
+    "suffix_counts": lambda spark, t: index.suffix_counts(t, 4),
+    "trie_sizes": lambda spark, t: index.trie_sizes(t),
+    "longest_common_substring": lambda spark, t: neighbours(t),
+    "edit_search_greedy": lambda spark, t: approx.edit_search_greedy(t, words(spark, NEAR), 1),
+    "edit_search_first_length": lambda spark, t: approx.edit_search_first_length(t, words(spark, NEAR), 1),
+    "levenshtein_banded_compat": lambda spark, t: approx.levenshtein_banded_compat(t, words(spark, NEAR), 1),
+    "bitvector_score_compat": lambda spark, t: approx.bitvector_score_compat(t, words(spark, NEAR), 1),
+    "search_all_algorithms": lambda spark, t: registry.search(t, words(spark, NEAR)),
+}
+for _name, _build in OVER_DOCUMENTS.items():
+    QUERIES[f"{_name}_documents"] = lambda spark, sf, build=_build: as_doc(build(spark, documents(spark, sf)))
+
+
 def passages(spark, sf):
     return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern"))
 
