@@ -651,6 +651,12 @@ def upload_filter(spark, sf):
     return readers.accepted_uploads(p.select(F.concat(F.col("page_id").cast("string"), F.lit("."), kind).alias("name"), F.col("html").alias("content")), 2000)
 
 
+@query(f"SELECT page_id || '.txt' AS name, substring(html, 1, {readers.UPLOAD_CHARS}) AS content, length(html) AS size, length(html) > {readers.UPLOAD_CHARS} AS truncated FROM pages")
+def upload_pages(spark, sf):
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    return readers.accepted_uploads(p.select(F.concat(F.col("page_id").cast("string"), F.lit(".txt")).alias("name"), F.col("html").alias("content")))
+
+
 @query("SELECT category, count(*) AS n FROM (SELECT lang AS category FROM documents) GROUP BY category")
 def count_total_patterns(spark, sf):
     return readers.count_patterns(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("lang").alias("category")))

@@ -110,3 +110,13 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["doc_id", "pattern", "pos"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_all_pages_are_uploads_up_to_the_bound(spark, tmp_path):
+    most = readers.UPLOAD_CHARS
+    pages = [(k, "u", "é" * n) for k, n in enumerate((5, 2001, most, most + 1, 0))]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.name: tuple(r)[1:] for r in catalogue.QUERIES["upload_pages"](spark, str(tmp_path)).collect()}
+    assert got == {f"{k}.txt": (h[:most], len(h), len(h) > most) for k, _, h in pages}
+    files = spark.createDataFrame([(n, "x" * 7) for n in ("a.exe", "txt", "a.txt.exe", "a.FQ", "a.exe.txt", "b.FASTQ")], "name string, content string")
+    assert {tuple(r) for r in readers.accepted_uploads(files, 6).collect()} == {(n, "x" * 6, 7, True) for n in ("a.exe.txt", "b.FASTQ")}
