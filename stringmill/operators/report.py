@@ -86,6 +86,15 @@ def pivoted(runs: DataFrame, rows: str, algorithms: list[str], value: str = "sea
     return p.select(rows, *[r6(F.coalesce(F.col(f"`{a}`"), F.lit(0.0))).alias(a) for a in algorithms])
 
 
+def every_pair(runs: DataFrame, rows: list[str], value: Column, name: str) -> DataFrame:
+    """A value by row and algorithm in long form, a row for each pair of those that occur, 0 where there is none."""
+    own = runs.groupBy(*rows, "algorithm").agg(value.alias(name))
+    grid = own.select(*rows).distinct().crossJoin(F.broadcast(own.select("algorithm").distinct()))
+    # Not a join, which would lose null names.
+    both = own.union(grid.select(*rows, "algorithm", F.lit(None).cast(own.schema[name].dataType).alias(name)))
+    return both.groupBy(*rows, "algorithm").agg(r6(F.coalesce(F.max(name), F.lit(0.0))).alias(name))
+
+
 def log_by_bucket(runs: DataFrame) -> DataFrame:
     """log10(1 + mean time) by category, bucket and algorithm."""
     b = size_bucket(F.col("pattern_length"))

@@ -476,6 +476,11 @@ def category_pivot(spark, sf):
     return report.pivoted(runs(spark, sf), "category", ["src0", "src1", "src2"])
 
 
+@query(RUNS + ", a AS (SELECT DISTINCT algorithm FROM runs), c AS (SELECT DISTINCT category FROM runs) SELECT c.category, a.algorithm, round(coalesce(avg(r.search_ms), 0.0), 6) AS mean_ms FROM c CROSS JOIN a LEFT JOIN runs r ON r.category = c.category AND r.algorithm = a.algorithm GROUP BY c.category, a.algorithm")
+def category_pivot_all(spark, sf):
+    return report.every_pair(runs(spark, sf), ["category"], F.avg("search_ms"), "mean_ms")
+
+
 @query(RUNS + "SELECT pattern_length, algorithm, round(search_ms, 6) AS search_ms FROM runs")
 def length_scatter(spark, sf):
     return report.scatter(runs(spark, sf))
@@ -496,6 +501,11 @@ def category_patterns(spark, sf):
     return report.patterns_of(runs(spark, sf), "en", ["src0", "src1", "src2"])
 
 
+@query(RUNS + ", a AS (SELECT DISTINCT algorithm FROM runs), p AS (SELECT DISTINCT category, pattern_name FROM runs) SELECT p.category, p.pattern_name, a.algorithm, round(coalesce(min(r.search_ms), 0.0), 6) AS search_ms FROM p CROSS JOIN a LEFT JOIN runs r ON r.category = p.category AND r.pattern_name = p.pattern_name AND r.algorithm = a.algorithm GROUP BY p.category, p.pattern_name, a.algorithm")
+def category_patterns_all(spark, sf):
+    return report.every_pair(runs(spark, sf), ["category", "pattern_name"], F.min("search_ms"), "search_ms")
+
+
 @query(RUNS + f"SELECT category, {BUCKET} AS bucket, algorithm, round(log10(avg(search_ms) + 1), 6) AS log_ms FROM runs GROUP BY category, {BUCKET}, algorithm")
 def log_by_bucket(spark, sf):
     return report.log_by_bucket(runs(spark, sf))
