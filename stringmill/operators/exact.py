@@ -121,7 +121,27 @@ def by_suffixes(texts: DataFrame, patterns: DataFrame, length: int = SUFFIX_LENG
 
 
 def by_bits(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Shift-or search: one machine word of state, moved once a character, for patterns of up to 62 characters."""
+    """Shift-or search: one machine word of state, moved once a character; Python's integers for patterns over 62 characters."""
+    long = patterns.filter(F.length("pattern") > 62)
+    if long.limit(1).count():
+        return _by_word(texts, patterns).union(_native(texts, long, bit_hits))
+    return _by_word(texts, patterns)
+
+
+def bit_hits(text: str, pattern: str) -> list[int]:
+    """The same with a state of any width."""
+    masks: dict[str, int] = {}
+    for k, c in enumerate(pattern):
+        masks[c] = masks.get(c, 0) | 1 << k
+    top, state, out = 1 << (len(pattern) - 1), 0, []
+    for i, c in enumerate(text):
+        state = (state << 1 | 1) & masks.get(c, 0)
+        if state & top:
+            out.append(i - len(pattern) + 1)
+    return out
+
+
+def _by_word(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     df = _searchable(pair(texts, patterns)).filter(F.length("pattern") <= 62)
     m = F.length("pattern")
     letters = F.filter(F.split("pattern", ""), lambda c: c != "")
@@ -129,7 +149,7 @@ def by_bits(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     masks = F.map_from_entries(
         F.transform(F.array_distinct(letters), lambda c: F.struct(c, F.aggregate(F.filter(bit, lambda b: b["c"] == c), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.pow(F.lit(2.0), b["k"]).cast("long")))))
     )
-    df = df.withColumn("_masks", masks).withColumn("_top", F.pow(F.lit(2.0), m - 1).cast("long")).withColumn("_full", (F.pow(F.lit(2.0), m) - 1).cast("long"))
+    df = df.withColumn("_masks", masks).withColumn("_top", F.pow(F.lit(2.0), m - 1).cast("long")).withColumn("_full", F.pow(F.lit(2.0), m).cast("long") - 1)
     # A set bit j: the last j + 1 characters are those the pattern begins with.
     state = F.aggregate(
         F.filter(F.split("text", ""), lambda c: c != ""),

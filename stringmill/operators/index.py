@@ -69,13 +69,25 @@ def good_suffixes(patterns: DataFrame) -> DataFrame:
 def character_masks(patterns: DataFrame) -> DataFrame:
     """(pattern, ch, present, shift_or): set bits where the character is, and their complement within the pattern.
 
-    For patterns of up to 62 characters; longer ones do not fit one word and give no rows.
+    For patterns of up to 62 characters; longer ones do not fit one word, see ``character_mask_words``.
     """
     own = letters(patterns.filter(F.length("pattern") <= 62))
     bits = own.groupBy("pattern", "ch").agg(F.sum(F.pow(F.lit(2.0), F.col("i")).cast("long")).alias("present"))
     return bits.select("pattern", "ch", "present", (F.pow(F.lit(2.0), F.length("pattern")).cast("long") - 1 - F.col("present")).alias("shift_or"))
 
 
+def character_mask_words(patterns: DataFrame) -> DataFrame:
+    """(pattern, ch, word, present, shift_or): the masks of patterns of any length, in words of 62 characters from the first."""
+    own = letters(patterns)
+    word = F.floor(F.col("i") / 62).cast("int")
+    bits = own.groupBy("pattern", "ch", word.alias("word")).agg(F.sum(F.pow(F.lit(2.0), F.col("i") % 62).cast("long")).alias("present"))
+    # A word without the character has a row as well.
+    words = own.select("pattern", "ch").distinct().withColumn("word", F.explode(F.sequence(F.lit(0), F.floor((F.length("pattern") - 1) / 62).cast("int"))))
+    size = F.least(F.lit(62), F.length("pattern") - F.col("word") * 62)
+    both = words.join(bits, ["pattern", "ch", "word"], "left").withColumn("present", F.coalesce("present", F.lit(0).cast("long")))
+    return both.select("pattern", "ch", "word", "present", (F.pow(F.lit(2.0), size).cast("long") - 1 - F.col("present")).alias("shift_or"))
+
+
 def window_hashes(texts: DataFrame, length: int, base: int = 256, prime: int = 101) -> DataFrame:
     """(text_id, pos, hash) of each window of ``length``."""
     w = T.windows(T.chunks(texts, "text", length - 1), F.lit(length))

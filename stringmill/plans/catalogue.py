@@ -215,6 +215,11 @@ def shiftor_masks(spark, sf):
     return index.character_masks(words(spark, REPEATING))
 
 
+@query()
+def shiftor_mask_words(spark, sf):
+    return index.character_mask_words(items(spark, sf).select(F.col("text").alias("pattern")).union(words(spark, REPEATING)))
+
+
 HASH4 = "((((unicode(substring(text, i + 1, 1)) % 101) * 256 + unicode(substring(text, i + 2, 1))) % 101 * 256 + unicode(substring(text, i + 3, 1))) % 101 * 256 + unicode(substring(text, i + 4, 1))) % 101"
 
 

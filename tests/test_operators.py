@@ -234,3 +234,19 @@ def test_registry(spark):
         registry.search(t, p, ["nonsense"])
     assert registry.algorithms(spark, "kmp").count() == 1 and {r.algorithms for r in registry.health(spark).collect()} == {5, 2}
     assert registry.timed(t) > 0
+
+
+def test_shift_or_of_patterns_over_a_word(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("aé") for _ in range(400)), "a" * 70, "", None]
+    patterns = ["a", texts[0][5:67], texts[0][5:68], texts[0][30:200], "a" * 63, "a" * 65, "b" * 90]
+    t, p = frames(spark, texts, patterns)
+    want = sorted((k, w, i) for k, s in enumerate(texts) for w in patterns for i in overlapping(s, w))
+    assert sorted(tuple(r) for r in exact.by_bits(t, p).collect()) == want and any(len(w) > 62 for _, w, _ in want)
+    got = {}
+    for r in index.character_mask_words(p).collect():
+        a = got.setdefault((r.pattern, r.ch), [0, 0])
+        a[0] |= r.present << 62 * r.word
+        a[1] |= r.shift_or << 62 * r.word
+    present = lambda w, c: sum(1 << k for k, x in enumerate(w) if x == c)
+    assert got == {(w, c): [present(w, c), (1 << len(w)) - 1 - present(w, c)] for w in patterns for c in set(w)}
