@@ -31,6 +31,8 @@ MAX_TOXIC, MAX_OTHER = 6_000, 12_000
 MAX_CANDIDATES, MAX_TERMS = 200_000, 5_000
 MIN_CONTEXTS = 4
 MIN_PRECISION = 0.8
+#: A word near to a term is no misspelling if less than this share of its uses is toxic.
+HARMLESS_SHARE = 0.5
 #: Chance, over all candidates together, that a word of no meaning becomes a term.
 CHANCE = 0.01
 #: Words on either side of a hit that belong to its context.
@@ -205,17 +207,19 @@ class Lexicon:
         return [any(a < starts[k] < b for a, b in spans) for k in at]
 
 
-def _training(docs: DataFrame, labels: DataFrame, fold: int, held_fold: int) -> tuple[DataFrame, DataFrame]:
-    """(toxic, other) labelled documents outside the held fold, a bounded number of each."""
+def _training(docs: DataFrame, labels: DataFrame, fold: int, held_fold: int) -> tuple[DataFrame, DataFrame, tuple[float, float]]:
+    """(toxic, other) labelled documents outside the held fold, a bounded number of each, and how many of the table one of each stands for."""
     own = (
         common.only(labels, "doc_id", "toxic").filter(~held_out(fold, held_fold) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    chosen = [common.sample_by_hash(own.filter((F.col("toxic") == 1) == toxic), "doc_id", most) for toxic, most in ((True, MAX_TOXIC), (False, MAX_OTHER))]
+    classes = [(own.filter((F.col("toxic") == 1) == toxic), most) for toxic, most in ((True, MAX_TOXIC), (False, MAX_OTHER))]
+    chosen = [common.sample_by_hash(rows, "doc_id", most) for rows, most in classes]
+    stands_for = tuple(max(1.0, rows.count() / most) for rows, most in classes)
     ids = chosen[0].union(chosen[1])
     # At most MAX_TOXIC + MAX_OTHER rows of two numbers: small by the bounds above.
     rows = common.only(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
     rows = common.materialize(rows, "toxicity-training")
-    return rows.filter("toxic = 1"), rows.filter("toxic = 0")
+    return rows.filter("toxic = 1"), rows.filter("toxic = 0"), stands_for
 
 
 def held_out(fold: int, held_fold: int):
@@ -230,8 +234,13 @@ def at_least(k: int, n: int, p: float) -> float:
     return sum(math.exp(log - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1))
 
 
-def learn_lexicon(toxic: DataFrame, other: DataFrame) -> Lexicon:
-    """Terms with at least MIN_CONTEXTS contexts in toxic documents, few in others, and that by no chance."""
+def learn_lexicon(toxic: DataFrame, other: DataFrame, stands_for: tuple[float, float] = (1.0, 1.0)) -> Lexicon:
+    """Terms with at least MIN_CONTEXTS contexts in toxic documents, few in others, and that by no chance.
+
+    Precision and weight are those in the table: a use counts as the documents that
+    its own stands for.  The chance is that of the sample, by its own share, since
+    only documents that were read are evidence.
+    """
 
     def contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -267,38 +276,53 @@ def learn_lexicon(toxic: DataFrame, other: DataFrame) -> Lexicon:
     weighed = []
     for w, n in found.items():
         n, m = min(n, within.get(w, 0)), used.get(w, 0)
-        if n >= MIN_CONTEXTS and n / (n + m) >= MIN_PRECISION and at_least(n, n + m, share) <= CHANCE / len(found):
-            weighed.append((math.log((n + 0.5) / (m + 0.5)), w))
+        a, b = n * stands_for[0], m * stands_for[1]
+        if n >= MIN_CONTEXTS and a / (a + b) >= MIN_PRECISION and at_least(n, n + m, share) <= CHANCE / len(found):
+            weighed.append((math.log((a + 0.5) / (b + 0.5)), w))
     weighed.sort(reverse=True)
     return Lexicon({w: v for v, w in weighed[:MAX_TERMS]})
 
 
-def learn_harmless(other: DataFrame, lexicon: Lexicon) -> Lexicon:
-    """Words near to a term that several other documents use: no misspellings."""
+def learn_harmless(toxic: DataFrame, other: DataFrame, lexicon: Lexicon, stands_for: tuple[float, float] = (1.0, 1.0)) -> Lexicon:
+    """Words near to a term whose contexts are mostly those of other documents, several of them: no misspellings.
+
+    A context is the word with the words before and after it, so copies count once;
+    each counts as the documents that its own stands for.
+    """
     shared = other.sparkSession.sparkContext.broadcast(lexicon)
 
     def near(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         own = shared.value
         for batch in rows:
+            found = set()
             for text in batch.column(0).to_pylist():
-                for w in set(words_of(text or "")):
-                    if w not in own.known:
-                        own.known[w] = own.look_up(w)
-                    got = own.known[w]
+                w = ["", *words_of(text or ""), ""]
+                for before, x, after in zip(w, w[1:], w[2:]):
+                    if x not in own.known:
+                        own.known[x] = own.look_up(x)
+                    got = own.known[x]
                     if got and got[1]:
-                        counts[w] += 1
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-
-    rows = other.select("text").mapInArrow(near, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "word").limit(MAX_CANDIDATES)
+                        found.add((x, before, after))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["word", "before", "after"])
+
+    seen = None
+    for k, docs in enumerate((toxic, other)):
+        n = docs.select("text").mapInArrow(near, "word string, before string, after string").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        n = n.select("word", *[(F.col("n") if k == side else F.lit(0).cast("long")).alias(name) for side, name in enumerate(("t", "o"))])
+        seen = n if seen is None else seen.union(n)
+    both = seen.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    a, b = F.col("t") * stands_for[0], F.col("o") * stands_for[1]
+    rows = both.filter((F.col("o") >= 2) & (a < HARMLESS_SHARE * (a + b))).orderBy(F.desc("o"), "word").limit(MAX_CANDIDATES)
     return Lexicon(lexicon.weights, frozenset(r["word"] for r in rows.collect()))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Newton's method with a small ridge; bias first.  Weights of hits are kept from being negative."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, stands_for: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
+    """Newton's method with a small ridge; bias first.  Weights of hits are kept from being negative; rows count as those they stand for."""
     n = len(y)
-    bias = math.log((y.sum() + 0.5) / (n - y.sum() + 0.5)) if n else 0.0
+    c = np.where(y > 0, *stands_for)
+    bias = math.log((c[y > 0].sum() + 0.5) / (c[y <= 0].sum() + 0.5)) if n else 0.0
+    c = c / max(c.sum(), 1e-300)
     w = np.zeros(x.shape[1] + 1)
     w[0] = bias
     if n < 20 or min(y.sum(), n - y.sum()) < 5:
@@ -308,8 +332,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarra
     for _ in range(8):
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            g = a.T @ (p - y) / n + ridge * np.r_[0, w[1:]]
-            h = (a * (p * (1 - p))[:, None]).T @ a / n + np.diag(np.r_[1e-9, np.full(len(w) - 1, ridge)])
+            g = a.T @ (c * (p - y)) + ridge * np.r_[0, w[1:]]
+            h = (a * (c * p * (1 - p))[:, None]).T @ a + np.diag(np.r_[1e-9, np.full(len(w) - 1, ridge)])
             step = np.zeros(len(w))
             step[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
             w = w - np.clip(step, -2, 2)
@@ -354,8 +378,8 @@ def score(docs: DataFrame, labels: DataFrame, *, fold: int = 5, held_fold: int =
 def learn(docs: DataFrame, labels: DataFrame, fold: int, held_fold: int) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and weights (bias first) from labelled documents."""
     spark = docs.sparkSession
-    toxic, other = _training(docs, labels, fold, held_fold)
-    lexicon = learn_harmless(other, learn_lexicon(toxic, other))
+    toxic, other, stands_for = _training(docs, labels, fold, held_fold)
+    lexicon = learn_harmless(toxic, other, learn_lexicon(toxic, other, stands_for), stands_for)
     shared = spark.sparkContext.broadcast(lexicon)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +389,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int, held_fold: int) -> tupl
 
     both = toxic.union(other).select("toxic", "text").mapInArrow(run, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
     rows = np.array([list(map(float, r)) for r in both.collect()]).reshape(-1, len(FEATURES) + 1)
-    return lexicon, fit_logistic(rows[:, 1:], rows[:, 0])
+    return lexicon, fit_logistic(rows[:, 1:], rows[:, 0], stands_for=stands_for)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from stringmill.llm import toxicity as T
 
 ODD = "doc_id long, text string, score string, toxic string"
@@ -74,3 +76,28 @@ def test_held_out_accuracy(spark):
     right = sum(a == b for a, b in y) / len(y)
     print("held-out accuracy", right, [(a, b) for a, b in y if a != b])
     assert right > 0.95
+
+
+def test_sampled_classes_count_as_those_they_stand_for(spark, monkeypatch):
+    """A small sample of many clean documents gives the table's prior, precision and harmless words."""
+    x, y = np.zeros((300, 2)), np.r_[np.ones(100), np.zeros(200)]
+    assert abs(T.fit_logistic(x, y, stands_for=(1.0, 4.0))[0] - np.log(100 / 800)) < 0.02
+    rnd = random.Random(6)
+    text = lambda *w: " ".join(x for v in w for x in (f"w{rnd.randint(0, 900)}", v, f"w{rnd.randint(0, 900)}"))
+    half = [text("halfterm") for _ in range(40)]
+    toxic = spark.createDataFrame([(t,) for t in half + [text("grumblefink") for _ in range(40)]], "text string")
+    other = spark.createDataFrame([(t,) for t in [text("halfterm") for _ in range(8)] + [text("plain") for _ in range(240)]], "text string")
+    assert {"halfterm", "grumblefink"} <= set(T.learn_lexicon(toxic, other).weights)
+    got = T.learn_lexicon(toxic, other, (1.0, 8.0)).weights
+    assert "grumblefink" in got and "halfterm" not in got
+    own = T.Lexicon({"grumblefink": 3.0})
+    near = spark.createDataFrame([(text("grumblefimk"),) for _ in range(9)] + [("w1 grumblefink w2",)], "text string")
+    clean = spark.createDataFrame([(text("grumblefimk"),) for _ in range(2)] + [("w1 grumblefonk w2",)] * 5 + [(text("grumbleking"),) for _ in range(3)], "text string")
+    # Two clean uses among nine toxic ones, and one context copied five times, excuse no misspelling.
+    assert T.learn_harmless(near, clean, own).harmless == {"grumbleking"}
+    assert T.learn_harmless(near, clean, own, (1.0, 8.0)).harmless == {"grumbleking", "grumblefimk"}
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(100)], "doc_id long, toxic int")
+    monkeypatch.setattr(T, "MAX_OTHER", 15)
+    toxic, other, stands_for = T._training(docs, labels, 5, 9)
+    assert toxic.count() == 25 and other.count() == 15 and stands_for == (1.0, 5.0)
