@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 from html import unescape
 
 import numpy as np
@@ -39,10 +39,27 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)""", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_SPACE = re.compile(r"[\s/]*")
+_KEY = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*+=\s*+")
+_BARE = re.compile(r"[^\s>]*")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
+#: Elements whose content is text, and noscript, which counts as one where it is closed.
+_RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in (*RAW, "noscript")}
+_LONG_NUMBER = re.compile(r"&#0*(\d+);?")
+
+
+def decode(raw: str) -> str:
+    """Character references decoded; a number beyond all characters is U+FFFD."""
+    if "&" not in raw:
+        return raw
+    try:
+        return unescape(raw)
+    except ValueError:  # a number too long to be read as one
+        return unescape(_LONG_NUMBER.sub(lambda m: f"&#{m[1]};" if len(m[1]) < 8 else "�", raw))
 
 
 @dataclass(slots=True)
@@ -57,7 +74,7 @@ class Frame:
     children: dict
 
 
-def _child(parent: Frame, tag: str, attributes: str) -> Frame:
+def _child(parent: Frame, tag: str, attributes: str, known: Container[str] | None) -> Frame:
     names = ()
     if attributes:
         names = tuple(sorted({w.lower() for m in _ATTRIBUTE.finditer(attributes) for w in _NAME.findall(m[2] or m[3] or m[4] or "")}))
@@ -66,7 +83,11 @@ def _child(parent: Frame, tag: str, attributes: str) -> Frame:
     if got is None:
         block = tag in BLOCKS
         own = {f"in:{tag}", *(f"name:{w}" for w in names)} if block or names else set()
-        got = Frame(tag, None, parent.features | own, parent.hidden or tag in HIDDEN, parent.link or tag == "a", {})
+        own -= parent.features
+        if known is not None:
+            own = {f for f in own if f in known}
+        # Elements that add nothing share the set of their parent, however deep they lie.
+        got = Frame(tag, None, parent.features | own if own else parent.features, parent.hidden or tag in HIDDEN, parent.link or tag == "a", {})
         got.block = got if block else parent.block
         if len(parent.children) < 500:
             parent.children[key] = got
@@ -90,17 +111,110 @@ class Block:
     link_share: float
 
 
-def leaf_blocks(html: str | None) -> list[Block]:
+class _Tags:
+    """Ends of the tags of a page; the page is passed over once, whatever its quotes."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.unclosed: set[int] = set()  # quotes that open a value and lead to no end of a tag
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose name ends here; -1 if none does.
+
+        A quoted value may hold ``>``.  If a quote is never closed, the next ``>`` ends
+        the tag, so that no text is lost to it.
+        """
+        html = self.html
+        first = html.find(">", at)
+        if first < 0:
+            return -1
+        twos, ones = html.count('"', at, first), html.count("'", at, first)
+        if not (twos or ones) or (twos % 2 == 0 and not ones) or (ones % 2 == 0 and not twos):
+            return first
+        passed = []
+        while True:
+            at = _SPACE.match(html, at).end()
+            if at >= len(html):
+                break
+            if html[at] == ">":
+                return at
+            at = _KEY.match(html, at).end()
+            value = _EQUALS.match(html, at)
+            if not value:
+                continue
+            at = value.end()
+            if html[at : at + 1] not in ('"', "'"):
+                at = _BARE.match(html, at).end()
+                continue
+            passed.append(at)
+            close = -1 if at in self.unclosed else html.find(html[at], at + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.unclosed.update(passed)
+        return first
+
+
+class _Stack:
+    """The open elements, with the places of each tag's, so that none is searched for one by one."""
+
+    def __init__(self):
+        self.frames = [_top]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, frame: Frame) -> None:
+        self.at.setdefault(frame.tag, []).append(len(self.frames))
+        if frame.tag in BLOCKS:
+            self.blocks.append(len(self.frames))
+        self.frames.append(frame)
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of this tag; 0 if there is none."""
+        own = self.at.get(tag)
+        return own[-1] if own else 0
+
+    def cut(self, k: int) -> None:
+        """Close the element at place k and all inside it."""
+        while len(self.frames) > k:
+            tag = self.frames.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag; that of an inline element closes none outside its block."""
+        k = self.last(tag)
+        if k and (tag in BLOCKS or not self.blocks or self.blocks[-1] < k):
+            self.cut(k)
+
+    def make_way(self, tag: str) -> None:
+        """Close what the start tag of a block closes without an end tag."""
+        if tag not in HEAD and self.last("head"):
+            self.cut(self.last("head"))
+        if tag in CLOSES:
+            names, stop = CLOSES[tag]
+            floor = max(map(self.last, stop))
+            while (k := max(map(self.last, names))) > floor:
+                self.cut(k)
+        while self.blocks and self.frames[self.blocks[-1]].tag == "p":
+            self.cut(self.blocks[-1])
+
+
+def leaf_blocks(html: str | None, known: Container[str] | None = None) -> list[Block]:
     """The visible leaf blocks of a page, in page order.
 
     Character references are decoded, white space inside a block becomes one space.
-    Scripts, styles and other hidden elements, comments and markup fall away.
-    Missing end tags are supplied as the HTML standard has them.
+    Scripts, styles and other hidden elements, comments and markup fall away, and so
+    does a tag that the page's end cuts off.  Missing end tags are supplied as the
+    HTML standard has them; elements may lie as deep as they like.  With ``known``,
+    blocks carry only those features of their ancestors.  Time is in proportion to
+    the page's length.
     """
     global _top
     html = html or ""
     out: list[Block] = []
-    stack = [_top]
+    stack, tags = _Stack(), _Tags(html)
     pieces: list[str] = []
     linked = total = 0
     owner: Frame | None = None
@@ -117,9 +231,9 @@ def leaf_blocks(html: str | None) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal linked, total, owner
-        top = stack[-1]
+        top = stack.frames[-1]
         if not top.hidden and raw:
-            text = unescape(raw) if "&" in raw else raw
+            text = decode(raw)
             n = len(text.strip())
             if n and owner is None:
                 owner = top
@@ -127,61 +241,51 @@ def leaf_blocks(html: str | None) -> list[Block]:
             total += n
             linked += n * top.link
 
-    at = 0
+    at, endless = 0, set()  # raw elements that have no end tag from here on
     while True:
-        m = _TAG.search(html, at)
+        m = _OPEN.search(html, at)
         if m is None:
             add(html[at:])
             break
         if m.start() > at:
             add(html[at : m.start()])
         at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        if not m[2]:
+            if html.startswith("--", at) and html[at - 1] == "!":
+                short = next((x for x in (">", "->") if html.startswith(x, at + 2)), None)
+                end = at + 2 + len(short) if short else (c.end() if (c := _COMMENT_END.search(html, at + 2)) else -1)
+            else:
+                end = html.find(">", at - 1) + 1 or -1
+            if end < 0:
+                break
+            at = end
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:
-            k = len(stack) - 1
-            limit = tag not in BLOCKS
-            while k > 0 and stack[k].tag != tag and not (limit and stack[k].tag in BLOCKS):
-                k -= 1
+        tag, end = m[2].lower(), tags.end(at)
+        if end < 0:
+            break
+        attributes, at = html[at:end], end + 1
+        if m[1]:
             if tag in BLOCKS:
                 flush()
-            if k > 0 and stack[k].tag == tag:
-                del stack[k:]
+            stack.close(tag)
             continue
         if tag == "br":
             pieces.append(" ")
             continue
         if tag in BLOCKS:
             flush()
-            if tag not in HEAD and any(f.tag == "head" for f in stack):
-                while stack.pop().tag != "head":
-                    pass
-            names, stop = CLOSES.get(tag, ((), ()))
-            for k in range(len(stack) - 1, 0, -1):
-                t = stack[k].tag
-                if t in stop:
-                    break
-                if t in names or t == "p":
-                    del stack[k:]
-                    if t != "p":
-                        break
-                elif t in BLOCKS and t != tag and not names:
-                    break
+            stack.make_way(tag)
         if tag in VOID:
             continue
-        frame = _child(stack[-1], tag, m[3] or m[6] or "")
-        if tag in RAW:
-            end = _RAW_END[tag].search(html, at)
-            at = end.start() if end else len(html)
-            if end:
-                close = html.find(">", at)
-                at = close + 1 if close >= 0 else len(html)
-            continue
-        stack.append(frame)
-        if len(stack) > 400:  # nested beyond all sense: deeper elements count as their ancestor
-            stack.pop()
+        if tag in _RAW_END:
+            closing = None if tag in endless else _RAW_END[tag].search(html, at)
+            if closing:
+                at = html.find(">", closing.start()) + 1 or len(html)
+                continue
+            endless.add(tag)
+            if tag in RAW:
+                break
+        stack.push(_child(stack.frames[-1], tag, attributes, known))
     flush()
     return out
 
@@ -223,6 +327,11 @@ class Field:
     step: list[list[float]]
     start: list[float]
 
+    @cached_property
+    def known(self) -> Container[str]:
+        """Features of ancestors that make a difference; a block has no more of them than these."""
+        return self.weights.keys() | {"in:article", "in:main"}
+
     def decode(self, blocks: list[Block]) -> list[bool]:
         """Viterbi: the labels of the best sequence."""
         get = self.weights.get
@@ -246,7 +355,7 @@ class Field:
 
     def extract(self, html: str | None) -> str:
         """Main text: the content blocks, joined by an empty line."""
-        blocks = leaf_blocks(html)
+        blocks = leaf_blocks(html, self.known)
         return "\n\n".join(b.text for b, keep in zip(blocks, self.decode(blocks)) if keep)
 
 

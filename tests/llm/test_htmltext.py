@@ -1,5 +1,6 @@
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -85,3 +86,39 @@ def test_query_against_the_article_elements(spark, sf_dir):
     for r in got:
         own = re.search("<article>(.*?)</article>", pages[r.page_id].html, re.S)[1]
         assert r.text == "\n\n".join(texts(own)) and r.url == pages[r.page_id].url
+
+
+@pytest.mark.parametrize("inner", ["<div>", "<b>", "<div class='deep{k} x'>", "<tr><td>", "<li>", "<dt>", "<section><p>"])
+def test_depth_changes_nothing(field, inner):
+    article = "<article><h1>A title</h1><p>First paragraph of the article, which is long enough to be one.</p><noscript><p>no script here</p></noscript><p>Second one, with <b>bold</b> words and a point.</p></article>"
+    wanted = field.extract("".join(inner.format(k=k) for k in range(10)) + article)
+    assert "First paragraph" in wanted and "Second one" in wanted and "no script" not in wanted
+    assert field.extract("".join(inner.format(k=k) for k in range(10_000)) + article) == wanted
+
+
+UNITS = {
+    "open tags": "<a ", "open quotes": '<a x="', "stray quotes": '<a ">', "quoted ends": """<b x=">" """, "deep": "<div>", "deep inline": "<i>", "end tags": "</p>",
+    "both quotes": """<a x='" y="'>""", "comments": "<!--x", "bogus": "<!", "ends": "</", "raw": "<script>", "noscript": "<noscript>", "named": "<div class='n{k}'>x",
+    "equals": "<a = = ", "spaces": "<a      ", "references": "&#1", "ampersands": "&amp", "rows": "<tr><td>x", "mixed": "<div><b></i></div></b>", "paragraphs": "<p><b>x",
+}
+
+
+@pytest.mark.parametrize("name", UNITS)
+def test_a_megabyte_of_anything_takes_seconds(field, name):
+    unit = UNITS[name]
+    n = (1 << 20) // len(unit)
+    html = "".join(unit.format(k=k) for k in range(n)) if "{k}" in unit else unit * n
+    for tail in ("", "'", "' \"", "></div><p>x</p>"):
+        began = time.process_time()
+        field.extract(html + tail)
+        assert time.process_time() - began < 6, (name, tail)
+
+
+def test_tags_of_odd_forms():
+    assert texts("<p a='x>y' b=\"1>2\">q</p>") == ["q"] and texts("<p don't>q</p>r") == ["q", "r"]
+    assert texts('<p title="never closed>kept</p><p>also') == ["kept", "also"]
+    assert texts("a<!-->b<!--->c<!-- d -->e<!-- f --!>g") == ["abceg"]
+    assert texts("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == ["a", "b", "c", "d"]
+    assert texts("text before <a hre") == ["text before"]
+    assert texts("x&#" + "9" * 6000 + ";y&#" + "0" * 6000 + "65;") == ["x�yA"]
+    assert texts("<head><noscript><div>no</div></noscript><p>yes") == ["yes"]
