@@ -17,11 +17,14 @@ _SETTING = "spark.checkpoint.dir"
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as
-    in local tests, a temporary folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    temporary folder serves a session whose executors are the driver itself; any
+    other gets an error, since its executors would write to their own disks.
     """
     root = spark.conf.get(_SETTING, None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{_SETTING} must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stringmill-")
         spark.conf.set(_SETTING, root)
     return root.rstrip("/")
@@ -32,23 +35,45 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_marked: set[str] = set()
+
+
 def _own(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/stringmill/{spark.sparkContext.applicationId}"
+    """This application's folder; the file system deletes it when the driver's JVM ends."""
+    own = f"{shared_root(spark)}/stringmill/{spark.sparkContext.applicationId}"
+    if own not in _marked:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _marked.add(own)
+    return own
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 
-    Cuts the lineage: a lost executor later costs a re-read, not a re-run.
+    Cuts the lineage: a lost executor later costs a re-read, not a re-run.  Columns
+    are written under numbers, so their names may be any, and may clash.
     """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    plain = numbered(df)
+    plain.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    out.scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for frames that nothing will read again."""
+    for f in frames:
+        remove(f.sparkSession, f.scratch_path)
 
 
 def remove_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables and files; frames not yet written that read them are lost."""
     remove(spark, _own(spark))
+    _marked.clear()
 
 
 def remove(spark: SparkSession, uri: str) -> None:
@@ -81,13 +106,25 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def place(df: DataFrame, name: str) -> int:
+    """Number of the column of this name: the first that has it exactly, else the first but for case."""
+    names = list(df.columns)
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same frame with columns c0, c1, ...: no names that could clash."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """These columns alone, found by their exact names; extra columns fall away.
+    """These columns alone, whatever others there are (TEXT beside text, say).
 
     Every operator that hands texts to Python begins here, so batches are bounded here.
     """
     bound_batches(df.sparkSession)
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    plain = numbered(df)
+    return plain.select(*[F.col(f"c{place(df, n)}").alias(n) for n in names])
 
 
 def salt(of: Column, buckets: int) -> Column:

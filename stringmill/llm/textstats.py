@@ -74,7 +74,7 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     Null text: all counts 0.  Repeated rows stay.  Other columns fall away, so none
     can clash with a count.
     """
-    fields = [docs.schema[k] for k in keep]
+    fields = list(common.only(docs, *keep).schema)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{c} long" for c in COUNTS)])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

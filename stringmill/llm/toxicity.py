@@ -27,8 +27,6 @@ from . import common
 
 #: Bounds of the labelled documents that lexicon and model are learned from.
 MAX_TOXIC, MAX_OTHER = 6_000, 12_000
-#: Bound of the terms that are weighed as candidates, and of the lexicon.
-MAX_CANDIDATES, MAX_TERMS = 200_000, 5_000
 MIN_CONTEXTS = 4
 MIN_PRECISION = 0.8
 #: A word near to a term is no misspelling if less than this share of its uses is toxic.
@@ -44,6 +42,7 @@ MAX_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W_]+", re.UNICODE)
 _QUOTES = '"“”«»„'
+_MARK_OR_WORD = re.compile(rf"([^\W_]+)|[{_QUOTES}\n]")
 
 
 def words_of(text: str) -> list[str]:
@@ -168,7 +167,8 @@ class Lexicon:
         known = self.known
         if len(known) > MAX_WORDS:
             known.clear()
-        words = words_of(text or "")
+        text = (text or "").lower()  # words and quotation marks are both found here, since lower case may be longer
+        words = _WORD.findall(text)
         new = set(words).difference(known)
         for w in new:
             known[w] = self.look_up(w)
@@ -196,19 +196,31 @@ class Lexicon:
         return [math.log1p(v) for v in out]
 
     def _quoted(self, text: str, at: list[int]) -> list[bool]:
-        """Whether the words of these numbers stand between quotation marks of one line."""
+        """Whether the words of these ascending numbers stand between quotation marks of one line of a lower-case text."""
         if not any(q in text for q in _QUOTES):
             return [False] * len(at)
-        spans = []
-        for line in re.finditer(r"[^\n]+", text):
-            marks = [m.start() + line.start() for m in re.finditer(f"[{_QUOTES}]", line.group())]
-            spans += list(zip(marks[::2], marks[1::2]))
-        starts = [m.start() for m in _WORD.finditer(text.lower())]
-        return [any(a < starts[k] < b for a, b in spans) for k in at]
-
-
-def _training(docs: DataFrame, labels: DataFrame, fold: int, held_fold: int) -> tuple[DataFrame, DataFrame, tuple[float, float]]:
-    """(toxic, other) labelled documents outside the held fold, a bounded number of each, and how many of the table one of each stands for."""
+        # In the order of the text: line ends, marks, and the words asked for.
+        out, wanted, k, quoted, pending = [], iter([*at, -1]), 0, False, 0
+        following = next(wanted)
+        for m in _MARK_OR_WORD.finditer(text):
+            if m[1]:
+                if k == following:
+                    out.append(False)  # quoted only if the mark before it is closed on this line
+                    pending += quoted
+                    following = next(wanted)
+                k += 1
+            elif m[0] == "\n":
+                quoted, pending = False, 0
+            elif quoted:
+                out[len(out) - pending :] = [True] * pending
+                quoted, pending = False, 0
+            else:
+                quoted = True
+        return out
+
+
+def _training(docs: DataFrame, labels: DataFrame, fold: int, held_fold: int) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
+    """Labelled documents outside the held fold, a bounded number of each class; the toxic ones, the others; how many of the table one of each stands for."""
     own = (
         common.only(labels, "doc_id", "toxic").filter(~held_out(fold, held_fold) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
@@ -217,9 +229,9 @@ def _training(docs: DataFrame, labels: DataFrame, fold: int, held_fold: int) ->
     stands_for = tuple(max(1.0, rows.count() / most) for rows, most in classes)
     ids = chosen[0].union(chosen[1])
     # At most MAX_TOXIC + MAX_OTHER rows of two numbers: small by the bounds above.
-    rows = common.only(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    rows = common.only(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
     rows = common.materialize(rows, "toxicity-training")
-    return rows.filter("toxic = 1"), rows.filter("toxic = 0"), stands_for
+    return rows, rows.filter("toxic = 1"), rows.filter("toxic = 0"), stands_for
 
 
 def held_out(fold: int, held_fold: int):
@@ -255,32 +267,39 @@ def learn_lexicon(toxic: DataFrame, other: DataFrame, stands_for: tuple[float, f
 
     sides = toxic.select("text").mapInArrow(contexts, "word string, neighbour string, after boolean").filter("word != ''").distinct().groupBy("word", "after").agg(F.count(F.lit(1)).alias("n"))
     # The fewer of the different words before it and after it.
-    seen = sides.groupBy("word").agg(F.min("n").alias("n"))
-    found = {r["word"]: r["n"] for r in seen.filter(F.col("n") >= MIN_CONTEXTS).orderBy(F.desc("n"), "word").limit(MAX_CANDIDATES).collect()}
-    if not found:
-        return Lexicon({})
-    candidates = other.sparkSession.sparkContext.broadcast(frozenset(found))
+    seen = common.materialize(sides.groupBy("word").agg(F.min("n").alias("n")).filter(F.col("n") >= MIN_CONTEXTS), "toxicity-candidates")
 
     def uses(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in rows:
             for text in batch.column(0).to_pylist():
-                counts.update(candidates.value.intersection(words_of(text or "")))
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-
-    # At most MAX_CANDIDATES rows each.
-    used, within = ({r["word"]: r["n"] for r in docs.select("text").mapInArrow(uses, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()} for docs in (other, toxic))
-    sizes = toxic.count(), other.count()
+                counts.update(words_of(text or ""))
+            if len(counts) > MAX_WORDS:
+                yield _counted(counts)
+                counts = Counter()
+        yield _counted(counts)
+
+    # All words are counted, and candidates are judged where their counts meet: none is left out for their number.
+    used, within = (docs.select("text").mapInArrow(uses, "word string, n long").groupBy("word").agg(F.sum("n").alias(name)) for docs, name in ((other, "m"), (toxic, "t")))
+    sizes, candidates = (toxic.count(), other.count()), seen.count()
     share = sizes[0] / max(1, sum(sizes))
-    weighed = []
-    for w, n in found.items():
-        n, m = min(n, within.get(w, 0)), used.get(w, 0)
-        a, b = n * stands_for[0], m * stands_for[1]
-        if n >= MIN_CONTEXTS and a / (a + b) >= MIN_PRECISION and at_least(n, n + m, share) <= CHANCE / len(found):
-            weighed.append((math.log((a + 0.5) / (b + 0.5)), w))
-    weighed.sort(reverse=True)
-    return Lexicon({w: v for v, w in weighed[:MAX_TERMS]})
+    n, m = F.least("n", F.coalesce("t", F.lit(0))), F.coalesce("m", F.lit(0))
+    likely = seen.join(within, "word", "left").join(used, "word", "left").select("word", n.alias("n"), m.alias("m"))
+    a, b = F.col("n") * stands_for[0], F.col("m") * stands_for[1]
+    likely = likely.filter((F.col("n") >= MIN_CONTEXTS) & (a >= MIN_PRECISION * (a + b)))
+
+    def no_chance(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            yield batch.filter(pa.array([at_least(n, n + m, share) <= CHANCE / candidates for n, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], pa.bool_()))
+
+    # The lexicon: words that the bounded sample uses in MIN_CONTEXTS contexts or more, and that pass both tests.
+    terms = likely.mapInArrow(no_chance, likely.schema).collect()
+    common.discard(seen)
+    return Lexicon({r.word: math.log((r.n * stands_for[0] + 0.5) / (r.m * stands_for[1] + 0.5)) for r in sorted(terms)})
+
+
+def _counted(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
 
 def learn_harmless(toxic: DataFrame, other: DataFrame, lexicon: Lexicon, stands_for: tuple[float, float] = (1.0, 1.0)) -> Lexicon:
@@ -313,7 +332,8 @@ def learn_harmless(toxic: DataFrame, other: DataFrame, lexicon: Lexicon, stands_
         seen = n if seen is None else seen.union(n)
     both = seen.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     a, b = F.col("t") * stands_for[0], F.col("o") * stands_for[1]
-    rows = both.filter((F.col("o") >= 2) & (a < HARMLESS_SHARE * (a + b))).orderBy(F.desc("o"), "word").limit(MAX_CANDIDATES)
+    rows = both.filter((F.col("o") >= 2) & (a < HARMLESS_SHARE * (a + b)))
+    # Few: words of the bounded sample within an edit or two of a term.
     return Lexicon(lexicon.weights, frozenset(r["word"] for r in rows.collect()))
 
 
@@ -353,11 +373,13 @@ def score(docs: DataFrame, labels: DataFrame, *, fold: int = 5, held_fold: int =
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic.  Learns only from
     labels of documents with crc32(doc_id as text) mod ``fold`` other than
-    ``held_fold``.
+    ``held_fold``, at most ``MAX_TOXIC`` toxic and ``MAX_OTHER`` other ones (those
+    with the smallest hashes of doc_id), each counted as the documents it stands for.
 
     Null or empty text: no hits.  Null doc_id: scored, not held out, never
-    labelled.  Repeated rows: each is scored.  Several labels of one document: the
-    highest counts.  No labels: every score is that of the prior, 0.5.  Empty table: no rows.
+    labelled.  Repeated rows: each is scored; of rows that repeat a labelled doc_id
+    the least text is learned from.  Several labels of one document: the highest
+    counts.  No labels: every score is that of the prior, 0.5.  Empty table: no rows.
     Other columns are ignored.  Texts are read whole, a batch at a time.
     """
     spark = docs.sparkSession
@@ -378,7 +400,7 @@ def score(docs: DataFrame, labels: DataFrame, *, fold: int = 5, held_fold: int =
 def learn(docs: DataFrame, labels: DataFrame, fold: int, held_fold: int) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and weights (bias first) from labelled documents."""
     spark = docs.sparkSession
-    toxic, other, stands_for = _training(docs, labels, fold, held_fold)
+    chosen, toxic, other, stands_for = _training(docs, labels, fold, held_fold)
     lexicon = learn_harmless(toxic, other, learn_lexicon(toxic, other, stands_for), stands_for)
     shared = spark.sparkContext.broadcast(lexicon)
 
@@ -389,16 +411,23 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int, held_fold: int) -> tupl
 
     both = toxic.union(other).select("toxic", "text").mapInArrow(run, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
     rows = np.array([list(map(float, r)) for r in both.collect()]).reshape(-1, len(FEATURES) + 1)
+    common.discard(chosen)
     return lexicon, fit_logistic(rows[:, 1:], rows[:, 0], stands_for=stands_for)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose score is under 0.5; all their columns, none added."""
+    """The rows of docs whose score is under 0.5; all their columns, none added.
+
+    Null or empty texts have no hits and stay.  Repeated rows: each is judged.  A
+    score of 0.5 goes.  Empty table: no rows.  Extra columns pass through, whatever
+    their names.  What is learned, and from what, is as in ``score``.
+    """
     spark = docs.sparkSession
     lexicon, w = learn(docs, labels, 5, 0)
     shared = spark.sparkContext.broadcast((lexicon, w))
-    at = docs.columns.index("text")
+    at, names = common.place(docs, "text"), docs.columns
     common.bound_batches(spark)
+    plain = common.numbered(docs)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weights = shared.value
@@ -406,7 +435,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = np.array([own.features(t) for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(weights[0] + x @ weights[1:] < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
