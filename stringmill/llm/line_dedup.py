@@ -1,10 +1,12 @@
 """Lines that are boilerplate of their site are dropped.
 
 For each site and line, the pages with the line are divided by the site's pages; a
-line above ``RATIO`` on at least ``MIN_PAGES`` pages is boilerplate there and is
-dropped from the site's pages.  Pages of the same whole text count as one, above
-and below the line: a page that was copied often does not become boilerplate.
-Everything is column expressions; texts are never collected in one place.
+line above ``RATIO`` is boilerplate there and is dropped from the site's pages.  A
+line on a single page is no repetition, however few pages its site has
+(``MIN_PAGES``).  With ``distinct``, pages of the same whole text count as one, above
+and below the line, so that a page that was copied often does not become
+boilerplate of its site.  Everything is column expressions; texts are never
+collected in one place.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from . import common
 
 RATIO = 0.02
-MIN_PAGES = 4
+MIN_PAGES = 2
 #: So many boilerplate lines (16 bytes each) are broadcast at most; beyond, texts meet them by a shuffled join.
 BROADCAST_LINES = 100_000
 
@@ -26,22 +28,29 @@ def _lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def boilerplate(docs: DataFrame, site: str, ratio: float, min_pages: int) -> DataFrame:
+def _site(docs: DataFrame, site: str):
+    return F.xxhash64(F.col(f"c{common.place(docs, site)}")).alias("_site")
+
+
+def boilerplate(docs: DataFrame, site: str, ratio: float, min_pages: int, distinct: bool) -> DataFrame:
     """(_site, _line): hashes of the lines that are boilerplate, by hash of the site.
 
     A site has at most (lines a page) / ratio of them.  Counts are combined before
     each shuffle, so a line of a third of all pages is one number a task.
     """
-    pages = docs.select(F.xxhash64(F.col(f"`{site}`")).alias("_site"), F.xxhash64("text").alias("_page"), F.col("text").alias("_text"))
-    lines = (
-        pages.select("_site", "_page", F.explode(F.array_distinct(F.filter(_lines(F.col("_text")), lambda x: x.rlike(_HAS_WORD)))).alias("_l"))
-        .select("_site", F.xxhash64("_l").alias("_line"), "_page").distinct().groupBy("_site", "_line").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_pages)
-    )
-    total = pages.select("_site", "_page").distinct().groupBy("_site").agg(F.count(F.lit(1)).alias("_total"))
+    text = F.col(f"c{common.place(docs, 'text')}")
+    pages = common.numbered(docs).select(_site(docs, site), F.xxhash64(text).alias("_page"), text.alias("_text"))
+    own = F.explode(F.array_distinct(F.filter(_lines(F.col("_text")), lambda x: x.rlike(_HAS_WORD)))).alias("_l")
+    lines = pages.select("_site", "_page", own).select("_site", F.xxhash64("_l").alias("_line"), "_page")
+    pages = pages.select("_site", "_page")
+    if distinct:
+        lines, pages = lines.distinct(), pages.distinct()
+    lines = lines.groupBy("_site", "_line").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_pages)
+    total = pages.groupBy("_site").agg(F.count(F.lit(1)).alias("_total"))
     return lines.join(total, "_site").filter(F.col("_n") > ratio * F.col("_total")).select("_site", "_line")
 
 
-def drop_boilerplate(docs: DataFrame, *, site: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, *, site: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False, counts: bool = False) -> DataFrame:
     """docs without the boilerplate lines of their sites; ``n_chars``, if there is one, follows the text.
 
     With ``counts``, the lines of each page (``n_lines``) and those dropped
@@ -50,29 +59,36 @@ def drop_boilerplate(docs: DataFrame, *, site: str = "source", ratio: float = RA
 
     Null text: stays null, counts as a page without lines.  Null site: a site of
     its own.  A page all of whose lines go has empty text.  Lines without a word
-    are never counted nor dropped.  Repeated rows: each stays.  Empty table: no
-    rows.  Extra columns pass through whatever their names.
+    are never counted nor dropped.  Ties: a share equal to ``ratio`` stays.  Repeated
+    rows: each is a page and stays.  Empty table: no rows.  Very long texts are
+    split where they lie.  Extra columns pass through whatever their names.
     """
-    bad = common.materialize(boilerplate(docs, site, ratio, min_pages), "boilerplate")
+    bad = common.materialize(boilerplate(docs, site, ratio, min_pages, distinct), "boilerplate")
     n = bad.limit(BROADCAST_LINES + 1).count()
     by_site = bad.groupBy("_site").agg(F.collect_list("_line").alias("_bad"))
-    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col(f"`{site}`")).alias("_site"))
-    # Beyond the broadcast's bound Spark splits a site that holds much of the pages.
-    met = rows.join(F.broadcast(by_site) if n <= BROADCAST_LINES else by_site, "_site", "left")
-    lines = _lines(F.col("_row.text"))
+    rows = common.numbered(docs).select(F.struct("*").alias("_row"), _site(docs, site))
+    if n <= BROADCAST_LINES:
+        met = rows.join(F.broadcast(by_site), "_site", "left")
+    else:
+        # A site may hold a third of the pages: its rows meet its lines in many places, dealt by all that can be hashed.
+        spread = [F.col(f"_row.c{k}") for k, f in enumerate(docs.schema.fields) if "map<" not in f.dataType.simpleString()]
+        met = common.attach(rows.withColumn("_spread", F.xxhash64(*spread)), "_site", "_spread", by_site, how="left")
+    at = common.place(docs, "text")
+    own_text = F.col(f"_row.c{at}")
+    lines = _lines(own_text)
     kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~(F.array_contains(F.col("_bad"), F.xxhash64(x)) & x.rlike(_HAS_WORD))))
-    text = F.when(F.col("_row.text").isNotNull(), F.array_join(kept, "\n"))
+    text = F.when(own_text.isNotNull(), F.array_join(kept, "\n"))
     met = met.select("_row", "_bad", text.alias("_text"), lines.alias("_lines") if counts else F.lit(None).alias("_lines"))
     out = []
-    for f in docs.schema.fields:
-        own = F.col(f"_row.`{f.name}`")
-        if f.name == "text":
+    for k, f in enumerate(docs.schema.fields):
+        own = F.col(f"_row.c{k}")
+        if k == at:
             own = F.col("_text")
         elif f.name == "n_chars":
             own = F.length("_text").cast(f.dataType)
         out.append(own.alias(f.name))
     if counts:
-        had = F.when(F.coalesce(F.col("_row.text"), F.lit("")) == "", F.lit(0)).otherwise(F.size("_lines"))
+        had = F.when(F.coalesce(own_text, F.lit("")) == "", F.lit(0)).otherwise(F.size("_lines"))
         out += [had.cast("long").alias("n_lines"), F.size(F.filter("_lines", lambda x: F.coalesce(F.array_contains(F.col("_bad"), F.xxhash64(x)), F.lit(False)) & x.rlike(_HAS_WORD))).cast("long").alias("n_dropped")]
     return met.select(*out)
 
@@ -84,10 +100,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH pages AS (SELECT DISTINCT source, text FROM documents),
-lines AS (SELECT DISTINCT source, text, unnest(string_split(text, chr(10))) AS line FROM pages),
+WITH lines AS (SELECT DISTINCT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
 counted AS (SELECT source, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY source, line),
-totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
+totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 bad AS (SELECT c.source, c.line FROM counted c JOIN totals t ON c.source = t.source WHERE c.n >= {MIN_PAGES} AND c.n > {RATIO} * t.total),
 numbered AS (
   SELECT d.doc_id, d.source, unnest(string_split(d.text, chr(10))) AS line, generate_subscripts(string_split(d.text, chr(10)), 1) AS k, d.text = '' AS nothing

@@ -9,8 +9,10 @@ from stringmill.llm import line_dedup as L
 ODD = "doc_id long, text string, source string, n_chars int, _site string, _row string, _bad int"
 
 
-def brute(rows, ratio=L.RATIO, least=L.MIN_PAGES):
-    pages = {(s, t) for _, t, s in rows}
+def brute(rows, ratio=L.RATIO, least=L.MIN_PAGES, distinct=False):
+    pages = [(s, t) for _, t, s in rows]
+    if distinct:
+        pages = set(pages)
     total = Counter(s for s, _ in pages)
     count = defaultdict(int)
     for s, t in pages:
@@ -34,12 +36,12 @@ def test_against_brute_force(spark, monkeypatch):
     rows += [(1000 + k, "copied page\nof two lines", "a") for k in range(100)]
     rows += [(2000, None, "a"), (2001, None, None), (None, "", "b"), (5, "x", "b"), (5, "x", "b"), (6, "Menu | Home\n" + "long " * 50_000, "a")]
     docs = spark.createDataFrame([(*r, len(r[1] or ""), "s", "r", 1) for r in rows], ODD).repartition(4)
-    for most in (L.BROADCAST_LINES, 0):
+    for most, distinct in ((L.BROADCAST_LINES, False), (0, False), (L.BROADCAST_LINES, True)):
         monkeypatch.setattr(L, "BROADCAST_LINES", most)
-        got = L.drop_boilerplate(docs)
+        got = L.drop_boilerplate(docs, distinct=distinct)
         assert got.schema.names == docs.schema.names
         got = got.collect()
-        assert Counter((r.doc_id, r.text) for r in got) == Counter(brute(rows))
+        assert Counter((r.doc_id, r.text) for r in got) == Counter(brute(rows, distinct=distinct))
         assert all(r.n_chars == (None if r.text is None else len(r.text)) and (r._site, r._row, r._bad) == ("s", "r", 1) for r in got)
     assert L.drop_boilerplate(docs.limit(0)).collect() == []
 
