@@ -1,8 +1,13 @@
+import math
 import random
 import re
+from collections import Counter
+from fractions import Fraction
 
 from stringmill.llm import quality_rules, textstats
 
+Q = quality_rules
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = "doc_id long, text string, lang string, n_words string, kept int"
 
@@ -72,3 +77,67 @@ def test_bound_holds_and_junk_goes(spark):
     good = [r.kept for r in got if r.doc_id % 6]
     assert sum(good) / len(good) >= 1 - quality_rules.RISK
     assert not any(r.kept for r in got if not r.doc_id % 6)
+
+
+def test_small_strata_are_merged():
+    need = lambda n: 100 * n
+    assert Q.merge_strata({"a": 500, "b": 450, "c": 500}, need) == [["b"], ["a"], ["c"]]
+    assert Q.merge_strata({"a": 900, "b": 10, "c": 50}, need) == [["a", "b", "c"]]
+    assert Q.merge_strata({"a": 900, "b": 150, "c": 90}, need) == [["b", "c"], ["a"]]
+    assert Q.merge_strata({"a": 5}, need) == [["a"]] and Q.merge_strata({}, need) == []
+    assert Q.labels_needed("symbol_share", 1) == 303 and Q.labels_needed("symbol_share", 4) == 429
+    assert (Q.labels_needed("upper_share", 1), Q.labels_needed("upper_share", 4)) == (1763, 2224)
+
+
+def verdicts(rows, good):
+    """kept by doc_id, from plain counts, by the definition: ``rows`` has (doc_id, text, lang), ``good`` the ids of good labels."""
+    share = lambda a, b: a / b if b else 0.0
+    stats, failed = {}, {}
+    for d, text, lang in rows:
+        n_words, chars, symbols, dup, repeat = textstats.measure(text)[:5]
+        raw = text or ""
+        lines = sum(bool(WORD.search(x)) for x in raw.split("\n"))
+        up, letters = len(re.findall("[A-Z]", raw)), len(re.findall("[A-Za-z]", raw))
+        stats[d] = lang, {"symbol_share": share(symbols, chars), "repeat_share": share(repeat, n_words), "dup_line_share": share(dup, lines), "upper_share": share(up, letters)}
+        failed[d] = n_words < 50 or 100 * repeat > 50 * n_words
+    labelled = [d for d in good if d in stats and not failed[d]]
+    groups = sorted(([n, [s]] for s, n in Counter(stats[d][0] for d in labelled).items()), key=lambda g: (g[0], g[1][0]))
+    while len(groups) > 1 and groups[0][0] < Q.labels_needed("symbol_share", len(groups)):
+        groups = sorted([[groups[0][0] + groups[1][0], sorted(groups[0][1] + groups[1][1])], *groups[2:]])
+    kept, fired = {d: not failed[d] for d in stats}, 0
+    for _, names in groups:
+        own = [stats[d][1] for d in labelled if stats[d][0] in names]
+        for rule, grid in Q.GRIDS.items():
+            p, level, best = Fraction(Q.RISK * Q.SHARES[rule]), Q.DELTA * Q.WEIGHTS[rule] / len(groups), None
+            for cutoff in grid:
+                k, n = sum(x[rule] > cutoff for x in own), len(own)
+                if float(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) > level:
+                    break
+                best = cutoff
+            for d, (lang, x) in stats.items():
+                if best is not None and lang in names and x[rule] > best:
+                    fired += kept[d]
+                    kept[d] = False
+    return kept, fired
+
+
+def test_kept_against_the_definition(spark):
+    """Rules fire on sf0.01 (its languages are merged), and every verdict is that of the definition."""
+    sf_dir = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    good = [r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").collect()]
+    want, fired = verdicts(rows, good)
+    assert fired > 0
+    assert {r.doc_id: r.kept for r in Q.op7_quality_rules(spark, sf_dir).collect()} == want
+
+
+def test_null_stratum_is_apart(spark):
+    """The null stratum's good documents have marks, those of the empty string none: a rule may reject marks only there."""
+    rows, labels = [], []
+    for k in range(2400):
+        lang = None if k % 2 else ""
+        rows.append((k, " ".join(f"w{k}x{j}" + ("##" if lang is None and j % 3 == 0 else "") for j in range(60)), lang, "", 0))
+        labels.append((k, 1, 0))
+    rows.append((9999, " ".join(f"z{j}##" for j in range(60)), "", "", 0))
+    got = {r.doc_id: r.kept for r in Q.judge(spark.createDataFrame(rows, ODD), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert not got[9999] and all(got[k] for k in range(2400))
