@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common, wordbpe
 
@@ -250,7 +251,7 @@ def write_token_ids(docs: DataFrame, out_dir: str, *, vocabulary: str | None = N
     shuffled, once, by range of doc_id; ids go from the task to its file.
 
     Null or empty text: no ids but ``end_id``.  Null doc_id: before all others.
-    Repeated doc_id: all rows are kept, in the order of their texts.  Empty table:
+    Repeated doc_id: all rows are kept, in the order of their texts' hashes.  Empty table:
     no shards.  Other columns of ``docs`` are ignored.  A task that runs again
     writes a new file; the manifest names only the file of the run that counted.
     """
@@ -274,7 +275,9 @@ def write_token_ids(docs: DataFrame, out_dir: str, *, vocabulary: str | None = N
             uri = f"{out_dir}/{out.path.rpartition('/')[2]}"
             yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "path": [uri], "n_docs": [len(out.doc_ids)], "n_tokens": [out.n_ids]})
 
-    ordered = common.only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # A doc_id may be that of many rows, or null: ranges part its rows by their texts.
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = common.only(docs, "doc_id", "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     # One row a task: the list is as long as the number of shards.
     shards = sorted(ordered.mapInArrow(write, SHARD_SCHEMA).collect(), key=lambda r: r["task"])
     rows, start = [], 0
