@@ -218,11 +218,13 @@ def components(links: DataFrame) -> DataFrame:
         before = state
         both = forest.union(forest.select(F.col("up").alias("node"), F.col("node").alias("up")))
         least = both.groupBy("node").agg(F.min("up").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = both.filter("up > node").join(least, "node").select(F.col("up").alias("node"), F.col("m").alias("up")).filter("node != up").distinct()
+        # A hub may have a third of all nodes for neighbours: they meet its least one in many places.
+        large = common.attach(both.filter("up > node"), "node", "up", least).select(F.col("up").alias("node"), F.col("m").alias("up")).filter("node != up").distinct()
         large = common.materialize(large, "large-star")
         least = large.groupBy("node").agg(F.min("up").alias("m"))
         small = large.join(least, "node").filter("up != m").select(F.col("up").alias("node"), F.col("m").alias("up")).union(least.select("node", F.col("m").alias("up"))).distinct()
-        forest = common.materialize(small, "small-star")
+        old, forest = forest, common.materialize(small, "small-star")
+        common.discard(old, large)
 
 
 def group(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -255,13 +257,17 @@ def group(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     pairs = buckets.filter("doc != a").filter(similar_sizes("n", "a_n")).select("a", F.col("doc").alias("b")).distinct()
     pairs = common.materialize(pairs, "candidates")
     repeated = common.materialize(again.join(classed.filter("doc_id = rep").select(F.col("doc_id").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "repeated-ids")
-    forest = components(common.materialize(verify(pairs, docs), "links").union(repeated))
+    links = common.materialize(verify(pairs, docs), "links")
+    forest = components(links.union(repeated))
+    common.discard(pairs, links, repeated)
     found = common.materialize(verify_blocks(buckets.select("bucket", "doc", "n"), forest, docs), "links")
     if not found.isEmpty():
-        forest = components(forest.select(F.col("up").alias("a"), F.col("node").alias("b")).union(found))
+        old, forest = forest, components(forest.select(F.col("up").alias("a"), F.col("node").alias("b")).union(found))
+        common.discard(old)
+    common.discard(buckets, found)
 
     rows_in = classed.select("doc_id", "n_shingles", "rep")
-    found = rows_in.join(forest.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("up", "rep").alias("component_id"))
+    found = common.attach(rows_in, "rep", "doc_id", forest.withColumnRenamed("node", "rep"), how="left").select("doc_id", "n_shingles", F.coalesce("up", "rep").alias("component_id"))
     found = found.union(empty)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id")).union(nameless)
 
