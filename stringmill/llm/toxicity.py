@@ -419,11 +419,13 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose score is under 0.5; all their columns, none added.
 
     Null or empty texts have no hits and stay.  Repeated rows: each is judged.  A
-    score of 0.5 goes.  Empty table: no rows.  Extra columns pass through, whatever
+    score of 0.5 goes, but with no terms learned (no labels, say) all rows stay.  Empty table: no rows.  Extra columns pass through, whatever
     their names.  What is learned, and from what, is as in ``score``.
     """
     spark = docs.sparkSession
     lexicon, w = learn(docs, labels, 5, 0)
+    if not lexicon.weights:
+        return docs
     shared = spark.sparkContext.broadcast((lexicon, w))
     at, names = common.place(docs, "text"), docs.columns
     common.bound_batches(spark)

@@ -101,3 +101,26 @@ def test_sampled_classes_count_as_those_they_stand_for(spark, monkeypatch):
     monkeypatch.setattr(T, "MAX_OTHER", 15)
     toxic, other, stands_for = T._training(docs, labels, 5, 9)
     assert toxic.count() == 25 and other.count() == 15 and stands_for == (1.0, 5.0)
+
+
+def test_quotation_survives_letters_that_lower_case_lengthens():
+    lex = T.Lexicon({"scumbag": 3.0})
+    assert lex.features("İ" * 30 + ' said "you scumbag" once')[0] == 0
+    assert lex.features("İ" * 30 + ' said you "scum" scumbag once')[5] == 0
+    assert lex.features('an open "mark scumbag\nno scumbag" here')[5] == 0
+
+
+def test_many_quoted_hits_take_little_time():
+    import time
+
+    lex, began = T.Lexicon({"scumbag": 3.0}), time.process_time()
+    assert lex.features('"scumbag" ' * 200_000)[5] > 0
+    assert time.process_time() - began < 5
+
+
+def test_repeated_rows_teach_the_same(spark):
+    rnd = random.Random(6)
+    rows = [(k % 300, " ".join(rnd.choice(["grumblefink", "apple"] if k % 300 < 100 else ["apple", "pear"]) + f" w{rnd.randint(0, 50)}" for _ in range(30)), "", "") for k in range(900)]
+    labels = spark.createDataFrame([(k, 1, int(k < 100)) for k in range(300)], "doc_id long, quality int, toxic int")
+    scores = [sorted((r.doc_id, r.score) for r in T.score(spark.createDataFrame(r, ODD).repartition(n), labels).collect()) for r, n in ((rows, 1), (rows[::-1], 7))]
+    assert scores[0] == scores[1] and len({s for _, s in scores[0]}) > 1
