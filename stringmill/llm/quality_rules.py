@@ -12,8 +12,8 @@ most ``risk`` of the good documents.
 
 A stratum with too few labels for any cutoff to pass is merged with the next larger
 one, again until there are enough; the guarantee then is that of the merged stratum.
-``labels_needed`` gives the number: 303 good labels with one stratum, 429 with four,
-for the rule with the largest share of the risk, and 1763 or 2224 for the others.  If
+``labels_needed`` gives the number: 304 good labels with one stratum, 429 with four,
+for the rule with the largest share of the risk, and 1764 or 2225 for the others.  If
 all strata together have fewer, there are no rules beyond the base.
 """
 

@@ -85,8 +85,8 @@ def test_small_strata_are_merged():
     assert Q.merge_strata({"a": 900, "b": 10, "c": 50}, need) == [["a", "b", "c"]]
     assert Q.merge_strata({"a": 900, "b": 150, "c": 90}, need) == [["b", "c"], ["a"]]
     assert Q.merge_strata({"a": 5}, need) == [["a"]] and Q.merge_strata({}, need) == []
-    assert Q.labels_needed("symbol_share", 1) == 303 and Q.labels_needed("symbol_share", 4) == 429
-    assert (Q.labels_needed("upper_share", 1), Q.labels_needed("upper_share", 4)) == (1763, 2224)
+    assert Q.labels_needed("symbol_share", 1) == 304 and Q.labels_needed("symbol_share", 4) == 429
+    assert (Q.labels_needed("upper_share", 1), Q.labels_needed("upper_share", 4)) == (1764, 2225)
 
 
 def verdicts(rows, good):

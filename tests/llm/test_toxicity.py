@@ -99,7 +99,7 @@ def test_sampled_classes_count_as_those_they_stand_for(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"t{k}") for k in range(100)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(100)], "doc_id long, toxic int")
     monkeypatch.setattr(T, "MAX_OTHER", 15)
-    toxic, other, stands_for = T._training(docs, labels, 5, 9)
+    _, toxic, other, stands_for = T._training(docs, labels, 5, 9)
     assert toxic.count() == 25 and other.count() == 15 and stands_for == (1.0, 5.0)
 
 
