@@ -18,28 +18,37 @@ from ..functions import text as T
 from . import exact
 
 Hits = list[tuple[int, int]]
+#: Hits that leave a worker at once, but for those of one text.
+HIT_ROWS = 100_000
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
 
-def _search(texts: DataFrame, patterns: DataFrame, hits: Callable[[str, str], Hits], place: str, score: str = "dist") -> DataFrame:
+def _search(texts: DataFrame, patterns: DataFrame, hits: Callable[[str, str], list[tuple]], *names: str) -> DataFrame:
+    """text_id, pattern and the columns that ``hits`` gives for each text and pattern: ``names``, dist unless there are more."""
+    names = names if len(names) > 1 else (*names, "dist")
     kind = texts.schema["text_id"].dataType.simpleString()
     both = exact.pair(texts.select("text_id", "text"), patterns.select("pattern"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, at, cost = [], [], []
+            rows, found = [], []
             for k, (text, pattern) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                for a, c in hits(text or "", pattern or ""):
-                    rows.append(k)
-                    at.append(a)
-                    cost.append(c)
-            own = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(at, pa.int64()), pa.array(cost, pa.int64())], ["text_id", "pattern", place, score])
+                own = hits(text or "", pattern or "")
+                found += own
+                rows += [k] * len(own)
+                if len(rows) > HIT_ROWS:
+                    yield out(batch, rows, found)
+                    rows, found = [], []
+            yield out(batch, rows, found)
 
-    return both.mapInArrow(run, f"text_id {kind}, pattern string, {place} long, {score} long")
+    def out(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
+        own, columns = pa.array(rows, pa.int32()), zip(*found) if found else [()] * len(names)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), *(pa.array(c, pa.int64()) for c in columns)], ["text_id", "pattern", *names])
+
+    return both.mapInArrow(run, f"text_id {kind}, pattern string, " + ", ".join(f"{n} long" for n in names))
 
 
 def mismatches(text: str, pattern: str, most: int) -> Hits:
@@ -59,31 +68,31 @@ def hamming_search(texts: DataFrame, patterns: DataFrame, most: int = 1) -> Data
     return _search(texts, patterns, lambda t, p: mismatches(t, p, most), "pos")
 
 
-def edit_ends(text: str, pattern: str, most: int) -> Hits:
-    """(end, edits) of the ends at which some substring is within ``most`` edits, the fewest of them.
+def _rows(text: np.ndarray, pattern: np.ndarray, first: np.ndarray, left: Callable[[int], int]) -> Iterator[np.ndarray]:
+    """Rows of the edit-distance table, pattern down and text across, below the row ``first``.
 
-    Bit-vector form of the semi-global recurrence: vertical differences of a column
-    in two words, the score followed at the last row.
+    ``left`` gives a row's first cell.  A row is computed as a whole: what comes from
+    the row above cell by cell, what comes from the left as a running minimum, since
+    each step to the right costs one.
     """
-    m = len(pattern)
-    if not m:
+    across, row = np.arange(len(text) + 1), first
+    for j, c in enumerate(pattern, 1):
+        new = np.empty(len(text) + 1, np.int64)
+        new[0] = left(j)
+        new[1:] = np.minimum(row[:-1] + (text != c), row[1:] + 1)
+        row = np.minimum.accumulate(new - across) + across
+        yield row
+
+
+def edit_ends(text: str, pattern: str, most: int) -> Hits:
+    """(end, edits) of the ends at which some substring is within ``most`` edits, the fewest of them."""
+    if not pattern:
         return []
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    masks: dict[str, int] = {}
-    for j, c in enumerate(pattern):
-        masks[c] = masks.get(c, 0) | 1 << j
-    up, down, score, out = full, 0, m, []
-    for i, c in enumerate(text):
-        eq = masks.get(c, 0)
-        diagonal = ((((eq | down) & up) + up) ^ up) | eq | down
-        raised = down | ~(diagonal | up) & full
-        lowered = up & diagonal
-        score += bool(raised & top) - bool(lowered & top)
-        raised, lowered = raised << 1 & full, lowered << 1 & full
-        up, down = (lowered | ~(diagonal | raised)) & full, raised & diagonal
-        if score <= most:
-            out.append((i, score))
-    return out
+    row = np.zeros(len(text) + 1, np.int64)  # a substring may begin anywhere
+    for row in _rows(_codes(text), _codes(pattern), row, lambda j: j):
+        pass
+    at = np.flatnonzero(row[1:] <= most)
+    return list(zip(at.tolist(), row[1 + at].tolist()))
 
 
 def edit_search(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
@@ -91,20 +100,8 @@ def edit_search(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFra
     return _search(texts, patterns, lambda t, p: edit_ends(t, p, most), "end_pos")
 
 
-def edit_windows(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
-    """(text_id, pattern, m, pos, len, dist) of all substrings within ``most`` of the pattern's length."""
-    m = F.length("pattern")
-    both = exact.pair(texts, patterns).filter((m > 0) & (F.length("text") > 0))
-    pieces = T.chunks(both, "text", m + most)
-    starts = pieces.select("text_id", "pattern", m.alias("m"), "chunk", "start", F.explode(F.sequence(F.lit(0), F.least(F.length("chunk"), F.lit(T.CHUNK)).cast("int") - 1)).alias("k"))
-    lengths = F.sequence(F.greatest(F.lit(1), F.col("m") - most), F.col("m") + most)
-    rows = starts.select("*", F.explode(lengths).alias("len")).filter(F.col("k") + F.col("len") <= F.length("chunk"))
-    window = F.substring(F.col("chunk"), F.col("k") + 1, F.col("len"))
-    return rows.select("text_id", "pattern", "m", (F.col("start") + F.col("k")).cast("long").alias("pos"), F.col("len").cast("long").alias("len"), F.levenshtein(window, F.col("pattern")).cast("long").alias("dist"))
-
-
 def edit_starts(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
-    """(text_id, pattern, m, n, pos, all): the same, a row a start; ``all`` holds (len, dist) by length, ``n`` is the text's length."""
+    """(text_id, pattern, m, n, pos, all): a row a start of substrings within ``most`` of the pattern's length; ``all`` holds (len, dist) by length, ``n`` is the text's length."""
     m = F.length("pattern")
     both = exact.pair(texts, patterns).filter((m > 0) & (F.length("text") > 0)).withColumn("n", F.length("text"))
     pieces = T.chunks(both, "text", m + most)
@@ -115,66 +112,86 @@ def edit_starts(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFra
     return starts.filter(room >= least).select("text_id", "pattern", "m", "n", (F.col("start") + F.col("k")).cast("long").alias("pos"), own.alias("all"))
 
 
+def start_distances(text: str, pattern: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths within ``most`` of the pattern's, and a row a length: the edits of the substring of that length at each start.
+
+    All starts go through the table at once.  Cells farther than ``most`` from the
+    diagonal cost more than that; they, and substrings past the text's end, are ``most`` + 1.
+    """
+    n, m, far = len(text), len(pattern), most + 1
+    lengths = np.arange(max(1, m - most), m + most + 1)
+    letters = np.append(_codes(text), np.full(m + most, 0xFFFFFFFF, np.uint32))
+    beyond = np.full(n, far, np.int32)
+    table = {j: np.full(n, min(j, far), np.int32) for j in range(m + most + 1)}
+    for i, c in enumerate(_codes(pattern), 1):
+        above, table = table, {0: np.full(n, min(i, far), np.int32)}
+        for j in range(max(1, i - most), i + most + 1):
+            step = np.minimum(table.get(j - 1, beyond), above.get(j, beyond)) + 1
+            table[j] = np.minimum(step, above.get(j - 1, beyond) + (letters[j - 1 : j - 1 + n] != c))
+    starts = np.arange(n)
+    return lengths, np.stack([np.where(starts + j <= n, np.minimum(table[j], far), far) for j in lengths.tolist()])
+
+
+def greedy_hits(text: str, pattern: str, most: int) -> Hits:
+    """(start, edits) of the best length at each start; then, from the left, none within a pattern's length of the one before."""
+    if not text or not pattern:
+        return []
+    best = start_distances(text, pattern, most)[1].min(axis=0)
+    at, out, k = np.flatnonzero(best <= most), [], 0
+    while k < len(at):
+        out.append((int(at[k]), int(best[at[k]])))
+        k = int(np.searchsorted(at, at[k] + len(pattern)))
+    return out
+
+
 def edit_search_greedy(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
     """(text_id, pattern, pos, dist): the best length at each start, then from the left no start within a pattern's length of the one before."""
-    near = edit_windows(texts, patterns, most).filter(F.col("dist") <= most)
-    best = near.groupBy("text_id", "pattern", "m", "pos").agg(F.min("dist").alias("dist"))
-    ordered = best.groupBy("text_id", "pattern", "m").agg(F.array_sort(F.collect_list(F.struct("pos", "dist"))).alias("all"))
-    taken = F.aggregate(
-        "all",
-        F.struct((-F.col("m")).cast("long").alias("last"), F.array().cast("array<struct<pos:bigint,dist:bigint>>").alias("kept")),
-        lambda a, x: F.when(x["pos"] >= a["last"] + F.col("m"), F.struct(x["pos"].alias("last"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a),
-        lambda a: a["kept"],
-    )
-    return ordered.select("text_id", "pattern", F.inline(taken))
+    return _search(texts, patterns, lambda t, p: greedy_hits(t, p, most), "pos")
+
+
+def first_lengths(text: str, pattern: str, most: int) -> list[tuple[int, int, int]]:
+    """(start, length, edits) of the shortest length within ``most`` at each start."""
+    if not text or not pattern:
+        return []
+    lengths, found = start_distances(text, pattern, most)
+    at = np.flatnonzero((found <= most).any(axis=0))
+    first = (found[:, at] <= most).argmax(axis=0)
+    return list(zip(at.tolist(), lengths[first].tolist(), found[first, at].tolist()))
 
 
 def edit_search_first_length(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
     """(text_id, pattern, pos, len, dist): at each start the shortest length within ``most``; overlaps stay."""
-    good = edit_windows(texts, patterns, most).filter(F.col("dist") <= most)
-    return good.groupBy("text_id", "pattern", "pos").agg(F.min(F.struct("len", "dist")).alias("x")).select("text_id", "pattern", "pos", "x.len", "x.dist")
-
-
-def banded_score(pattern: str, window: str, most: int) -> int | None:
-    """The banded recurrence of ``levenshtein_banded_compat``: global, its left edge open only at the top."""
-    m, n = len(pattern), len(window)
-    if abs(m - n) > most:
-        return None
-    far = most + 1
-    above = {j: j for j in range(min(n, most) + 1)}
-    for i, p in enumerate(pattern, 1):
-        row: dict[int, int] = {}
-        for j in range(max(1, i - most), min(n, i + most) + 1):
-            row[j] = min(row.get(j - 1, far) + 1, above.get(j, far) + 1, above.get(j - 1, far) + (p != window[j - 1]))
-        above = row
-    got = above.get(n, far)
-    return got if got <= most else None
+    return _search(texts, patterns, lambda t, p: first_lengths(t, p, most), "pos", "len", "dist")
 
 
 def banded_hits(text: str, pattern: str, most: int) -> Hits:
-    if not pattern:
-        return [(i, 0) for i in range(len(text))]
-    m = len(pattern)
-    out = []
-    for end in range(1, min(len(text), m + most - 1) + 1):
-        d = banded_score(pattern, text[:end], most)
-        if d is not None:
-            out.append((end - 1, d))
-    # The windows from here on are of one length, so the recurrence runs over all of them at once.
-    n, count = m + most, len(text) - m - most + 1
-    if count <= 0:
+    """(end, score): what the pattern costs against the ``most`` + its length characters up to each end.
+
+    Two cases by the window.  One that the text's start cuts short is a prefix of the
+    text: its cost is the edit distance, except that no letter of the pattern may
+    go before the window's first is used.  A whole window is ``most`` longer than
+    the pattern, so within ``most`` all edits are its extra letters: it is a hit, of
+    score ``most``, if it holds the pattern's letters in order.
+    """
+    m, n = len(pattern), len(text)
+    if not m:
+        return [(i, 0) for i in range(n)]
+    letters, wanted = _codes(text), _codes(pattern)
+    short = letters[: m + most - 1]
+    row = np.arange(len(short) + 1)
+    for row in _rows(short, wanted, row, lambda j: m + n + most):
+        pass
+    at = np.flatnonzero(row[1:] <= most)
+    out = list(zip(at.tolist(), row[1 + at].tolist()))
+    if n < m + most:
         return out
-    t, far = _codes(text), np.full(count, most + 1, np.int32)
-    above = {j: np.full(count, j, np.int32) for j in range(min(n, most) + 1)}
-    for i, p in enumerate(_codes(pattern), 1):
-        row: dict[int, np.ndarray] = {}
-        for j in range(max(1, i - most), min(n, i + most) + 1):
-            changed = above.get(j - 1, far) + (t[j - 1 : j - 1 + count] != p)
-            row[j] = np.minimum(np.minimum(row.get(j - 1, far), above.get(j, far)) + 1, changed)
-        above = row
-    score = above.get(n, far)
-    at = np.flatnonzero(score <= most)
-    return out + list(zip((at + n - 1).tolist(), score[at].tolist()))
+    # Behind the first of each letter in turn, from every start at once.
+    reached = np.arange(n - m - most + 1)
+    for c in wanted:
+        places = np.append(np.flatnonzero(letters == c), n)
+        reached = np.minimum(places[np.searchsorted(places, np.minimum(reached, n))] + 1, n + 1)
+    starts = np.flatnonzero(reached <= np.arange(len(reached)) + m + most)
+    return out + [(s + m + most - 1, most) for s in starts.tolist()]
 
 
 def levenshtein_banded_compat(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
@@ -185,32 +202,31 @@ def levenshtein_banded_compat(texts: DataFrame, patterns: DataFrame, most: int =
     return _search(texts, patterns, lambda t, p: banded_hits(t, p, most), "end_pos")
 
 
-def bit_scores(text: str, pattern: str, most: int) -> Hits:
-    """(end, score) where the population count of the difference vectors is at most ``most``."""
-    if not pattern:
-        return [(i, 0) for i in range(len(text))]
-    m = len(pattern)
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    masks: dict[str, int] = {}
-    for j, c in enumerate(pattern):
-        masks[c] = masks.get(c, 0) | 1 << j
-    up, down, out = full, 0, []
-    for i, c in enumerate(text):
-        eq = masks.get(c, 0)
-        vertical = eq | down
-        horizontal = (((eq & up) + up) ^ up) | eq
-        raised = ((down | ~(horizontal | up)) << 1 | 1) & full
-        lowered = (up & horizontal) << 1
-        up, down = (lowered | ~(vertical | raised)) & full, raised & vertical
-        score = (~up & full if up & top else down).bit_count()
-        if score <= most:
-            out.append((i, score))
-    return out
+def difference_scores(text: str, pattern: str, most: int) -> Hits:
+    """(end, score) of the ends whose score is at most ``most``.
+
+    Take the edit distances of the pattern's prefixes to the text up to the end, and
+    the differences of each to the next shorter one.  If the last difference is +1,
+    the score is the number of differences that are not; else, of those that are -1.
+    """
+    m, n = len(pattern), len(text)
+    if not m:
+        return [(i, 0) for i in range(n)]
+    above = np.arange(n + 1)
+    rises, falls, last = np.zeros(n, np.int64), np.zeros(n, np.int64), None
+    for row in _rows(_codes(text), _codes(pattern), above, lambda j: j):
+        last = (row - above)[1:]
+        rises += last == 1
+        falls += last == -1
+        above = row
+    score = np.where(last == 1, m - rises, falls)
+    at = np.flatnonzero(score <= most)
+    return list(zip(at.tolist(), score[at].tolist()))
 
 
 def bitvector_score_compat(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
     """(text_id, pattern, end_pos, score): kept for compatibility; the score is no edit distance."""
-    return _search(texts, patterns, lambda t, p: bit_scores(t, p, most), "end_pos", "score")
+    return _search(texts, patterns, lambda t, p: difference_scores(t, p, most), "end_pos", "score")
 
 
 def align(pattern: str, text: str) -> tuple[str, str, list[str]]:

@@ -3,29 +3,46 @@
 Every search takes ``texts`` (text_id, text) and ``patterns`` (pattern), and gives
 (text_id, pattern, pos) with 0-based starts, one row a hit.  Empty patterns and
 patterns longer than the text have no hits.  The pattern table is the small side by
-its nature; it is broadcast only if it is under ``BROADCAST_PATTERNS`` rows.
+its nature; it is broadcast in blocks of at most ``BROADCAST_PATTERNS`` rows.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 
-BROADCAST_PATTERNS = 10_000
+BROADCAST_PATTERNS, BROADCAST_BYTES = 10_000, 32 << 20
+#: Characters of the pieces that hits are found in, so that arrays of hits stay short; hits that leave a worker at once.
+SPLIT_SIZE, HIT_ROWS = 2048, 100_000
 SUFFIX_LENGTH = 32
 #: Window hashes of so many lengths, none longer than this, are written out character by character.
 UNROLLED_LENGTHS, UNROLLED_LONGEST = 4, 16
 
 
+def blocks(patterns: DataFrame, key: str = "pattern") -> list[DataFrame]:
+    """``patterns`` in parts, each under ``BROADCAST_PATTERNS`` rows and about ``BROADCAST_BYTES``, to be broadcast one by one."""
+    length = F.octet_length(key) if key in patterns.columns else F.lit(8)
+    n, size = patterns.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
+    parts = max(math.ceil(n / BROADCAST_PATTERNS), math.ceil(size / BROADCAST_BYTES))
+    if parts <= 1:
+        return [patterns]
+    # Hashing deals unevenly; half as many again keeps each part under the bound.
+    parts = parts + parts // 2 + 1
+    return [patterns.filter(F.pmod(F.xxhash64(*patterns.columns), F.lit(parts)) == k) for k in range(parts)]
+
+
 def pair(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Each text with each pattern."""
-    few = patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
-    return texts.crossJoin(F.broadcast(patterns) if few else patterns)
+    """Each text with each pattern; a table of patterns beyond the bounds is broadcast in blocks."""
+    return reduce(DataFrame.union, [texts.crossJoin(F.broadcast(p)) for p in blocks(patterns)])
 
 
 def _searchable(df: DataFrame) -> DataFrame:
@@ -33,9 +50,8 @@ def _searchable(df: DataFrame) -> DataFrame:
 
 
 def by_split(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Failure-function search's contract, by look-ahead splitting: one pass over each text."""
-    hits = T.split_positions(F.col("text"), T.lookahead(F.col("pattern")), F.startswith(F.col("text"), F.col("pattern")))
-    return _searchable(pair(texts, patterns)).select("text_id", "pattern", F.explode(hits.cast("array<bigint>")).alias("pos"))
+    """Failure-function search's contract, by look-ahead splitting: one pass over each text, piece by piece."""
+    return chunked(texts, patterns, SPLIT_SIZE)
 
 
 def find_all(text: str, pattern: str, step: int = 1) -> list[int]:
@@ -46,26 +62,32 @@ def find_all(text: str, pattern: str, step: int = 1) -> list[int]:
     return out
 
 
-def _native(texts: DataFrame, patterns: DataFrame, starts) -> DataFrame:
+def _native(texts: DataFrame, patterns: DataFrame, starts, place: str = "pos") -> DataFrame:
     schema = texts.select("text_id").schema
-    words = [r[0] for r in patterns.select("pattern").distinct().limit(BROADCAST_PATTERNS + 1).collect()]
-    if len(words) > BROADCAST_PATTERNS:
-        raise ValueError("too many patterns to send to each worker; search them in blocks")
-    words = [w for w in words if w]
-    kind = f"text_id {schema[0].dataType.simpleString()}, pattern string, pos long"
+    kind = f"text_id {schema[0].dataType.simpleString()}, pattern string, {place} long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found, at = [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                for w in words:
-                    hits = starts(text or "", w)
-                    at += hits
-                    ids += [k] * len(hits)
-                    found += [w] * len(hits)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), pa.array(found, pa.string()), pa.array(at, pa.int64())], ["text_id", "pattern", "pos"])
+    def search(words: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, found, at = [], [], []
+                for k, text in enumerate(batch.column(1).to_pylist()):
+                    for w in words:
+                        hits = starts(text or "", w)
+                        at += hits
+                        ids += [k] * len(hits)
+                        found += [w] * len(hits)
+                    if len(at) > HIT_ROWS:
+                        yield out(batch, ids, found, at)
+                        ids, found, at = [], [], []
+                yield out(batch, ids, found, at)
 
-    return texts.select("text_id", "text").mapInArrow(run, kind)
+        return run
+
+    def out(batch, ids, found, at):
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), pa.array(found, pa.string()), pa.array(at, pa.int64())], ["text_id", "pattern", place])
+
+    parts = [[r[0] for r in p.collect()] for p in blocks(patterns.select("pattern").distinct().filter("pattern != ''"))]
+    return reduce(DataFrame.union, [texts.select("text_id", "text").mapInArrow(search(words), kind) for words in parts])
 
 
 def by_find(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -121,49 +143,23 @@ def by_suffixes(texts: DataFrame, patterns: DataFrame, length: int = SUFFIX_LENG
 
 
 def by_bits(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Shift-or search: one machine word of state, moved once a character; Python's integers for patterns over 62 characters."""
-    long = patterns.filter(F.length("pattern") > 62)
-    if long.limit(1).count():
-        return _by_word(texts, patterns).union(_native(texts, long, bit_hits))
-    return _by_word(texts, patterns)
+    """Shift-or search by masks of characters: a pattern of any length, all places of a text moved on together."""
+    return _native(texts, patterns, bit_hits)
 
 
 def bit_hits(text: str, pattern: str) -> list[int]:
-    """The same with a state of any width."""
-    masks: dict[str, int] = {}
-    for k, c in enumerate(pattern):
-        masks[c] = masks.get(c, 0) | 1 << k
-    top, state, out = 1 << (len(pattern) - 1), 0, []
-    for i, c in enumerate(text):
-        state = (state << 1 | 1) & masks.get(c, 0)
-        if state & top:
-            out.append(i - len(pattern) + 1)
-    return out
-
+    """Starts of the pattern: the mask of its j-th character, moved back by j, has to be set for every j."""
+    import numpy as np
 
-def _by_word(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    df = _searchable(pair(texts, patterns)).filter(F.length("pattern") <= 62)
-    m = F.length("pattern")
-    letters = F.filter(F.split("pattern", ""), lambda c: c != "")
-    bit = F.transform(letters, lambda c, k: F.struct(c.alias("c"), k.alias("k")))
-    masks = F.map_from_entries(
-        F.transform(F.array_distinct(letters), lambda c: F.struct(c, F.aggregate(F.filter(bit, lambda b: b["c"] == c), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.pow(F.lit(2.0), b["k"]).cast("long")))))
-    )
-    df = df.withColumn("_masks", masks).withColumn("_top", F.pow(F.lit(2.0), m - 1).cast("long")).withColumn("_full", F.pow(F.lit(2.0), m).cast("long") - 1)
-    # A set bit j: the last j + 1 characters are those the pattern begins with.
-    state = F.aggregate(
-        F.filter(F.split("text", ""), lambda c: c != ""),
-        F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("hits")),
-        lambda a, c: _advance(a, c),
-        lambda a: a["hits"],
-    )
-    return df.select("text_id", "pattern", F.explode(state).alias("_end"), m.alias("m")).select("text_id", "pattern", (F.col("_end") - F.col("m") + 1).cast("long").alias("pos"))
-
-
-def _advance(a: Column, c: Column) -> Column:
-    moved = (a["s"].bitwiseAND(F.expr("shiftright(_full, 1)")) * 2 + 1).bitwiseAND(F.coalesce(F.element_at(F.col("_masks"), c), F.lit(0).cast("long")))
-    hit = moved.bitwiseAND(F.col("_top")) != 0
-    return F.struct(moved.alias("s"), (a["i"] + 1).alias("i"), F.when(hit, F.concat(a["hits"], F.array(a["i"]))).otherwise(a["hits"]).alias("hits"))
+    count = len(text) - len(pattern) + 1
+    if count <= 0:
+        return []
+    letters, state, masks = np.frombuffer(text.encode("utf-32-le"), "<u4"), np.ones(count, bool), {}
+    for j, c in enumerate(pattern):
+        if c not in masks:
+            masks[c] = letters == ord(c)
+        state &= masks[c][j : j + count]
+    return np.flatnonzero(state).tolist()
 
 
 def count_overlapping(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -174,14 +170,7 @@ def count_overlapping(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def non_overlapping(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Leftmost non-overlapping hits of the escaped pattern: (text_id, pattern, end_pos), ends inclusive."""
-    pieces = F.split("text", T.quoted(F.col("pattern")), -1)
-    ends = F.aggregate(
-        F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda a, x: F.struct((a["at"] + F.length(x) + F.length("pattern")).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.length(x) + F.length("pattern") - 1)).alias("ends")),
-        lambda a: a["ends"],
-    )
-    return _searchable(pair(texts, patterns)).select("text_id", "pattern", F.explode(ends.cast("array<bigint>")).alias("end_pos"))
+    return _native(texts, patterns, lambda t, p: [at + len(p) - 1 for at in find_all(t, p, len(p))], "end_pos")
 
 
 def regex_matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -190,12 +179,31 @@ def regex_matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return pair(texts, patterns).select("text_id", "pattern", found.alias("turn", "matched")).withColumn("turn", F.col("turn").cast("long"))
 
 
+def regex_starts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Starts of what an unescaped pattern matches, leftmost and non-overlapping: (text_id, pattern, pos, length); empty matches too.
+
+    Patterns are Python's regular expressions; an invalid one is an error.
+    """
+    for p in blocks(patterns.select("pattern")):
+        for r in p.collect():
+            re.compile(r[0] or "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, m.start(), m.end() - m.start()) for k, (t, p) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())) if t is not None and p for m in re.finditer(p, t)]
+            k, at, n = zip(*found) if found else ((), (), ())
+            rows = pa.array(k, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["text_id", "pattern", "pos", "length"])
+
+    both = pair(texts.select("text_id", "text"), patterns.select("pattern"))
+    return both.mapInArrow(run, f"text_id {texts.schema['text_id'].dataType.simpleString()}, pattern string, pos long, length long")
+
+
 def wildcard_search(texts: DataFrame, patterns: DataFrame, any_one: str = "?") -> DataFrame:
     """Overlapping hits of patterns with a one-character wildcard; all else, line ends too, is literal."""
     look = T.wildcard(F.col("pattern"), any_one)
-    anchored = F.concat(F.lit("^"), look)
-    hits = T.split_positions(F.col("text"), look, F.rlike(F.col("text"), anchored))
-    return pair(texts, patterns).filter((F.length("pattern") > 0) & (F.length("text") >= F.length("pattern"))).select("text_id", "pattern", F.explode(hits.cast("array<bigint>")).alias("pos"))
+    both = pair(texts, patterns).filter((F.length("pattern") > 0) & (F.length("text") >= F.length("pattern")))
+    return _piecewise(both, look, lambda chunk: F.rlike(chunk, F.concat(F.lit("^"), look)), SPLIT_SIZE)
 
 
 def common_prefix(window: Column, pattern: Column) -> Column:
@@ -223,10 +231,16 @@ def complexity(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def chunked(texts: DataFrame, patterns: DataFrame, size: int = 4096) -> DataFrame:
     """Search of texts of any length: pieces with an overlap, a hit owned by the piece in which it starts."""
-    m = F.length("pattern")
-    pieces = T.chunks(_searchable(pair(texts, patterns)), "text", m - 1, size)
-    hits = T.split_positions(F.col("chunk"), T.lookahead(F.col("pattern")), F.startswith(F.col("chunk"), F.col("pattern")))
-    return pieces.filter(F.contains(F.col("chunk"), F.col("pattern"))).select("text_id", "pattern", "start", F.explode(hits).alias("k")).filter(F.col("k") < size).select("text_id", "pattern", (F.col("start") + F.col("k")).cast("long").alias("pos"))
+    return _piecewise(_searchable(pair(texts, patterns)), T.lookahead(F.col("pattern")), lambda chunk: F.startswith(chunk, F.col("pattern")), size, F.contains(F.col("chunk"), F.col("pattern")))
+
+
+def _piecewise(both: DataFrame, look: Column, at_start, size: int, holds: Column | None = None) -> DataFrame:
+    """Places of a look-ahead in each (text, pattern), piece by piece: time is in proportion to the text, whatever the number of hits."""
+    pieces = T.chunks(both, "text", F.length("pattern") - 1, size)
+    if holds is not None:
+        pieces = pieces.filter(holds)
+    hits = T.split_positions(F.col("chunk"), look, at_start(F.col("chunk")))
+    return pieces.select("text_id", "pattern", "start", F.explode(hits).alias("k")).filter(F.col("k") < size).select("text_id", "pattern", (F.col("start") + F.col("k")).cast("long").alias("pos"))
 
 
 def longest_common_substring(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -273,9 +287,82 @@ def text_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return count_overlapping(texts, patterns).groupBy("text_id").agg(F.sum("n").alias("n"))
 
 
+class Passages:
+    """Patterns by a hash of their beginning: of the largest power of two of characters they have.
+
+    A text's runs of 1, 2, 4, ... characters are hashed by doubling, all at once, so a
+    text is passed over a few times, however many patterns there are.
+    """
+
+    def __init__(self, rows: list[tuple]):
+        import numpy as np
+
+        self.always = [k for k, p in rows if p == ""]
+        self.by_size: dict[int, tuple] = {}
+        own: dict[int, dict[int, list]] = {}
+        for key, p in rows:
+            if p:
+                n = 1 << (len(p).bit_length() - 1)
+                (hashed,) = (h for size, h in _run_hashes(p[:n], n) if size == n)
+                own.setdefault(n, {}).setdefault(int(hashed[0]), []).append((key, p))
+        for n, table in own.items():
+            bits = max(12, (len(table) * 32).bit_length())
+            seen = np.zeros(1 << bits, bool)
+            seen[np.fromiter(table, np.uint64, len(table)) >> np.uint64(64 - bits)] = True
+            self.by_size[n] = (bits, seen, table)
+        self.longest = max(own, default=0)
+
+    def held(self, text: str) -> list:
+        """Keys of the patterns that the text holds."""
+        import numpy as np
+
+        out = list(self.always)
+        for n, h in _run_hashes(text, self.longest):
+            if n in self.by_size:
+                bits, seen, table = self.by_size[n]
+                found = {}
+                for at in np.flatnonzero(seen[h >> np.uint64(64 - bits)]).tolist():
+                    for key, p in table.get(int(h[at]), ()):
+                        if (key, p) not in found and text.startswith(p, at):
+                            found[key, p] = None
+                out += [key for key, _ in found]
+        return out
+
+
+def _run_hashes(text: str, longest: int):
+    """(length, hashes of the runs of that length at each place) for the powers of two up to ``longest``."""
+    import numpy as np
+
+    h, n, odd = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64), 1, np.uint64(0x9E3779B97F4A7C15)
+    h = h * odd ^ h * odd >> np.uint64(29)
+    while n <= longest and len(h):
+        h = h * odd
+        yield n, h
+        h = (h[: len(h) - n] ^ h[: len(h) - n] >> np.uint64(32)) * odd + h[n:] if len(h) > n else h[:0]
+        n *= 2
+
+
 def holding(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Pairs of text and pattern (pattern_id, pattern) where the text holds the pattern."""
-    return pair(texts, patterns).filter(F.contains(F.col("text"), F.col("pattern"))).select("text_id", "pattern_id")
+    """Pairs of text and pattern (pattern_id, pattern) where the text holds the pattern: (text_id, pattern_id)."""
+    kinds = texts.schema["text_id"].dataType.simpleString(), patterns.schema["pattern_id"].dataType
+
+    def search(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, keys = [], []
+                for k, text in enumerate(batch.column(1).to_pylist()):
+                    own = [] if text is None else shared.value.held(text)
+                    rows += [k] * len(own)
+                    keys += own
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(keys, to_arrow_type(kinds[1]))], ["text_id", "pattern_id"])
+
+        return run
+
+    parts = []
+    for p in blocks(patterns.select("pattern_id", "pattern").filter(F.col("pattern").isNotNull())):
+        shared = texts.sparkSession.sparkContext.broadcast(Passages([tuple(r) for r in p.collect()]))
+        parts.append(texts.select("text_id", "text").mapInArrow(search(shared), f"text_id {kinds[0]}, pattern_id {kinds[1].simpleString()}"))
+    return reduce(DataFrame.union, parts)
 
 
 def present(texts: DataFrame, patterns: DataFrame) -> DataFrame:

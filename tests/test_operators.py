@@ -144,9 +144,8 @@ def test_approximate_searches_against_brute_force(spark):
 def test_compatible_scores():
     assert approx.banded_hits("xxab", "ab", 1) == [(3, 1)]
     assert approx.banded_hits("b", "ab", 1) == []
-    assert approx.banded_hits("abc", "", 1) == [(0, 0), (1, 0), (2, 0)] == approx.bit_scores("abc", "", 0)
-    assert approx.bit_scores("ab", "ab", 0) == [] and approx.bit_scores("ab", "ab", 1) == [(0, 1)]
-    assert approx.banded_score("kitten", "sitting", 3) == 3
+    assert approx.banded_hits("abc", "", 1) == [(0, 0), (1, 0), (2, 0)] == approx.difference_scores("abc", "", 0)
+    assert approx.difference_scores("ab", "ab", 0) == [] and approx.difference_scores("ab", "ab", 1) == [(0, 1)]
 
 
 def test_a_banded_hit_is_a_subsequence_once_the_window_is_full():
@@ -250,3 +249,52 @@ def test_shift_or_of_patterns_over_a_word(spark):
         a[1] |= r.shift_or << 62 * r.word
     present = lambda w, c: sum(1 << k for k, x in enumerate(w) if x == c)
     assert got == {(w, c): [present(w, c), (1 << len(w)) - 1 - present(w, c)] for w in patterns for c in set(w)}
+
+
+def test_time_is_in_proportion_to_the_hits():
+    """A single text of so many hits; four times as many may not take much more than four times as long."""
+    import time
+
+    seconds = []
+    for n in (100_000, 400_000):
+        began = time.process_time()
+        text = "A" * n
+        assert len(exact.bit_hits(text, "AA")) == n - 1 and len(exact.find_all(text, "A")) == n
+        assert abs(len(approx.greedy_hits(text, "AAT", 1)) - n / 3) <= 1
+        assert len(approx.edit_ends(text, "AT", 1)) == n
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 8 * seconds[0] + 1
+
+
+def test_searches_of_a_text_of_many_hits(spark):
+    n = 400_000
+    t = spark.createDataFrame([(0, "A" * n)], "text_id long, text string")
+    p = spark.createDataFrame([("A",)], "pattern string")
+    for search in (exact.by_split, exact.by_find, exact.by_bits, exact.chunked):
+        assert search(t, p).agg(F.count("*"), F.min("pos"), F.max("pos")).first() == (n, 0, n - 1)
+    assert exact.non_overlapping(t, p).count() == n and exact.regex_starts(t, p).count() == n
+    assert exact.wildcard_search(t, spark.createDataFrame([("?A",)], "pattern string")).count() == n - 1
+
+
+def test_regex_starts(spark):
+    import re
+
+    texts, patterns = ["abracadabra", "", None, "a.b\nab"], ["a.", "b|c", "a*", "", "."]
+    t, p = frames(spark, texts, patterns)
+    want = sorted((k, w, m.start(), m.end() - m.start()) for k, s in enumerate(texts) if s is not None for w in patterns if w for m in re.finditer(w, s))
+    assert sorted(tuple(r) for r in exact.regex_starts(t, p).collect()) == want
+
+
+def test_passages_against_contains(spark, monkeypatch):
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("abé") for _ in range(rnd.randint(0, 60))) for _ in range(60)] + ["", None, "x" * 5]
+    patterns = ["".join(rnd.choice("abé") for _ in range(rnd.randint(1, 9))) for _ in range(40)] + ["", "x", "xxxxx", "xxxxxx", None]
+    t = frames(spark, texts, ["a"])[0]
+    p = spark.createDataFrame(list(enumerate(patterns)), "pattern_id long, pattern string")
+    want = sorted((i, j) for i, s in enumerate(texts) for j, w in enumerate(patterns) if s is not None and w is not None and w in s)
+    for most in (exact.BROADCAST_PATTERNS, 7):
+        monkeypatch.setattr(exact, "BROADCAST_PATTERNS", most)
+        assert sorted(tuple(r) for r in exact.holding(t, p).collect()) == want
+        some = p.filter("pattern != ''").select("pattern")
+        for search in (exact.by_split, exact.by_find, exact.by_bits):
+            assert sorted(tuple(r) for r in search(t, some.distinct()).collect()) == sorted((i, w, at) for i, s in enumerate(texts) for w in {x for x in patterns if x} for at in overlapping(s, w))

@@ -104,19 +104,51 @@ def test_edits(spark, fixture):
     assert {r[1:] for r in found if r[0] == "shift_or"} == {(k, w, i) for k, t in enumerate(fixture[1]) for w in NEAR for i in range(len(t) - len(w) + 1) if sum(a != b for a, b in zip(w, t[i:])) <= 1}
 
 
+def prefix_table(pattern, text, left):
+    """Edit distances of the pattern's prefixes to the text's; ``left`` gives the first of each row."""
+    rows = [list(range(len(text) + 1))]
+    for i, c in enumerate(pattern, 1):
+        row = [left(i)]
+        for j, x in enumerate(text, 1):
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (c != x)))
+        rows.append(row)
+    return rows
+
+
+def window_hits(text, pattern, most):
+    """Each end's window of ``most`` + the pattern's length; no letter of the pattern goes before the window's first."""
+    out = []
+    for e in range(1, len(text) + 1):
+        window = text[max(0, e - len(pattern) - most) : e]
+        d = prefix_table(pattern, window, lambda i: 10**6)[-1][-1]
+        if d <= most:
+            out.append((e - 1, d))
+    return out
+
+
+def scored(text, pattern, most):
+    """The score from the differences down each column of the table."""
+    table, out = prefix_table(pattern, text, lambda i: i), []
+    for e in range(1, len(text) + 1):
+        steps = [table[i + 1][e] - table[i][e] for i in range(len(pattern))]
+        score = sum(x != 1 for x in steps) if steps[-1] == 1 else sum(x == -1 for x in steps)
+        if score <= most:
+            out.append((e - 1, score))
+    return out
+
+
 def test_compatible_scores(spark, fixture):
     texts = list(enumerate(fixture[1]))
-    windows = lambda t, w: ((e - 1, approx.banded_score(w, t[max(0, e - len(w) - 1) : e], 1)) for e in range(1, len(t) + 1))
-    assert rows(spark, fixture, "levenshtein_banded_compat") == Counter((k, w, e, d) for k, t in texts for w in NEAR for e, d in windows(t, w) if d is not None)
-    assert rows(spark, fixture, "bitvector_score_compat") == Counter((k, w, e, d) for k, t in texts for w in NEAR for e, d in approx.bit_scores(t, w, 1))
+    assert rows(spark, fixture, "levenshtein_banded_compat") == Counter((k, w, e, d) for k, t in texts for w in NEAR for e, d in window_hits(t, w, 1))
+    assert rows(spark, fixture, "bitvector_score_compat") == Counter((k, w, e, d) for k, t in texts for w in NEAR for e, d in scored(t, w, 1))
 
 
-def test_banded_windows_at_once():
+def test_compatible_scores_by_definition():
     rnd = random.Random(8)
-    for _ in range(500):
+    for _ in range(600):
         t, w, most = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 25))), "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))), rnd.randint(0, 4)
-        want = [(e - 1, d) for e in range(1, len(t) + 1) for d in [approx.banded_score(w, t[max(0, e - len(w) - most) : e], most)] if d is not None]
-        assert approx.banded_hits(t, w, most) == want
+        assert approx.banded_hits(t, w, most) == window_hits(t, w, most)
+        assert approx.difference_scores(t, w, most) == scored(t, w, most)
 
 
 def test_common_substrings(spark, fixture):
