@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions.arrays import codes as _codes
 from . import exact
 
 Hits = list[tuple[int, int]]
@@ -22,10 +22,6 @@ Hits = list[tuple[int, int]]
 HIT_ROWS = 100_000
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), "<u4")
-
-
 def _search(texts: DataFrame, patterns: DataFrame, hits: Callable[[str, str], list[tuple]], *names: str) -> DataFrame:
     """text_id, pattern and the columns that ``hits`` gives for each text and pattern: ``names``, dist unless there are more."""
     names = names if len(names) > 1 else (*names, "dist")
@@ -100,18 +96,6 @@ def edit_search(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFra
     return _search(texts, patterns, lambda t, p: edit_ends(t, p, most), "end_pos")
 
 
-def edit_starts(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
-    """(text_id, pattern, m, n, pos, all): a row a start of substrings within ``most`` of the pattern's length; ``all`` holds (len, dist) by length, ``n`` is the text's length."""
-    m = F.length("pattern")
-    both = exact.pair(texts, patterns).filter((m > 0) & (F.length("text") > 0)).withColumn("n", F.length("text"))
-    pieces = T.chunks(both, "text", m + most)
-    starts = pieces.select("text_id", "pattern", "n", m.alias("m"), "chunk", "start", F.explode(F.sequence(F.lit(0), F.least(F.length("chunk"), F.lit(T.CHUNK)).cast("int") - 1)).alias("k"))
-    room = F.least(F.col("m") + most, F.length("chunk") - F.col("k"))
-    least = F.greatest(F.lit(1), F.col("m") - most)
-    own = F.transform(F.sequence(least, room), lambda x: F.struct(x.cast("long").alias("len"), F.levenshtein(F.substring(F.col("chunk"), F.col("k") + 1, x), F.col("pattern")).cast("long").alias("dist")))
-    return starts.filter(room >= least).select("text_id", "pattern", "m", "n", (F.col("start") + F.col("k")).cast("long").alias("pos"), own.alias("all"))
-
-
 def start_distances(text: str, pattern: str, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Lengths within ``most`` of the pattern's, and a row a length: the edits of the substring of that length at each start.
 

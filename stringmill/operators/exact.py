@@ -13,19 +13,19 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import arrays as A
 from ..functions import text as T
 
 BROADCAST_PATTERNS, BROADCAST_BYTES = 10_000, 32 << 20
 #: Characters of the pieces that hits are found in, so that arrays of hits stay short; hits that leave a worker at once.
 SPLIT_SIZE, HIT_ROWS = 2048, 100_000
 SUFFIX_LENGTH = 32
-#: Window hashes of so many lengths, none longer than this, are written out character by character.
-UNROLLED_LENGTHS, UNROLLED_LONGEST = 4, 16
 
 
 def blocks(patterns: DataFrame, key: str = "pattern") -> list[DataFrame]:
@@ -62,7 +62,8 @@ def find_all(text: str, pattern: str, step: int = 1) -> list[int]:
     return out
 
 
-def _native(texts: DataFrame, patterns: DataFrame, starts, place: str = "pos") -> DataFrame:
+def _native(texts: DataFrame, patterns: DataFrame, starts, place: str = "pos", *, prepare=None, extra: str | None = None) -> DataFrame:
+    """Hits that ``starts`` finds for each text and pattern, and for what ``prepare`` makes of the text or column ``extra`` holds."""
     schema = texts.select("text_id").schema
     kind = f"text_id {schema[0].dataType.simpleString()}, pattern string, {place} long"
 
@@ -71,8 +72,10 @@ def _native(texts: DataFrame, patterns: DataFrame, starts, place: str = "pos") -
             for batch in batches:
                 ids, found, at = [], [], []
                 for k, text in enumerate(batch.column(1).to_pylist()):
+                    text = text or ""
+                    more = (prepare(text),) if prepare else (batch.column(2)[k].values.to_numpy(),) if extra else ()
                     for w in words:
-                        hits = starts(text or "", w)
+                        hits = starts(text, w, *more)
                         at += hits
                         ids += [k] * len(hits)
                         found += [w] * len(hits)
@@ -87,7 +90,7 @@ def _native(texts: DataFrame, patterns: DataFrame, starts, place: str = "pos") -
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), pa.array(found, pa.string()), pa.array(at, pa.int64())], ["text_id", "pattern", place])
 
     parts = [[r[0] for r in p.collect()] for p in blocks(patterns.select("pattern").distinct().filter("pattern != ''"))]
-    return reduce(DataFrame.union, [texts.select("text_id", "text").mapInArrow(search(words), kind) for words in parts])
+    return reduce(DataFrame.union, [texts.select("text_id", "text", *([extra] if extra else [])).mapInArrow(search(words), kind) for words in parts])
 
 
 def by_find(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -96,31 +99,26 @@ def by_find(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def by_windows(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Naive search: every window is compared with the pattern, piece by piece of the text."""
-    m = F.length("pattern")
-    return T.windows(T.chunks(_searchable(pair(texts, patterns)), "text", m - 1), m).filter(F.col("window") == F.col("pattern")).select("text_id", "pattern", "pos")
+    """Naive search: every window is compared with the pattern, character by character until they differ."""
+    return _native(texts, patterns, lambda t, p: np.flatnonzero(A.prefix_lengths(t, p) == len(p)).tolist())
 
 
 def by_hash(texts: DataFrame, patterns: DataFrame, base: int = 256, prime: int = 101) -> DataFrame:
-    """Rolling-hash search: windows meet patterns on (length, hash); characters decide."""
-    return hashed_windows(texts, patterns, base, prime).filter(F.col("window") == F.col("pattern")).select("text_id", "pattern", "pos")
-
-
-def hashed_windows(texts: DataFrame, patterns: DataFrame, base: int = 256, prime: int = 101) -> DataFrame:
-    """The windows whose hash is that of a pattern of their length: text_id, pattern, pos, window."""
-    p = patterns.select("pattern", F.length("pattern").alias("m"), T.polynomial_hash(F.col("pattern"), base, prime).alias("hash")).filter("m > 0")
-    lengths = p.select("m").distinct()
-    few = [r.m for r in lengths.limit(UNROLLED_LENGTHS + 1).collect()]
-    if few and len(few) <= UNROLLED_LENGTHS and max(few) <= UNROLLED_LONGEST:
-        # One scan a length; the hash is then one expression without a loop.
-        w = None
-        for m in few:
-            own = T.windows(T.chunks(texts, "text", m - 1), F.lit(m)).select("text_id", F.lit(m).alias("m"), "pos", "window", T.polynomial_hash_of(F.col("window"), m, base, prime).alias("hash"))
-            w = own if w is None else w.union(own)
-    else:
-        w = T.windows(T.chunks(pair(texts, lengths), "text", F.col("m") - 1), F.col("m"))
-        w = w.select("text_id", "m", "pos", "window", T.polynomial_hash(F.col("window"), base, prime).alias("hash"))
-    return w.join(F.broadcast(p) if patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS else p, ["m", "hash"]).select("text_id", "pattern", "pos", "window")
+    """Rolling-hash search: windows whose hash is the pattern's; characters decide."""
+
+    def hits(text: str, pattern: str) -> list[int]:
+        near = A.window_hashes(text, len(pattern), base, prime) == rolled(pattern, base, prime)
+        return [at for at in np.flatnonzero(near).tolist() if text.startswith(pattern, at)]
+
+    return _native(texts, patterns, hits)
+
+
+def rolled(pattern: str, base: int = 256, prime: int = 101) -> int:
+    """The rolling hash of a whole pattern."""
+    h = 0
+    for c in pattern:
+        h = (h * base + ord(c)) % prime
+    return h
 
 
 def suffixes(texts: DataFrame, length: int = SUFFIX_LENGTH) -> DataFrame:
@@ -132,14 +130,30 @@ def suffixes(texts: DataFrame, length: int = SUFFIX_LENGTH) -> DataFrame:
     return rows.select("text_id", (F.col("start") + F.col("_k")).cast("long").alias("pos"), F.substring("chunk", F.col("_k") + 1, F.lit(length)).alias("suffix"))
 
 
-def by_suffixes(texts: DataFrame, patterns: DataFrame, length: int = SUFFIX_LENGTH) -> DataFrame:
-    """Suffix-table search: suffixes that begin with the pattern; longer patterns are then verified."""
-    p = patterns.filter(F.length("pattern") > 0).select("pattern", F.substring("pattern", 1, length).alias("head"))
-    long = p.filter(F.length("pattern") > length).limit(1).count() > 0
-    hits = pair(suffixes(texts, length), p).filter(F.startswith(F.col("suffix"), F.col("head"))).select("text_id", "pattern", "pos")
-    if not long:
-        return hits
-    return hits.join(texts, "text_id").filter(F.substring(F.col("text"), F.col("pos").cast("int") + 1, F.length("pattern")) == F.col("pattern")).select("text_id", "pattern", "pos")
+def suffix_index(texts: DataFrame) -> DataFrame:
+    """(text_id, text, suffixes): each text with the starts of its suffixes in their order.
+
+    Built once, written if wanted, and searched for any patterns by ``by_index``.
+    """
+    kind = texts.schema["text_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                order = A.suffix_order(batch.column(1)[k].as_py() or "")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([order], pa.list_(pa.int32()))], ["text_id", "text", "suffixes"])
+
+    return texts.select("text_id", "text").mapInArrow(run, f"text_id {kind}, text string, suffixes array<int>")
+
+
+def by_index(indexed: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Suffix search of texts that ``suffix_index`` has prepared: two binary searches a pattern."""
+    return _native(indexed, patterns, lambda t, p, order: A.find_in_order(t, order, p), extra="suffixes")
+
+
+def by_suffixes(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Suffix search: each text's suffixes are put in order once, then searched for all patterns."""
+    return _native(texts, patterns, lambda t, p, order: A.find_in_order(t, order, p), prepare=A.suffix_order)
 
 
 def by_bits(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -149,8 +163,6 @@ def by_bits(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def bit_hits(text: str, pattern: str) -> list[int]:
     """Starts of the pattern: the mask of its j-th character, moved back by j, has to be set for every j."""
-    import numpy as np
-
     count = len(text) - len(pattern) + 1
     if count <= 0:
         return []
@@ -206,27 +218,31 @@ def wildcard_search(texts: DataFrame, patterns: DataFrame, any_one: str = "?") -
     return _piecewise(both, look, lambda chunk: F.rlike(chunk, F.concat(F.lit("^"), look)), SPLIT_SIZE)
 
 
-def common_prefix(window: Column, pattern: Column) -> Column:
-    """Characters that two strings of one length share from the start."""
-    k = F.sequence(F.lit(1), F.length(pattern))
-    return F.size(F.filter(k, lambda j: F.substring(window, F.lit(1), j) == F.substring(pattern, F.lit(1), j)))
+def window_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(text_id, pattern, n, m, comparisons, matches, positions) of the naive search, a row a pair, zero rows too."""
+    both = pair(texts.select("text_id", "text"), patterns.select("pattern")).filter(F.length("pattern") > 0)
+    kind = texts.schema["text_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                same = A.prefix_lengths(t or "", p)
+                rows.append((None if t is None else len(t), len(p), int(np.minimum(same + 1, len(p)).sum()), int((same == len(p)).sum()), len(same)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 5))], ["text_id", "pattern", "n", "m", "comparisons", "matches", "positions"])
+
+    return both.mapInArrow(run, f"text_id {kind}, pattern string, n long, m long, comparisons long, matches long, positions long")
 
 
 def comparisons(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Characters the naive search compares: (text_id, pattern, comparisons, matches, positions), zero rows too."""
-    both = pair(texts, patterns).filter(F.length("pattern") > 0)
-    m = F.length("pattern")
-    w = T.windows(T.chunks(both, "text", m - 1), m).select("text_id", "pattern", common_prefix(F.col("window"), F.col("pattern")).alias("lcp"))
-    per = w.groupBy("text_id", "pattern").agg(F.sum(F.least(F.col("lcp") + 1, m)).alias("c"), F.sum((F.col("lcp") == m).cast("long")).alias("h"), F.count(F.lit(1)).alias("p"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return both.select("text_id", "pattern").join(per, ["text_id", "pattern"], "left").select("text_id", "pattern", zero(F.col("c")).alias("comparisons"), zero(F.col("h")).alias("matches"), zero(F.col("p")).alias("positions"))
+    return window_counts(texts, patterns).drop("n", "m")
 
 
 def complexity(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Naive search against its worst case; efficiency is null where the worst case is 0."""
-    sizes = pair(texts, patterns).filter(F.length("pattern") > 0).select("text_id", "pattern", F.length("text").cast("long").alias("n"), F.length("pattern").cast("long").alias("m"))
     worst = F.greatest(F.col("n") - F.col("m") + 1, F.lit(0)) * F.col("m")
-    return comparisons(texts, patterns).join(sizes, ["text_id", "pattern"]).select("text_id", "pattern", "n", "m", "matches", "comparisons", worst.alias("worst"), F.round(100 * F.col("comparisons") / F.when(worst > 0, worst), 6).alias("efficiency"))
+    return window_counts(texts, patterns).select("text_id", "pattern", "n", "m", "matches", "comparisons", worst.alias("worst"), F.round(100 * F.col("comparisons") / F.when(worst > 0, worst), 6).alias("efficiency"))
 
 
 def chunked(texts: DataFrame, patterns: DataFrame, size: int = 4096) -> DataFrame:
@@ -262,8 +278,6 @@ def longest_common_substring(left: DataFrame, right: DataFrame, on: list[str]) -
 
 
 def _lcs(a: str, b: str) -> str:
-    import numpy as np
-
     if not a or not b:
         return ""
     x = np.frombuffer(a.encode("utf-32-le"), "<u4")
@@ -295,8 +309,6 @@ class Passages:
     """
 
     def __init__(self, rows: list[tuple]):
-        import numpy as np
-
         self.always = [k for k, p in rows if p == ""]
         self.by_size: dict[int, tuple] = {}
         own: dict[int, dict[int, list]] = {}
@@ -314,8 +326,6 @@ class Passages:
 
     def held(self, text: str) -> list:
         """Keys of the patterns that the text holds."""
-        import numpy as np
-
         out = list(self.always)
         for n, h in _run_hashes(text, self.longest):
             if n in self.by_size:
@@ -331,8 +341,6 @@ class Passages:
 
 def _run_hashes(text: str, longest: int):
     """(length, hashes of the runs of that length at each place) for the powers of two up to ``longest``."""
-    import numpy as np
-
     h, n, odd = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64), 1, np.uint64(0x9E3779B97F4A7C15)
     h = h * odd ^ h * odd >> np.uint64(29)
     while n <= longest and len(h):

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions import arrays as A
 from . import exact
 
 
@@ -90,8 +91,16 @@ def character_mask_words(patterns: DataFrame) -> DataFrame:
 
 def window_hashes(texts: DataFrame, length: int, base: int = 256, prime: int = 101) -> DataFrame:
     """(text_id, pos, hash) of each window of ``length``."""
-    w = T.windows(T.chunks(texts, "text", length - 1), F.lit(length))
-    return w.select("text_id", "pos", T.polynomial_hash(F.col("window"), base, prime).alias("hash"))
+    kind = texts.schema["text_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                h = A.window_hashes(text or "", length, base, prime)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(h), k, np.int32))), pa.array(np.arange(len(h))), pa.array(h)], ["text_id", "pos", "hash"])
+
+    return texts.select("text_id", "text").mapInArrow(run, f"text_id {kind}, pos long, hash long")
 
 
 def leading_power(length: int, base: int = 256, prime: int = 101) -> int:

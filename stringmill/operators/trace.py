@@ -1,4 +1,4 @@
-"""Counters of a search's steps, and the steps themselves as arrays of structs.
+"""Counters of a search's steps; ``payload`` has the steps themselves.
 
 ``texts`` has (text_id, text), ``patterns`` (pattern).  A pair with an empty text or
 pattern, or a pattern longer than the text, has no trace.
@@ -6,53 +6,49 @@ pattern, or a pattern longer than the text, has no trace.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import text as T
 from . import approx, exact
 
-STEP = "step_number int, step_type string, text_index long, pattern_index long, moved_to long, comparisons long, is_match boolean, note string"
-_STEP_TYPE = pa.struct([("step_number", pa.int32()), ("step_type", pa.string()), ("text_index", pa.int64()), ("pattern_index", pa.int64()), ("moved_to", pa.int64()), ("comparisons", pa.int64()), ("is_match", pa.bool_()), ("note", pa.string())])
-#: Steps that leave a worker at once.
-STEP_ROWS = 10_000
 
-Trace = tuple[list[int], list[tuple]]
-
-
-def _pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+def pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return exact.pair(texts, patterns).filter((F.length("pattern") > 0) & (F.length("text") >= F.length("pattern")))
 
 
-def _traced(texts: DataFrame, patterns: DataFrame, names: tuple[str, ...], run_one: Callable[[str, str, bool], Trace], steps: bool) -> DataFrame:
-    both = _pairs(texts, patterns).select("text_id", "pattern", "text")
-    kind = texts.schema["text_id"].dataType.simpleString()
-    schema = ", ".join([f"text_id {kind}", "pattern string", *(f"{n} long" for n in names)]) + (f", steps array<struct<{STEP.replace(' ', ':').replace(',:', ',')}>>" if steps else "")
+def _counted(texts: DataFrame, patterns: DataFrame, schema: str, count: Callable[[str, str], tuple]) -> DataFrame:
+    """text_id, pattern and the columns of ``schema``, of which ``count`` gives one row for each pair (none: no row)."""
+    both = pairs(texts, patterns).select("text_id", "pattern", "text")
+    whole = f"text_id {texts.schema['text_id'].dataType.simpleString()}, pattern string, {schema}"
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            traces = [run_one(t, p, steps) for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            columns = [batch.column(0), batch.column(1), *(pa.array([t[0][k] for t in traces], pa.int64()) for k in range(len(names)))]
-            if steps:
-                columns.append(pa.array([[dict(zip([f.name for f in _STEP_TYPE], (n, *s))) for n, s in enumerate(t[1])] for t in traces], pa.list_(_STEP_TYPE)))
-            yield pa.RecordBatch.from_arrays(columns, ["text_id", "pattern", *names, *(["steps"] if steps else [])])
+            found = [(k, *row) for k, (p, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())) if (row := count(t, p)) is not None]
+            columns = list(zip(*found)) or [()] * (1 + len(names))
+            own = pa.array(columns[0], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *map(pa.array, columns[1:], kinds)], ["text_id", "pattern", *names])
+
+    return both.mapInArrow(run, whole)
+
 
-    return both.mapInArrow(run, schema)
+def percent(part: int, whole: int) -> str:
+    return f"{100 * part / whole:.1f}%" if whole else "N/A"
 
 
 def naive(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Comparisons of the naive search by outcome, hits, worst case, average and efficiency in percent."""
-    c = exact.comparisons(texts, patterns)
-    n, m = F.length("text").cast("long"), F.length("pattern").cast("long")
-    sizes = _pairs(texts, patterns).select("text_id", "pattern", n.alias("n"), m.alias("m"))
+    c = exact.window_counts(texts, patterns).filter((F.col("n") >= F.col("m")) & (F.col("m") > 0))
     # Every window but a hit ends in one failed comparison.
     failed = F.col("positions") - F.col("matches")
-    return c.join(sizes, ["text_id", "pattern"]).select(
+    return c.select(
         "text_id", "pattern", F.col("comparisons").alias("total_comparisons"), (F.col("comparisons") - failed).alias("successful_comparisons"), failed.alias("failed_comparisons"),
         F.col("positions").alias("positions_checked"), F.col("matches").alias("matches_found"), (F.col("n") * F.col("m")).alias("worst_case_comparisons"),
         F.round(F.col("comparisons") / F.col("positions"), 6).alias("average_comparisons"), F.round(100 * F.col("matches") / F.col("comparisons"), 6).alias("efficiency"),
@@ -70,60 +66,70 @@ def borders(pattern: str) -> list[int]:
     return out
 
 
-def _kmp(text: str, pattern: str, keep: bool) -> Trace:
-    fail, j = borders(pattern), 0
-    same = falls = hits = 0
-    steps = []
-    for i, ch in enumerate(text):
-        at, fell = j, 0
-        while j and pattern[j] != ch:
-            j, fell = fail[j - 1], fell + 1
-        equal = pattern[j] == ch
-        same, falls, j = same + equal, falls + fell, j + equal
-        whole = j == len(pattern)
-        if whole:
-            hits, j = hits + 1, fail[j - 1]
-        if keep:
-            steps.append(("search", i, at, j, 1, whole, f"{ch!r} " + ("ends a match" if whole else "fits" if equal else "does not fit") + f" after {fell} fall(s)"))
-    return [len(text), same, len(text) - same, falls, hits], steps
+def _kmp(text: str, pattern: str) -> tuple:
+    """The state behind a character is the longest prefix that ends there; a fall passes each shorter one that ended before it and does not go on."""
+    n, m = len(text), len(pattern)
+    ends = A.ending_prefixes(text, pattern)
+    state = (ends * np.arange(1, m + 1)[:, None]).max(axis=0)
+    falls = 0
+    if m > 1:
+        went_on = np.maximum(state[1:] - 1, 0)
+        falls = int((ends[: m - 1, :-1] & (np.arange(1, m)[:, None] > went_on)).sum())
+    same, hits = int((state > 0).sum()), int((state == m).sum())
+    return n, same, n - same, falls, hits, percent(n - falls, n), borders(pattern)
+
 
+def kmp(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Failure-function search: one comparison a character counted, falls back counted apart; share of characters without a fall; the failure function."""
+    names = ("total_comparisons", "successful_comparisons", "failed_comparisons", "backtrack_count", "matches_found")
+    return _counted(texts, patterns, ", ".join(f"{n} long" for n in names) + ", efficiency string, failure_function array<int>", _kmp)
 
-def kmp(texts: DataFrame, patterns: DataFrame, steps: bool = False) -> DataFrame:
-    """Failure-function search: one comparison a character counted, falls back counted apart."""
-    return _traced(texts, patterns, ("total_comparisons", "successful_comparisons", "failed_comparisons", "backtrack_count", "matches_found"), _kmp, steps)
 
+def shifts(text: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """At each place where the pattern may lie: characters that agree from its end, and the bad-character rule's shift.
 
-def _bad_character(text: str, pattern: str, keep: bool) -> Trace:
+    Behind a hit the rule looks at the character after it, and its shift may be 0.
+    """
     n, m = len(text), len(pattern)
-    last = {c: k for k, c in enumerate(pattern)}
-    same = different = shifted = hits = at = count = 0
-    steps = []
-    while at <= n - m:
-        j = m - 1
-        while j >= 0 and pattern[j] == text[at + j]:
-            j -= 1
-        same += m - 1 - j
-        if j < 0:
-            hits += 1
-            shift = m - 1 - last.get(text[at + m], -1) if at + m < n else 1
-        else:
-            different += 1
-            shift = max(1, j - last.get(text[at + j], -1))
-        shifted, count = shifted + shift, count + 1
-        if keep:
-            steps.append(("search", at, j, at + max(1, shift), m - 1 - j + (j >= 0), j < 0, f"shift {shift}"))
-        at += max(1, shift)
-    return [same + different, same, different, count, shifted, shifted - count, hits], steps
-
-
-def boyer_moore(texts: DataFrame, patterns: DataFrame, steps: bool = False) -> DataFrame:
-    """Right-to-left search with the bad-character rule; shifts are counted as the rule gives them, even where 0."""
-    return _traced(texts, patterns, ("total_comparisons", "successful_comparisons", "failed_comparisons", "alignments_checked", "total_shifts", "characters_skipped", "matches_found"), _bad_character, steps)
+    same = A.suffix_lengths(text, pattern)
+    letters = A.codes(text)
+    last = np.full(n, -1, np.int64)
+    for k, c in enumerate(A.codes(pattern)):
+        last[letters == c] = k
+    at = np.arange(len(same))
+    wrong = m - 1 - same
+    rule = np.maximum(1, wrong - last[np.minimum(at + np.maximum(wrong, 0), n - 1)])
+    after = np.where(at + m < n, m - 1 - last[np.minimum(at + m, n - 1)], 1)
+    return same, np.where(same == m, after, rule)
+
+
+def visited(shift: np.ndarray) -> list[int]:
+    """The places at which a search looks that moves on by the shift, by one at least."""
+    following, at, out = (np.arange(len(shift)) + np.maximum(shift, 1)).tolist(), 0, []
+    while at < len(following):
+        out.append(at)
+        at = following[at]
+    return out
+
+
+def _bad_character(text: str, pattern: str) -> tuple:
+    m = len(pattern)
+    same, shift = shifts(text, pattern)
+    own = np.array(visited(shift))
+    agreed, hits, shifted = int(same[own].sum()), int((same[own] == m).sum()), int(shift[own].sum())
+    different, count = len(own) - hits, len(own)
+    return agreed + different, agreed, different, count, shifted, shifted - count, hits, percent(shifted - count, len(text))
+
+
+def boyer_moore(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Right-to-left search with the bad-character rule; shifts are counted as the rule gives them, even where 0; share of characters skipped."""
+    names = ("total_comparisons", "successful_comparisons", "failed_comparisons", "alignments_checked", "total_shifts", "characters_skipped", "matches_found")
+    return _counted(texts, patterns, ", ".join(f"{n} long" for n in names) + ", skip_efficiency string", _bad_character)
 
 
 def suffix_trie(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Walk of a pattern down the trie of suffixes: nodes_visited, pattern_found, matches_found."""
-    both = _pairs(texts, patterns)
+    both = pairs(texts, patterns)
     m = F.length("pattern")
     prefixes = F.transform(F.sequence(F.lit(1), m), lambda k: F.substring(F.col("pattern"), F.lit(1), k))
     known = F.size(F.filter(prefixes, lambda x: F.contains(F.col("text"), x)))
@@ -135,136 +141,47 @@ def suffix_trie(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def rolling_hash(texts: DataFrame, patterns: DataFrame, base: int = 256, prime: int = 101) -> DataFrame:
     """Windows whose hash is compared, characters then compared, hash hits that are no hits."""
-    both = _pairs(texts, patterns)
-    hit = exact.hashed_windows(texts, both.select("pattern").distinct(), base, prime)
-    m = F.length("pattern")
-    lcp = exact.common_prefix(F.col("window"), F.col("pattern"))
-    per = hit.select("text_id", "pattern", F.least(lcp + 1, m).alias("c"), (lcp == m).alias("equal")).groupBy("text_id", "pattern").agg(F.sum("c").alias("c"), F.sum(F.col("equal").cast("long")).alias("h"), F.count(F.lit(1)).alias("k"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    windows = both.select("text_id", "pattern", (F.length("text") - m + 1).cast("long").alias("hash_comparisons"))
-    return windows.join(per, ["text_id", "pattern"], "left").select("text_id", "pattern", "hash_comparisons", zero(F.col("c")).alias("character_comparisons"), zero(F.col("k") - F.col("h")).alias("spurious_hits"), zero(F.col("h")).alias("matches_found"))
+
+    def count(text: str, pattern: str) -> tuple:
+        m, same = len(pattern), A.prefix_lengths(text, pattern)
+        agree = A.window_hashes(text, m, base, prime) == exact.rolled(pattern, base, prime)
+        hits = int((same[agree] == m).sum())
+        return len(same), int(np.minimum(same[agree] + 1, m).sum()), int(agree.sum()) - hits, hits
+
+    return _counted(texts, patterns, "hash_comparisons long, character_comparisons long, spurious_hits long, matches_found long", count)
 
 
 def levenshtein_cells(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
     """Cells of the distance tables filled, start by start, until the first length within ``most``."""
-    stop = F.array_min(F.transform(F.filter("all", lambda x: x["dist"] <= most), lambda x: x["len"]))
-    starts = approx.edit_starts(texts, patterns, most).filter(F.col("pos") < F.col("n") - F.col("m") + most + 1).select("text_id", "pattern", "m", "all", stop.alias("stop"))
-    # Only sums leave the task in which a text is read.
-    cells = F.aggregate(F.filter("all", lambda x: x["len"] <= F.coalesce(F.col("stop"), x["len"])), F.lit(0).cast("long"), lambda a, x: a + x["len"] * F.col("m"))
-    return starts.groupBy("text_id", "pattern").agg(F.sum(cells).alias("total_cells_computed"), F.count(F.lit(1)).alias("positions_checked"), F.sum(F.col("stop").isNotNull().cast("long")).alias("matches_found"))
+    names = ("total_cells_computed", "positions_checked", "matches_found")
+    both = exact.pair(texts, patterns).filter((F.length("pattern") > 0) & (F.length("text") > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kept = [], []
+            for k, (p, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                m, starts = len(p), min(len(t), len(t) - len(p) + most + 1)
+                if starts <= 0:
+                    continue
+                lengths, dist = approx.start_distances(t, p, most)
+                fits = np.arange(starts) + lengths[:, None] <= len(t)
+                good = (dist[:, :starts] <= most) & fits
+                stop = np.where(good.any(axis=0), lengths[good.argmax(axis=0)], m + most)
+                cells = (lengths[:, None] * m * (fits & (lengths[:, None] <= stop))).sum()
+                checked = int(fits.any(axis=0).sum())
+                if checked:
+                    rows.append((int(cells), checked, int(good.any(axis=0).sum())))
+                    kept.append(k)
+            own = pa.array(kept, pa.int32())
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(c, pa.int64()) for c in columns)], ["text_id", "pattern", *names])
+
+    kind = texts.schema["text_id"].dataType.simpleString()
+    return both.select("text_id", "pattern", "text").mapInArrow(run, f"text_id {kind}, pattern string, " + ", ".join(f"{n} long" for n in names))
 
 
 def shift_or_counters(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
     """Shifts and unions of the bit states; at one error level or more the trace reports every window as a match."""
     n, m = F.length("text").cast("long"), F.length("pattern")
     hits = (n - m + 1).cast("long") if most else F.regexp_count("text", T.lookahead(F.col("pattern"))).cast("long")
-    return _pairs(texts, patterns).select("text_id", "pattern", (n * (1 + 3 * most)).alias("total_shifts"), (n * (1 + most)).alias("total_or_operations"), hits.alias("matches_found"))
-
-
-def bit_states(text: str, pattern: str, most: int = 1) -> list[dict]:
-    """States of a shift-or search character by character, as binary strings; level k = (state << 1) and the level before."""
-    m = len(pattern)
-    full = (1 << m) - 1
-    present: Counter = Counter()
-    for k, c in enumerate(pattern):
-        present[c] |= 1 << k
-    levels, out = [full] * (most + 1), []
-    for i, c in enumerate(text):
-        old, mask = levels, full & ~present[c]
-        levels = [old[0] << 1 | mask] + [(s << 1) & low for s, low in zip(old[1:], old)]
-        out.append({"text_index": i, "mask": format(mask, f"0{m}b"), "states": [format(s, f"0{m}b") for s in levels]})
-    return out
-
-
-def _naive_steps(text: str, pattern: str) -> Iterator[tuple]:
-    m = len(pattern)
-    for i in range(len(text) - m + 1):
-        same = next((j for j in range(m) if text[i + j] != pattern[j]), m)
-        yield "search", i, 0, i + 1, min(same + 1, m), same == m, "match" if same == m else f"{text[i + same]!r} is not {pattern[same]!r}"
-
-
-def _hash_steps(text: str, pattern: str, base: int = 256, prime: int = 101) -> Iterator[tuple]:
-    m = len(pattern)
-    lead = pow(base, m - 1, prime)
-    roll = lambda s: sum(ord(c) * pow(base, m - 1 - k, prime) for k, c in enumerate(s)) % prime
-    wanted, now = roll(pattern), roll(text[:m])
-    yield "preprocessing", None, None, None, 0, False, f"hash {wanted}, base {base}, prime {prime}, leading factor {lead}"
-    for i in range(len(text) - m + 1):
-        same = next((j for j in range(m) if text[i + j] != pattern[j]), m) if now == wanted else None
-        note = "hash differs" if same is None else "match" if same == m else "hash agrees, characters do not"
-        yield "search", i, now, i + 1, 0 if same is None else min(same + 1, m), same == m, note
-        if i + m < len(text):
-            now = ((now - ord(text[i]) * lead) * base + ord(text[i + m])) % prime
-
-
-def _suffix_steps(text: str, pattern: str) -> Iterator[tuple]:
-    starts = range(len(text))
-    for k, c in enumerate(pattern):
-        starts = [i for i in starts if i + k < len(text) and text[i + k] == c]
-        yield "search", None, k, len(starts), 1, False, f"{c!r} at depth {k + 1}: " + (", ".join(map(str, starts[:10])) if starts else "no suffix goes on so")
-        if not starts:
-            return
-    yield "result", starts[0], len(pattern), len(starts), 0, True, ", ".join(map(str, starts[:10]))
-
-
-def _edit_steps(text: str, pattern: str, most: int = 1) -> Iterator[tuple]:
-    m = len(pattern)
-    for i in range(len(text) - m + most + 1):
-        for n in range(max(1, m - most), min(len(text) - i, m + most) + 1):
-            a, b, operations = approx.align(pattern, text[i : i + n])
-            d = sum(o != "match" for o in operations)
-            yield ("match_found" if d <= most else "dp_computation"), i, n, d, m * n, d <= most, f"{a} / {b}"
-            if d <= most:
-                break
-
-
-def _bit_steps(text: str, pattern: str, most: int = 1) -> Iterator[tuple]:
-    for x in bit_states(text, pattern, most):
-        i = x["text_index"]
-        hit = i + 1 >= len(pattern) and any(s[-len(pattern)] == "0" for s in x["states"])
-        yield "bit_operation", i, None, None, 1 + most, hit, f"mask {x['mask']}, states {' '.join(x['states'])}"
-
-
-#: Steps of each algorithm of the registry, by name.
-STEPPERS: dict[str, Callable[[str, str], Iterator[tuple]]] = {
-    "naive": _naive_steps,
-    "kmp": lambda t, p: iter(_kmp(t, p, True)[1]),
-    "boyer_moore": lambda t, p: iter(_bad_character(t, p, True)[1]),
-    "suffix_tree": _suffix_steps,
-    "rabin_karp": _hash_steps,
-    "levenshtein": _edit_steps,
-    "shift_or": _bit_steps,
-}
-
-
-def steps(texts: DataFrame, patterns: DataFrame, algorithm: str) -> DataFrame:
-    """(algorithm, text_id, pattern, step_number, step_type, text_index, pattern_index, moved_to, comparisons, is_match, note), a row a step.
-
-    ``pattern_index`` is the place in the pattern, the window's hash for the rolling
-    hash, the window's length for edits; ``moved_to`` the next place or state, the
-    suffixes left, or the distance.
-    """
-    run_one = STEPPERS[algorithm]
-    both = _pairs(texts, patterns).select("text_id", "pattern", "text")
-    kind = texts.schema["text_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                own = enumerate(run_one(batch.column(2)[k].as_py(), batch.column(1)[k].as_py()))
-                # Steps leave in blocks, so the memory does not grow with the texts of a batch.
-                while block := list(islice(own, STEP_ROWS)):
-                    at = pa.array([k] * len(block), pa.int32())
-                    columns = zip(*((n, *s) for n, s in block))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, f.type) for c, f in zip(columns, _STEP_TYPE))], ["text_id", "pattern", *(f.name for f in _STEP_TYPE)])
-
-    return both.mapInArrow(run, f"text_id {kind}, pattern string, {STEP}").select(F.lit(algorithm).alias("algorithm"), "*")
-
-
-def step_sums(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(algorithm, text_id, pattern, steps, comparisons, matches) over all steps of all algorithms."""
-    out = None
-    for name in STEPPERS:
-        own = steps(texts, patterns, name).select("algorithm", "text_id", "pattern", "comparisons", "is_match")
-        out = own if out is None else out.union(own)
-    return out.groupBy("algorithm", "text_id", "pattern").agg(F.count(F.lit(1)).alias("steps"), F.sum("comparisons").alias("comparisons"), F.sum(F.col("is_match").cast("long")).alias("matches"))
+    return pairs(texts, patterns).select("text_id", "pattern", (n * (1 + 3 * most)).alias("total_shifts"), (n * (1 + most)).alias("total_or_operations"), hits.alias("matches_found"))

@@ -10,14 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import approx, exact, index, report, trace
+from ..operators import approx, exact, index, payload, report, trace
 from ..sources import datagen, readers
-from . import registry
+from . import measure, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 SHORT = ("the", "ere", "on")
+#: Patterns with borders, so that a failed comparison falls back.
+REPEATED = ("the", "ere", "on", "ana", "oo")
 WILD = ("th?re", "a?e", "?on")
 REPEATING = ("ABABACA", "AABAACAADAABAABA", "kitten", "AAAA", "GCAGAGAG")
 ALPHABET = ("A", "C", "G", "T")
@@ -57,6 +59,14 @@ def rolled(word: str) -> int:
     return h
 
 
+def windows_sql(patterns: tuple[str, ...]) -> str:
+    """SQL for doc_id, pattern, pos and ``win``, every window of the patterns' lengths, cut from pieces so that no long text is passed over twice."""
+    return f"""WITH pieces AS (SELECT doc_id, pattern, length(pattern) AS m, at, substring(text, at + 1, 255 + length(pattern)) AS piece FROM
+      (SELECT doc_id, text, pattern, unnest(range(0, length(text), 256)) AS at FROM documents, {values(patterns)})),
+    w AS (SELECT doc_id, pattern, m, CAST(at + i AS BIGINT) AS pos, substring(piece, i + 1, m) AS win FROM (SELECT *, unnest(range(0, least(256, greatest(length(piece) - m + 1, 0)))) AS i FROM pieces))
+    """
+
+
 def as_doc(df: DataFrame, to: str = "doc_id") -> DataFrame:
     return df.withColumnRenamed("text_id", to)
 
@@ -94,7 +104,12 @@ def rk_search(spark, sf):
 
 @query(ALL_HITS)
 def suffix_search(spark, sf):
-    return as_doc(exact.by_suffixes(documents(spark, sf), words(spark), 8))
+    return as_doc(exact.by_suffixes(documents(spark, sf), words(spark)))
+
+
+@query(ALL_HITS)
+def suffix_index_search(spark, sf):
+    return as_doc(exact.by_index(exact.suffix_index(documents(spark, sf)), words(spark)))
 
 
 @query(ALL_HITS)
@@ -136,7 +151,16 @@ def regex_unescaped(spark, sf):
     return as_doc(exact.regex_matches(documents(spark, sf), words(spark, ("th[a-z]re", "on{2}"))))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT doc_id, pattern, string_split_regex(text, pattern) AS pieces, regexp_extract_all(text, pattern) AS found FROM documents, (VALUES ('th[a-z]re'), ('on{2}')) q(pattern)),
+    r AS (SELECT doc_id, pattern, length(unnest(pieces[:len(found)])) AS before, length(unnest(found)) AS n, generate_subscripts(found, 1) AS k FROM p WHERE len(found) > 0)
+    SELECT doc_id, pattern, CAST(sum(before + n) OVER (PARTITION BY doc_id, pattern ORDER BY k) - n AS BIGINT) AS pos, n AS length FROM r"""
+)
+def regex_starts(spark, sf):
+    return as_doc(exact.regex_starts(documents(spark, sf), words(spark, ("th[a-z]re", "on{2}"))))
+
+
+@query(windows_sql(WILD) + "SELECT doc_id, pattern, pos FROM w WHERE len(list_filter(range(1, m + 1), lambda j: substring(pattern, j, 1) <> '?' AND substring(pattern, j, 1) <> substring(win, j, 1))) = 0")
 def wildcard_search(spark, sf):
     return as_doc(exact.wildcard_search(documents(spark, sf), words(spark, WILD)))
 
@@ -279,7 +303,7 @@ def hamming_search(spark, sf):
     return as_doc(approx.hamming_search(items(spark, sf), words(spark, ("tion", "there")), 1), "item_id")
 
 
-@query()
+@query(windows_sql(("tion", "there")) + "SELECT doc_id, pattern, pos, CAST(d AS BIGINT) AS dist FROM (SELECT *, len(list_filter(range(1, m + 1), lambda j: substring(pattern, j, 1) <> substring(win, j, 1))) AS d FROM w) WHERE d <= 1")
 def hamming_documents(spark, sf):
     return as_doc(approx.hamming_search(documents(spark, sf), words(spark, ("tion", "there")), 1))
 
@@ -328,6 +352,14 @@ def bitvector_score_compat(spark, sf):
     return as_doc(approx.bitvector_score_compat(items(spark, sf), words(spark, ("tion", "there")), 1), "item_id")
 
 
+@query("SELECT a.n_name AS pattern, b.n_name AS text, levenshtein(a.n_name, b.n_name) AS edits, true AS whole FROM nation a, nation b")
+def alignment_cost(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select("n_name")
+    out = approx.alignments(n.select(F.col("n_name").alias("pattern")).crossJoin(n.select(F.col("n_name").alias("text"))))
+    whole = (F.regexp_replace("pattern_aligned", "-", "") == F.col("pattern")) & (F.regexp_replace("text_aligned", "-", "") == F.col("text"))
+    return out.select("pattern", "text", F.size(F.filter("operations", lambda o: o != "match")).cast("long").alias("edits"), whole.alias("whole"))
+
+
 @query()
 def alignment(spark, sf):
     n = spark.read.parquet(f"{sf}/nation.parquet").select("n_name")
@@ -361,7 +393,9 @@ OVER_DOCUMENTS: dict[str, Callable[[SparkSession, DataFrame], DataFrame]] = {
     "trace_naive": lambda spark, t: trace.naive(t, words(spark)),
     "trace_suffix": lambda spark, t: trace.suffix_trie(t, words(spark)),
     "trace_lev_cells": lambda spark, t: trace.levenshtein_cells(t, words(spark, NEAR), 1),
-    "trace_steps": lambda spark, t: trace.step_sums(t, words(spark, NEAR)),
+    "trace_kmp": lambda spark, t: trace.kmp(t, words(spark)).withColumn("failure_function", F.array_join("failure_function", ",")),
+    "trace_bm": lambda spark, t: trace.boyer_moore(t, words(spark)),
+    "trace_steps": lambda spark, t: payload.step_counts(t, words(spark, NEAR)),
     "rk_hash_stats": lambda spark, t: trace.rolling_hash(t, words(spark)),
     "rk_window_hash": lambda spark, t: index.window_hashes(t, 4),
     "suffix_table": lambda spark, t: exact.suffixes(t, 8),
@@ -418,23 +452,44 @@ def trace_lev_cells(spark, sf):
     return as_doc(trace.levenshtein_cells(items(spark, sf), words(spark, ("tion", "there")), 1), "item_id")
 
 
-@query()
+# Prefixes of the pattern (by length) that end at each character; a fall passes one that ended before and does not go on.
+@query(
+    f"""WITH c AS (SELECT item_id, text, pattern, length(pattern) AS m, length(text) AS n, unnest(range(1, length(text) + 1)) AS i FROM benchmark, {values(REPEATED)} WHERE length(text) >= length(pattern)),
+    e AS (SELECT *, list_filter(range(1, m + 1), lambda k: k <= i AND substring(text, CAST(i - k + 1 AS INT), CAST(k AS INT)) = substring(pattern, 1, CAST(k AS INT))) AS now,
+      list_filter(range(1, m), lambda k: k < i AND substring(text, CAST(i - k AS INT), CAST(k AS INT)) = substring(pattern, 1, CAST(k AS INT))) AS before FROM c),
+    f AS (SELECT item_id, pattern, m, n, coalesce(list_max(now), 0) AS state, before FROM e),
+    g AS (SELECT item_id, pattern, n, state = m AS hit, state > 0 AS same, len(list_filter(before, lambda k: k > greatest(state - 1, 0))) AS falls FROM f)
+    SELECT item_id, pattern, n AS total_comparisons, CAST(sum(same::INT) AS BIGINT) AS successful_comparisons, CAST(n - sum(same::INT) AS BIGINT) AS failed_comparisons, CAST(sum(falls) AS BIGINT) AS backtrack_count,
+      CAST(sum(hit::INT) AS BIGINT) AS matches_found FROM g GROUP BY item_id, pattern, n"""
+)
 def trace_kmp(spark, sf):
-    return as_doc(trace.kmp(documents(spark, sf), words(spark)))
+    return as_doc(trace.kmp(items(spark, sf), words(spark, REPEATED)).drop("efficiency", "failure_function"), "item_id")
 
 
-@query()
+LAST = "CASE WHEN contains(pattern, {c}) THEN m - strpos(reverse(pattern), {c}) ELSE -1 END"
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT item_id, text, pattern, length(pattern) AS m, length(text) AS n FROM benchmark, {values(REPEATED)} WHERE length(text) >= length(pattern)),
+    p AS (SELECT *, unnest(range(0, n - m + 1)) AS at FROM c),
+    q AS (SELECT *, coalesce(list_min(list_filter(range(0, m), lambda r: substring(pattern, CAST(m - r AS INT), 1) <> substring(text, CAST(at + m - r AS INT), 1))), m) AS same FROM p),
+    s AS (SELECT item_id, pattern, m, n, at, same, CASE WHEN same = m THEN CASE WHEN at + m < n THEN m - 1 - ({LAST.format(c="substring(text, CAST(at + m + 1 AS INT), 1)")}) ELSE 1 END
+      ELSE greatest(1, m - 1 - same - ({LAST.format(c="substring(text, CAST(at + m - same AS INT), 1)")})) END AS shift FROM q),
+    walk AS (SELECT * FROM s WHERE at = 0 UNION ALL SELECT s.* FROM walk JOIN s ON s.item_id = walk.item_id AND s.pattern = walk.pattern AND s.at = walk.at + greatest(1, walk.shift))
+    SELECT item_id, pattern, CAST(sum(same + (same < m)::INT) AS BIGINT) AS total_comparisons, CAST(sum(same) AS BIGINT) AS successful_comparisons, CAST(sum((same < m)::INT) AS BIGINT) AS failed_comparisons,
+      count(*) AS alignments_checked, CAST(sum(shift) AS BIGINT) AS total_shifts, CAST(sum(shift) - count(*) AS BIGINT) AS characters_skipped, CAST(sum((same = m)::INT) AS BIGINT) AS matches_found FROM walk GROUP BY item_id, pattern"""
+)
 def trace_bm(spark, sf):
-    return as_doc(trace.boyer_moore(documents(spark, sf), words(spark)))
+    return as_doc(trace.boyer_moore(items(spark, sf), words(spark, REPEATED)).drop("skip_efficiency"), "item_id")
 
 
 @query()
 def trace_steps(spark, sf):
-    out = None
-    for name in trace.STEPPERS:
-        own = trace.steps(items(spark, sf), words(spark, ("tion", "there")), name)
-        out = own if out is None else out.union(own)
-    return as_doc(out, "item_id")
+    return as_doc(payload.all_steps(items(spark, sf), words(spark, NEAR)), "item_id")
+
+
+for _name in payload.STEPPERS:
+    QUERIES[f"steps_{_name}"] = lambda spark, sf, name=_name: as_doc(payload.steps(items(spark, sf), words(spark, NEAR), name), "item_id")
 
 
 # Benchmark rows without clocks: language and source stand for category and algorithm, lengths for times.
@@ -476,13 +531,8 @@ def speedup_vs_baseline(spark, sf):
     return report.speedup(runs(spark, sf), "src0")
 
 
-@query(RUNS + "SELECT category, " + ", ".join(f"round(coalesce(avg(search_ms) FILTER (WHERE algorithm = '{a}'), 0.0), 6) AS {a}" for a in ("src0", "src1", "src2")) + " FROM runs GROUP BY category")
-def category_pivot(spark, sf):
-    return report.pivoted(runs(spark, sf), "category", ["src0", "src1", "src2"])
-
-
 @query(RUNS + ", a AS (SELECT DISTINCT algorithm FROM runs), c AS (SELECT DISTINCT category FROM runs) SELECT c.category, a.algorithm, round(coalesce(avg(r.search_ms), 0.0), 6) AS mean_ms FROM c CROSS JOIN a LEFT JOIN runs r ON r.category = c.category AND r.algorithm = a.algorithm GROUP BY c.category, a.algorithm")
-def category_pivot_all(spark, sf):
+def category_pivot(spark, sf):
     return report.every_pair(runs(spark, sf), ["category"], F.avg("search_ms"), "mean_ms")
 
 
@@ -501,13 +551,8 @@ def bucket_by_algorithm(spark, sf):
     return report.bucket_by_algorithm(runs(spark, sf))
 
 
-@query(RUNS + "SELECT pattern_name, " + ", ".join(f"round(coalesce(min(search_ms) FILTER (WHERE algorithm = '{a}'), 0.0), 6) AS {a}" for a in ("src0", "src1", "src2")) + " FROM runs WHERE category = 'en' GROUP BY pattern_name")
-def category_patterns(spark, sf):
-    return report.patterns_of(runs(spark, sf), "en", ["src0", "src1", "src2"])
-
-
 @query(RUNS + ", a AS (SELECT DISTINCT algorithm FROM runs), p AS (SELECT DISTINCT category, pattern_name FROM runs) SELECT p.category, p.pattern_name, a.algorithm, round(coalesce(min(r.search_ms), 0.0), 6) AS search_ms FROM p CROSS JOIN a LEFT JOIN runs r ON r.category = p.category AND r.pattern_name = p.pattern_name AND r.algorithm = a.algorithm GROUP BY p.category, p.pattern_name, a.algorithm")
-def category_patterns_all(spark, sf):
+def category_patterns(spark, sf):
     return report.every_pair(runs(spark, sf), ["category", "pattern_name"], F.min("search_ms"), "search_ms")
 
 
@@ -655,19 +700,22 @@ def sample_searches(spark, sf):
 
 
 @query()
-def search_all_algorithms(spark, sf):
-    return as_doc(registry.search(items(spark, sf), words(spark, ("tion", "there"))), "item_id")
+def search_results(spark, sf):
+    return measure.results(items(spark, sf), words(spark, NEAR), [*registry.ALL, "no_such_algorithm"]).drop("seconds", "milliseconds")
 
 
-@query("SELECT page_id || '.' || CASE page_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'FASTA' WHEN 2 THEN 'exe' ELSE 'dat' END AS name, substring(html, 1, 2000) AS content, length(html) AS size, length(html) > 2000 AS truncated FROM pages WHERE page_id % 4 <> 2")
-def upload_filter(spark, sf):
-    p = spark.read.parquet(f"{sf}/pages.parquet")
-    kind = F.element_at(F.array(*map(F.lit, ("txt", "FASTA", "exe", "dat"))), (F.col("page_id") % 4 + 1).cast("int"))
-    return readers.accepted_uploads(p.select(F.concat(F.col("page_id").cast("string"), F.lit("."), kind).alias("name"), F.col("html").alias("content")), 2000)
+@query()
+def edit_grid(spark, sf):
+    return measure.edit_grid(spark, ["random", "repetitive"], [100, 500], (20, 50), 2, (0, 2))
+
+
+@query()
+def search_all_algorithms(spark, sf):
+    return as_doc(registry.search(items(spark, sf), words(spark, ("tion", "there"))), "item_id")
 
 
 @query(f"SELECT page_id || '.txt' AS name, substring(html, 1, {readers.UPLOAD_CHARS}) AS content, length(html) AS size, length(html) > {readers.UPLOAD_CHARS} AS truncated FROM pages")
-def upload_pages(spark, sf):
+def upload_filter(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet")
     return readers.accepted_uploads(p.select(F.concat(F.col("page_id").cast("string"), F.lit(".txt")).alias("name"), F.col("html").alias("content")))
 

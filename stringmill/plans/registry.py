@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import approx, exact
+from ..sources.readers import stripped
 
 Builder = Callable[[DataFrame, DataFrame, int], DataFrame]
 
@@ -36,13 +37,13 @@ FACTS = (
 )
 #: How this engine runs each of them.
 PLANS = {
-    "naive": "windows of each piece of a text are compared with the pattern",
-    "kmp": "one look-ahead split a text",
-    "boyer_moore": "native substring search over Arrow batches",
-    "suffix_tree": "a table of cut suffixes, filtered by prefix",
-    "levenshtein": "distances of all near lengths at each start, then a greedy pass",
+    "naive": "all windows of a text are compared at once, character by character of the pattern",
+    "kmp": "a look-ahead split of each piece of a text, in the JVM",
+    "boyer_moore": "Python's substring search over Arrow batches",
+    "suffix_tree": "suffixes put in order once a text, two binary searches a pattern",
+    "levenshtein": "distances of all near lengths at all starts at once, then a greedy pass",
     "shift_or": "vector comparison of windows over Arrow batches",
-    "rabin_karp": "windows meet patterns on length and hash, characters decide",
+    "rabin_karp": "hashes of all windows at once, characters decide",
 }
 #: Sample data.  Fixed values.
 SAMPLES = (
@@ -68,15 +69,18 @@ def health(spark: SparkSession) -> DataFrame:
 
 
 def search(texts: DataFrame, patterns: DataFrame, names: list[str] | None = None, most: int = 1) -> DataFrame:
-    """(algorithm, text_id, pattern, pos) of each algorithm named; unknown names are left out, distances fall away."""
-    out = None
-    p = patterns.filter(F.length(F.trim("pattern")) > 0)
+    """(algorithm, text_id, pattern, pos) of each algorithm named; distances fall away.
+
+    Texts and patterns are stripped of white space at both ends first; an empty
+    pattern has no hits.  An unknown name is an error; ``measure.results`` gives a row for it.
+    """
+    if unknown := [n for n in names or () if n not in ALL]:
+        raise ValueError(f"no such algorithms: {unknown}")
+    t, p = (df.withColumn(c, stripped(F.col(c))) for df, c in ((texts, "text"), (patterns, "pattern")))
+    p, out = p.filter("pattern != ''"), None
     for name in names or list(ALL):
-        if name in ALL:
-            hits = ALL[name](texts, p, most).select(F.lit(name).alias("algorithm"), "text_id", "pattern", F.col("pos").cast("long").alias("pos"))
-            out = hits if out is None else out.union(hits)
-    if out is None:
-        raise ValueError(f"no such algorithm among {names}")
+        hits = ALL[name](t, p, most).select(F.lit(name).alias("algorithm"), "text_id", "pattern", F.col("pos").cast("long").alias("pos"))
+        out = hits if out is None else out.union(hits)
     return out
 
 

@@ -1,0 +1,5 @@
+"""Readers, writers and seeded generators."""
+
+from . import datagen, readers, writers
+
+__all__ = ["datagen", "readers", "writers"]

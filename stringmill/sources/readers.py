@@ -83,8 +83,12 @@ def read_patterns(spark: SparkSession, root: str, categories: list[str] | None =
     return exact.first_of_each(df, "category", "name", limit)
 
 
-def count_patterns(patterns: DataFrame) -> DataFrame:
-    """Number of patterns by category."""
+def count_patterns(patterns: DataFrame, categories: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Number of patterns by category, of the categories named, at most ``limit`` counted in each."""
+    if categories:
+        patterns = patterns.filter(F.col("category").isin(categories))
+    if limit is not None:
+        return patterns.groupBy("category").agg(F.least(F.count(F.lit(1)), F.lit(limit)).cast("long").alias("n"))
     return patterns.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -30,8 +30,11 @@ def write_table(df: DataFrame, path: str, widths: dict[str, int]) -> None:
     df.select(F.rtrim(F.concat(*cells)).alias("value")).write.mode("overwrite").text(path)
 
 
-def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
-    """A small aggregate as a markdown table; ``most`` is the report's length, not a sample for further work."""
-    rows = df.limit(most).collect()
+def markdown(df: DataFrame, title: str, most: int | None = 1000) -> str:
+    """A small aggregate as a markdown table; of more than ``most`` rows the rest is left out, and the last line says so."""
+    rows = df.collect() if most is None else df.limit(most + 1).collect()
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join("-" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
+    lines += ["| " + " | ".join("-" if v is None else str(v) for v in r) + " |" for r in rows[:most]]
+    if most is not None and len(rows) > most:
+        lines += ["", f"Only the first {most} rows are shown."]
+    return "\n".join(lines) + "\n"

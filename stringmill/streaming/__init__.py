@@ -1,0 +1,5 @@
+"""Searches over streams."""
+
+from . import search
+
+__all__ = ["search"]

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stringmill.functions import text as T
-from stringmill.operators import approx, exact, index, trace
-from stringmill.plans import catalogue, registry
+from stringmill.operators import approx, exact, index, payload, report, trace
+from stringmill.plans import catalogue, measure, registry
 
 SEARCHES = {"split": exact.by_split, "find": exact.by_find, "windows": exact.by_windows, "hash": exact.by_hash, "suffixes": exact.by_suffixes, "bits": exact.by_bits, "chunked": lambda t, p: exact.chunked(t, p, 7)}
 
@@ -170,39 +170,56 @@ def test_alignment_costs_its_distance():
 
 def test_traces(spark):
     t, p = frames(spark, ["ABABDABACDABABCABAB"], ["ABAB"])
-    k = trace.kmp(t, p, steps=True).first()
-    assert k.matches_found == 3 and k.total_comparisons == 19 == len(k.steps) and k.successful_comparisons + k.failed_comparisons == 19
-    b = trace.boyer_moore(t, p, steps=True).first()
-    assert b.matches_found == 3 and b.alignments_checked == len(b.steps) and b.characters_skipped == b.total_shifts - b.alignments_checked
-    assert sum(s.comparisons for s in b.steps) == b.total_comparisons
+    k = trace.kmp(t, p).first()
+    assert k.matches_found == 3 and k.total_comparisons == 19 and k.successful_comparisons + k.failed_comparisons == 19 and k.failure_function == [0, 0, 1, 2]
+    assert k.efficiency == f"{100 * (19 - k.backtrack_count) / 19:.1f}%"
+    b = trace.boyer_moore(t, p).first()
+    assert b.matches_found == 3 and b.characters_skipped == b.total_shifts - b.alignments_checked and b.skip_efficiency == f"{100 * b.characters_skipped / 19:.1f}%"
     r = trace.rolling_hash(t, p).first()
     assert (r.hash_comparisons, r.matches_found) == (16, 3) and r.character_comparisons >= 12
     s = trace.shift_or_counters(t, p, 0).first()
     assert (s.total_shifts, s.total_or_operations, s.matches_found) == (19, 19, 3)
-    states = trace.bit_states("xABAB", "ABAB", 0)
-    assert [x["states"][0][-4] for x in states] == ["1", "1", "1", "1", "0"]
 
 
 def test_steps_find_what_the_searches_find(spark):
     text, pattern = "ABABDABACDABABCABAB", "ABAB"
-    t, p = frames(spark, [text], [pattern])
+    t, p = frames(spark, [text, "AB", ""], [pattern, ""])
     hits = overlapping(text, pattern)
-    found = {n: [r for r in trace.steps(t, p, n).orderBy("step_number").collect()] for n in trace.STEPPERS}
-    assert [r.text_index for r in found["naive"] if r.is_match] == hits == [r.text_index for r in found["rabin_karp"] if r.is_match]
-    assert [r.text_index - 3 for r in found["kmp"] if r.is_match] == hits == [r.text_index for r in found["boyer_moore"] if r.is_match]
-    assert found["suffix_tree"][-1].note == ", ".join(map(str, hits)) and len(found["suffix_tree"]) == 5
-    assert {r.text_index for r in found["levenshtein"] if r.is_match} >= set(hits)
-    assert [r.is_match for r in found["shift_or"]] == [i >= 3 for i in range(len(text))]
-    assert all(r.step_number == k for rows in found.values() for k, r in enumerate(rows))
-
-
-def test_traces_over_documents(spark, sf_dir):
-    rows = {r.text_id: r.text for r in catalogue.documents(spark, sf_dir).collect()}
-    for name in ("trace_kmp", "trace_bm"):
-        for r in catalogue.QUERIES[name](spark, sf_dir).collect():
-            assert r.matches_found == len(overlapping(rows[r.doc_id], r.pattern)) or len(overlapping(rows[r.doc_id], r.pattern)) > r.matches_found >= 0
-            if name == "trace_kmp":
-                assert r.matches_found == len(overlapping(rows[r.doc_id], r.pattern)) and r.total_comparisons == len(rows[r.doc_id])
+    found = {n: payload.steps(t, p, n).orderBy("step_number").collect() for n in payload.STEPPERS}
+    assert all([r.step_number for r in rows] == list(range(n == "naive", len(rows) + (n == "naive"))) and {r.text_id for r in rows} == {0} for n, rows in found.items())
+    of = lambda n, kind="search": [r for r in found[n] if r.step_type == kind]
+    k, b, r = trace.kmp(t, p).first(), trace.boyer_moore(t, p).first(), trace.rolling_hash(t, p).first()
+    naive = found["naive"]
+    assert [x.text_position for x in naive if x.is_match] == hits and naive[-1].total_comparisons_so_far == exact.comparisons(t, p).filter("text_id = 0").first().comparisons
+    assert all(c.text_char == text[c.text_index] and c.pattern_char == pattern[c.pattern_index] and c.is_match == (c.text_char == c.pattern_char) for x in naive for c in x.comparisons)
+    assert found["kmp"][0].failure_function == [0, 0, 1, 2] and [x.match_position for x in of("kmp") if x.is_match] == hits
+    assert sum(d.reason.startswith("Mismatch") for x in of("kmp") for d in x.backtrack_details) == k.backtrack_count and len(of("kmp")) == 19
+    assert all(x.current_alignment == x.text_index - x.new_pattern_index and x.backtracked == any(d.reason.startswith("Mis") for d in x.backtrack_details) for x in of("kmp"))
+    assert found["boyer_moore"][0].bad_char_table == {"A": 2, "B": 3} and [x.match_position for x in of("boyer_moore") if x.is_match] == hits
+    assert sum(x.shift for x in of("boyer_moore")) == b.total_shifts and sum(x.comparisons_count for x in of("boyer_moore")) == b.total_comparisons == of("boyer_moore")[-1].total_comparisons_so_far
+    assert all(x.mismatch_char == text[x.text_position + x.pattern_index] and x.pattern_index >= 0 for x in of("boyer_moore") if not x.is_match)
+    tree = found["suffix_tree"]
+    assert [x.suffix for x in tree[:5]] == [text[i:] for i in range(5)] and tree[5].suffix is None and len(tree) == 5 + 1 + 4 + 1
+    assert tree[-1].match_positions == hits and [x.num_matches_so_far for x in of("suffix_tree")] == [sum(text[i:].startswith(pattern[:k]) for i in range(19)) for k in range(1, 5)]
+    assert found["rabin_karp"][0].h_value == pow(256, 3, 101) and [x.text_position for x in of("rabin_karp") if x.is_match] == hits
+    assert sum(x.is_spurious_hit for x in of("rabin_karp")) == r.spurious_hits and of("rabin_karp")[-1].total_comparisons_so_far == r.character_comparisons
+    assert all(a.next_hash == z.current_hash for a, z in zip(of("rabin_karp"), of("rabin_karp")[1:]))
+    first = approx.edit_search_first_length(t, p, 1).filter("text_id = 0").orderBy("pos").collect()
+    assert [(x.start_position, x.substring_length, x.edit_distance) for x in of("levenshtein", "match_found")] == [(x.pos, x["len"], x.dist) for x in first if x.pos < 19 - 4 + 2]
+    cells = of("levenshtein", "dp_computation")
+    assert all(x.chosen_cost == min(x.deletion_cost, x.insertion_cost, x.substitution_cost) == x.dp_matrix[x.dp_row][x.dp_col] and x.operation in ("match", "substitute", "delete", "insert") for x in cells)
+    assert all(x.start_position < 3 or sum(y.step_number < x.step_number for y in of("levenshtein", "match_found")) < 2 for x in cells)
+    # The empty table is shown for the longest substring of the first start, if no shorter one matches.
+    assert of("levenshtein", "preprocessing") == [] and [x[0] for x in payload._levenshtein("xyzxyzxyz", pattern)].count("preprocessing") == 1
+    bits = of("shift_or", "bit_operation")
+    assert len(bits) == 19 and all(x.old_states == (y.new_states if y else ["1111"] * 2) for x, y in zip(bits, [None, *bits]))
+    assert [m.position for x in bits for m in x.matches_found if m.errors == 0] == hits and found["shift_or"][0].pattern_masks == {"A": "1010", "B": "0101"}
+
+
+def test_steps_leave_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(payload, "STEP_ROWS", 7)
+    t, p = frames(spark, ["there is the station over there"] * 2, ["tion", "there"])
+    assert payload.all_steps(t, p).groupBy("algorithm", "text_id", "pattern").agg(F.max("step_number").alias("m"), F.count("*").alias("n")).filter("m + 1 != n AND m != n").count() == 0
 
 
 def test_documents_against_brute_force(spark, sf_dir):
@@ -227,8 +244,11 @@ def test_lcs(spark):
 def test_registry(spark):
     t = registry.samples(spark).select(F.col("key").alias("text_id"), "text").filter("text_id = 'repetitive'")
     p = spark.createDataFrame([("AAA",), (" ",)], "pattern string")
-    counts = {r.algorithm: r["count"] for r in registry.search(t, p, [*registry.EXACT, "nonsense"]).groupBy("algorithm").count().collect()}
+    counts = {r.algorithm: r["count"] for r in registry.search(t, p, [*registry.EXACT]).groupBy("algorithm").count().collect()}
     assert counts == {n: 38 for n in registry.EXACT}
+    rows = {r.algorithm: r for r in measure.results(t, p, [*registry.EXACT, "nonsense"]).collect()}
+    assert all(rows[n].success and rows[n].matches == 38 and rows[n].error is None for n in registry.EXACT)
+    assert not rows["nonsense"].success and "nonsense" in rows["nonsense"].error and rows["nonsense"].matches is None
     with pytest.raises(ValueError):
         registry.search(t, p, ["nonsense"])
     assert registry.algorithms(spark, "kmp").count() == 1 and {r.algorithms for r in registry.health(spark).collect()} == {5, 2}
@@ -298,3 +318,30 @@ def test_passages_against_contains(spark, monkeypatch):
         some = p.filter("pattern != ''").select("pattern")
         for search in (exact.by_split, exact.by_find, exact.by_bits):
             assert sorted(tuple(r) for r in search(t, some.distinct()).collect()) == sorted((i, w, at) for i, s in enumerate(texts) for w in {x for x in patterns if x} for at in overlapping(s, w))
+
+
+def test_measured_runs_and_findings(spark):
+    t = spark.createDataFrame([(0, "ATCGATCGTTAG" * 20)], "text_id long, text string")
+    p = spark.createDataFrame([("average", "a", "ATCG"), ("rare", "b", "GGGG")], "category string, name string, pattern string")
+    runs = measure.exact_runs(t, p, ["boyer_moore", "suffix_tree", "rabin_karp"])
+    rows = {(r.pattern_name, r.algorithm): r for r in runs.collect()}
+    assert len(rows) == 6 and {rows["a", n].matches_count for n in ("boyer_moore", "suffix_tree", "rabin_karp")} == {len(overlapping("ATCGATCGTTAG" * 20, "ATCG"))}
+    assert rows["a", "rabin_karp"].memory_kb == 72 / 1024 and rows["a", "suffix_tree"].preprocessing_ms == rows["b", "suffix_tree"].preprocessing_ms > 0
+    assert all(r.search_ms > 0 and r.cpu_ms >= 0 for r in rows.values())
+    text = measure.findings(runs)
+    assert "## Findings" in text and "- Fastest: " in text and "- Runs: 6" in text and measure.amortised(10, 4) == 2.5
+
+
+def test_suffix_index_is_reused(spark, tmp_path):
+    texts = ["banana", "", None, "aaa", "ananas\U0001f600"]
+    t, p = frames(spark, texts, ["ana", "a", "\U0001f600", "x", ""])
+    exact.suffix_index(t).write.parquet(str(tmp_path / "index"))
+    kept = spark.read.parquet(str(tmp_path / "index"))
+    assert {r.text_id: r.suffixes for r in kept.collect()} == {k: sorted(range(len(s or "")), key=lambda i: s[i:]) for k, s in enumerate(texts)}
+    assert sorted(map(tuple, exact.by_index(kept, p).collect())) == sorted((k, w, i) for k, s in enumerate(texts) for w in ("ana", "a", "\U0001f600", "x") for i in overlapping(s, w))
+
+
+def test_package_exports():
+    import stringmill
+
+    assert all(hasattr(stringmill, n) for n in stringmill.__all__)

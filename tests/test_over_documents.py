@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from stringmill.operators import approx, exact, trace
+from stringmill.operators import approx, exact, payload, trace
 from stringmill.plans import catalogue
 
 from .test_operators import distance, overlapping
@@ -73,17 +73,54 @@ def test_traces(spark, fixture):
     assert set(rows(spark, fixture, "trace_lev_cells")) == cells
 
 
-def test_steps_in_blocks(spark, fixture, monkeypatch):
+def test_steps_are_counted(spark, fixture, monkeypatch):
     want = Counter()
-    for name, run in trace.STEPPERS.items():
+    for name, run in payload.STEPPERS.items():
         for k, t in enumerate(fixture[1]):
             for w in NEAR:
-                if len(t) >= len(w) and (steps := list(run(t, w))):
-                    want[name, k, w, len(steps), sum(s[4] for s in steps), sum(s[5] for s in steps)] += 1
-    monkeypatch.setattr(trace, "STEP_ROWS", 7)
+                if len(t) >= len(w):
+                    types = Counter(x[0] or "search" for x in (run(t, w, cells=False) if name == "levenshtein" else run(t, w)))
+                    want.update((name, k, w, kind, n) for kind, n in types.items())
     assert rows(spark, fixture, "trace_steps") == want
 
 
+def plain_kmp(t, w):
+    """Counters by the plain search: characters, equal ones, falls, hits."""
+    fail, j, same, falls, hits = trace.borders(w), 0, 0, 0, 0
+    for c in t:
+        while j and w[j] != c:
+            j, falls = fail[j - 1], falls + 1
+        if w[j] == c:
+            same, j = same + 1, j + 1
+        if j == len(w):
+            hits, j = hits + 1, fail[j - 1]
+    return len(t), same, len(t) - same, falls, hits
+
+
+def plain_bm(t, w):
+    """Counters by the plain search from the right with the bad-character rule."""
+    n, m, at, same, wrong, moved, hits, seen = len(t), len(w), 0, 0, 0, 0, 0, 0
+    while at <= n - m:
+        k = next((k for k in range(m) if w[m - 1 - k] != t[at + m - 1 - k]), m)
+        if k == m:
+            shift = m - 1 - w.rfind(t[at + m]) if at + m < n else 1
+        else:
+            shift = max(1, m - 1 - k - w.rfind(t[at + m - 1 - k]))
+        at, same, wrong, moved, hits, seen = at + max(1, shift), same + k, wrong + (k < m), moved + shift, hits + (k == m), seen + 1
+    return same + wrong, same, wrong, seen, moved, moved - seen, hits
+
+
+def test_search_counters(spark, fixture):
+    pairs = [(k, w, t) for k, t in enumerate(fixture[1]) for w in SHORT if len(t) >= len(w)]
+    assert {r[:7] for r in rows(spark, fixture, "trace_kmp")} == {(k, w, *plain_kmp(t, w)) for k, w, t in pairs}
+    assert {r[:9] for r in rows(spark, fixture, "trace_bm")} == {(k, w, *plain_bm(t, w)) for k, w, t in pairs}
+    rnd = random.Random(3)
+    for _ in range(2000):
+        w, t = ("".join(rnd.choice("ab") for _ in range(rnd.randint(1, n))) for n in (6, 30))
+        if len(t) >= len(w):
+            assert trace._kmp(t, w)[:5] == plain_kmp(t, w) and trace._bad_character(t, w)[:7] == plain_bm(t, w)
+
+
 def test_edits(spark, fixture):
     greedy, first = Counter(), Counter()
     for k, t in enumerate(fixture[1]):

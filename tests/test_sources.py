@@ -116,7 +116,7 @@ def test_all_pages_are_uploads_up_to_the_bound(spark, tmp_path):
     most = readers.UPLOAD_CHARS
     pages = [(k, "u", "é" * n) for k, n in enumerate((5, 2001, most, most + 1, 0))]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r.name: tuple(r)[1:] for r in catalogue.QUERIES["upload_pages"](spark, str(tmp_path)).collect()}
+    got = {r.name: tuple(r)[1:] for r in catalogue.QUERIES["upload_filter"](spark, str(tmp_path)).collect()}
     assert got == {f"{k}.txt": (h[:most], len(h), len(h) > most) for k, _, h in pages}
     files = spark.createDataFrame([(n, "x" * 7) for n in ("a.exe", "txt", "a.txt.exe", "a.FQ", "a.exe.txt", "b.FASTQ")], "name string, content string")
     assert {tuple(r) for r in readers.accepted_uploads(files, 6).collect()} == {(n, "x" * 6, 7, True) for n in ("a.exe.txt", "b.FASTQ")}
@@ -125,8 +125,8 @@ def test_all_pages_are_uploads_up_to_the_bound(spark, tmp_path):
 def test_pivots_of_all_algorithms_and_categories(spark, tmp_path):
     docs = [(1, "aa", "en", "src0", 16), (2, "b", "fr", "src7", 8), (3, "b", "fr", "src7", 24), (4, "c", None, "new", 80)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    means = {(r.category, r.algorithm): r.mean_ms for r in catalogue.QUERIES["category_pivot_all"](spark, str(tmp_path)).collect()}
+    means = {(r.category, r.algorithm): r.mean_ms for r in catalogue.QUERIES["category_pivot"](spark, str(tmp_path)).collect()}
     assert means == {(c, a): 0.0 for c in ("en", "fr", None) for a in ("src0", "src7", "new")} | {("en", "src0"): 2.0, ("fr", "src7"): 2.0, (None, "new"): 10.0}
-    rows = [tuple(r) for r in catalogue.QUERIES["category_patterns_all"](spark, str(tmp_path)).select("category", "pattern_name", "algorithm", "search_ms").collect()]
+    rows = [tuple(r) for r in catalogue.QUERIES["category_patterns"](spark, str(tmp_path)).select("category", "pattern_name", "algorithm", "search_ms").collect()]
     want = {(lang, str(d), a): n / 8 if a == s else 0.0 for d, _, lang, s, n in docs for a in ("src0", "src7", "new")}
     assert len(rows) == len(want) and {r[:3]: r[3] for r in rows} == want
