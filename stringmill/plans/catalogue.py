@@ -61,9 +61,9 @@ def rolled(word: str) -> int:
 
 def windows_sql(patterns: tuple[str, ...]) -> str:
     """SQL for doc_id, pattern, pos and ``win``, every window of the patterns' lengths, cut from pieces so that no long text is passed over twice."""
-    return f"""WITH pieces AS (SELECT doc_id, pattern, length(pattern) AS m, at, substring(text, at + 1, 255 + length(pattern)) AS piece FROM
-      (SELECT doc_id, text, pattern, unnest(range(0, length(text), 256)) AS at FROM documents, {values(patterns)})),
-    w AS (SELECT doc_id, pattern, m, CAST(at + i AS BIGINT) AS pos, substring(piece, i + 1, m) AS win FROM (SELECT *, unnest(range(0, least(256, greatest(length(piece) - m + 1, 0)))) AS i FROM pieces))
+    return f"""WITH pieces AS (SELECT doc_id, pattern, length(pattern) AS m, head, substring(text, head + 1, 255 + length(pattern)) AS piece FROM
+      (SELECT doc_id, text, pattern, unnest(range(0, length(text), 256)) AS head FROM documents, {values(patterns)})),
+    w AS (SELECT doc_id, pattern, m, CAST(head + i AS BIGINT) AS pos, substring(piece, i + 1, m) AS win FROM (SELECT *, unnest(range(0, least(256, greatest(length(piece) - m + 1, 0)))) AS i FROM pieces))
     """
 
 
@@ -471,11 +471,11 @@ LAST = "CASE WHEN contains(pattern, {c}) THEN m - strpos(reverse(pattern), {c})
 
 @query(
     f"""WITH RECURSIVE c AS (SELECT item_id, text, pattern, length(pattern) AS m, length(text) AS n FROM benchmark, {values(REPEATED)} WHERE length(text) >= length(pattern)),
-    p AS (SELECT *, unnest(range(0, n - m + 1)) AS at FROM c),
-    q AS (SELECT *, coalesce(list_min(list_filter(range(0, m), lambda r: substring(pattern, CAST(m - r AS INT), 1) <> substring(text, CAST(at + m - r AS INT), 1))), m) AS same FROM p),
-    s AS (SELECT item_id, pattern, m, n, at, same, CASE WHEN same = m THEN CASE WHEN at + m < n THEN m - 1 - ({LAST.format(c="substring(text, CAST(at + m + 1 AS INT), 1)")}) ELSE 1 END
-      ELSE greatest(1, m - 1 - same - ({LAST.format(c="substring(text, CAST(at + m - same AS INT), 1)")})) END AS shift FROM q),
-    walk AS (SELECT * FROM s WHERE at = 0 UNION ALL SELECT s.* FROM walk JOIN s ON s.item_id = walk.item_id AND s.pattern = walk.pattern AND s.at = walk.at + greatest(1, walk.shift))
+    p AS (SELECT *, unnest(range(0, n - m + 1)) AS spot FROM c),
+    q AS (SELECT *, coalesce(list_min(list_filter(range(0, m), lambda r: substring(pattern, CAST(m - r AS INT), 1) <> substring(text, CAST(spot + m - r AS INT), 1))), m) AS same FROM p),
+    s AS (SELECT item_id, pattern, m, n, spot, same, CASE WHEN same = m THEN CASE WHEN spot + m < n THEN m - 1 - ({LAST.format(c="substring(text, CAST(spot + m + 1 AS INT), 1)")}) ELSE 1 END
+      ELSE greatest(1, m - 1 - same - ({LAST.format(c="substring(text, CAST(spot + m - same AS INT), 1)")})) END AS shift FROM q),
+    walk AS (SELECT * FROM s WHERE spot = 0 UNION ALL SELECT s.* FROM walk JOIN s ON s.item_id = walk.item_id AND s.pattern = walk.pattern AND s.spot = walk.spot + greatest(1, walk.shift))
     SELECT item_id, pattern, CAST(sum(same + (same < m)::INT) AS BIGINT) AS total_comparisons, CAST(sum(same) AS BIGINT) AS successful_comparisons, CAST(sum((same < m)::INT) AS BIGINT) AS failed_comparisons,
       count(*) AS alignments_checked, CAST(sum(shift) AS BIGINT) AS total_shifts, CAST(sum(shift) - count(*) AS BIGINT) AS characters_skipped, CAST(sum((same = m)::INT) AS BIGINT) AS matches_found FROM walk GROUP BY item_id, pattern"""
 )
