@@ -5,11 +5,13 @@ ids of a text are the ids of its white-space separated chunks, one after the
 other.  Chunks repeat; their ids are kept per worker in a bounded cache, and only
 words not seen before go to the library's merge model.  ``encode_all`` gives
 exactly what ``Tokenizer.encode(text, add_special_tokens=False)`` gives (tests
-compare the two on prose and on random Unicode).
+compare the two on prose and on random Unicode).  A file that states other steps
+is not cached so: its texts go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 
 import regex
@@ -21,8 +23,10 @@ MAX_CACHED = 600_000
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: Below this code point no character is changed by NFC and lower case needs no context.
 _SIMPLE = "\u0250"
-#: The splitting pattern that the public vocabulary file states.  Fixed value.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The splitting pattern and the normalising steps that the public vocabulary file states.  Fixed values.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALISED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = regex.compile(_PATTERN)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -86,6 +90,23 @@ class _Chunks(dict):
         return got
 
 
+def _is_known(file: dict) -> bool:
+    """Whether a vocabulary file normalises and splits as the cache takes it; any other goes to the library as it is."""
+    normalizer, split = file.get("normalizer") or {}, (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    return (
+        normalizer.get("normalizers") == _NORMALISED
+        and len(split) == 2
+        and split[0].get("pattern") == {"Regex": _PATTERN}
+        and (split[0].get("behavior"), split[0].get("invert")) == ("Removed", True)
+        and (split[1].get("type"), split[1].get("add_prefix_space"), split[1].get("use_regex")) == ("ByteLevel", False, False)
+        and file["model"].get("type") == "BPE"
+        and not file["model"].get("dropout")
+        and not file.get("truncation")
+        and file.get("post_processor") is None
+        and all(t["content"].startswith("<|") for t in file.get("added_tokens", ()))
+    )
+
+
 class WordTokenizer:
     """Texts to little-endian unsigned 32-bit ids, as bytes."""
 
@@ -97,6 +118,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known = _is_known(json.loads(self.tokenizer.to_str()))
         self.words = _Words(self.tokenizer.model)
         self.cache = _Chunks(self)
 
@@ -113,7 +135,7 @@ class WordTokenizer:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif any(x in text for x in _ODD):
+            elif not self.known or any(x in text for x in _ODD):
                 out.append(self._plain(text))
             else:
                 out.append(b"".join(map(get, text.split())))

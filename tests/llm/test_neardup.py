@@ -150,3 +150,11 @@ def test_query_against_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in N.op8_superminhash(spark, sf_dir).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_a_hub_of_a_third_of_all_nodes(spark):
+    """A star, a chain and pairs: each component by its smallest node."""
+    links = [(0, k) for k in range(1, 2000)] + [(k, k + 1) for k in range(3000, 3060)] + [(2 * k, 2 * k + 1) for k in range(2500, 2600)]
+    links = [(b, a) if k % 2 else (a, b) for k, (a, b) in enumerate(links)]
+    got = {r.node: r.up for r in N.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
+    assert got == dict.fromkeys(range(1, 2000), 0) | dict.fromkeys(range(3001, 3061), 3000) | {2 * k + 1: 2 * k for k in range(2500, 2600)}

@@ -88,3 +88,37 @@ def test_scratch_is_removed(spark):
     common.remove(spark, inputs[0].rpartition("/")[0])
     system, path = common.file_system(inputs[0])
     assert system.get_file_info(path).type.name == "NotFound"
+
+
+def test_other_vocabularies_go_to_the_library(tmp_path):
+    """A file without its normaliser, or with another split, gives the library's ids."""
+    import json
+
+    file = json.load(open(wordbpe.default_path()))
+    assert wordbpe.load().known
+    for k, change in enumerate(({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "Lowercase"}})):
+        path = str(tmp_path / f"v{k}.json")
+        json.dump(file | change, open(path, "w"))
+        t, texts = wordbpe.load(path), ["Some Words, it's 42 \n  HERE", "", None, "É<|endoftext|>x"]
+        assert not t.known
+        assert [np.frombuffer(raw, "<u4").tolist() for raw in t.encode_all(texts)] == [t.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_rows_of_one_id_are_dealt(spark):
+    """A third of the rows have one id, a third have none: no shard holds more than thrice the median."""
+    rnd = random.Random(12)
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else 10_000 + k, " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(5)), "", 0) for k in range(6000)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        manifest = simple8b.write_token_ids(spark.createDataFrame(rows, ODD).repartition(6), common.scratch(spark, "hot"))
+        sizes = sorted(r.n_docs for r in manifest.collect())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == len(rows) and len(sizes) >= 9 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    got = simple8b.read_token_ids(manifest).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in got) == sorted((r[0] is not None, r[0] or 0) for r in rows)
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0))
