@@ -48,10 +48,15 @@ def with_throughput(runs: DataFrame, text_length: int) -> DataFrame:
     return runs.withColumn("total_ms", search + F.col("preprocessing_ms")).withColumn("throughput", F.round(F.lit(text_length) / F.when(search != 0, search), 4))
 
 
-def by_algorithm(runs: DataFrame) -> DataFrame:
+def median(column: str, approximate: bool) -> Column:
+    """Exact, which holds all of a group's values in one task, or within a ten-thousandth of the ranks, in little memory."""
+    return F.percentile_approx(column, 0.5, 10_000) if approximate else F.median(column)
+
+
+def by_algorithm(runs: DataFrame, approximate: bool = False) -> DataFrame:
     """Mean, median, deviation, range of search times, mean preprocessing and memory, runs, and the derived total."""
     a = runs.groupBy("algorithm").agg(
-        F.avg("search_ms").alias("mean_ms"), F.median("search_ms").alias("median_ms"), F.stddev_samp("search_ms").alias("std_ms"), F.min("search_ms").alias("min_ms"), F.max("search_ms").alias("max_ms"),
+        F.avg("search_ms").alias("mean_ms"), median("search_ms", approximate).alias("median_ms"), F.stddev_samp("search_ms").alias("std_ms"), F.min("search_ms").alias("min_ms"), F.max("search_ms").alias("max_ms"),
         F.avg("preprocessing_ms").alias("mean_pre"), F.avg("memory_kb").alias("mean_kb"), F.count(F.lit(1)).alias("runs"),
     )
     return a.select("algorithm", *[r6(F.col(c)).alias(c) for c in ("mean_ms", "median_ms", "std_ms", "min_ms", "max_ms", "mean_pre", "mean_kb")], "runs", r6(F.col("median_ms") * F.col("runs") + F.col("mean_pre")).alias("total_ms"))
@@ -122,10 +127,10 @@ def patterns_of(runs: DataFrame, category: str, algorithms: list[str]) -> DataFr
     return p.select("pattern_name", *[r6(F.coalesce(F.col(f"`{a}`"), F.lit(0.0))).alias(a) for a in algorithms])
 
 
-def unpivoted(runs: DataFrame) -> DataFrame:
+def unpivoted(runs: DataFrame, approximate: bool = False) -> DataFrame:
     """Mean, median and deviation of each measure, long form."""
     long = runs.select("algorithm", F.expr("stack(3, 'search_ms', search_ms, 'preprocessing_ms', preprocessing_ms, 'memory_kb', memory_kb) AS (measure, value)"))
-    return long.groupBy("algorithm", "measure").agg(r6(F.avg("value")).alias("mean"), r6(F.median("value")).alias("median"), r6(F.stddev_samp("value")).alias("std"))
+    return long.groupBy("algorithm", "measure").agg(r6(F.avg("value")).alias("mean"), r6(median("value", approximate)).alias("median"), r6(F.stddev_samp("value")).alias("std"))
 
 
 def best(runs: DataFrame) -> DataFrame:
@@ -134,16 +139,32 @@ def best(runs: DataFrame) -> DataFrame:
     return a.agg(F.min(F.struct("t", "algorithm")).alias("f"), F.min(F.struct("m", "algorithm")).alias("l")).select(F.col("f.algorithm").alias("fastest"), F.col("f.t").alias("fastest_ms"), F.col("l.algorithm").alias("leanest"), F.col("l.m").alias("leanest_kb"))
 
 
-def memory_quartiles(runs: DataFrame) -> DataFrame:
-    p = F.percentile("memory_kb", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+def memory_quartiles(runs: DataFrame, approximate: bool = False) -> DataFrame:
+    at = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
+    p = F.percentile_approx("memory_kb", at, 10_000) if approximate else F.percentile("memory_kb", at)
     return runs.groupBy("algorithm").agg(F.min("memory_kb").alias("low"), p.alias("q"), F.max("memory_kb").alias("high")).select("algorithm", r6(F.col("low")).alias("low"), *[r6(F.col("q")[k]).alias(f"q{k + 1}") for k in range(3)], r6(F.col("high")).alias("high"))
 
 
-def pattern_places(runs: DataFrame) -> DataFrame:
-    """Place of each pattern in its category by name, from 0."""
+def pattern_places(runs: DataFrame, parts: int = 64) -> DataFrame:
+    """Place of each pattern in its category by name, from 0.
+
+    Names are cut into about ``parts`` ranges at bounds from a sample by hash; places
+    are counted within a range and the ranges before it are added, so no category
+    goes through one task.
+    """
     names = runs.filter(F.col("category") != MANY).select("category", "pattern_name").distinct()
-    w = Window.partitionBy("category").orderBy("pattern_name")
-    return names.select("category", "pattern_name", (F.row_number().over(w) - 1).cast("long").alias("place"))
+    h, most = F.pmod(F.xxhash64("pattern_name"), F.lit(1 << 20)), 50 * parts
+    share = min(1.0, most / max(1, names.count()))
+    # About ``most`` names, whatever the size of the table.
+    drawn = sorted(r[0] for r in names.filter(h < int(share * (1 << 20)) + 1).select("pattern_name").collect() if r[0] is not None)
+    bounds = drawn[:: max(1, len(drawn) // parts)]
+    of = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("pattern_name"))) if bounds else F.lit(0)
+    dealt = names.withColumn("_range", of)
+    sizes = dealt.groupBy("category", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("category").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("category", "_range").orderBy("pattern_name")) - 1
+    placed = dealt.withColumn("_k", inside).join(F.broadcast(sizes.withColumn("_before", before).drop("_n")), ["category", "_range"])
+    return placed.select("category", "pattern_name", (F.col("_before") + F.col("_k")).cast("long").alias("place"))
 
 
 def totals(runs: DataFrame) -> DataFrame:

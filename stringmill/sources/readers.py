@@ -15,8 +15,9 @@ UPLOAD_KINDS = ("txt", "fasta", "fa", "seq", "fastq", "dat")
 UPLOAD_CHARS = 100_000
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+def _whole(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
+    reader = spark.read.option("ignoreCorruptFiles", skip_unreadable).option("ignoreMissingFiles", skip_unreadable)
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -74,9 +75,9 @@ def wrapped(text: Column, width: int = 80) -> Column:
 
 
 def read_patterns(spark: SparkSession, root: str, categories: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """(category, name, pattern, length) of root/category/name.txt; at most ``limit`` a category, the first by name."""
+    """(category, name, pattern, length) of root/category/name.txt, without files that can't be read; at most ``limit`` a category, the first by name."""
     parts = F.split("path", "/")
-    df = _whole(spark, f"{root.rstrip('/')}/*/*.txt").select(F.element_at(parts, -2).alias("category"), F.regexp_replace(F.element_at(parts, -1), "\\.txt$", "").alias("name"), stripped(F.col("value")).alias("pattern"))
+    df = _whole(spark, f"{root.rstrip('/')}/*/*.txt", skip_unreadable=True).select(F.element_at(parts, -2).alias("category"), F.regexp_replace(F.element_at(parts, -1), "\\.txt$", "").alias("name"), stripped(F.col("value")).alias("pattern"))
     df = df.withColumn("length", F.length("pattern"))
     if categories:
         df = df.filter(F.col("category").isin(categories))

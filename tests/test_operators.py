@@ -345,3 +345,14 @@ def test_package_exports():
     import stringmill
 
     assert all(hasattr(stringmill, n) for n in stringmill.__all__)
+
+
+def test_places_by_ranges_and_approximate_quantiles(spark):
+    rnd = random.Random(2)
+    rows = [(f"n{rnd.randint(0, 10**6)}", rnd.choice(["a", "a", "b"]), "x", 5, 0.0, float(k % 100), float(k), 1) for k in range(3000)]
+    runs = spark.createDataFrame(rows, "pattern_name string, category string, algorithm string, pattern_length int, preprocessing_ms double, search_ms double, memory_kb double, matches_count long")
+    want = {(c, n): k for c in "ab" for k, n in enumerate(sorted({r[0] for r in rows if r[1] == c}))}
+    for parts in (1, 8, 64):
+        assert {(r.category, r.pattern_name): r.place for r in report.pattern_places(runs, parts).collect()} == want
+    assert abs(report.by_algorithm(runs, True).first().median_ms - report.by_algorithm(runs).first().median_ms) <= 1
+    assert report.unpivoted(runs, True).count() == 3 and abs(report.memory_quartiles(runs, True).first().q2 - 1500) <= 2
