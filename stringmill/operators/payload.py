@@ -222,19 +222,36 @@ def steps(texts: DataFrame, patterns: DataFrame, algorithm: str) -> DataFrame:
     return trace.pairs(texts, patterns).select("text_id", "pattern", "text").mapInArrow(run, schema)
 
 
+def counted(text: str, pattern: str, most: int = 1) -> dict[str, dict[str, int]]:
+    """Numbers of steps by algorithm and type, without making them and without the cells of distance tables."""
+    n, m, places = len(text), len(pattern), len(text) - len(pattern) + 1
+    known = next((k for k in range(m) if pattern[: k + 1] not in text), m)
+    lengths, dist = approx.start_distances(text, pattern, most)
+    starts = min(n, places + most)
+    near = (dist[:, :starts] <= most) & (np.arange(starts) + lengths[:, None] <= n)
+    # The empty table is shown unless a shorter substring of the first start matches.
+    shown = not near[lengths < min(m + most, n), 0].any()
+    out = {
+        "naive": {"search": places},
+        "kmp": {"preprocessing": 1, "search": n},
+        "boyer_moore": {"preprocessing": 1, "search": len(trace.visited(trace.shifts(text, pattern)[1]))},
+        "suffix_tree": {"preprocessing": min(n, SHOWN_SUFFIXES) + (n > SHOWN_SUFFIXES), "search": min(known + 1, m), "result": int(known == m)},
+        "rabin_karp": {"preprocessing": 1, "search": places},
+        "levenshtein": {"preprocessing": int(shown), "match_found": int(near.any(axis=0).sum())},
+        "shift_or": {"preprocessing": 1, "initialization": 1, "bit_operation": n},
+    }
+    return {name: {k: v for k, v in own.items() if v} for name, own in out.items()}
+
+
 def step_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(algorithm, text_id, pattern, step_type, steps) of all algorithms, without the cells of distance tables; type 'search' where an algorithm names none."""
+    """(algorithm, text_id, pattern, step_type, steps) of all algorithms, as ``counted``; type 'search' where an algorithm names none."""
     kind = texts.schema["text_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text_id, p, t in zip(*(c.to_pylist() for c in batch.columns)):
-                for name, stepper in STEPPERS.items():
-                    counts: dict[str, int] = {}
-                    for type_, _, _ in stepper(t, p, cells=False) if name == "levenshtein" else stepper(t, p):
-                        counts[type_ or "search"] = counts.get(type_ or "search", 0) + 1
-                    rows += [{"algorithm": name, "text_id": text_id, "pattern": p, "step_type": k, "steps": v} for k, v in counts.items()]
+                rows += [{"algorithm": name, "text_id": text_id, "pattern": p, "step_type": k, "steps": v} for name, own in counted(t, p).items() for k, v in own.items()]
             yield pa.RecordBatch.from_pylist(rows, out)
 
     schema = f"algorithm string, text_id {kind}, pattern string, step_type string, steps long"

@@ -73,7 +73,7 @@ def test_traces(spark, fixture):
     assert set(rows(spark, fixture, "trace_lev_cells")) == cells
 
 
-def test_steps_are_counted(spark, fixture, monkeypatch):
+def test_steps_are_counted(spark, fixture):
     want = Counter()
     for name, run in payload.STEPPERS.items():
         for k, t in enumerate(fixture[1]):
@@ -82,6 +82,12 @@ def test_steps_are_counted(spark, fixture, monkeypatch):
                     types = Counter(x[0] or "search" for x in (run(t, w, cells=False) if name == "levenshtein" else run(t, w)))
                     want.update((name, k, w, kind, n) for kind, n in types.items())
     assert rows(spark, fixture, "trace_steps") == want
+    rnd = random.Random(4)
+    for _ in range(300):
+        w, t = ("".join(rnd.choice("ab") for _ in range(rnd.randint(1, n))) for n in (5, 14))
+        if len(t) >= len(w):
+            own = {name: dict(Counter(x[0] or "search" for x in (run(t, w, cells=False) if name == "levenshtein" else run(t, w)))) for name, run in payload.STEPPERS.items()}
+            assert payload.counted(t, w) == own, (t, w)
 
 
 def plain_kmp(t, w):
