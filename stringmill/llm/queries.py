@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, line_dedup, neardup, packing, quality_rules, rule_ensemble, simple8b, toxicity, warc
+from . import decontaminate, htmltext, line_dedup, neardup, neighbours, packing, quality_rules, rule_ensemble, simple8b, spelling, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_superminhash": neardup.op8_superminhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simple8b": simple8b.op10_simple8b,
+    "op11_balanced_lists": neighbours.op11_balanced_lists,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
 }
 
-ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op12_spelling_variants": spelling.ORACLE_SQL}
