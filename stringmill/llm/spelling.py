@@ -7,10 +7,10 @@ other.
    (position, what is before it, what is behind it).  Words that differ by one
    replaced code point share exactly one group, so a group's size and its top two
    words say all that a member has to know: how many others there are, and the best
-   of them.  A group is one aggregated row, whatever its size.
+   of them.
 2. Insertions and deletions.  The distinct results of deleting one code point are
    joined to the vocabulary; each result that is a word counts for both sides, and
-   for the shorter one only the number and the best of its longer words are kept.
+   of each side's words only the number and the best are kept.
 3. A word's form is the best near word, if it is ``RATIO`` times as frequent; forms
    are followed to the root by pointer doubling.  Each step multiplies the count by
    ``RATIO``, which bounds the steps by the largest count.
@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -62,27 +62,28 @@ def _key(n: Column, word: Column) -> Column:
     return F.struct((-n).alias("n"), word.alias("word"))
 
 
-def _places(length: Column) -> Column:
-    return F.explode(F.sequence(F.lit(0), length.cast("int") - 1))
+def replaced(words: DataFrame) -> DataFrame:
+    """(word, k, best): how many words differ by one replaced code point, and the best of them; a row a group with others.
+
+    A group has at most as many members as there are letters, and is told by its size
+    and its first two words.
+    """
+    cut = words.select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("at"))
+    # No letter, so that its place is that of the wildcard.
+    group = F.concat(F.substring("word", F.lit(1), F.col("at")), F.lit("*"), F.substring("word", F.col("at") + 2, F.length("word")))
+    all_of = Window.partitionBy("group")
+    order = all_of.orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.struct((-F.col("n")).alias("n"), "word")
+    told = cut.select("word", "n", group.alias("group")).select("word", F.count(F.lit(1)).over(all_of).alias("size"), F.first(own).over(order).alias("first"), F.nth_value(own, 2).over(order).alias("second"))
+    return told.filter("size > 1").select("word", (F.col("size") - 1).alias("k"), F.when(F.col("word") == F.col("first.word"), F.col("second")).otherwise(F.col("first")).alias("best"))
 
 
-def replaced(words: DataFrame) -> DataFrame:
-    """(word, k, best): how many words differ by one replaced code point, and the best of them; a row a group with others."""
-    cut = words.select("word", "n", _places(F.length("word")).alias("at"))
-    cut = cut.select("word", "n", "at", F.substring("word", F.lit(1), F.col("at")).alias("head"), F.substring("word", F.col("at") + 2, F.length("word")).alias("tail"))
-    key, own = ["at", "head", "tail"], _key(F.col("n"), F.col("word"))
-    # The first, and the least of those behind it: two passes of minima instead of a list of members.
-    groups = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min(own).alias("first")).filter("size > 1")
-    members = cut.join(groups, key)
-    second = members.filter(F.col("word") != F.col("first.word")).groupBy(*key).agg(F.min(own).alias("second"))
-    best = F.when(F.col("word") == F.col("first.word"), F.col("second")).otherwise(F.col("first"))
-    return members.join(second, key).select("word", (F.col("size") - 1).alias("k"), best.alias("best"))
-
-
-def shortened(words: DataFrame) -> DataFrame:
+def shortened(words: DataFrame, length: int) -> DataFrame:
     """(word, k, best) of the words that are this one but for an inserted or deleted code point: rows for both sides."""
-    cut = words.select("word", "n", _places(F.length("word")).alias("at")).select("word", "n", without(F.col("word"), F.col("at")).alias("less")).distinct()
-    met = cut.join(words.select(F.col("word").alias("less"), F.col("n").alias("less_n")), "less")
+    cut = words.filter(F.length("word") > length).select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("at"))
+    # Of equal letters in a row, deleting any gives the same: the last stands for all.
+    cut = cut.filter(F.substring("word", F.col("at") + 1, F.lit(1)) != F.substring("word", F.col("at") + 2, F.lit(1)))
+    met = cut.select("word", "n", without(F.col("word"), F.col("at")).alias("less")).join(words.select(F.col("word").alias("less"), F.col("n").alias("less_n")), "less")
     longer = met.groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.min(_key(F.col("less_n"), F.col("less"))).alias("best"))
     shorter = met.groupBy("less").agg(F.count(F.lit(1)).alias("k"), F.min(_key(F.col("n"), F.col("word"))).alias("best"))
     return longer.union(shorter)
@@ -109,7 +110,7 @@ def group(docs: DataFrame, *, length: int = LENGTH, count: int = COUNT, ratio: i
     if ratio < 2:
         raise ValueError("forms lead to a root only if each is more frequent than the last: the ratio must be 2 or more")
     words = common.materialize(vocabulary(docs, length, count), "words")
-    near = replaced(words).union(shortened(words)).groupBy("word").agg(F.sum("k").alias("n_near"), F.min("best").alias("best"))
+    near = replaced(words).union(shortened(words, length)).groupBy("word").agg(F.sum("k").alias("n_near"), F.min("best").alias("best"))
     near = near.select("word", "n_near", F.col("best.word").alias("form"), (-F.col("best.n")).alias("form_n"))
     told = words.join(near, "word", "left")
     holds = F.col("form_n") >= ratio * F.col("n")
