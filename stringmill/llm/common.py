@@ -121,10 +121,12 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     """These columns alone, whatever others there are (TEXT beside text, say).
 
     Every operator that hands texts to Python begins here, so batches are bounded here.
+    Ids of a narrower integer type are taken as long.
     """
     bound_batches(df.sparkSession)
     plain = numbered(df)
-    return plain.select(*[F.col(f"c{place(df, n)}").alias(n) for n in names])
+    wide = lambda n, c: c.cast("long") if n.endswith("_id") and df.dtypes[place(df, n)][1] in ("tinyint", "smallint", "int") else c
+    return plain.select(*[wide(n, F.col(f"c{place(df, n)}")).alias(n) for n in names])
 
 
 def salt(of: Column, buckets: int) -> Column:
@@ -144,6 +146,27 @@ def attach(rows: DataFrame, key: str, spread: str, table: DataFrame, *, buckets:
     return s.join(pairs, [key, "_salt"], how).drop("_salt")
 
 
+#: At most so many keys are broadcast with the number of places that their rows are dealt to.
+BROADCAST_KEYS = 100_000
+
+
+def meet(rows: DataFrame, key: str, spread: Column, table: DataFrame, sizes: DataFrame, per: int) -> DataFrame:
+    """Join ``rows`` to ``table`` (one row a key) on ``key``, no place getting more than about ``per`` rows of one key.
+
+    ``sizes`` has (key, n), the rows of each key.  Keys of more than ``per`` rows are
+    few, and are broadcast if they are: their rows are dealt by ``spread`` to as many
+    places as it takes, each with a copy of the table's row.  All rows are shuffled
+    once.  If such keys are too many to broadcast, ``attach`` does it with shuffles.
+    """
+    hot = sizes.filter(F.col("n") > per).select(key, F.least(F.ceil(F.col("n") / per), F.lit(100_000)).cast("int").alias("_copies"))
+    if hot.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
+        return attach(rows.withColumn("_spread", spread), key, "_spread", table).drop("_spread")
+    copies = F.coalesce("_copies", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), copies).cast("int")).drop("_copies")
+    right = table.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def running_sum(counts: DataFrame, key: str, order: str, n: str) -> DataFrame:
     """(order, key, before): sum of ``n`` over the rows of the key with a smaller ``order``.
 

@@ -36,6 +36,8 @@ PERCENT = 75
 BLOCK_OUTSIDE, BLOCK_ALL = 100_000, 400_000
 #: Comparisons that share one copy of a centre's text.
 PER_CENTRE = 48
+#: Rows of one key that meet in one place: of ids and numbers, and of needs for one text.
+PER_PLACE, PER_TEXT = 10_000, 64
 #: At most so many ids are broadcast to pick their texts; beyond, texts are shuffled.
 BROADCAST_IDS = 100_000
 
@@ -135,12 +137,16 @@ def similar_sizes(a: str, b: str):
 
 
 def _with_texts(needs: DataFrame, docs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``needs`` with the text of each doc_id, dealt out by ``keys`` and sorted in each partition."""
-    ids = needs.select("doc_id").distinct()
+    """``needs`` with the text of each doc_id, dealt out by ``keys`` and sorted in each partition.
+
+    A text that is needed in many places is copied where the needs for it are dealt to.
+    """
+    sizes = needs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    ids = sizes.select("doc_id")
     texts = common.only(docs, "doc_id", "text")
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    met = needs.join(texts, "doc_id").select(*keys, *order, "text")
+    met = common.meet(needs, "doc_id", F.struct(*keys), texts, sizes, PER_TEXT).select(*keys, *order, "text")
     return met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, *order)
 
 
@@ -148,11 +154,14 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 
     Each b travels to its centre a once a pair; a's text is copied once for
-    ``PER_CENTRE`` of them, to as many places as it takes, so a centre of a third of
-    the corpus is no hot key.  A task holds one centre's set and one other at a time.
+    ``PER_CENTRE`` of them.  A centre of a third of the corpus is no hot key: neither
+    its pairs nor the copies of its text meet in one task.  A task holds one centre's
+    set and one other at a time.
     """
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_CENTRE).alias("copies"))
-    dealt = common.materialize(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).alias("copy")), "pairs")
+    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    copies = degree.select("a", F.ceil(F.col("n") / PER_CENTRE).alias("copies"))
+    dealt = common.meet(pairs, "a", F.col("b"), copies, degree, PER_PLACE)
+    dealt = common.materialize(dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).alias("copy")), "pairs")
     needs = dealt.select(F.col("b").alias("doc_id"), "a", "copy", F.lit(1).alias("turn")).union(dealt.select(F.col("a").alias("doc_id"), "a", "copy", F.lit(0).alias("turn")).distinct())
     dealt_out = _with_texts(needs, docs, ["a", "copy"], ["turn", "doc_id"])
 
@@ -221,8 +230,8 @@ def components(links: DataFrame) -> DataFrame:
         # A hub may have a third of all nodes for neighbours: they meet its least one in many places.
         large = common.attach(both.filter("up > node"), "node", "up", least).select(F.col("up").alias("node"), F.col("m").alias("up")).filter("node != up").distinct()
         large = common.materialize(large, "large-star")
-        least = large.groupBy("node").agg(F.min("up").alias("m"))
-        small = large.join(least, "node").filter("up != m").select(F.col("up").alias("node"), F.col("m").alias("up")).union(least.select("node", F.col("m").alias("up"))).distinct()
+        least = large.groupBy("node").agg(F.min("up").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = common.meet(large, "node", F.col("up"), least.select("node", "m"), least, PER_PLACE).filter("up != m").select(F.col("up").alias("node"), F.col("m").alias("up")).union(least.select("node", F.col("m").alias("up"))).distinct()
         old, forest = forest, common.materialize(small, "small-star")
         common.discard(old, large)
 
@@ -252,7 +261,10 @@ def group(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     again = classed.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     buckets = classed.filter("bands IS NOT NULL").select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     first = buckets.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = common.materialize(buckets.join(first, "bucket").select("bucket", "doc", "n", F.col("first.doc").alias("a"), F.col("first.n").alias("a_n")), "buckets")
+    first = common.materialize(first, "first")
+    # A bucket of near copies may hold a third of all classes.
+    met = common.meet(buckets, "bucket", F.col("doc"), first.select("bucket", "first"), first.select("bucket", F.col("size").alias("n")), PER_PLACE)
+    buckets = common.materialize(met.select("bucket", "doc", "n", F.col("first.doc").alias("a"), F.col("first.n").alias("a_n")), "buckets")
 
     pairs = buckets.filter("doc != a").filter(similar_sizes("n", "a_n")).select("a", F.col("doc").alias("b")).distinct()
     pairs = common.materialize(pairs, "candidates")
@@ -264,7 +276,7 @@ def group(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     if not found.isEmpty():
         old, forest = forest, components(forest.select(F.col("up").alias("a"), F.col("node").alias("b")).union(found))
         common.discard(old)
-    common.discard(buckets, found)
+    common.discard(buckets, first, found)
 
     rows_in = classed.select("doc_id", "n_shingles", "rep")
     found = common.attach(rows_in, "rep", "doc_id", forest.withColumnRenamed("node", "rep"), how="left").select("doc_id", "n_shingles", F.coalesce("up", "rep").alias("component_id"))
@@ -283,7 +295,7 @@ def verify_blocks(members: DataFrame, forest: DataFrame, docs: DataFrame) -> Dat
     groups = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
     many = groups.groupBy("bucket").agg(F.sum("k").alias("size"), F.sum("w").alias("weight"), F.max(F.struct("k", "component", "w")).alias("most")).filter("size > most.k")
     blocks = many.select("bucket", F.col("most.component").alias("main"), F.ceil((F.col("weight") - F.col("most.w")) / BLOCK_OUTSIDE).alias("outside"), F.ceil(F.col("weight") / BLOCK_ALL).alias("all"))
-    met = common.materialize(own.join(blocks, "bucket"), "unresolved")
+    met = common.materialize(common.meet(own, "bucket", F.col("doc"), blocks, many.select("bucket", F.col("size").alias("n")), PER_PLACE), "unresolved")
     part = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     x = met.filter("component != main").select("bucket", part("outside").alias("x"), each("all").alias("y"), F.lit(0).alias("side"), F.col("doc").alias("doc_id"), "component")
