@@ -1,5 +1,5 @@
-"""Readers, writers and seeded generators."""
+"""Readers, writers, the FASTA data source and seeded generators."""
 
-from . import datagen, readers, writers
+from . import datagen, fasta, folders, readers, writers
 
-__all__ = ["datagen", "readers", "writers"]
+__all__ = ["datagen", "fasta", "folders", "readers", "writers"]

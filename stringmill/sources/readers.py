@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import exact
+from . import fasta
 
 #: Columns of the two benchmark files.  Fixed values.
 EXACT_ROWS = "pattern_name string, category string, algorithm string, pattern_length int, preprocessing_time_ms double, search_time_ms double, cpu_time_ms double, total_time_ms double, total_time_with_preprocessing_ms double, matches_count bigint, comparisons bigint, hash_verifications bigint, peak_memory_kb double, throughput_bp_per_ms double"
@@ -34,16 +35,14 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, "^\\s+|\\s+$", "")
 
 
-def fasta_records(text: Column) -> Column:
-    """Array of (rec, header, seq) of a FASTA text: what comes before the first header is no record; case is kept."""
-    parts = F.split(F.concat(F.lit("\n"), F.regexp_replace(text, "\\r\\n?", "\n")), "\n>", -1)
-    body = lambda b: F.when(F.instr(b, "\n") > 0, F.substring(b, F.instr(b, "\n"), F.length(b))).otherwise("")
-    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda b, k: F.struct(k.alias("rec"), stripped(F.substring_index(b, "\n", 1)).alias("header"), F.regexp_replace(body(b), "\\s", "").alias("seq")))
+def read_fasta(spark: SparkSession, path: str, range_bytes: int = fasta.RANGE_BYTES) -> DataFrame:
+    """(file, rec, header, seq) of each record of the files of a path or glob, read in byte ranges (``fasta.records``).
 
-
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rec, header, seq) of each record of the files of a path or glob."""
-    return _whole(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.inline(fasta_records(F.col("value"))))
+    ``rec`` counts a file's records from 0; only their places meet in a window.
+    """
+    found = fasta.records(spark, path, range_bytes)
+    places = found.select("file", "at").withColumn("rec", (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).cast("int"))
+    return found.join(places, ["file", "at"]).select("file", "rec", "header", "seq")
 
 
 def header_fields(header: Column) -> Column:
