@@ -45,13 +45,19 @@ def split_positions(text: Column, look: Column, at_start: Column) -> Column:
 
 
 def chunks(df: DataFrame, text: str, overlap: Column | int, size: int = CHUNK) -> DataFrame:
-    """A row a piece of ``size`` characters and ``overlap`` more: columns ``start`` and ``chunk``.
+    """A row a piece of ``size`` characters and ``overlap`` more: columns ``start`` and ``chunk``; the text itself goes.
 
-    A position belongs to the piece in which it starts, so pieces share no hit.
+    A position belongs to the piece in which it starts, so pieces share no hit.  The
+    text is cut once, by a regular expression that takes ``size`` characters at a
+    time; the overlap is taken from the pieces that follow.  So time is in proportion
+    to the text, and no piece carries the whole of it.
     """
-    n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"), F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return df.withColumn("start", F.explode(starts)).withColumn("chunk", F.substring(F.col(text), F.col("start") + 1, F.lit(size) + overlap))
+    overlap = overlap if isinstance(overlap, Column) else F.lit(overlap)
+    more = (F.ceil(overlap / size) + 1).cast("int")
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    # The pieces are bound to a name, so they are made once a text and not once a piece.
+    cut = F.transform(F.array(pieces), lambda all_: F.transform(all_, lambda _, k: F.struct((k * size).alias("start"), F.substring(F.array_join(F.slice(all_, k + 1, more), ""), F.lit(1), overlap + size).alias("chunk"))))
+    return df.select("*", F.explode(F.element_at(cut, 1)).alias("_piece")).select(*[c for c in df.columns if c != text], "_piece.start", "_piece.chunk")
 
 
 def windows(df: DataFrame, length: Column, size: int = CHUNK) -> DataFrame:
@@ -64,11 +70,3 @@ def windows(df: DataFrame, length: Column, size: int = CHUNK) -> DataFrame:
 def polynomial_hash(text: Column, base: int = 256, prime: int = 101) -> Column:
     """Rolling hash of the whole text, character by character."""
     return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise((a * base + F.ascii(c)) % prime))
-
-
-def polynomial_hash_of(text: Column, length: int, base: int = 256, prime: int = 101) -> Column:
-    """The same of a text of a known length, without a loop: one expression a character."""
-    out = F.lit(0).cast("long")
-    for k in range(1, length + 1):
-        out = (out * base + F.ascii(F.substring(text, k, 1))) % prime
-    return out

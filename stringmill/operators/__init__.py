@@ -1,5 +1,5 @@
 """Searches, index tables, traces and reports."""
 
-from . import approx, exact, index, payload, report, trace
+from . import approx, exact, index, multi, payload, report, suffixes, trace
 
-__all__ = ["approx", "exact", "index", "payload", "report", "trace"]
+__all__ = ["approx", "exact", "index", "multi", "payload", "report", "suffixes", "trace"]

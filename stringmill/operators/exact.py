@@ -250,6 +250,16 @@ def chunked(texts: DataFrame, patterns: DataFrame, size: int = 4096) -> DataFram
     return _piecewise(_searchable(pair(texts, patterns)), T.lookahead(F.col("pattern")), lambda chunk: F.startswith(chunk, F.col("pattern")), size, F.contains(F.col("chunk"), F.col("pattern")))
 
 
+def in_pieces(pieces: DataFrame, patterns: DataFrame, search=by_find) -> DataFrame:
+    """Hits in sequences that come in pieces (text_id, start, own, text), by places in the whole sequence.
+
+    A hit belongs to the piece whose own letters it starts in; the overlap has to be
+    at least as long as the longest pattern but one letter.
+    """
+    own = pieces.select(F.struct("text_id", "start", "own").alias("text_id"), "text")
+    return search(own, patterns).filter("pos < text_id.own").select("text_id.text_id", "pattern", (F.col("text_id.start") + F.col("pos")).alias("pos"))
+
+
 def _piecewise(both: DataFrame, look: Column, at_start, size: int, holds: Column | None = None) -> DataFrame:
     """Places of a look-ahead in each (text, pattern), piece by piece: time is in proportion to the text, whatever the number of hits."""
     pieces = T.chunks(both, "text", F.length("pattern") - 1, size)
@@ -262,32 +272,37 @@ def _piecewise(both: DataFrame, look: Column, at_start, size: int, holds: Column
 def longest_common_substring(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Longest substring of each pair's ``text1`` and ``text2``; ties: the one that starts first in text2; '' if none.
 
-    ``left`` has the key and text1, ``right`` the key and text2.  A dynamic program
-    over one row of the table at a time, in Arrow batches: time is the product of
-    the lengths, memory their sum.
+    ``left`` has the key and text1, ``right`` the key and text2.  The suffixes of both
+    texts are put in one order; the longest prefix that two neighbours of different
+    texts share is the length.  Time is nearly linear in the lengths.
     """
     both = left.join(right, on)
     keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*on).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_lcs(a or "", b or "") for a, b in zip(*(batch.column(len(on) + k).to_pylist() for k in (0, 1)))]
+            out = [common_substring(a or "", b or "") for a, b in zip(*(batch.column(len(on) + k).to_pylist() for k in (0, 1)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(on)], pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], [*on, "common", "length"])
 
     return both.select(*on, "text1", "text2").mapInArrow(run, ", ".join([*keys, "common string", "length long"]))
 
 
-def _lcs(a: str, b: str) -> str:
+def common_substring(a: str, b: str) -> str:
     if not a or not b:
         return ""
-    x = np.frombuffer(a.encode("utf-32-le"), "<u4")
-    row, best, start = np.zeros(len(a) + 1, np.int64), 0, 0
-    for j, ch in enumerate(np.frombuffer(b.encode("utf-32-le"), "<u4")):
-        row[1:] = np.where(x == ch, row[:-1] + 1, 0)
-        longest = int(row.max())
-        if longest > best:
-            best, start = longest, j - longest + 1
-    return b[start : start + best]
+    # A letter that neither text has parts them, so no shared prefix reaches over the end of the first.
+    order, levels = A.suffix_ranks(np.concatenate([A.codes(a), [0x110000], A.codes(b)]))
+    shared, second = A.common_prefixes(order, levels), order > len(a)
+    meet = np.append(False, second[1:] != second[:-1])
+    # The suffix of the part's own letter shares nothing.
+    longest = int(shared[meet].max())
+    if not longest:
+        return ""
+    # Runs of suffixes that share that much; those with suffixes of both texts hold it.
+    run = np.cumsum(shared < longest)
+    both = np.intersect1d(run[second], run[~second])
+    start = int(order[second & np.isin(run, both)].min()) - len(a) - 1
+    return b[start : start + longest]
 
 
 def pattern_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -85,12 +85,6 @@ def speedup(runs: DataFrame, baseline: str) -> DataFrame:
     return runs.join(base, ["category", "pattern_name"], "left").select("category", "pattern_name", "algorithm", r6(s).alias("speedup"), band(s).alias("band"))
 
 
-def pivoted(runs: DataFrame, rows: str, algorithms: list[str], value: str = "search_ms") -> DataFrame:
-    """Mean value by row and algorithm, 0 where there is none; one column an algorithm named."""
-    p = runs.groupBy(rows).pivot("algorithm", algorithms).agg(F.avg(value))
-    return p.select(rows, *[r6(F.coalesce(F.col(f"`{a}`"), F.lit(0.0))).alias(a) for a in algorithms])
-
-
 def every_pair(runs: DataFrame, rows: list[str], value: Column, name: str) -> DataFrame:
     """A value by row and algorithm in long form, a row for each pair of those that occur, 0 where there is none."""
     own = runs.groupBy(*rows, "algorithm").agg(value.alias(name))
@@ -121,12 +115,6 @@ def bucket_by_algorithm(runs: DataFrame) -> DataFrame:
     return runs.filter(F.col("category") != MANY).groupBy(b.alias("bucket"), "algorithm").agg(r6(F.avg("search_ms")).alias("mean_ms"))
 
 
-def patterns_of(runs: DataFrame, category: str, algorithms: list[str]) -> DataFrame:
-    """Time by pattern and algorithm in one category, 0 where there is none."""
-    p = runs.filter(F.col("category") == category).groupBy("pattern_name").pivot("algorithm", algorithms).agg(F.min("search_ms"))
-    return p.select("pattern_name", *[r6(F.coalesce(F.col(f"`{a}`"), F.lit(0.0))).alias(a) for a in algorithms])
-
-
 def unpivoted(runs: DataFrame, approximate: bool = False) -> DataFrame:
     """Mean, median and deviation of each measure, long form."""
     long = runs.select("algorithm", F.expr("stack(3, 'search_ms', search_ms, 'preprocessing_ms', preprocessing_ms, 'memory_kb', memory_kb) AS (measure, value)"))
@@ -167,6 +155,23 @@ def pattern_places(runs: DataFrame, parts: int = 64) -> DataFrame:
     return placed.select("category", "pattern_name", (F.col("_before") + F.col("_k")).cast("long").alias("place"))
 
 
+def next_of_each(ids: DataFrame, key: str, per: int = 100_000) -> DataFrame:
+    """(key, next): each distinct number and the next larger one, null for the largest.
+
+    Numbers are dealt to ranges of their values, about ``per`` each if they lie evenly;
+    a range's last number looks to the first of the next range that has any.
+    """
+    ids = ids.select(key).distinct().filter(F.col(key).isNotNull())
+    n, low, high = ids.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
+    wide = max(1, (high - low + 1) * per // max(n, 1)) if n else 1
+    dealt = ids.withColumn("_range", F.floor((F.col(key) - F.lit(low or 0)) / wide))
+    firsts = dealt.groupBy("_range").agg(F.min(key).alias("_first"))
+    # A row a range that has any, so one window over them is small.
+    after = firsts.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))
+    inside = F.lead(key).over(Window.partitionBy("_range").orderBy(key))
+    return dealt.withColumn("_inside", inside).join(F.broadcast(after), "_range").select(key, F.coalesce("_inside", "_after").alias("next"))
+
+
 def totals(runs: DataFrame) -> DataFrame:
     return runs.agg(F.countDistinct("pattern_name").alias("patterns"), F.countDistinct("category").alias("categories"), F.countDistinct("algorithm").alias("algorithms"), F.count(F.lit(1)).alias("runs"), F.sum("matches_count").cast("long").alias("matches"))
 

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import approx, exact, index, payload, report, trace
-from ..sources import datagen, readers
+from ..operators import approx, exact, index, multi, payload, report, suffixes, trace
+from ..sources import datagen, fasta, folders, readers, writers
 from . import measure, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,9 +380,66 @@ def longest_common_substring(spark, sf):
 
 
 def neighbours(texts: DataFrame) -> DataFrame:
-    """Longest common substring of each document and the one with the next id; '' for the last."""
-    following = texts.select((F.col("text_id") - 1).alias("text_id"), F.col("text").alias("text2"))
-    return exact.longest_common_substring(texts.select("text_id", F.col("text").alias("text1")), texts.select("text_id").join(following, "text_id", "left"), ["text_id"])
+    """Longest common substring of each document and the one with the next larger id, whatever lies between; '' for the last.
+
+    Ids are put in order by ranges; only they meet in a window.
+    """
+    following = report.next_of_each(texts.select("text_id"), "text_id")
+    second = following.join(texts.select(F.col("text_id").alias("next"), F.col("text").alias("text2")), "next", "left").select("text_id", "text2")
+    return exact.longest_common_substring(texts.select("text_id", F.col("text").alias("text1")), second, ["text_id"])
+
+
+SAMPLE_AT = "1 + (doc_id * 7919) % greatest(length(text) - 19, 1)"
+#: Occurrences of each pattern (pattern_id, pattern) of a table ``p``.
+PLACES = """hits AS (SELECT doc_id, pattern_id, pattern, substring(text, instr(text, pattern) + 1) AS rest, CAST(instr(text, pattern) - 1 AS BIGINT) AS pos FROM documents, p WHERE pattern <> '' AND contains(text, pattern)
+  UNION ALL SELECT doc_id, pattern_id, pattern, substring(rest, instr(rest, pattern) + 1), pos + instr(rest, pattern) FROM hits WHERE instr(rest, pattern) > 0)
+"""
+
+
+@query(f"WITH RECURSIVE p AS (SELECT doc_id AS pattern_id, substring(text, CAST({SAMPLE_AT} AS BIGINT), 20) AS pattern FROM documents), {PLACES} SELECT doc_id, pattern_id, pos FROM hits")
+def multi_pattern_search(spark, sf):
+    """A sample of 20 characters of every document, looked for in all documents in one pass."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    samples = d.select(F.col("doc_id").alias("pattern_id"), F.expr(f"substring(text, cast({SAMPLE_AT} AS int), 20)").alias("pattern"))
+    return as_doc(multi.search(documents(spark, sf), samples))
+
+
+@query(f"WITH RECURSIVE p AS (SELECT item_id AS pattern_id, text AS pattern FROM benchmark), {PLACES} SELECT p.pattern_id AS item_id, CAST(count(h.pos) AS BIGINT) AS n, CAST(count(DISTINCT h.doc_id) AS BIGINT) AS texts FROM p LEFT JOIN hits h ON h.pattern_id = p.pattern_id GROUP BY p.pattern_id")
+def multi_pattern_totals(spark, sf):
+    return multi.counts(documents(spark, sf), passages(spark, sf)).withColumnRenamed("pattern_id", "item_id")
+
+
+@query(ALL_HITS)
+def suffix_table_search(spark, sf):
+    """A table of all suffixes is written, then the patterns' intervals of it are read."""
+    at = folders.new_folder(spark, "suffixes")
+    suffixes.write_table(documents(spark, sf), at)
+    return as_doc(suffixes.find(spark, at, words(spark)))
+
+
+@query(
+    """WITH s AS (SELECT item_id, text, i, unnest(range(0, length(text) - i + 1)) AS depth FROM (SELECT item_id, text, unnest(range(0, length(text))) AS i FROM benchmark)),
+    g AS (SELECT item_id, depth, substring(text, i + 1, depth) AS w, min(i) AS start, count(*) AS leaves, count(DISTINCT substring(text, i + depth + 1, 1)) AS ways, max(substring(text, i + depth + 1, 1)) AS way FROM s GROUP BY ALL),
+    n AS (SELECT *, depth = 0 OR ways > 1 AS branches FROM g WHERE depth = 0 OR ways > 1 OR way = '')
+    SELECT n.item_id, n.start, n.depth, n.leaves, n.branches, (SELECT max(p.depth) FROM n p WHERE p.item_id = n.item_id AND p.branches AND p.depth < n.depth AND starts_with(n.w, p.w)) AS parent_depth, l.start AS link_start
+    FROM n LEFT JOIN n l ON n.branches AND n.depth > 0 AND l.branches AND l.item_id = n.item_id AND l.w = substring(n.w, 2)"""
+)
+def suffix_tree_nodes(spark, sf):
+    nodes = suffixes.suffix_tree(items(spark, sf))
+    of = lambda key, value, name: nodes.select("text_id", F.col("node").alias(key), F.col(value).alias(name))
+    both = nodes.join(of("parent", "depth", "parent_depth"), ["text_id", "parent"], "left").join(of("link", "start", "link_start"), ["text_id", "link"], "left")
+    branches = F.col("link").isNotNull() | (F.col("depth") == 0)
+    return both.select(F.col("text_id").alias("item_id"), "start", "depth", "leaves", branches.alias("branches"), "parent_depth", "link_start")
+
+
+@query("SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS seq FROM documents")
+def fasta_round_trip(spark, sf):
+    """The letters of all documents, written as FASTA and read back in byte ranges."""
+    at = folders.new_folder(spark, "fasta")
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    writers.write_fasta(d.select(F.col("doc_id").cast("string").alias("header"), letters.alias("seq")), at)
+    return fasta.records(spark, at, 1 << 20).select(F.col("header").cast("long").alias("doc_id"), "seq")
 
 
 NEAR = ("tion", "there")
@@ -402,6 +459,7 @@ OVER_DOCUMENTS: dict[str, Callable[[SparkSession, DataFrame], DataFrame]] = {
     "suffix_counts": lambda spark, t: index.suffix_counts(t, 4),
     "trie_sizes": lambda spark, t: index.trie_sizes(t),
     "longest_common_substring": lambda spark, t: neighbours(t),
+    "suffix_tree_sizes": lambda spark, t: suffixes.tree_sizes(t),
     "edit_search_greedy": lambda spark, t: approx.edit_search_greedy(t, words(spark, NEAR), 1),
     "edit_search_first_length": lambda spark, t: approx.edit_search_first_length(t, words(spark, NEAR), 1),
     "levenshtein_banded_compat": lambda spark, t: approx.levenshtein_banded_compat(t, words(spark, NEAR), 1),
