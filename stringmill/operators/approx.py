@@ -8,10 +8,11 @@ at a time.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import codes as _codes
@@ -23,28 +24,38 @@ HIT_ROWS = 100_000
 
 
 def _search(texts: DataFrame, patterns: DataFrame, hits: Callable[[str, str], list[tuple]], *names: str) -> DataFrame:
-    """text_id, pattern and the columns that ``hits`` gives for each text and pattern: ``names``, dist unless there are more."""
+    """text_id, pattern and the columns that ``hits`` gives for each text and pattern: ``names``, dist unless there are more.
+
+    The patterns go to the tasks in blocks, so that a text is handed to Python once a block.
+    """
     names = names if len(names) > 1 else (*names, "dist")
     kind = texts.schema["text_id"].dataType.simpleString()
-    both = exact.pair(texts.select("text_id", "text"), patterns.select("pattern"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, found = [], []
-            for k, (text, pattern) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                own = hits(text or "", pattern or "")
-                found += own
-                rows += [k] * len(own)
-                if len(rows) > HIT_ROWS:
-                    yield out(batch, rows, found)
-                    rows, found = [], []
-            yield out(batch, rows, found)
 
-    def out(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
-        own, columns = pa.array(rows, pa.int32()), zip(*found) if found else [()] * len(names)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), *(pa.array(c, pa.int64()) for c in columns)], ["text_id", "pattern", *names])
-
-    return both.mapInArrow(run, f"text_id {kind}, pattern string, " + ", ".join(f"{n} long" for n in names))
+    def search(words: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, which, found = [], [], []
+                for k in range(batch.num_rows):
+                    text = batch.column(1)[k].as_py() or ""
+                    for w in words:
+                        own = hits(text, w)
+                        found += own
+                        rows += [k] * len(own)
+                        which += [w] * len(own)
+                    if len(rows) > HIT_ROWS:
+                        yield out(batch, rows, which, found)
+                        rows, which, found = [], [], []
+                yield out(batch, rows, which, found)
+
+        return run
+
+    def out(batch: pa.RecordBatch, rows: list[int], which: list[str], found: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*found) if found else [()] * len(names)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(which, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["text_id", "pattern", *names])
+
+    schema = f"text_id {kind}, pattern string, " + ", ".join(f"{n} long" for n in names)
+    parts = [[r[0] or "" for r in p.collect()] for p in exact.blocks(patterns.select("pattern"))]
+    return reduce(DataFrame.union, [texts.select("text_id", "text").mapInArrow(search(words), schema) for words in parts])
 
 
 def mismatches(text: str, pattern: str, most: int) -> Hits:
@@ -80,15 +91,56 @@ def _rows(text: np.ndarray, pattern: np.ndarray, first: np.ndarray, left: Callab
         yield row
 
 
+def pieces_of(pattern: str, most: int) -> list[tuple[int, str]]:
+    """(place, piece): the pattern in ``most`` + 1 parts of about one length; one at least stands whole in whatever is within ``most`` edits."""
+    cuts = [len(pattern) * k // (most + 1) for k in range(most + 2)]
+    return [(a, pattern[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def candidate_starts(text: str, pattern: str, most: int) -> np.ndarray:
+    """Places at which a substring within ``most`` edits may begin, ascending: near those of a whole piece."""
+    n = len(text)
+    if len(pattern) <= most:
+        return np.arange(n)
+    near = np.zeros(n + 1, np.int32)
+    for at, piece in pieces_of(pattern, most):
+        found = np.array(exact.find_all(text, piece), np.int64) - at
+        np.add.at(near, np.clip(found - most, 0, n), 1)
+        np.add.at(near, np.clip(found + most + 1, 0, n), -1)
+    return np.flatnonzero(np.cumsum(near[:n]) > 0)
+
+
 def edit_ends(text: str, pattern: str, most: int) -> Hits:
-    """(end, edits) of the ends at which some substring is within ``most`` edits, the fewest of them."""
-    if not pattern:
+    """(end, edits) of the ends at which some substring is within ``most`` edits, the fewest of them.
+
+    Only the neighbourhoods of whole pieces of the pattern go to the distance table,
+    one behind the other, parted by letters that no text has; the whole text does if
+    they are most of it.
+    """
+    if not pattern or not text:
         return []
-    row = np.zeros(len(text) + 1, np.int64)  # a substring may begin anywhere
-    for row in _rows(_codes(text), _codes(pattern), row, lambda j: j):
+    starts, reach = candidate_starts(text, pattern, most), len(pattern) + most
+    if not len(starts):
+        return []
+    letters, places = _codes(text), None
+    first = np.flatnonzero(np.append(True, np.diff(starts) > 1))
+    lengths = np.minimum(starts[np.append(first[1:], len(starts)) - 1] + reach, len(text)) - starts[first]
+    if (lengths + most + 1).sum() < len(text):
+        # Places of each stretch, and behind it as many as no hit can span.
+        places = np.concatenate([np.append(np.arange(a, a + n), np.full(most + 1, -1)) for a, n in zip(starts[first].tolist(), lengths.tolist())])
+        letters = np.where(places < 0, 0xFFFFFFFF, letters[places])
+    row = np.zeros(len(letters) + 1, np.int64)  # a substring may begin anywhere
+    for row in _rows(letters, _codes(pattern), row, lambda j: j):
         pass
     at = np.flatnonzero(row[1:] <= most)
-    return list(zip(at.tolist(), row[1 + at].tolist()))
+    if places is None:
+        return list(zip(at.tolist(), row[1 + at].tolist()))
+    at = at[places[at] >= 0]
+    # Stretches may overlap; each end has its fewest edits in one of them.
+    order = np.lexsort((row[1 + at], places[at]))
+    ends, edits = places[at][order], row[1 + at][order]
+    once = np.append(True, np.diff(ends) > 0)[: len(ends)]
+    return list(zip(ends[once].tolist(), edits[once].tolist()))
 
 
 def edit_search(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
@@ -96,34 +148,36 @@ def edit_search(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFra
     return _search(texts, patterns, lambda t, p: edit_ends(t, p, most), "end_pos")
 
 
-def start_distances(text: str, pattern: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths within ``most`` of the pattern's, and a row a length: the edits of the substring of that length at each start.
+def start_distances(text: str, pattern: str, most: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths within ``most`` of the pattern's, and a row a length: the edits of the substring of that length at each of ``starts`` (all, if None).
 
-    All starts go through the table at once.  Cells farther than ``most`` from the
-    diagonal cost more than that; they, and substrings past the text's end, are ``most`` + 1.
+    All starts go through the table at once, and of a row only the cells near the
+    diagonal are kept.  Cells farther than ``most`` from it cost more than that; they,
+    and substrings past the text's end, are ``most`` + 1.
     """
-    n, m, far = len(text), len(pattern), most + 1
+    starts = np.arange(len(text)) if starts is None else starts
+    n, m, far = len(starts), len(pattern), most + 1
     lengths = np.arange(max(1, m - most), m + most + 1)
     letters = np.append(_codes(text), np.full(m + most, 0xFFFFFFFF, np.uint32))
     beyond = np.full(n, far, np.int32)
-    table = {j: np.full(n, min(j, far), np.int32) for j in range(m + most + 1)}
+    table = {j: np.full(n, j, np.int32) for j in range(most + 1)}
     for i, c in enumerate(_codes(pattern), 1):
-        above, table = table, {0: np.full(n, min(i, far), np.int32)}
+        above, table = table, {0: np.full(n, min(i, far), np.int32)} if i <= most else {}
         for j in range(max(1, i - most), i + most + 1):
             step = np.minimum(table.get(j - 1, beyond), above.get(j, beyond)) + 1
-            table[j] = np.minimum(step, above.get(j - 1, beyond) + (letters[j - 1 : j - 1 + n] != c))
-    starts = np.arange(n)
-    return lengths, np.stack([np.where(starts + j <= n, np.minimum(table[j], far), far) for j in lengths.tolist()])
+            table[j] = np.minimum(np.minimum(step, above.get(j - 1, beyond) + (letters[starts + j - 1] != c)), far)
+    return lengths, np.stack([np.where(starts + j <= len(text), table.get(j, beyond), far) for j in lengths.tolist()])
 
 
 def greedy_hits(text: str, pattern: str, most: int) -> Hits:
     """(start, edits) of the best length at each start; then, from the left, none within a pattern's length of the one before."""
     if not text or not pattern:
         return []
-    best = start_distances(text, pattern, most)[1].min(axis=0)
-    at, out, k = np.flatnonzero(best <= most), [], 0
+    starts = candidate_starts(text, pattern, most)
+    best = start_distances(text, pattern, most, starts)[1].min(axis=0)
+    at, best, out, k = starts[best <= most], best[best <= most], [], 0
     while k < len(at):
-        out.append((int(at[k]), int(best[at[k]])))
+        out.append((int(at[k]), int(best[k])))
         k = int(np.searchsorted(at, at[k] + len(pattern)))
     return out
 
@@ -137,10 +191,11 @@ def first_lengths(text: str, pattern: str, most: int) -> list[tuple[int, int, in
     """(start, length, edits) of the shortest length within ``most`` at each start."""
     if not text or not pattern:
         return []
-    lengths, found = start_distances(text, pattern, most)
+    starts = candidate_starts(text, pattern, most)
+    lengths, found = start_distances(text, pattern, most, starts)
     at = np.flatnonzero((found <= most).any(axis=0))
     first = (found[:, at] <= most).argmax(axis=0)
-    return list(zip(at.tolist(), lengths[first].tolist(), found[first, at].tolist()))
+    return list(zip(starts[at].tolist(), lengths[first].tolist(), found[first, at].tolist()))
 
 
 def edit_search_first_length(texts: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
@@ -214,24 +269,29 @@ def bitvector_score_compat(texts: DataFrame, patterns: DataFrame, most: int = 1)
 
 
 def align(pattern: str, text: str) -> tuple[str, str, list[str]]:
-    """An alignment of least cost, read back from the end: equal characters match; else substitute, delete, insert, whichever is first among the cheapest."""
+    """An alignment of least cost, read back from the end: equal characters match; else substitute, delete, insert, whichever is first among the cheapest.
+
+    Rows of the table are computed whole and forgotten; two bits a cell say where it
+    came from.
+    """
     m, n = len(pattern), len(text)
-    cost = [list(range(n + 1))]
-    for i in range(1, m + 1):
-        row = [i]
-        for j in range(1, n + 1):
-            row.append(min(cost[-1][j] + 1, row[-1] + 1, cost[-1][j - 1] + (pattern[i - 1] != text[j - 1])))
-        cost.append(row)
+    letters, above = _codes(text), np.arange(n + 1)
+    ups, lefts = [], []
+    for row, c in zip(_rows(letters, _codes(pattern), above, lambda j: j), _codes(pattern)):
+        other = letters != c
+        straight, up, left = above[:-1], above[1:], row[:-1]
+        ups.append(np.packbits(other & (up < straight) & (up <= left)))
+        lefts.append(np.packbits(other & (left < straight) & (left < up)))
+        above = row
+    bit = lambda rows, i, j: rows[i][j >> 3] >> (7 - (j & 7)) & 1
     steps: list[tuple[str, str, str]] = []
     while m or n:
-        if m and n and pattern[m - 1] == text[n - 1]:
-            kind = "match"
-        elif not m:
+        if not m or n and bit(lefts, m - 1, n - 1):
             kind = "insert"
-        elif not n:
+        elif not n or bit(ups, m - 1, n - 1):
             kind = "delete"
         else:
-            kind = min((cost[m - 1][n - 1], 0, "substitute"), (cost[m - 1][n], 1, "delete"), (cost[m][n - 1], 2, "insert"))[2]
+            kind = "match" if pattern[m - 1] == text[n - 1] else "substitute"
         up, left = kind != "insert", kind != "delete"
         steps.append((pattern[m - 1] if up else "-", text[n - 1] if left else "-", kind))
         m, n = m - up, n - left
@@ -258,3 +318,124 @@ def distances(left: DataFrame, right: DataFrame, most: int | None = None) -> Dat
         return few.select("a", "b", F.levenshtein("a", "b").cast("long").alias("dist"))
     near = few.filter(F.abs(F.length("a") - F.length("b")) <= most)
     return near.select("a", "b", F.levenshtein("a", "b", most).cast("long").alias("dist")).filter("dist >= 0")
+
+
+# Bits: the steps between neighbouring cells of a column of the distance table, 64 to a word.
+
+#: Letters of a piece that moves on with others in step.
+BIT_PIECE = 1024
+
+
+def bit_ends(texts: list[str], pattern: str, most: int) -> list[Hits]:
+    """For each text what ``edit_ends`` gives, by bits, all texts in step.
+
+    A column of the table is kept as the places where it rises or falls by one from
+    cell to cell.  A letter of the text makes a column of the last one by a few
+    operations on words; what leaves a word at its top, a carry or a step, enters the
+    next.  The last cell's steps to the right add up to the edits.  Texts are cut into
+    pieces that begin as far before their own letters as a hit can reach, so that all
+    pieces have about one length.
+    """
+    m = len(pattern)
+    if not m:
+        return [[] for _ in texts]
+    back, words = m + most, -(-m // 64)
+    own = [(k, a) for k, t in enumerate(texts) for a in range(0, len(t), max(BIT_PIECE, back))]
+    if not own:
+        return [[] for _ in texts]
+    letters = np.array(sorted({ord(c) for c in pattern}), np.uint32)
+    # A row a letter, and one without bits for all others.
+    masks = np.zeros((len(letters) + 1, words), np.uint64)
+    for j, c in enumerate(pattern):
+        masks[np.searchsorted(letters, ord(c)), j // 64] |= np.uint64(1 << j % 64)
+    codes = [_codes(t) for t in texts]
+    cut = [codes[k][max(0, a - back) : a + max(BIT_PIECE, back)] for k, a in own]
+    longest = max(map(len, cut))
+    symbols = np.full((longest, len(cut)), len(letters), np.int64)
+    for row, c in enumerate(cut):
+        at = np.minimum(np.searchsorted(letters, c), len(letters) - 1)
+        symbols[: len(c), row] = np.where(letters[at] == c, at, len(letters))
+    one, top, last = np.uint64(1), np.uint64(63), np.uint64((m - 1) % 64)
+    rises, falls = np.full((words, len(cut)), np.uint64(2**64 - 1)), np.zeros((words, len(cut)), np.uint64)
+    edits, table = np.full(len(cut), m, np.int64), np.empty((longest, len(cut)), np.int32)
+    for j, symbol in enumerate(symbols):
+        same = masks[symbol].T
+        # Above the first cell a hit may begin anywhere: no step.
+        plus, minus = np.zeros(len(cut), np.uint64), np.zeros(len(cut), np.uint64)
+        for w in range(words):
+            up, down, eq = rises[w], falls[w], same[w]
+            straight = eq | minus
+            # Adding carries an equal letter along a run of rises.
+            level = (((straight & up) + up) ^ up) | straight
+            right, left = down | ~(level | up), up & level
+            out = last if w == words - 1 else top
+            new_plus, new_minus = right >> out & one, left >> out & one
+            right, left = right << one | plus, left << one | minus
+            rises[w], falls[w] = left | ~(eq | down | right), right & (eq | down)
+            plus, minus = new_plus, new_minus
+        edits += plus.astype(np.int64) - minus.astype(np.int64)
+        table[j] = edits
+    found: list[Hits] = [[] for _ in texts]
+    for row, ((k, a), c) in enumerate(zip(own, cut)):
+        skipped = min(a, back)
+        column = table[skipped : len(c), row]
+        at = np.flatnonzero(column <= most)
+        found[k] += zip((at + a).tolist(), column[at].tolist())
+    return found
+
+
+def edit_search_bits(texts: DataFrame, patterns: DataFrame, most: int = 1, together: int = 256) -> DataFrame:
+    """(text_id, pattern, end_pos, dist): what ``edit_search`` gives, by bits; ``together`` texts move on in step."""
+    kind = texts.schema["text_id"].dataType.simpleString()
+    names = ["text_id", "pattern", "end_pos", "dist"]
+
+    def search(words: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, together):
+                    part = batch.slice(at, together)
+                    own = [t or "" for t in part.column(1).to_pylist()]
+                    for w in words:
+                        rows, ends, edits = [], [], []
+                        for k, hits in enumerate(bit_ends(own, w, most)):
+                            rows += [k] * len(hits)
+                            ends += [h[0] for h in hits]
+                            edits += [h[1] for h in hits]
+                        if rows:
+                            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), pa.array([w] * len(rows), pa.string()), pa.array(ends, pa.int64()), pa.array(edits, pa.int64())], names)
+
+        return run
+
+    parts = [[r[0] for r in p.collect()] for p in exact.blocks(patterns.select("pattern").filter("pattern != ''"))]
+    return reduce(DataFrame.union, [texts.select("text_id", "text").mapInArrow(search(words), f"text_id {kind}, pattern string, end_pos long, dist long") for words in parts])
+
+
+# Joins of strings within an edit distance.
+
+
+def _segments(length: Column, most: int) -> Column:
+    """(i, at, n) of the ``most`` + 1 segments of a string of this length."""
+    cut = lambda k: F.floor(length * k / (most + 1)).cast("int")
+    return F.array(*[F.struct(F.lit(k).alias("i"), cut(k).alias("at"), (cut(k + 1) - cut(k)).alias("n")) for k in range(most + 1)])
+
+
+def within(strings: DataFrame, most: int) -> DataFrame:
+    """(a, b, dist): the pairs of different strings (column ``s``) within ``most`` edits, each pair once; the shorter is a, of equal lengths the smaller.
+
+    A string within ``most`` edits of another has one of its ``most`` + 1 segments
+    whole, and not farther off than the edits before and behind it allow.  So segments
+    meet by equality on (length, number, letters); their letters are hashed, and
+    every pair that meets is verified.  Null strings are in no pair, and repeated
+    strings count once.
+    """
+    s = strings.select("s").filter(F.col("s").isNotNull()).distinct().withColumn("length", F.length("s"))
+    index = s.select(F.col("s").alias("a"), "length", F.inline(_segments(F.col("length"), most)))
+    index = index.select("a", "length", "i", F.xxhash64(F.substring("a", F.col("at") + 1, F.col("n"))).alias("h"))
+    # Of the other string: for each length that a shorter one may have, its segments' places, moved as far as they may be.
+    probe = s.select(F.col("s").alias("b"), F.col("length").alias("own"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("length") - most), F.col("length"))).alias("length"))
+    probe = probe.select("b", "own", "length", F.inline(_segments(F.col("length"), most)))
+    more = F.col("own") - F.col("length")
+    moved = F.sequence(F.greatest(F.lit(0), F.col("at") - F.floor((most - more) / 2).cast("int")), F.least(F.col("own") - F.col("n"), F.col("at") + F.floor((most + more) / 2).cast("int")))
+    probe = probe.withColumn("to", F.explode(F.when(F.col("n") > 0, moved).otherwise(F.array(F.lit(0))))).select("b", "own", "length", "i", F.xxhash64(F.substring("b", F.col("to") + 1, F.col("n"))).alias("h"))
+    met = index.join(probe.distinct(), ["length", "i", "h"]).filter((F.col("own") > F.col("length")) | (F.col("a") < F.col("b")))
+    return met.select("a", "b", F.levenshtein("a", "b", most).cast("long").alias("dist")).filter("dist >= 0").distinct()
