@@ -103,14 +103,15 @@ def by_windows(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return _native(texts, patterns, lambda t, p: np.flatnonzero(A.prefix_lengths(t, p) == len(p)).tolist())
 
 
-def by_hash(texts: DataFrame, patterns: DataFrame, base: int = 256, prime: int = 101) -> DataFrame:
-    """Rolling-hash search: windows whose hash is the pattern's; characters decide."""
+def hash_hits(text: str, pattern: str, base: int = 256, prime: int = 101) -> list[int]:
+    """Starts of the windows whose hash is the pattern's, and which are the pattern."""
+    near = A.window_hashes(text, len(pattern), base, prime) == rolled(pattern, base, prime)
+    return [at for at in np.flatnonzero(near).tolist() if text.startswith(pattern, at)]
 
-    def hits(text: str, pattern: str) -> list[int]:
-        near = A.window_hashes(text, len(pattern), base, prime) == rolled(pattern, base, prime)
-        return [at for at in np.flatnonzero(near).tolist() if text.startswith(pattern, at)]
 
-    return _native(texts, patterns, hits)
+def by_hash(texts: DataFrame, patterns: DataFrame, base: int = 256, prime: int = 101) -> DataFrame:
+    """Rolling-hash search: windows whose hash is the pattern's; characters decide."""
+    return _native(texts, patterns, lambda t, p: hash_hits(t, p, base, prime))
 
 
 def rolled(pattern: str, base: int = 256, prime: int = 101) -> int:
@@ -247,7 +248,12 @@ def complexity(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def chunked(texts: DataFrame, patterns: DataFrame, size: int = 4096) -> DataFrame:
     """Search of texts of any length: pieces with an overlap, a hit owned by the piece in which it starts."""
-    return _piecewise(_searchable(pair(texts, patterns)), T.lookahead(F.col("pattern")), lambda chunk: F.startswith(chunk, F.col("pattern")), size, F.contains(F.col("chunk"), F.col("pattern")))
+    return hits_by_pieces(_searchable(pair(texts, patterns)), size)
+
+
+def hits_by_pieces(pairs: DataFrame, size: int = SPLIT_SIZE) -> DataFrame:
+    """The hits of rows (text_id, text, pattern), each pattern not empty; without state, so a stream may be such rows."""
+    return _piecewise(pairs, T.lookahead(F.col("pattern")), lambda chunk: F.startswith(chunk, F.col("pattern")), size, F.contains(F.col("chunk"), F.col("pattern")))
 
 
 def in_pieces(pieces: DataFrame, patterns: DataFrame, search=by_find) -> DataFrame:

@@ -19,14 +19,27 @@ def letters(patterns: DataFrame) -> DataFrame:
     return patterns.select("pattern").distinct().select("pattern", F.posexplode(own).alias("i", "ch"))
 
 
+def borders(pattern: str) -> list[int]:
+    """Length of the longest proper border of each prefix."""
+    out = [0] * len(pattern)
+    for i in range(1, len(pattern)):
+        k = out[i - 1]
+        while k and pattern[k] != pattern[i]:
+            k = out[k - 1]
+        out[i] = k + (pattern[k] == pattern[i])
+    return out
+
+
 def failure_function(patterns: DataFrame) -> DataFrame:
     """(pattern, i, failure): length of the longest proper border of the prefix that ends at i."""
-    p = patterns.select("pattern").distinct().filter(F.length("pattern") > 0)
-    at = p.select("pattern", F.explode(F.sequence(F.lit(0), F.length("pattern") - 1)).alias("i"))
-    prefix = F.substring(F.col("pattern"), F.lit(1), F.col("i") + 1)
-    # An array of the border lengths of each prefix, longest taken; 0 is always one.
-    lengths = F.filter(F.sequence(F.lit(0), F.col("i")), lambda k: F.substring(prefix, F.lit(1), k) == F.substring(prefix, F.col("i") + 2 - k, k))
-    return at.select("pattern", F.col("i").cast("long").alias("i"), F.array_max(lengths).cast("long").alias("failure"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                if p:
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(p), pa.string()), pa.array(range(len(p)), pa.int64()), pa.array(borders(p), pa.int64())], ["pattern", "i", "failure"])
+
+    return patterns.select("pattern").distinct().mapInArrow(run, "pattern string, i long, failure long")
 
 
 def bad_characters(patterns: DataFrame, seeded: str = "") -> DataFrame:

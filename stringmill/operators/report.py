@@ -85,6 +85,57 @@ def speedup(runs: DataFrame, baseline: str) -> DataFrame:
     return runs.join(base, ["category", "pattern_name"], "left").select("category", "pattern_name", "algorithm", r6(s).alias("speedup"), band(s).alias("band"))
 
 
+def speedup_rows(runs: DataFrame, baseline: str, missing_ms: float = 1.0) -> DataFrame:
+    """Each run's whole time, preprocessing too, against the baseline's on the same pattern, with its band.
+
+    The baseline's own is 1; where the baseline was not run, its time is taken as
+    ``missing_ms``; a run that took no time has 0.
+    """
+    total = F.col("search_ms") + F.col("preprocessing_ms")
+    base = runs.filter(F.col("algorithm") == baseline).groupBy("category", "pattern_name").agg(F.max(total).alias("base_ms"))
+    s = F.when(F.col("algorithm") == baseline, F.lit(1.0)).when(total > 0, F.coalesce("base_ms", F.lit(missing_ms)) / total).otherwise(F.lit(0.0))
+    both = runs.join(base, ["category", "pattern_name"], "left")
+    return both.select("category", "pattern_name", "algorithm", r6(total).alias("total_ms"), F.col("base_ms").isNotNull().alias("has_baseline"), r6(s).alias("speedup"), band(s).alias("band"))
+
+
+def in_words(speedup: Column) -> Column:
+    """``2.0000x faster``, ``4.0000x slower``; null where there is no ratio or no time was taken."""
+    return F.when(speedup >= 1, F.format_string("%.4fx faster", speedup)).when(speedup > 0, F.format_string("%.4fx slower", 1 / speedup))
+
+
+def speedup_by_algorithm(runs: DataFrame, baseline: str) -> DataFrame:
+    """Each algorithm against the baseline: by its derived total (median times runs, and preprocessing), and by its mean run.
+
+    Without runs of the baseline there are no ratios, words or bands.
+    """
+    a = runs.groupBy("algorithm").agg(F.median("search_ms").alias("median"), F.avg("search_ms").alias("mean"), F.avg("preprocessing_ms").alias("pre"), F.count(F.lit(1)).alias("runs"))
+    a = a.withColumn("total", F.col("median") * F.col("runs") + F.col("pre"))
+    # One row, or none.
+    base = a.filter(F.col("algorithm") == baseline).select(F.col("total").alias("base_total"), F.col("mean").alias("base_mean"))
+    both = a.join(F.broadcast(base), F.lit(True), "left")
+    ratio = lambda own, to: F.when(F.col(own) > 0, F.col(to) / F.col(own)).when(F.col(to).isNotNull(), F.lit(0.0))
+    out = ["algorithm", "runs"]
+    for name, own, to in (("total", "total", "base_total"), ("run", "mean", "base_mean")):
+        s = ratio(own, to)
+        out += [r6(F.col(own)).alias(f"{name}_ms"), r6(s).alias(f"{name}_speedup"), in_words(s).alias(f"{name}_words"), F.when(s.isNotNull(), band(s)).alias(f"{name}_band")]
+    return both.select(*out)
+
+
+def ordered_listing(runs: DataFrame, widest: int = 20) -> DataFrame:
+    """The listing by category, with the place of each run among its pattern's: the fastest first, ties by name."""
+    place = F.row_number().over(Window.partitionBy("category", "pattern_name").orderBy("search_ms", "algorithm"))
+    return runs.select("category", "pattern_name", shortened("pattern_name", widest).alias("shown"), place.alias("place"), "algorithm", r6(F.col("search_ms")).alias("search_ms"), "matches_count", r6(F.col("memory_kb")).alias("memory_kb"))
+
+
+def values_of(runs: DataFrame, *columns: str) -> DataFrame:
+    """(name, value): the distinct values of each column, written as strings; null is none.
+
+    In long form, so that a column of many values is no long list.
+    """
+    long = runs.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns])))
+    return long.filter(F.col("value").isNotNull()).distinct()
+
+
 def every_pair(runs: DataFrame, rows: list[str], value: Column, name: str) -> DataFrame:
     """A value by row and algorithm in long form, a row for each pair of those that occur, 0 where there is none."""
     own = runs.groupBy(*rows, "algorithm").agg(value.alias(name))
@@ -183,10 +234,14 @@ def ratio_of_means(runs: DataFrame, baseline: str) -> DataFrame:
     return a.crossJoin(base).select("algorithm", r6(F.col("t")).alias("mean_ms"), r6(F.col("t") / F.col("b")).alias("ratio"))
 
 
+def shortened(name: str, widest: int) -> Column:
+    """A name cut to ``widest`` for printing."""
+    return F.when(F.length(name) > widest, F.concat(F.substring(name, 1, widest - 3), F.lit("..."))).otherwise(F.col(name))
+
+
 def listing(runs: DataFrame, widest: int = 20) -> DataFrame:
     """Names cut to ``widest`` for printing."""
-    short = F.when(F.length("pattern_name") > widest, F.concat(F.substring("pattern_name", 1, widest - 3), F.lit("..."))).otherwise(F.col("pattern_name"))
-    return runs.select(short.alias("shown"), "category", "algorithm", r6(F.col("search_ms")).alias("search_ms"))
+    return runs.select(shortened("pattern_name", widest).alias("shown"), "category", "algorithm", r6(F.col("search_ms")).alias("search_ms"))
 
 
 def approx_summary(rows: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import text as T
 from . import approx, exact
+from .index import borders
 
 
 def pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -55,17 +56,6 @@ def naive(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     )
 
 
-def borders(pattern: str) -> list[int]:
-    """Length of the longest proper border of each prefix."""
-    out = [0] * len(pattern)
-    for i in range(1, len(pattern)):
-        k = out[i - 1]
-        while k and pattern[k] != pattern[i]:
-            k = out[k - 1]
-        out[i] = k + (pattern[k] == pattern[i])
-    return out
-
-
 def _kmp(text: str, pattern: str) -> tuple:
     """The state behind a character is the longest prefix that ends there; a fall passes each shorter one that ended before it and does not go on."""
     n, m = len(text), len(pattern)

@@ -5,11 +5,13 @@ Searches over ``documents`` and ``benchmark`` take whole tables and whole texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import approx, exact, index, multi, payload, report, suffixes, trace
 from ..sources import datagen, fasta, folders, readers, writers
 from . import measure, registry
@@ -308,12 +310,35 @@ def hamming_documents(spark, sf):
     return as_doc(approx.hamming_search(documents(spark, sf), words(spark, ("tion", "there")), 1))
 
 
-@query()
+# DuckDB's distance counts bytes, so other characters are each written as one byte that no pattern has.
+# Of every place of every document, the substrings of each length near the pattern's, cut from pieces.
+NEAR_DOCUMENTS = """WITH t AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '~', 'g') AS text FROM documents),
+h AS (SELECT doc_id, text, length(text) AS n, pattern, length(pattern) AS m, unnest(range(0, length(text), 256)) AS head FROM t, {patterns}),
+p AS (SELECT doc_id, pattern, m, n, head, substring(text, head + 1, 256 + m + 1) AS piece FROM h),
+i AS (SELECT *, unnest(range(0, least(256, n - head))) AS i FROM p),
+k AS (SELECT *, unnest(range(greatest(1, m - 1), least(n - head - i, m + 1) + 1)) AS k FROM i),
+c AS (SELECT doc_id, pattern, m, head + i AS pos, k AS len, levenshtein(pattern, substring(piece, i + 1, k)) AS dist FROM k)
+"""
+APPROX_DOCUMENTS = NEAR_DOCUMENTS.format(patterns=values(("tionth", "thereing"))) + "SELECT doc_id, pattern, CAST(pos + len - 1 AS BIGINT) AS end_pos, CAST(min(dist) AS BIGINT) AS dist FROM c GROUP BY doc_id, pattern, pos + len - 1 HAVING min(dist) <= 1"
+
+
+@query(APPROX_DOCUMENTS)
 def approx_documents(spark, sf):
     return as_doc(approx.edit_search(documents(spark, sf), words(spark, ("tionth", "thereing")), 1))
 
 
-# DuckDB's distance counts bytes, so other characters are each written as one byte that no pattern has.
+@query(APPROX_DOCUMENTS)
+def bit_parallel_documents(spark, sf):
+    return as_doc(approx.edit_search_bits(documents(spark, sf), words(spark, ("tionth", "thereing")), 1))
+
+
+@query()
+def edit_join_lines(spark, sf):
+    """The different lines of all documents that are within two edits of each other."""
+    lines = spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("s"))
+    return approx.within(lines.filter("s != ''"), 2)
+
+
 CANDIDATES = """WITH RECURSIVE t AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g') AS text FROM benchmark),
 c AS (SELECT item_id, pattern, length(pattern) AS m, i AS pos, k AS len, levenshtein(pattern, substring(text, i + 1, k)) AS dist FROM
   (SELECT *, unnest(range(greatest(1, length(pattern) - 1), least(length(text) - i, length(pattern) + 1) + 1)) AS k FROM
@@ -466,6 +491,17 @@ OVER_DOCUMENTS: dict[str, Callable[[SparkSession, DataFrame], DataFrame]] = {
     "bitvector_score_compat": lambda spark, t: approx.bitvector_score_compat(t, words(spark, NEAR), 1),
     "search_all_algorithms": lambda spark, t: registry.search(t, words(spark, NEAR)),
 }
+ORACLE_SQL["edit_search_first_length_documents"] = NEAR_DOCUMENTS.format(patterns=values(NEAR)) + "SELECT doc_id, pattern, CAST(pos AS BIGINT) AS pos, CAST(min(len) AS BIGINT) AS len, CAST(arg_min(dist, len) AS BIGINT) AS dist FROM c WHERE dist <= 1 GROUP BY doc_id, pattern, pos"
+ORACLE_SQL["rk_window_hash_documents"] = f"""WITH pieces AS (SELECT doc_id, head, substring(text, head + 1, 259) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 256)) AS head FROM documents))
+  SELECT doc_id, CAST(head + i AS BIGINT) AS pos, CAST({HASH4} AS BIGINT) AS hash FROM (SELECT *, unnest(range(0, least(256, greatest(length(text) - 3, 0)))) AS i FROM pieces)"""
+ORACLE_SQL["suffix_table_documents"] = "SELECT doc_id, CAST(head + i AS BIGINT) AS pos, substring(piece, i + 1, 8) AS suffix FROM (SELECT *, unnest(range(0, least(256, length(piece)))) AS i FROM (SELECT doc_id, head, substring(text, head + 1, 263) AS piece FROM (SELECT doc_id, text, unnest(range(0, length(text), 256)) AS head FROM documents)))"
+ORACLE_SQL["suffix_counts_documents"] = "SELECT suffix, count(*) AS n FROM (SELECT substring(piece, i + 1, 4) AS suffix FROM (SELECT *, unnest(range(0, least(256, length(piece)))) AS i FROM (SELECT substring(text, head + 1, 259) AS piece FROM (SELECT text, unnest(range(0, length(text), 256)) AS head FROM documents)))) GROUP BY suffix"
+# Comparisons of every window: those up to the first that fails, or all.
+COMPARED = windows_sql(SHORT) + ", l AS (SELECT doc_id, pattern, m, CASE WHEN win = pattern THEN m WHEN m > 2 AND substring(win, 1, 2) = substring(pattern, 1, 2) THEN 2 WHEN substring(win, 1, 1) = substring(pattern, 1, 1) THEN 1 ELSE 0 END AS same FROM w), q AS (SELECT doc_id, pattern, m, sum(least(same + 1, m)) AS comparisons, sum((same = m)::INT) AS matches, count(*) AS positions FROM l GROUP BY ALL)\n"
+OF_ALL = f"FROM documents d CROSS JOIN {values()} LEFT JOIN q ON q.doc_id = d.doc_id AND q.pattern = p.pattern"
+ORACLE_SQL["naive_comparisons_documents"] = COMPARED + f"SELECT d.doc_id, p.pattern, CAST(coalesce(comparisons, 0) AS BIGINT) AS comparisons, CAST(coalesce(matches, 0) AS BIGINT) AS matches, CAST(coalesce(positions, 0) AS BIGINT) AS positions {OF_ALL}"
+WORST = "greatest(length(d.text) - length(p.pattern) + 1, 0) * length(p.pattern)"
+ORACLE_SQL["complexity_analysis_documents"] = COMPARED + f"SELECT d.doc_id, p.pattern, length(d.text) AS n, length(p.pattern) AS m, CAST(coalesce(matches, 0) AS BIGINT) AS matches, CAST(coalesce(comparisons, 0) AS BIGINT) AS comparisons, {WORST} AS worst, round(100 * coalesce(comparisons, 0) / nullif({WORST}, 0), 6) AS efficiency {OF_ALL}"
 for _name, _build in OVER_DOCUMENTS.items():
     QUERIES[f"{_name}_documents"] = lambda spark, sf, build=_build: as_doc(build(spark, documents(spark, sf)))
 
@@ -663,6 +699,84 @@ def skip_policy(spark, sf):
     return r.filter(~((F.col("algorithm") == "src1") & (F.col("category") == "en")))
 
 
+#: A benchmark's runs made of the documents: five algorithms a document, some times 0, the baseline and other runs missing here and there.
+ALGORITHMS = ("naive", "kmp", "boyer_moore", "suffix_tree", "regex")
+BENCH = f"""WITH runs AS (SELECT CAST(doc_id AS VARCHAR) AS pattern_name, lang AS category, algorithm, CAST(n_chars AS INT) AS pattern_length, CAST(k * 0.5 AS DOUBLE) AS preprocessing_ms,
+  CAST(((doc_id * 31 + k * 17) % 97) * (1 + (doc_id + k) % 13) * 0.25 AS DOUBLE) AS search_ms, n_chars / 4.0 + k AS memory_kb, CAST(doc_id % 5 AS BIGINT) AS matches_count
+  FROM documents, (VALUES {", ".join(f"('{a}', {k})" for k, a in enumerate(ALGORITHMS))}) a(algorithm, k) WHERE NOT (algorithm = 'regex' AND doc_id % 7 = 3) AND NOT (algorithm = 'kmp' AND lang = 'fr'))
+"""
+BANDS = "CASE WHEN {s} >= 2 THEN 'much faster' WHEN {s} >= 1 THEN 'faster' WHEN {s} >= 0.5 THEN 'slower' WHEN {s} >= 0.1 THEN 'much slower' ELSE 'far slower' END"
+
+
+def bench_runs(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    a = F.explode(F.array(*[F.struct(F.lit(n).alias("algorithm"), F.lit(k).alias("k")) for k, n in enumerate(ALGORITHMS)]))
+    rows = d.select("doc_id", "lang", "n_chars", a.alias("a")).select("doc_id", "lang", "n_chars", "a.algorithm", "a.k")
+    rows = rows.filter(~((F.col("algorithm") == "regex") & (F.col("doc_id") % 7 == 3)) & ~((F.col("algorithm") == "kmp") & (F.col("lang") == "fr")))
+    i, k = F.col("doc_id"), F.col("k")
+    return rows.select(
+        i.cast("string").alias("pattern_name"), F.col("lang").alias("category"), "algorithm", F.col("n_chars").cast("int").alias("pattern_length"), (k * 0.5).alias("preprocessing_ms"),
+        (((i * 31 + k * 17) % 97) * (1 + (i + k) % 13) * 0.25).alias("search_ms"), (F.col("n_chars") / 4.0 + k).alias("memory_kb"), (i % 5).alias("matches_count"),
+    )
+
+
+@query(
+    BENCH
+    + f""", b AS (SELECT category, pattern_name, max(search_ms + preprocessing_ms) AS base_ms FROM runs WHERE algorithm = 'regex' GROUP BY ALL),
+    s AS (SELECT r.*, b.base_ms, r.search_ms + r.preprocessing_ms AS total, CASE WHEN algorithm = 'regex' THEN 1.0 WHEN r.search_ms + r.preprocessing_ms > 0 THEN coalesce(base_ms, 1.0) / (r.search_ms + r.preprocessing_ms) ELSE 0.0 END AS s FROM runs r LEFT JOIN b ON b.category = r.category AND b.pattern_name = r.pattern_name)
+    SELECT category, pattern_name, algorithm, round(total, 6) AS total_ms, base_ms IS NOT NULL AS has_baseline, round(CAST(s AS DOUBLE), 6) AS speedup, {BANDS.format(s="s")} AS band FROM s"""
+)
+def speedup_rows(spark, sf):
+    return report.speedup_rows(bench_runs(spark, sf), "regex")
+
+
+WORDS = "CASE WHEN {s} >= 1 THEN printf('%.4fx faster', {s}) WHEN {s} > 0 THEN printf('%.4fx slower', 1 / {s}) END"
+
+
+@query(
+    BENCH
+    + f""", a AS (SELECT algorithm, count(*) AS runs, median(search_ms) * count(*) + avg(preprocessing_ms) AS t, avg(search_ms) AS m FROM runs GROUP BY algorithm),
+    s AS (SELECT a.*, CASE WHEN a.t > 0 THEN b.t / a.t ELSE 0 END AS x, CASE WHEN a.m > 0 THEN b.m / a.m ELSE 0 END AS y FROM a, a b WHERE b.algorithm = 'regex')
+    SELECT algorithm, runs, round(t, 6) AS total_ms, round(x, 6) AS total_speedup, {WORDS.format(s="x")} AS total_words, {BANDS.format(s="x")} AS total_band,
+      round(m, 6) AS run_ms, round(y, 6) AS run_speedup, {WORDS.format(s="y")} AS run_words, {BANDS.format(s="y")} AS run_band FROM s"""
+)
+def speedup_by_algorithm(spark, sf):
+    return report.speedup_by_algorithm(bench_runs(spark, sf), "regex")
+
+
+@query(BENCH + "SELECT * FROM runs WHERE NOT (algorithm = 'naive' AND (pattern_length > 100 OR category = 'de')) AND NOT (algorithm = 'suffix_tree' AND pattern_length > 1000)")
+def skip_policy_runs(spark, sf):
+    return report.kept_runs(bench_runs(spark, sf), skip={"naive": ["de"]})
+
+
+@query(BENCH + ", a AS (SELECT DISTINCT algorithm FROM runs), c AS (SELECT DISTINCT category FROM runs) SELECT c.category, a.algorithm, round(coalesce(avg(r.search_ms), 0.0), 6) AS mean_ms FROM c CROSS JOIN a LEFT JOIN runs r ON r.category = c.category AND r.algorithm = a.algorithm GROUP BY c.category, a.algorithm")
+def category_pivot_runs(spark, sf):
+    return report.every_pair(bench_runs(spark, sf), ["category"], F.avg("search_ms"), "mean_ms")
+
+
+@query(
+    BENCH
+    + """SELECT category, pattern_name, CASE WHEN length(pattern_name) > 20 THEN substring(pattern_name, 1, 17) || '...' ELSE pattern_name END AS shown, CAST(row_number() OVER (PARTITION BY category, pattern_name ORDER BY search_ms, algorithm) AS INT) AS place,
+    algorithm, round(search_ms, 6) AS search_ms, matches_count, round(memory_kb, 6) AS memory_kb FROM runs"""
+)
+def ordered_listing(spark, sf):
+    return report.ordered_listing(bench_runs(spark, sf))
+
+
+@query(BENCH + "SELECT DISTINCT name, value FROM (SELECT 'category' AS name, category AS value FROM runs UNION ALL SELECT 'algorithm', algorithm FROM runs UNION ALL SELECT 'pattern_length', CAST(pattern_length AS VARCHAR) FROM runs) WHERE value IS NOT NULL")
+def distinct_values(spark, sf):
+    return report.values_of(bench_runs(spark, sf), "category", "algorithm", "pattern_length")
+
+
+@query(ALL_HITS)
+def search_function(spark, sf):
+    """The search as a table function of SQL."""
+    tables.register(spark)
+    view = f"documents_{uuid.uuid4().hex}"
+    documents(spark, sf).createOrReplaceTempView(view)
+    return as_doc(spark.sql(f"SELECT text_id, pattern, pos FROM search(TABLE(SELECT text_id, text FROM {view}), array{SHORT}, 'rabin_karp')"))
+
+
 @query(RUNS + "SELECT pattern_name, algorithm, greatest(0, search_ms) + preprocessing_ms AS total_ms, round(500000 / nullif(search_ms, 0), 4) AS throughput FROM runs")
 def throughput(spark, sf):
     return report.with_throughput(runs(spark, sf), 500_000).select("pattern_name", "algorithm", "total_ms", "throughput")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..operators import exact
 
 
 def texts_of(spark: SparkSession, path: str, schema: str, id_column: str, text_column: str) -> DataFrame:
@@ -14,11 +14,10 @@ def texts_of(spark: SparkSession, path: str, schema: str, id_column: str, text_c
 
 
 def hits(stream: DataFrame, patterns: list[str]) -> DataFrame:
-    """(text_id, pattern, pos) of each overlapping hit, by the same column expression as in a batch."""
+    """(text_id, pattern, pos) of each overlapping hit, piece by piece as in a batch: in proportion to the texts, whatever the number of hits."""
     p = F.explode(F.array(*map(F.lit, patterns)))
     rows = stream.select("text_id", "text", p.alias("pattern")).filter((F.length("pattern") > 0) & F.contains(F.col("text"), F.col("pattern")))
-    found = T.split_positions(F.col("text"), T.lookahead(F.col("pattern")), F.startswith(F.col("text"), F.col("pattern")))
-    return rows.select("text_id", "pattern", F.explode(found.cast("array<bigint>")).alias("pos"))
+    return exact.hits_by_pieces(rows)
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str) -> None:
