@@ -76,9 +76,12 @@ def drop_boilerplate(docs: DataFrame, *, site: str = "source", ratio: float = RA
     at = common.place(docs, "text")
     own_text = F.col(f"_row.c{at}")
     lines = _lines(own_text)
-    kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~(F.array_contains(F.col("_bad"), F.xxhash64(x)) & x.rlike(_HAS_WORD))))
+    # One set of hashes a page, not a search of the site's lines for each line; bound to a name, so it is made once.
+    gone = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col("_bad"))
+    without = F.element_at(F.transform(F.array(gone), lambda h: F.filter(lines, lambda x: ~(F.array_contains(h, F.xxhash64(x)) & x.rlike(_HAS_WORD)))), 1)
+    kept = F.when(F.col("_bad").isNull(), lines).otherwise(without)
     text = F.when(own_text.isNotNull(), F.array_join(kept, "\n"))
-    met = met.select("_row", "_bad", text.alias("_text"), lines.alias("_lines") if counts else F.lit(None).alias("_lines"))
+    met = met.select("_row", text.alias("_text"), *([lines.alias("_lines"), kept.alias("_kept")] if counts else []))
     out = []
     for k, f in enumerate(docs.schema.fields):
         own = F.col(f"_row.c{k}")
@@ -89,7 +92,7 @@ def drop_boilerplate(docs: DataFrame, *, site: str = "source", ratio: float = RA
         out.append(own.alias(f.name))
     if counts:
         had = F.when(F.coalesce(own_text, F.lit("")) == "", F.lit(0)).otherwise(F.size("_lines"))
-        out += [had.cast("long").alias("n_lines"), F.size(F.filter("_lines", lambda x: F.coalesce(F.array_contains(F.col("_bad"), F.xxhash64(x)), F.lit(False)) & x.rlike(_HAS_WORD))).cast("long").alias("n_dropped")]
+        out += [had.cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped")]
     return met.select(*out)
 
 

@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from stringmill.llm import common
 from stringmill.llm import neardup as N
 
 ODD = "doc_id long, text string, n_shingles string, rep string, bands string"
@@ -158,3 +160,40 @@ def test_a_hub_of_a_third_of_all_nodes(spark):
     links = [(b, a) if k % 2 else (a, b) for k, (a, b) in enumerate(links)]
     got = {r.node: r.up for r in N.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
     assert got == dict.fromkeys(range(1, 2000), 0) | dict.fromkeys(range(3001, 3061), 3000) | {2 * k + 1: 2 * k for k in range(2500, 2600)}
+
+
+def shares_of_tasks(df):
+    """(largest, median) of the rows that a frame's partitions hold, of those that hold any."""
+    n = sorted(r[1] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    return n[-1], n[len(n) // 2]
+
+
+def test_no_task_gets_a_hub(spark):
+    """A centre of a third of all rows: neither its rows nor the copies of its one row meet in a few tasks."""
+    n, parts = 60_000, 16
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = spark.range(n).selectExpr("CASE WHEN id % 3 = 0 THEN 0L ELSE id END AS key", "id AS other")
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        met = common.meet(rows, "key", F.col("other"), sizes.select("key", (F.col("key") * 2).alias("twice")), sizes, 64)
+        assert met.count() == n and met.filter("twice != key * 2").isEmpty()
+        most, middle = shares_of_tasks(met)
+        assert most <= 3 * middle, (most, middle)
+        # Keys too many to broadcast go the other way, with the same result.
+        many = common.BROADCAST_KEYS
+        common.BROADCAST_KEYS = 0
+        again = common.meet(rows, "key", F.col("other"), sizes.select("key", (F.col("key") * 2).alias("twice")), sizes, 64)
+        common.BROADCAST_KEYS = many
+        assert sorted(map(tuple, again.select("key", "other", "twice").collect())) == sorted(map(tuple, met.select("key", "other", "twice").collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_ids_of_narrower_types(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(5, text), (3, text), (4, "else")], "doc_id int, text string")
+    assert sorted((r.doc_id, r.component_id) for r in N.group(docs).collect()) == [(3, 3), (4, 4), (5, 3)]

@@ -70,3 +70,50 @@ def test_samples_are_bounded_and_repeatable(spark):
     a, b = ({r.doc_id for r in common.sample_by_hash(d, "doc_id", 300).collect()} for d in (df, df.repartition(9)))
     assert len(a) == 300 and a == b
     assert common.sample_by_hash(df, "doc_id", 10_000).count() == 5000
+
+
+def plain_shares(text):
+    """The statistics of a text, each by its own words."""
+    import math
+    import re
+    from collections import Counter
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    times = Counter(windows)
+    inside = {j for k, w in enumerate(windows) if times[w] > 1 for j in range(k, k + 3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    chars, share = sum(map(len, words)), lambda part, whole: part / whole if whole else 0.0
+    n = lambda pattern: len(re.findall(pattern, text))
+    wide = len(text.encode()) - len(text)
+    return {
+        "symbol_share": share(n(r"[#*$%&|<>]"), chars), "repeat_share": share(len(inside), len(words)), "dup_line_share": share(len(lines) - len(set(lines)), len(lines)), "upper_share": share(n("[A-Z]"), n("[A-Za-z]")),
+        "digit_share": share(n("[0-9]"), chars), "stop_share": share(n("[.,;:!?]"), len(words)), "bang_share": share(n("!"), len(words)), "same_next_share": share(sum(a == b for a, b in zip(words, words[1:])), len(words)),
+        "distinct_share": share(len(set(words)), len(words)), "word_length": share(chars, len(words)), "line_words": share(len(words), len(lines)), "letter_share": share(n("[A-Za-z]") + wide, chars),
+        "log_words": math.log1p(len(words)), "longest_word": float(max((len(w.encode()) for w in words), default=0)),
+    }
+
+
+def test_every_score_against_a_plain_version(spark, monkeypatch):
+    """Statistics, rules and score of all rows again, condition by condition."""
+    import math
+
+    sf, kept, fit = "/root/testdata/sf0.01", [], R.fit
+    monkeypatch.setattr(R, "fit", lambda *a: kept.append(fit(*a)) or kept[-1])
+    got = {r.doc_id: r for r in R.op4_rule_ensemble(spark, sf).collect()}
+    model = kept[0]
+    assert model.rules or model.linear
+
+    def score(text):
+        x = plain_shares(text)
+        value = lambda k: x[R.FEATURES[k]]
+        m = model.bias
+        for rule, w in model.rules:
+            m += w * all(value(k) > cut if above else value(k) <= cut for k, above, cut in rule)
+        for k, low, high, w in model.linear:
+            m += w * min(1.0, max(0.0, (value(k) - low) / (high - low)))
+        return 1 / (1 + math.exp(-m))
+
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        assert abs(got[r.doc_id].score - score(r.text)) < 1e-9, r.doc_id

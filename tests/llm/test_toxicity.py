@@ -124,3 +124,57 @@ def test_repeated_rows_teach_the_same(spark):
     labels = spark.createDataFrame([(k, 1, int(k < 100)) for k in range(300)], "doc_id long, quality int, toxic int")
     scores = [sorted((r.doc_id, r.score) for r in T.score(spark.createDataFrame(r, ODD).repartition(n), labels).collect()) for r, n in ((rows, 1), (rows[::-1], 7))]
     assert scores[0] == scores[1] and len({s for _, s in scores[0]}) > 1
+
+
+def plain_score(text, lexicon, w, cache):
+    """The score of a text with what was learned: distances to all terms, quotation marks line by line, windows counted one by one."""
+    import math
+    import re
+
+    def hit(word):
+        if word in lexicon.weights:
+            return lexicon.weights[word], 0
+        if word in lexicon.harmless or len(word) < 4:
+            return None
+        near = min(((distance(t, word), t) for t in lexicon.weights if abs(len(t) - len(word)) <= T.allowed_edits(t) and distance(t, word) <= T.allowed_edits(t)), default=None)
+        return near and (lexicon.weights[near[1]], near[0])
+
+    hits, k = [], 0
+    for line in (text or "").lower().split("\n"):
+        parts = re.split(f"[{T._QUOTES}]", line)
+        for n, part in enumerate(parts):
+            # Parts between a mark and the next are quoted; one that no mark closes is not.
+            quoted = n % 2 == 1 and n < len(parts) - 1
+            for word in re.findall(r"[^\W_]+", part):
+                if word not in cache:
+                    cache[word] = hit(word)
+                if cache[word]:
+                    hits.append((k, word, *cache[word], quoted))
+                k += 1
+    f = dict.fromkeys(T.FEATURES, 0.0)
+    for name, exact in (("exact", True), ("near", False)):
+        own = [(k, v) for k, _, v, e, q in hits if (e == 0) == exact and not q]
+        f[name] = sum(v for _, v in own)
+        f[f"{name}_dense"] = max((sum(v for j, v in own if k - 2 * T.WINDOW <= j <= k) for k, _ in own), default=0.0)
+        f["quoted" if exact else "quoted_near"] = sum(v for _, _, v, e, q in hits if (e == 0) == exact and q)
+    f["exact_kinds"] = len({word for _, word, _, e, q in hits if e == 0 and not q})
+    m = w[0] + sum(c * math.log1p(f[name]) for c, name in zip(w[1:], T.FEATURES))
+    return 1 / (1 + math.exp(-m))
+
+
+def test_every_score_against_a_plain_version(spark, monkeypatch):
+    sf, kept = "/root/testdata/sf0.01", []
+    learn = T.learn
+    monkeypatch.setattr(T, "learn", lambda *a: kept.append(learn(*a)) or kept[-1])
+    got = {r.doc_id: r.score for r in T.op9_toxicity(spark, sf).collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    lexicon, w = kept[0]
+    assert lexicon.weights and len(got) == len(docs)
+    words: dict = {}
+    assert max(abs(got[d] - plain_score(t, lexicon, w, words)) for d, t in docs.items()) < 1e-9
+    assert {s >= 0.5 for s in got.values()} == {True, False}
+
+
+def test_ids_of_narrower_types(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id int, text string")
+    assert sorted((r.doc_id, r.score) for r in T.score(docs, spark.createDataFrame([], "doc_id int, toxic int")).collect()) == [(1, 0.5), (2, 0.5)]
