@@ -312,12 +312,11 @@ def alignments(pairs: DataFrame) -> DataFrame:
 
 
 def distances(left: DataFrame, right: DataFrame, most: int | None = None) -> DataFrame:
-    """Levenshtein distance of every (a, b); beyond ``most``, if given, no row."""
-    few = left.crossJoin(right)
+    """Levenshtein distance of every (a, b), a row a pair of rows; of those within ``most``, if given, a row a pair of different values, found by their segments."""
     if most is None:
-        return few.select("a", "b", F.levenshtein("a", "b").cast("long").alias("dist"))
-    near = few.filter(F.abs(F.length("a") - F.length("b")) <= most)
-    return near.select("a", "b", F.levenshtein("a", "b", most).cast("long").alias("dist")).filter("dist >= 0")
+        return left.crossJoin(right).select("a", "b", F.levenshtein("a", "b").cast("long").alias("dist"))
+    own = lambda df, c: df.select(c).filter(F.col(c).isNotNull()).distinct()
+    return _verified(_meeting(own(left, "a"), own(right, "b"), most, -most), most)
 
 
 # Bits: the steps between neighbouring cells of a column of the distance table, 64 to a word.
@@ -419,23 +418,36 @@ def _segments(length: Column, most: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("i"), cut(k).alias("at"), (cut(k + 1) - cut(k)).alias("n")) for k in range(most + 1)])
 
 
-def within(strings: DataFrame, most: int) -> DataFrame:
-    """(a, b, dist): the pairs of different strings (column ``s``) within ``most`` edits, each pair once; the shorter is a, of equal lengths the smaller.
+def _meeting(left: DataFrame, right: DataFrame, most: int, least: int) -> DataFrame:
+    """(a, b) of the strings a of ``left`` and b of ``right`` that share a segment of a where the edits allow it, b being from ``least`` to ``most`` letters longer.
 
-    A string within ``most`` edits of another has one of its ``most`` + 1 segments
-    whole, and not farther off than the edits before and behind it allow.  So segments
-    meet by equality on (length, number, letters); their letters are hashed, and
-    every pair that meets is verified.  Null strings are in no pair, and repeated
-    strings count once.
+    A string within ``most`` edits of a has one of its ``most`` + 1 segments whole, not
+    farther off than the edits before and behind it allow.  So segments meet by
+    equality on (length of a, number, letters); their letters are hashed, and whoever
+    meets has to be verified.
     """
-    s = strings.select("s").filter(F.col("s").isNotNull()).distinct().withColumn("length", F.length("s"))
-    index = s.select(F.col("s").alias("a"), "length", F.inline(_segments(F.col("length"), most)))
+    index = left.select("a", F.length("a").alias("length")).select("a", "length", F.inline(_segments(F.col("length"), most)))
     index = index.select("a", "length", "i", F.xxhash64(F.substring("a", F.col("at") + 1, F.col("n"))).alias("h"))
-    # Of the other string: for each length that a shorter one may have, its segments' places, moved as far as they may be.
-    probe = s.select(F.col("s").alias("b"), F.col("length").alias("own"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("length") - most), F.col("length"))).alias("length"))
+    # Of b: for each length that a may have, its segments' places, moved as far as they may be.
+    own = F.col("own")
+    probe = right.select("b", F.length("b").alias("own")).filter(own >= least).select("b", "own", F.explode(F.sequence(F.greatest(F.lit(0), own - most), own - least)).alias("length"))
     probe = probe.select("b", "own", "length", F.inline(_segments(F.col("length"), most)))
-    more = F.col("own") - F.col("length")
-    moved = F.sequence(F.greatest(F.lit(0), F.col("at") - F.floor((most - more) / 2).cast("int")), F.least(F.col("own") - F.col("n"), F.col("at") + F.floor((most + more) / 2).cast("int")))
-    probe = probe.withColumn("to", F.explode(F.when(F.col("n") > 0, moved).otherwise(F.array(F.lit(0))))).select("b", "own", "length", "i", F.xxhash64(F.substring("b", F.col("to") + 1, F.col("n"))).alias("h"))
-    met = index.join(probe.distinct(), ["length", "i", "h"]).filter((F.col("own") > F.col("length")) | (F.col("a") < F.col("b")))
+    more = own - F.col("length")
+    low, high = F.greatest(F.lit(0), F.col("at") - F.floor((most - more) / 2).cast("int")), F.least(own - F.col("n"), F.col("at") + F.floor((most + more) / 2).cast("int"))
+    moved = F.when(F.col("n") == 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    probe = probe.withColumn("to", F.explode(moved)).select("b", "length", "i", F.xxhash64(F.substring("b", F.col("to") + 1, F.col("n"))).alias("h")).distinct()
+    return index.join(probe, ["length", "i", "h"]).select("a", "b")
+
+
+def _verified(met: DataFrame, most: int) -> DataFrame:
     return met.select("a", "b", F.levenshtein("a", "b", most).cast("long").alias("dist")).filter("dist >= 0").distinct()
+
+
+def within(strings: DataFrame, most: int) -> DataFrame:
+    """(a, b, dist): the pairs of different strings (column ``s``) within ``most`` edits, each pair once; the shorter is a, of equal lengths the smaller.
+
+    Null strings are in no pair, and repeated strings count once.
+    """
+    s = strings.select("s").filter(F.col("s").isNotNull()).distinct()
+    met = _meeting(s.withColumnRenamed("s", "a"), s.withColumnRenamed("s", "b"), most, 0)
+    return _verified(met.filter((F.length("b") > F.length("a")) | (F.col("a") < F.col("b"))), most)

@@ -228,7 +228,16 @@ def bm_bad_char_seeded(spark, sf):
     return index.bad_characters(words(spark, REPEATING), "ACGT")
 
 
-@query()
+#: The patterns of the shift and mask tables.
+TABLED = f"p AS (SELECT DISTINCT text AS pattern FROM benchmark WHERE text <> '' UNION SELECT pattern FROM {values(REPEATING)})"
+
+
+@query(
+    f"""WITH {TABLED}, c AS (SELECT pattern, length(pattern) AS m, unnest(range(0, length(pattern))) AS i FROM p)
+    SELECT pattern, CAST(i AS BIGINT) AS i, CAST(coalesce(
+      list_min(list_filter(range(1, i + 1), lambda s: substring(pattern, i - s + 1, 1) <> substring(pattern, i + 1, 1) AND substring(pattern, i - s + 2, m - i - 1) = substring(pattern, i + 2, m - i - 1))),
+      list_min(list_filter(range(greatest(i, 1), m + 1), lambda b: starts_with(pattern, substring(pattern, b + 1))))) AS BIGINT) AS shift FROM c"""
+)
 def bm_good_suffix(spark, sf):
     return index.good_suffixes(items(spark, sf).select(F.col("text").alias("pattern")).union(words(spark, REPEATING)))
 
@@ -241,7 +250,12 @@ def shiftor_masks(spark, sf):
     return index.character_masks(words(spark, REPEATING))
 
 
-@query()
+@query(
+    f"""WITH {TABLED}, l AS (SELECT pattern, length(pattern) AS m, i, substring(pattern, i + 1, 1) AS ch FROM (SELECT pattern, unnest(range(0, length(pattern))) AS i FROM p)),
+    w AS (SELECT pattern, m, ch, unnest(range(0, (m - 1) // 62 + 1)) AS word FROM (SELECT DISTINCT pattern, m, ch FROM l)),
+    b AS (SELECT w.pattern, w.ch, w.word, w.m, coalesce(sum(1::BIGINT << (l.i % 62)::INT), 0) AS present FROM w LEFT JOIN l ON l.pattern = w.pattern AND l.ch = w.ch AND l.i // 62 = w.word GROUP BY ALL)
+    SELECT pattern, ch, CAST(word AS INT) AS word, CAST(present AS BIGINT) AS present, CAST((1::BIGINT << least(62, m - 62 * word)::INT) - 1 - present AS BIGINT) AS shift_or FROM b"""
+)
 def shiftor_mask_words(spark, sf):
     return index.character_mask_words(items(spark, sf).select(F.col("text").alias("pattern")).union(words(spark, REPEATING)))
 
@@ -492,6 +506,10 @@ OVER_DOCUMENTS: dict[str, Callable[[SparkSession, DataFrame], DataFrame]] = {
     "search_all_algorithms": lambda spark, t: registry.search(t, words(spark, NEAR)),
 }
 ORACLE_SQL["edit_search_first_length_documents"] = NEAR_DOCUMENTS.format(patterns=values(NEAR)) + "SELECT doc_id, pattern, CAST(pos AS BIGINT) AS pos, CAST(min(len) AS BIGINT) AS len, CAST(arg_min(dist, len) AS BIGINT) AS dist FROM c WHERE dist <= 1 GROUP BY doc_id, pattern, pos"
+ORACLE_SQL["edit_search_greedy_documents"] = NEAR_DOCUMENTS.replace("WITH ", "WITH RECURSIVE ", 1).format(patterns=values(NEAR)) + """, best AS (SELECT doc_id, pattern, m, pos, min(dist) AS dist FROM c GROUP BY ALL HAVING min(dist) <= 1),
+  g AS (SELECT doc_id, pattern, m, min(pos) AS pos FROM best GROUP BY doc_id, pattern, m
+    UNION ALL SELECT g.doc_id, g.pattern, g.m, (SELECT min(b.pos) FROM best b WHERE b.doc_id = g.doc_id AND b.pattern = g.pattern AND b.pos >= g.pos + g.m) FROM g WHERE g.pos IS NOT NULL)
+  SELECT g.doc_id, g.pattern, CAST(g.pos AS BIGINT) AS pos, CAST(b.dist AS BIGINT) AS dist FROM g JOIN best b ON b.doc_id = g.doc_id AND b.pattern = g.pattern AND b.pos = g.pos"""
 ORACLE_SQL["rk_window_hash_documents"] = f"""WITH pieces AS (SELECT doc_id, head, substring(text, head + 1, 259) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 256)) AS head FROM documents))
   SELECT doc_id, CAST(head + i AS BIGINT) AS pos, CAST({HASH4} AS BIGINT) AS hash FROM (SELECT *, unnest(range(0, least(256, greatest(length(text) - 3, 0)))) AS i FROM pieces)"""
 ORACLE_SQL["suffix_table_documents"] = "SELECT doc_id, CAST(head + i AS BIGINT) AS pos, substring(piece, i + 1, 8) AS suffix FROM (SELECT *, unnest(range(0, least(256, length(piece)))) AS i FROM (SELECT doc_id, head, substring(text, head + 1, 263) AS piece FROM (SELECT doc_id, text, unnest(range(0, length(text), 256)) AS head FROM documents)))"

@@ -97,6 +97,17 @@ def test_pairs_within_edits(spark, most):
     assert len(got) == len(set(got)) and set(got) == brute_pairs(strings, most)
 
 
+def test_distances_of_two_tables(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abé") for _ in range(rnd.randint(0, 7)))
+    a, b = [[word() for _ in range(40)] + [None] for _ in range(2)]
+    frame = lambda own, c: spark.createDataFrame([(x,) for x in own], f"{c} string")
+    for most in (0, 1, 3):
+        got = [tuple(r) for r in approx.distances(frame(a, "a"), frame(b, "b"), most).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(x, y, d) for x in a for y in b if x is not None and y is not None and (d := distance(x, y)) <= most}
+    assert approx.distances(frame(a, "a"), frame(b, "b")).count() == 41 * 41
+
+
 def test_lines_of_documents(spark, sf_dir):
     from stringmill.plans import catalogue
 
