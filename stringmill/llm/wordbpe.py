@@ -17,7 +17,7 @@ import struct
 import regex
 
 #: Bound of each of the two caches of one worker: ids of chunks, ids of words.
-MAX_CACHED = 600_000
+MAX_CACHED = 250_000
 
 #: White space for ``str.split`` but not for the vocabulary's splitter; special tokens.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
