@@ -322,6 +322,27 @@ def text_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return count_overlapping(texts, patterns).groupBy("text_id").agg(F.sum("n").alias("n"))
 
 
+def first_places(hits: DataFrame, most: int = 10) -> DataFrame:
+    """(text_id, pattern, n, places): the number of hits (text_id, pattern, pos) of each pair, and the first ``most`` of them, ascending.
+
+    Hits beyond ``most`` are only counted, before they are shuffled.
+    """
+    key = ["text_id", "pattern"]
+    n = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    few = hits.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("pos"))).filter(F.col("_k") <= most)
+    return n.join(few.groupBy(*key).agg(F.sort_array(F.collect_list("pos")).alias("places")), key)
+
+
+def in_pieces_and_whole(texts: DataFrame, patterns: DataFrame, size: int = 4096) -> DataFrame:
+    """(text_id, pattern, whole, pieces, results_match): hits of the search of whole texts and of the search in pieces, and whether they are at the same places."""
+    key, side = ["text_id", "pattern"], lambda df, k: df.select("text_id", "pattern", "pos", F.lit(k).alias("side"))
+    # A place is in both, or it is a difference; equal counts would not tell.
+    both = side(by_find(texts, patterns), 0).union(side(chunked(texts, patterns, size), 1)).groupBy(*key, "pos").agg(F.sum(1 - F.col("side")).alias("w"), F.sum("side").alias("p"))
+    found = both.groupBy(*key).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.bool_and(F.col("w") == F.col("p")).alias("same"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return pair(texts.select("text_id"), patterns.select("pattern")).join(found, key, "left").select(*key, zero("w").alias("whole"), zero("p").alias("pieces"), F.coalesce("same", F.lit(True)).alias("results_match"))
+
+
 class Passages:
     """Patterns by a hash of their beginning: of the largest power of two of characters they have.
 

@@ -786,6 +786,27 @@ def distinct_values(spark, sf):
     return report.values_of(bench_runs(spark, sf), "category", "algorithm", "pattern_length")
 
 
+@query(BENCH + "SELECT CAST(row_number() OVER (ORDER BY mean_ms, algorithm) AS INT) AS place, algorithm, mean_ms FROM (SELECT algorithm, round(avg(search_ms), 6) AS mean_ms FROM runs GROUP BY algorithm)")
+def order_by_mean(spark, sf):
+    return report.by_mean(bench_runs(spark, sf))
+
+
+@query(BENCH + "SELECT category, pattern_name FROM (SELECT category, pattern_name, row_number() OVER (PARTITION BY category ORDER BY pattern_name) AS k FROM (SELECT DISTINCT category, pattern_name FROM runs)) WHERE k <= 3")
+def patterns_limit(spark, sf):
+    """The first three patterns of each category, by name."""
+    return exact.first_of_each(bench_runs(spark, sf).select("category", "pattern_name").distinct(), "category", "pattern_name", 3)
+
+
+@query(HITS + "SELECT doc_id, pattern, CAST(count(*) AS BIGINT) AS n, array_to_string(list(pos ORDER BY pos)[1:10], ',') AS places FROM hits GROUP BY doc_id, pattern")
+def first_places(spark, sf):
+    return as_doc(exact.first_places(exact.by_find(documents(spark, sf), words(spark)))).withColumn("places", F.array_join(F.col("places").cast("array<string>"), ","))
+
+
+@query(HITS + f"SELECT d.doc_id, p.pattern, CAST(count(h.pos) AS BIGINT) AS whole, CAST(count(h.pos) AS BIGINT) AS pieces, true AS results_match FROM documents d CROSS JOIN {values()} LEFT JOIN hits h ON h.doc_id = d.doc_id AND h.pattern = p.pattern GROUP BY d.doc_id, p.pattern")
+def pieces_against_whole(spark, sf):
+    return as_doc(exact.in_pieces_and_whole(documents(spark, sf), words(spark), 500))
+
+
 @query(ALL_HITS)
 def search_function(spark, sf):
     """The search as a table function of SQL."""

@@ -120,3 +120,14 @@ def test_long_texts_in_pieces_take_linear_time(spark):
         assert exact.by_split(t, p).count() == text.count("the")
         took.append(time.perf_counter() - began)
     assert took[1] < 8 * took[0] + 2
+
+
+def test_first_places_and_pieces(spark):
+    texts = ["ab" * 30, "", None, "b", "abab"]
+    t = spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
+    p = spark.createDataFrame([("ab",), ("b",), ("zz",)], "pattern string")
+    at = {(k, w): [i for i in range(len(s or "")) if s.startswith(w, i)] for k, s in enumerate(texts) for w in ("ab", "b", "zz")}
+    got = {(r.text_id, r.pattern): (r.n, r.places) for r in exact.first_places(exact.by_find(t, p), 4).collect()}
+    assert got == {key: (len(own), own[:4]) for key, own in at.items() if own}
+    got = {(r.text_id, r.pattern): (r.whole, r.pieces, r.results_match) for r in exact.in_pieces_and_whole(t, p, 7).collect()}
+    assert got == {key: (len(own), len(own), True) for key, own in at.items()}
