@@ -12,11 +12,10 @@ from pyspark.errors import AnalysisException
 LOG = logging.getLogger("jobs")
 
 
-def existing(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """The Parquet table at a path; None where there is no such path, or no rows yet to take a schema from."""
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at a path; None where there is no such path, or no file yet to take a schema from."""
     try:
-        reader = spark.read.schema(schema) if schema else spark.read
-        return reader.parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None

@@ -71,10 +71,13 @@ def _source(path: str, table: DataFrame) -> str:
 
 
 def _patterns(spark: SparkSession, wanted: DataFrame, checkpoint: str) -> DataFrame:
-    """The patterns of the first run, which have to be those wanted now."""
+    """The patterns of the first run, which have to be those wanted now.
+
+    They are one file, so they are there as a whole or not at all.
+    """
     path = f"{checkpoint}/patterns"
-    if not _begun(spark, checkpoint):
-        wanted.write.mode("overwrite").parquet(path)
+    if common.existing(spark, path) is None:
+        wanted.repartition(1).write.mode("overwrite").parquet(path)
     known = spark.read.parquet(path)
     count = lambda df: df.groupBy("pattern_id", "pattern").count()
     if not count(known).exceptAll(count(wanted)).isEmpty() or not count(wanted).exceptAll(count(known)).isEmpty():
@@ -82,16 +85,6 @@ def _patterns(spark: SparkSession, wanted: DataFrame, checkpoint: str) -> DataFr
     return known
 
 
-def _begun(spark: SparkSession, checkpoint: str) -> bool:
-    """Whether a stream has begun here: its first batch is planned."""
-    try:
-        return not spark.read.text(f"{checkpoint}/stream/offsets").isEmpty()
-    except common.AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-
-
 def hits_of(spark: SparkSession, output: str, text_id: str = "long", pattern_id: str = "long", partition_column: str = "lang") -> DataFrame:
     """All places that have been written: (text_id, pattern_id, pos, partition column, batch)."""
     return spark.read.schema(f"text_id {text_id}, pattern_id {pattern_id}, pos long, `{partition_column}` string, batch long").parquet(f"{output}/hits")

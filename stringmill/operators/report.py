@@ -142,9 +142,15 @@ def values_of(runs: DataFrame, *columns: str) -> DataFrame:
     return long.filter(F.col("value").isNotNull()).distinct()
 
 
-def every_pair(runs: DataFrame, rows: list[str], value: Column, name: str) -> DataFrame:
-    """A value by row and algorithm in long form, a row for each pair of those that occur, 0 where there is none."""
+def every_pair(runs: DataFrame, rows: list[str], value: Column, name: str, filled: bool = True) -> DataFrame:
+    """A value by row and algorithm in long form, a row for each pair of those that occur, 0 where there is none.
+
+    The pairs are as many as rows times algorithms; for large inputs, without ``filled``,
+    only pairs that have runs are given.
+    """
     own = runs.groupBy(*rows, "algorithm").agg(value.alias(name))
+    if not filled:
+        return own.select(*rows, "algorithm", r6(F.coalesce(F.col(name), F.lit(0.0))).alias(name))
     grid = own.select(*rows).distinct().crossJoin(F.broadcast(own.select("algorithm").distinct()))
     # Not a join, which would lose null names.
     both = own.union(grid.select(*rows, "algorithm", F.lit(None).cast(own.schema[name].dataType).alias(name)))

@@ -233,12 +233,12 @@ def test_documents_against_brute_force(spark, sf_dir):
 
 
 def test_lcs(spark):
-    assert exact._lcs("ABABC", "BABCA") == "BABC" and exact._lcs("", "a") == "" and exact._lcs("xyz", "abc") == ""
+    assert exact.common_substring("ABABC", "BABCA") == "BABC" and exact.common_substring("", "a") == "" and exact.common_substring("xyz", "abc") == ""
     rnd = random.Random(6)
     for _ in range(100):
         a, b = ("".join(rnd.choice("ab") for _ in range(rnd.randint(0, 12))) for _ in range(2))
         subs = [(i - j, i, b[i:j]) for i in range(len(b)) for j in range(i + 1, len(b) + 1) if b[i:j] in a]
-        assert exact._lcs(a, b) == (min(subs)[2] if subs else "")
+        assert exact.common_substring(a, b) == (min(subs)[2] if subs else "")
 
 
 def test_registry(spark):

@@ -40,6 +40,8 @@ def test_policy_drops_and_pivot_fills(spark, sf_dir):
     assert {r.algorithm for r in gone} == {"naive", "suffix_tree"} and {(r.category == "de", r.long) for r in gone if r.algorithm == "naive"} >= {(True, True), (False, True)}
     zeros = [r for r in catalogue.category_pivot_runs(spark, sf_dir).collect() if r.mean_ms == 0]
     assert [(r.category, r.algorithm) for r in zeros] == [("fr", "kmp")]
+    sparse = report.every_pair(runs, ["category"], F.avg("search_ms"), "mean_ms", filled=False)
+    assert {tuple(r) for r in catalogue.category_pivot_runs(spark, sf_dir).select(*sparse.columns).collect()} - {tuple(r) for r in sparse.collect()} == {("fr", "kmp", 0.0)}
 
 
 def test_text_reports(spark, tmp_path):
