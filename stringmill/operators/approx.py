@@ -19,6 +19,8 @@ from ..functions.arrays import codes as _codes
 from . import exact
 
 Hits = list[tuple[int, int]]
+#: Letters of a pattern's pieces from which on they are looked for.
+SHORT_PIECE = 5
 #: Hits that leave a worker at once, but for those of one text.
 HIT_ROWS = 100_000
 
@@ -98,16 +100,16 @@ def pieces_of(pattern: str, most: int) -> list[tuple[int, str]]:
 
 
 def candidate_starts(text: str, pattern: str, most: int) -> np.ndarray:
-    """Places at which a substring within ``most`` edits may begin, ascending: near those of a whole piece."""
+    """Places at which a substring within ``most`` edits may begin, ascending: near those of a whole piece.
+
+    All places, if the pieces would be so short that they stand everywhere.
+    """
     n = len(text)
-    if len(pattern) <= most:
+    if len(pattern) < SHORT_PIECE * (most + 1):
         return np.arange(n)
-    near = np.zeros(n + 1, np.int32)
-    for at, piece in pieces_of(pattern, most):
-        found = np.array(exact.find_all(text, piece), np.int64) - at
-        np.add.at(near, np.clip(found - most, 0, n), 1)
-        np.add.at(near, np.clip(found + most + 1, 0, n), -1)
-    return np.flatnonzero(np.cumsum(near[:n]) > 0)
+    found = np.concatenate([np.array(exact.find_all(text, piece), np.int64) - at for at, piece in pieces_of(pattern, most)])
+    begin, end = (np.bincount(np.clip(x, 0, n), minlength=n + 1) for x in (found - most, found + most + 1))
+    return np.flatnonzero(np.cumsum(begin - end)[:n] > 0)
 
 
 def edit_ends(text: str, pattern: str, most: int) -> Hits:

@@ -283,6 +283,8 @@ def longest_common_substring(left: DataFrame, right: DataFrame, on: list[str]) -
     texts share is the length.  Time is nearly linear in the lengths.
     """
     both = left.join(right, on)
+    # Comparing is much work for few bytes, so tasks are not to be merged for their size.
+    both = both.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on)
     keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*on).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,12 +22,17 @@ def _whole(spark: SparkSession, path: str, skip_unreadable: bool = False) -> Dat
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Over at least as many partitions as there are cores: a small file is one partition, and searching it is much work.
+    """Over at least as many partitions with rows as there are cores: a small file is one partition, and searching it is much work.
 
+    A file may be cut into more splits than it has row groups, and then most are empty:
+    where there are few splits, those with rows are counted, which reads no column.
     A table with enough splits of its own is left as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    splits = df.rdd.getNumPartitions()
+    if splits >= 8 * cores or splits >= cores and df.select(F.spark_partition_id().alias("_p")).distinct().count() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def stripped(c: Column) -> Column:
