@@ -452,8 +452,10 @@ def multi_pattern_totals(spark, sf):
 def suffix_table_search(spark, sf):
     """A table of all suffixes is written, then the patterns' intervals of it are read."""
     at = folders.new_folder(spark, "suffixes")
-    suffixes.write_table(documents(spark, sf), at)
-    return as_doc(suffixes.find(spark, at, words(spark)))
+    d = documents(spark, sf)
+    # Few letters make a small table; places of longer patterns would be compared with the texts.
+    suffixes.write_table(d, at, kept=8)
+    return as_doc(suffixes.find(spark, at, words(spark), d, kept=8))
 
 
 @query(

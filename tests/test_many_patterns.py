@@ -1,5 +1,6 @@
 """Many patterns in one pass, the stored suffix table, suffix trees and long texts, against brute force."""
 
+import os
 import random
 import time
 
@@ -88,6 +89,32 @@ def test_suffix_table(spark, tmp_path):
     assert suffixes.behind("a") == "b" and suffixes.behind("퟿") == "" and suffixes.behind("a\U0010ffff") == "b" and suffixes.behind("\U0010ffff") is None
 
 
+def test_suffix_table_is_small_and_shuffles_texts_only(spark, tmp_path, monkeypatch):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(("the", "there", "ere", "on", "station", "banana")) for _ in range(400)) for _ in range(40)] + ["ab" * 3000, "\U0001f600é"]
+    t, _ = frames(spark, texts, [])
+    # Texts are cut where a file would have too many letters, here in the middle of one.
+    monkeypatch.setattr(suffixes, "FILE_LETTERS", 2500)
+    suffixes.write_table(t, f"{tmp_path}/t", kept=8, files=3)
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert sorted(tuple(r) for r in table.collect()) == sorted((x[i : i + 8], k, i) for k, x in enumerate(texts) for i in range(len(x)))
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert size < 10 * sum(map(len, texts))
+    p = spark.createDataFrame([(w,) for w in ("a", "babab", "ab" * 6, texts[3][7:30])], "pattern string")
+    got = suffixes.find(spark, f"{tmp_path}/t", p, t, kept=8)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((k, w, i) for k, x in enumerate(texts) for w in (r[0] for r in p.collect()) for i in range(len(x)) if x.startswith(w, i))
+
+
+def test_order_and_shared_letters_of_suffixes():
+    rnd = random.Random(7)
+    for n in (0, 1, 2, 30, 200):
+        for letters in ("a", "ab", "aé\U0001f600", "".join(map(chr, range(40, 400)))):
+            text = "".join(rnd.choice(letters) for _ in range(n)) * rnd.choice((1, 3))
+            order, shared = A.suffix_order_and_shared(A.codes(text))
+            assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+            assert shared.tolist() == [0 if k == 0 else len(os.path.commonprefix([text[order[k - 1] :], text[order[k] :]])) for k in range(len(text))]
+
+
 def tree(text):
     """Nodes by all substrings: (letters, parent's, first place, places, link's)."""
     at = {"": list(range(len(text)))}
