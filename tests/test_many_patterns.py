@@ -34,6 +34,18 @@ def test_places_of_all_patterns(spark, letters, monkeypatch):
     assert got == {j: (sum(x[1] == j for x in want), len({x[0] for x in want if x[1] == j})) for j in range(len(PATTERNS))}
 
 
+def test_more_patterns_than_an_automaton_takes_pass_over_the_texts_once(spark):
+    rnd = random.Random(3)
+    texts = TEXTS + ["".join(rnd.choice("ab é") for _ in range(300)) for _ in range(20)]
+    patterns = PATTERNS + [x[a : a + n] for x in texts[8:] for a, n in ((3, 31), (5, 32), (9, 33), (1, 64), (0, 100), (7, 1), (2, 16), (50, 20))]
+    t, p = frames(spark, texts, patterns)
+    # Only patterns of fewer letters than are looked for by their beginning: one table of texts is read, once.
+    short = p.filter(F.length("pattern") < multi.LONG)
+    plan = multi.search(t, short, letters=60)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert sorted(tuple(r) for r in multi.search(t, p, letters=60).collect()) == places(texts, patterns)
+
+
 def test_no_patterns(spark):
     t, p = frames(spark, TEXTS, [None, ""])
     out = multi.search(t, p)
