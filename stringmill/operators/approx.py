@@ -7,6 +7,7 @@ at a time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -413,6 +414,9 @@ def edit_search_bits(texts: DataFrame, patterns: DataFrame, most: int = 1, toget
 
 # Joins of strings within an edit distance.
 
+#: Letters of strings whose segments make one task of a join of many strings.
+TASK_LETTERS = 16_000_000
+
 
 def _segments(length: Column, most: int) -> Column:
     """(i, at, n) of the ``most`` + 1 segments of a string of this length."""
@@ -420,25 +424,49 @@ def _segments(length: Column, most: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("i"), cut(k).alias("at"), (cut(k + 1) - cut(k)).alias("n")) for k in range(most + 1)])
 
 
-def _meeting(left: DataFrame, right: DataFrame, most: int, least: int) -> DataFrame:
-    """(a, b) of the strings a of ``left`` and b of ``right`` that share a segment of a where the edits allow it, b being from ``least`` to ``most`` letters longer.
+def _named(df: DataFrame, name: str) -> DataFrame:
+    """The strings of a column with a hash to stand for them, and a second one by which to tell strings from each other."""
+    return df.select(name, F.xxhash64(name).alias(f"{name}_id"), F.hash(name).alias(f"{name}_check"))
+
+
+def _parts(strings: DataFrame, name: str) -> int | None:
+    """Parts for tasks of about ``TASK_LETTERS`` letters; None if Spark's own number is enough."""
+    letters = strings.agg(F.sum(F.length(name).cast("long"))).first()[0] or 0
+    parts = math.ceil(letters / TASK_LETTERS)
+    return parts if parts > int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def _dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    return df.repartition(parts, *keys) if parts else df
+
+
+def _meeting(left: DataFrame, right: DataFrame, most: int, least: int, parts: int | None = None, *, different: bool = False) -> DataFrame:
+    """(a, b) of the strings a of ``left`` and b of ``right`` that share a segment of a where the edits allow it, b being from ``least`` to ``most`` letters longer; ``different``: no string with itself.
 
     A string within ``most`` edits of a has one of its ``most`` + 1 segments whole, not
     farther off than the edits before and behind it allow.  So segments meet by
     equality on (length of a, number, letters); their letters are hashed, and whoever
-    meets has to be verified.
+    meets has to be verified.  Only hashes of the strings meet: a string has some
+    twenty segments, and none of them carries it.
     """
-    index = left.select("a", F.length("a").alias("length")).select("a", "length", F.inline(_segments(F.col("length"), most)))
-    index = index.select("a", "length", "i", F.xxhash64(F.substring("a", F.col("at") + 1, F.col("n"))).alias("h"))
+    key = ["length", "i", "h"]
+    left, right = _named(left, "a"), _named(right, "b")
+    index = left.withColumn("length", F.length("a")).select("*", F.inline(_segments(F.col("length"), most)))
+    index = index.select("a_id", "a_check", "length", "i", F.xxhash64(F.substring("a", F.col("at") + 1, F.col("n"))).alias("h"))
     # Of b: for each length that a may have, its segments' places, moved as far as they may be.
     own = F.col("own")
-    probe = right.select("b", F.length("b").alias("own")).filter(own >= least).select("b", "own", F.explode(F.sequence(F.greatest(F.lit(0), own - most), own - least)).alias("length"))
-    probe = probe.select("b", "own", "length", F.inline(_segments(F.col("length"), most)))
     more = own - F.col("length")
     low, high = F.greatest(F.lit(0), F.col("at") - F.floor((most - more) / 2).cast("int")), F.least(own - F.col("n"), F.col("at") + F.floor((most + more) / 2).cast("int"))
     moved = F.when(F.col("n") == 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    probe = probe.withColumn("to", F.explode(moved)).select("b", "length", "i", F.xxhash64(F.substring("b", F.col("to") + 1, F.col("n"))).alias("h")).distinct()
-    return index.join(probe, ["length", "i", "h"]).select("a", "b")
+    probe = right.withColumn("own", F.length("b")).filter(own >= least).withColumn("length", F.explode(F.sequence(F.greatest(F.lit(0), own - most), own - least)))
+    probe = probe.select("*", F.inline(_segments(F.col("length"), most))).withColumn("to", F.explode(moved))
+    probe = probe.select("b_id", "b_check", "length", "i", F.xxhash64(F.substring("b", F.col("to") + 1, F.col("n"))).alias("h"))
+    met = _dealt(index, parts, *key).join(_dealt(probe, parts, *key), key)
+    if different:
+        met = met.filter("a_id != b_id OR a_check != b_check")
+    met = met.select("a_id", "b_id").distinct()
+    strings = lambda df, name: _dealt(df.select(name, f"{name}_id"), parts, f"{name}_id")
+    return met.join(strings(left, "a"), "a_id").join(strings(right, "b"), "b_id").select("a", "b")
 
 
 def _verified(met: DataFrame, most: int) -> DataFrame:
@@ -450,6 +478,8 @@ def within(strings: DataFrame, most: int) -> DataFrame:
 
     Null strings are in no pair, and repeated strings count once.
     """
-    s = strings.select("s").filter(F.col("s").isNotNull()).distinct()
-    met = _meeting(s.withColumnRenamed("s", "a"), s.withColumnRenamed("s", "b"), most, 0)
+    s = strings.select("s").filter(F.col("s").isNotNull())
+    parts = _parts(s, "s")
+    s = _dealt(s, parts, "s").distinct()
+    met = _meeting(s.withColumnRenamed("s", "a"), s.withColumnRenamed("s", "b"), most, 0, parts, different=True)
     return _verified(met.filter((F.length("b") > F.length("a")) | (F.col("a") < F.col("b"))), most)

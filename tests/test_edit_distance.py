@@ -97,6 +97,23 @@ def test_pairs_within_edits(spark, most):
     assert len(got) == len(set(got)) and set(got) == brute_pairs(strings, most)
 
 
+def test_segments_do_not_carry_their_strings(spark, monkeypatch):
+    rnd = random.Random(4)
+    strings = ["".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 9))) for _ in range(150)]
+    frame = spark.createDataFrame([(s,) for s in strings], "s string")
+    few = approx.within(frame, 2)
+    # Where segments meet, hashes alone are joined, whatever the strings' length.
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [a_id" in plan and "b_id" in plan and "Aggregate [b#" not in plan
+    # More strings than Spark's own number of parts is good for are dealt to more.
+    monkeypatch.setattr(approx, "TASK_LETTERS", 100)
+    many = approx.within(frame, 2)
+    assert "RepartitionByExpression" in many._jdf.queryExecution().logical().toString()
+    for df in (few, many):
+        got = [tuple(r) for r in df.collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_pairs(strings, 2)
+
+
 def test_distances_of_two_tables(spark):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("abé") for _ in range(rnd.randint(0, 7)))
