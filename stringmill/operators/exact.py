@@ -299,8 +299,9 @@ def common_substring(a: str, b: str) -> str:
     if not a or not b:
         return ""
     # A letter that neither text has parts them, so no shared prefix reaches over the end of the first.
-    order, levels = A.suffix_ranks(np.concatenate([A.codes(a), [0x110000], A.codes(b)]))
-    shared, second = A.common_prefixes(order, levels), order > len(a)
+    first, then = A.codes(a), A.codes(b)
+    order, shared = A.suffix_order_and_shared(np.concatenate([first, [max(first.max(), then.max()) + 1], then]))
+    second = order > len(a)
     meet = np.append(False, second[1:] != second[:-1])
     # The suffix of the part's own letter shares nothing.
     longest = int(shared[meet].max())
@@ -308,8 +309,9 @@ def common_substring(a: str, b: str) -> str:
         return ""
     # Runs of suffixes that share that much; those with suffixes of both texts hold it.
     run = np.cumsum(shared < longest)
-    both = np.intersect1d(run[second], run[~second])
-    start = int(order[second & np.isin(run, both)].min()) - len(a) - 1
+    of_first, of_second = np.zeros((2, len(run) + 1), bool)
+    of_first[run[~second]] = of_second[run[second]] = True
+    start = int(order[second & (of_first & of_second)[run]].min()) - len(a) - 1
     return b[start : start + longest]
 
 
