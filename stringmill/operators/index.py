@@ -129,8 +129,8 @@ def suffix_counts(texts: DataFrame, length: int = exact.SUFFIX_LENGTH) -> DataFr
 def trie_sizes(texts: DataFrame) -> DataFrame:
     """(text_id, nodes, depth) of the trie of all suffixes of each text.
 
-    Nodes are 1 + the number of different substrings, which a suffix automaton counts
-    in time linear in the text; the depth is its length.
+    Nodes are 1 + the number of different substrings, which the order of the suffixes
+    tells; the depth is the text's length.
     """
     kind = texts.schema["text_id"].dataType.simpleString()
 
@@ -144,30 +144,6 @@ def trie_sizes(texts: DataFrame) -> DataFrame:
 
 
 def _substrings(text: str) -> int:
-    """Number of different substrings, by a suffix automaton."""
-    link, size, step = [-1], [0], [{}]
-    last = 0
-    for ch in text:
-        new = len(size)
-        size.append(size[last] + 1)
-        link.append(0)
-        step.append({})
-        p = last
-        while p >= 0 and ch not in step[p]:
-            step[p][ch] = new
-            p = link[p]
-        if p >= 0:
-            q = step[p][ch]
-            if size[q] == size[p] + 1:
-                link[new] = q
-            else:
-                twin = len(size)
-                size.append(size[p] + 1)
-                link.append(link[q])
-                step.append(dict(step[q]))
-                while p >= 0 and step[p].get(ch) == q:
-                    step[p][ch] = twin
-                    p = link[p]
-                link[q] = link[new] = twin
-        last = new
-    return sum(size[v] - size[link[v]] for v in range(1, len(size)))
+    """Number of different substrings: all, less those that a suffix shares with the one before it in the order."""
+    n = len(text)
+    return n * (n + 1) // 2 - int(A.suffix_order_and_shared(A.codes(text))[1].sum())
