@@ -161,6 +161,29 @@ def test_long_texts_take_linear_time():
     assert _timed(lambda: A.window_hashes(texts[1], 2943)) < 1
 
 
+def test_sizes_take_no_nodes(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("acgt") for _ in range(n)) * k for n, k in ((0, 1), (1, 1), (7, 3), (900, 1), (300, 3))]
+    nodes = [suffixes.tree_nodes(t) for t in texts]
+    want = [(int((x[5] >= 0).sum()) + 1, len(x[0]) - int((x[5] >= 0).sum()) - 1, int((x[2][1:] - x[2][x[1][1:]]).sum())) for x in nodes]
+    monkeypatch.setattr(suffixes, "tree_nodes", None)
+    assert [suffixes.sizes_of(t) for t in texts] == want
+
+
+def _best(f, text):
+    return min(_timed(lambda: f(text)) for _ in range(3)) / len(text)
+
+
+def test_seconds_a_letter():
+    """Of texts as documents have them: plain slices sorted take eight times as long, ranks by doubled lengths took five times."""
+    rnd = random.Random(9)
+    text = " ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 8))) for _ in range(4000))
+    sort = _best(lambda t: sorted(range(len(t)), key=lambda i: t[i : i + 60]), text)
+    assert _best(A.suffix_order, text) < 0.4 * sort
+    assert _best(index._substrings, text) < 0.5 * sort
+    assert _best(lambda t: exact.common_substring(t[: len(t) // 2], t[len(t) // 2 :]), text) < 0.5 * sort
+
+
 def test_window_hashes_of_any_base():
     rnd = random.Random(4)
     for base, prime in ((256, 101), (256, 128), (101, 101), (31, 1_000_003), (256, (1 << 31) - 1), (256, (1 << 61) - 1)):
