@@ -25,7 +25,7 @@ from ..functions import text as T
 BROADCAST_PATTERNS, BROADCAST_BYTES = 10_000, 32 << 20
 #: Characters of the pieces that hits are found in, so that arrays of hits stay short; hits that leave a worker at once.
 SPLIT_SIZE, HIT_ROWS = 2048, 100_000
-SUFFIX_LENGTH = 32
+SUFFIX_LENGTH, SUFFIX_PIECE = 32, 32
 
 
 def blocks(patterns: DataFrame, key: str = "pattern") -> list[DataFrame]:
@@ -124,8 +124,10 @@ def rolled(pattern: str, base: int = 256, prime: int = 101) -> int:
 
 def suffixes(texts: DataFrame, length: int = SUFFIX_LENGTH) -> DataFrame:
     """The suffix table: text_id, pos and the suffix that starts there, cut to ``length`` characters."""
-    pieces = T.chunks(texts.filter(F.length("text") > 0), "text", length - 1)
-    inside = F.explode(F.sequence(F.lit(0), F.least(F.length("chunk"), F.lit(T.CHUNK)).cast("int") - 1))
+    # A place in a piece is found by counting from its start, so pieces are short.
+    size = max(SUFFIX_PIECE, length)
+    pieces = T.chunks(texts.filter(F.length("text") > 0), "text", length - 1, size)
+    inside = F.explode(F.sequence(F.lit(0), F.least(F.length("chunk"), F.lit(size)).cast("int") - 1))
     # The overlap of a piece starts no suffix of its own.
     rows = pieces.withColumn("_k", inside)
     return rows.select("text_id", (F.col("start") + F.col("_k")).cast("long").alias("pos"), F.substring("chunk", F.col("_k") + 1, F.lit(length)).alias("suffix"))

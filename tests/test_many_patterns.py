@@ -211,3 +211,11 @@ def test_neighbours_over_gaps(spark):
     ids = sorted(random.Random(5).sample(range(10**6), 500))
     df = spark.createDataFrame([(i,) for i in ids * 2], "text_id long").withColumn("text", F.lit("x"))
     assert {r.text_id: r.next for r in report.next_of_each(df, "text_id", 7).collect()} == dict(zip(ids, [*ids[1:], None]))
+
+
+def test_suffix_rows_come_from_short_pieces(spark):
+    texts = ["é\U0001f600abc " * 30, "x" * 31, "y" * 32, "z" * 33, "", None]
+    t, _ = frames(spark, texts, [])
+    for length in (1, 8, 40):
+        assert sorted(tuple(r) for r in exact.suffixes(t, length).collect()) == sorted((k, i, x[i : i + length]) for k, x in enumerate(texts) if x for i in range(len(x)))
+    assert "{1,32}" in exact.suffixes(t, 8)._jdf.queryExecution().logical().toString()
