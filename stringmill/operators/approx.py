@@ -66,7 +66,8 @@ def mismatches(text: str, pattern: str, most: int) -> Hits:
     n, m = len(text), len(pattern)
     if not m or n < m:
         return []
-    t, total = _codes(text), np.zeros(n - m + 1, np.int64)
+    # Narrow sums, as long as they hold the pattern's length.
+    t, total = _codes(text), np.zeros(n - m + 1, np.uint8 if m < 256 else np.int64)
     for j, c in enumerate(_codes(pattern)):
         total += t[j : n - m + 1 + j] != c
     at = np.flatnonzero(total <= most)
