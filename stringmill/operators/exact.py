@@ -100,7 +100,19 @@ def by_find(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def by_windows(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Naive search: every window is compared with the pattern, character by character until they differ."""
-    return _native(texts, patterns, lambda t, p: np.flatnonzero(A.prefix_lengths(t, p) == len(p)).tolist())
+    return _native(texts, patterns, window_hits)
+
+
+def window_hits(text: str, pattern: str) -> list[int]:
+    """Starts of the windows that are the pattern; those that differ at a character are left out of all that follow."""
+    count = len(text) - len(pattern) + 1
+    if count <= 0 or not pattern:
+        return []
+    letters, (first, *rest) = A.codes(text), A.codes(pattern)
+    at = np.flatnonzero(letters[:count] == first)
+    for j, c in enumerate(rest, 1):
+        at = at[letters[at + j] == c]
+    return at.tolist()
 
 
 def hash_hits(text: str, pattern: str, base: int = 256, prime: int = 101) -> list[int]:

@@ -37,7 +37,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def stripped(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, "^\\s+|\\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def read_fasta(spark: SparkSession, path: str, range_bytes: int = fasta.RANGE_BYTES) -> DataFrame:

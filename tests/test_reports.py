@@ -133,3 +133,27 @@ def test_first_places_and_pieces(spark):
     assert got == {key: (len(own), own[:4]) for key, own in at.items() if own}
     got = {(r.text_id, r.pattern): (r.whole, r.pieces, r.results_match) for r in exact.in_pieces_and_whole(t, p, 7).collect()}
     assert got == {key: (len(own), len(own), True) for key, own in at.items()}
+
+
+def test_naive_search_leaves_out_what_differs_and_trimming_takes_no_regex(spark):
+    from stringmill.operators import exact
+    from stringmill.plans import registry
+
+    for text, word in (("ababab", "aba"), ("", "a"), ("a", ""), ("é\U0001f600é\U0001f600", "é\U0001f600"), ("aaaa", "aa"), ("ab", "abc")):
+        assert exact.window_hits(text, word) == exact.find_all(text, word)
+    t, p = spark.createDataFrame([(0, "\t\x0b\x0c\r\n the  the \n")], "text_id int, text string"), spark.createDataFrame([(" the\n",)], "pattern string")
+    found = registry.search(t, p, ["naive", "boyer_moore"])
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.algorithm, r.pattern, r.pos) for r in found.collect()) == [(a, "the", k) for a in ("boyer_moore", "naive") for k in (0, 5)]
+
+
+def test_counts_look_ahead_only_in_texts_that_hold_the_pattern(spark):
+    from stringmill.operators import approx, exact
+
+    t, p = spark.createDataFrame([(0, "aaaa"), (1, "b"), (2, None), (3, "a.a")], "text_id int, text string"), spark.createDataFrame([("aa",), (".",), ("",)], "pattern string")
+    counted = exact.count_overlapping(t, p)
+    assert "ontains" in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.text_id, r.pattern): r.n for r in counted.collect() if r.n} == {(0, "aa"): 3, (3, "."): 1}
+    assert counted.count() == 12
+    # Sums of mismatches hold the length of a long pattern too.
+    assert approx.mismatches("b" * 300, "a" * 256, 5) == [] and approx.mismatches("b" * 255, "a" * 255, 255) == [(0, 255)]
