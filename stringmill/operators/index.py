@@ -136,14 +136,20 @@ def trie_sizes(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [_substrings(t or "") for t in batch.column(1).to_pylist()]
-            depths = [len(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s + 1 for s in sizes], pa.int64()), pa.array(depths, pa.int64())], ["text_id", "nodes", "depth"])
+            own = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in A.runs_of_texts(own):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_substrings_of_each(own[a:b]) + 1), pa.array([len(t) for t in own[a:b]], pa.int64())], ["text_id", "nodes", "depth"])
 
     return texts.select("text_id", "text").mapInArrow(run, f"text_id {kind}, nodes long, depth long")
 
 
+def _substrings_of_each(texts: list[str]) -> np.ndarray:
+    """Number of different substrings of each text: all, less those that a suffix shares with the one before it in the order."""
+    _, shared, ends = A.suffix_orders_of(texts)
+    starts = np.append(0, ends[:-1] + 1)
+    n = ends - starts
+    return n * (n + 1) // 2 - np.add.reduceat(shared, starts)
+
+
 def _substrings(text: str) -> int:
-    """Number of different substrings: all, less those that a suffix shares with the one before it in the order."""
-    n = len(text)
-    return n * (n + 1) // 2 - int(A.suffix_order_and_shared(A.codes(text))[1].sum())
+    return int(_substrings_of_each([text])[0])

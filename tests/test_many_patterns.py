@@ -184,6 +184,52 @@ def test_seconds_a_letter():
     assert _best(lambda t: exact.common_substring(t[: len(t) // 2], t[len(t) // 2 :]), text) < 0.5 * sort
 
 
+def _mixed(rnd):
+    letters = rnd.choice(("a", "ab", "aé\U0001f600", "\0a", "\0", "".join(map(chr, range(40, 400)))))
+    return "".join(rnd.choice(letters) for _ in range(rnd.choice((0, 1, 5, 40)))) * rnd.choice((1, 1, 4))
+
+
+def test_suffixes_of_several_texts_at_once():
+    rnd = random.Random(10)
+    for _ in range(60):
+        texts = [_mixed(rnd) for _ in range(rnd.randint(1, 6))]
+        texts += texts[:1]
+        order, shared, ends = A.suffix_orders_of(texts)
+        assert A.suffix_orders_of(texts, share=False)[0].tolist() == order.tolist()
+        for text, end in zip(texts, ends.tolist()):
+            own = slice(end - len(text), end + 1)
+            alone = A.suffix_order_and_shared(A.codes(text))
+            assert (order[own] - own.start).tolist() == [len(text), *sorted(range(len(text)), key=lambda i: text[i:])] == [len(text), *alone[0].tolist()]
+            assert shared[own].tolist() == [0, *alone[1].tolist()]
+    few = [_mixed(rnd) for _ in range(200)] + ["x" * 2 * A.RUN_LETTERS, "", "y"]
+    runs = list(A.runs_of_texts(few))
+    assert [k for a, b in runs for k in range(a, b)] == list(range(len(few))) and len(runs) < 5 and list(A.runs_of_texts([])) == []
+
+
+def test_sizes_of_several_texts_at_once():
+    rnd = random.Random(11)
+    texts = [_mixed(rnd) for _ in range(150)] + ["a" * 90, "ab" * 50 + "c" + "ab" * 49]
+    inner, leaves, letters = suffixes.sizes_of_each(texts)
+    for k, text in enumerate(texts):
+        nodes = suffixes.tree_nodes(text)
+        assert (inner[k], inner[k] + leaves[k]) == ((nodes[5] >= 0).sum() + 1, len(nodes[0]))
+        assert letters[k] == len({text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)})
+
+
+def test_seconds_of_short_texts():
+    """Text by text the sizes took as long as this sort, the order of the suffixes 0.45 of it."""
+    rnd = random.Random(12)
+    texts = [" ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 8))) for _ in range(150)) for _ in range(80)]
+    sort = _best(lambda own: [sorted(range(len(t)), key=lambda i: t[i : i + 60]) for t in own], texts)  # noqa: B023
+    assert _best(suffixes.sizes_of_each, texts) < 0.65 * sort
+    assert _best(lambda own: list(A.suffix_orders_each(own)), texts) < 0.3 * sort
+
+
+def test_sizes_of_deep_trees_take_linear_time():
+    for deep in ("a" * 200_000, "ab" * 100_000 + "c" + "ab" * 50_000):
+        assert _timed(lambda: suffixes.sizes_of(deep)) < 5  # noqa: B023
+
+
 def test_window_hashes_of_any_base():
     rnd = random.Random(4)
     for base, prime in ((256, 101), (256, 128), (101, 101), (31, 1_000_003), (256, (1 << 31) - 1), (256, (1 << 61) - 1)):
