@@ -63,7 +63,7 @@ def find_all(text: str, pattern: str, step: int = 1) -> list[int]:
 
 
 def _native(texts: DataFrame, patterns: DataFrame, starts, place: str = "pos", *, prepare=None, extra: str | None = None) -> DataFrame:
-    """Hits that ``starts`` finds for each text and pattern, and for what ``prepare`` makes of the text or column ``extra`` holds."""
+    """Hits that ``starts`` finds for each text and pattern, and for what ``prepare`` makes of each of the texts or column ``extra`` holds."""
     schema = texts.select("text_id").schema
     kind = f"text_id {schema[0].dataType.simpleString()}, pattern string, {place} long"
 
@@ -71,9 +71,10 @@ def _native(texts: DataFrame, patterns: DataFrame, starts, place: str = "pos", *
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, found, at = [], [], []
-                for k, text in enumerate(batch.column(1).to_pylist()):
-                    text = text or ""
-                    more = (prepare(text),) if prepare else (batch.column(2)[k].values.to_numpy(),) if extra else ()
+                own = [t or "" for t in batch.column(1).to_pylist()]
+                prepared = prepare(own) if prepare else None
+                for k, text in enumerate(own):
+                    more = (next(prepared),) if prepare else (batch.column(2)[k].values.to_numpy(),) if extra else ()
                     for w in words:
                         hits = starts(text, w, *more)
                         at += hits
@@ -151,14 +152,18 @@ def suffix_index(texts: DataFrame) -> DataFrame:
     Built once, written if wanted, and searched for any patterns by ``by_index``.
     """
     kind = texts.schema["text_id"].dataType.simpleString()
+    return texts.select("text_id", "text").mapInArrow(_indexed, f"text_id {kind}, text string, suffixes array<int>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                order = A.suffix_order(batch.column(1)[k].as_py() or "")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([order], pa.list_(pa.int32()))], ["text_id", "text", "suffixes"])
 
-    return texts.select("text_id", "text").mapInArrow(run, f"text_id {kind}, text string, suffixes array<int>")
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch for each run of texts: a batch a text takes nearly as long as the orders."""
+    for batch in batches:
+        own = [t or "" for t in batch.column(1).to_pylist()]
+        for a, b in A.runs_of_texts(own):
+            orders = list(A.suffix_orders_each(own[a:b]))
+            offsets = np.cumsum([0, *map(len, orders)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(orders)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], ["text_id", "text", "suffixes"])
 
 
 def by_index(indexed: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -168,7 +173,7 @@ def by_index(indexed: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def by_suffixes(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Suffix search: each text's suffixes are put in order once, then searched for all patterns."""
-    return _native(texts, patterns, lambda t, p, order: A.find_in_order(t, order, p), prepare=A.suffix_order)
+    return _native(texts, patterns, lambda t, p, order: A.find_in_order(t, order, p), prepare=A.suffix_orders_each)
 
 
 def by_bits(texts: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,6 +342,17 @@ def test_suffix_index_is_reused(spark, tmp_path):
     assert sorted(map(tuple, exact.by_index(kept, p).collect())) == sorted((k, w, i) for k, s in enumerate(texts) for w in ("ana", "a", "\U0001f600", "x") for i in overlapping(s, w))
 
 
+def test_suffix_index_leaves_in_few_batches():
+    texts = ["banana" * (k % 9) for k in range(500)] + [None, "", "x" * 70_000, "ab"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["text_id", "text"])
+    out = list(exact._indexed([batch.slice(0, 0), batch]))
+    assert len(out) < 6
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["text_id"], r["text"]) for r in rows] == list(enumerate(texts))
+    assert all(r["suffixes"] == sorted(range(len(r["text"] or "")), key=lambda i: r["text"][i : i + 70]) for r in rows if len(r["text"] or "") < 100)
+    assert rows[-2]["suffixes"] == list(range(70_000))[::-1]
+
+
 def test_package_exports():
     import stringmill
 
