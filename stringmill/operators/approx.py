@@ -319,8 +319,8 @@ def distances(left: DataFrame, right: DataFrame, most: int | None = None) -> Dat
     """Levenshtein distance of every (a, b), a row a pair of rows; of those within ``most``, if given, a row a pair of different values, found by their segments."""
     if most is None:
         return left.crossJoin(right).select("a", "b", F.levenshtein("a", "b").cast("long").alias("dist"))
-    own = lambda df, c: df.select(c).filter(F.col(c).isNotNull()).distinct()
-    return _verified(_meeting(own(left, "a"), own(right, "b"), most, -most), most)
+    own = lambda df, c: df.select(F.col(c).alias("s")).filter("s IS NOT NULL")
+    return _verified(_meeting(own(left, "a"), own(right, "b"), most), most)
 
 
 # Bits: the steps between neighbouring cells of a column of the distance table, 64 to a word.
@@ -417,17 +417,49 @@ def edit_search_bits(texts: DataFrame, patterns: DataFrame, most: int = 1, toget
 
 #: Letters of strings whose segments make one task of a join of many strings.
 TASK_LETTERS = 16_000_000
+#: Leading bits of a length that strings share whose segments meet.
+LENGTH_BITS = 4
+#: Letters that are counted in each string; any will do.
+COUNTED = "aeinorst"
+#: Codes of the numbers modulo 8, 4 bits each from the last: as many bits differ as the numbers are apart.
+CODES = 0x8CEF7310
+#: Strings of candidate pairs whose hashes are broadcast to fetch them; more are fetched by a shuffle of all strings.
+FEW_STRINGS = 2_000_000
 
 
-def _segments(length: Column, most: int) -> Column:
-    """(i, at, n) of the ``most`` + 1 segments of a string of this length."""
-    cut = lambda k: F.floor(length * k / (most + 1)).cast("int")
-    return F.array(*[F.struct(F.lit(k).alias("i"), cut(k).alias("at"), (cut(k + 1) - cut(k)).alias("n")) for k in range(most + 1)])
+def _base(length: str) -> str:
+    """SQL of a length with all but its leading bits 0."""
+    return f"({length}) - ({length}) % shiftleft(1, greatest(0, length(bin({length})) - {LENGTH_BITS}))"
 
 
-def _named(df: DataFrame, name: str) -> DataFrame:
-    """The strings of a column with a hash to stand for them, and a second one by which to tell strings from each other."""
-    return df.select(name, F.xxhash64(name).alias(f"{name}_id"), F.hash(name).alias(f"{name}_check"))
+def _windows(most: int) -> list[tuple[int, int]]:
+    """(segment, letters moved) of a string's windows, those not moved first."""
+    return [(i, 0) for i in range(most + 1)] + [(i, d) for i in range(most + 1) for d in range(1, min(i, most - i) + 1)]
+
+
+def _window(i: int, moved: int, most: int) -> str:
+    """SQL of the hash of a window of a string."""
+    cut, end = (f"CAST(floor(base * {k} / {most + 1}) AS INT)" for k in (i, i + 1))
+    start = f"{cut} + length - base" if 2 * i > most else cut
+    return f"xxhash64(base, {i}, substring(s, {start} + {moved + 1}, {end} - {cut}))"
+
+
+def _about() -> str:
+    """SQL of the codes of a string's length and counts of some letters and of all others, below bits of a second hash."""
+    counts = [f"(length(s) - length(replace(s, '{x}', '')))" for x in COUNTED]
+    counts += [f"(length(s) - {' - '.join(counts)})", "length(s)"]
+    codes = [f"shiftright({CODES}, ({c} & 7) * 4) & 15" for c in counts]
+    return " | ".join(f"shiftleft({c}, {4 * k})" for k, c in enumerate([*codes, "xxhash64(1, s)"]))
+
+
+def _near(x: Column, y: Column, most: int) -> Column:
+    """Whether two strings' counts can be those of strings within ``most`` edits.
+
+    Each edit adds 1 to one count at most, and takes 1 from one.  So what is added and
+    what is taken are ``most`` each at most; they and the difference of the
+    lengths, which is theirs, are together twice the larger of them.
+    """
+    return F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit((1 << 4 * len(COUNTED) + 8) - 1))) <= 2 * most
 
 
 def _parts(strings: DataFrame, name: str) -> int | None:
@@ -441,33 +473,54 @@ def _dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys) if parts else df
 
 
-def _meeting(left: DataFrame, right: DataFrame, most: int, least: int, parts: int | None = None, *, different: bool = False) -> DataFrame:
-    """(a, b) of the strings a of ``left`` and b of ``right`` that share a segment of a where the edits allow it, b being from ``least`` to ``most`` letters longer; ``different``: no string with itself.
+def _segments(strings: DataFrame, most: int, parts: int | None) -> DataFrame:
+    """(id, about, place, h): hashes of the windows of each different string (column ``s``) that stand for it where strings meet.
+
+    Of two strings within ``most`` edits, cut into ``most`` + 1 segments from 0, one
+    segment i is whole behind at most i edits and before at most ``most`` - i.  So it
+    is moved by no more than that, from the beginning or from the end, whichever is
+    less.  Segments have the same lengths for all strings of about the same length,
+    cut from its leading bits, and longer strings also have those of the lengths up
+    to ``most`` below their own.  Then a window of one string, not moved, is equal
+    to one of the other, and one of both has them for its own length: ``place`` tells.
+    """
+    windows = _windows(most)
+    bases = ", ".join(_base(f"greatest(0, length - {k})") for k in range(most + 1))
+    rows = strings.selectExpr("s", "xxhash64(s) AS id", f"{_about()} AS about", "length(s) AS length").selectExpr("*", f"explode(array_distinct(array({bases}))) AS base")
+    # Strings are told apart by their hashes, so that no string is shuffled.
+    rows = rows.selectExpr("id", "about", f"base = {_base('length')} AS own", f"array({', '.join(_window(i, d, most) for i, d in windows)}) AS hashes").distinct()
+    rows = rows.selectExpr("id", "about", "own", "posexplode_outer(hashes) AS (place, h)")
+    return _dealt(rows.selectExpr("id", "about", f"if(own, place, place + {len(windows)}) AS place", "h"), parts, "h")
+
+
+def _meeting(left: DataFrame, right: DataFrame | None, most: int, parts: int | None = None) -> DataFrame:
+    """(a, b) of the strings (column ``s``) of two tables, or each pair of different strings of one, that share a segment where the edits allow it and have letters that they allow.
 
-    A string within ``most`` edits of a has one of its ``most`` + 1 segments whole, not
-    farther off than the edits before and behind it allow.  So segments meet by
-    equality on (length of a, number, letters); their letters are hashed, and whoever
-    meets has to be verified.  Only hashes of the strings meet: a string has some
-    twenty segments, and none of them carries it.
+    Only hashes of the strings meet, and whoever meets has to be verified.  This runs
+    at once, and the strings of the pairs found are fetched by their hashes.
     """
-    key = ["length", "i", "h"]
-    left, right = _named(left, "a"), _named(right, "b")
-    index = left.withColumn("length", F.length("a")).select("*", F.inline(_segments(F.col("length"), most)))
-    index = index.select("a_id", "a_check", "length", "i", F.xxhash64(F.substring("a", F.col("at") + 1, F.col("n"))).alias("h"))
-    # Of b: for each length that a may have, its segments' places, moved as far as they may be.
-    own = F.col("own")
-    more = own - F.col("length")
-    low, high = F.greatest(F.lit(0), F.col("at") - F.floor((most - more) / 2).cast("int")), F.least(own - F.col("n"), F.col("at") + F.floor((most + more) / 2).cast("int"))
-    moved = F.when(F.col("n") == 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    probe = right.withColumn("own", F.length("b")).filter(own >= least).withColumn("length", F.explode(F.sequence(F.greatest(F.lit(0), own - most), own - least)))
-    probe = probe.select("*", F.inline(_segments(F.col("length"), most))).withColumn("to", F.explode(moved))
-    probe = probe.select("b_id", "b_check", "length", "i", F.xxhash64(F.substring("b", F.col("to") + 1, F.col("n"))).alias("h"))
-    met = _dealt(index, parts, *key).join(_dealt(probe, parts, *key), key)
-    if different:
-        met = met.filter("a_id != b_id OR a_check != b_check")
-    met = met.select("a_id", "b_id").distinct()
-    strings = lambda df, name: _dealt(df.select(name, f"{name}_id"), parts, f"{name}_id")
-    return met.join(strings(left, "a"), "a_id").join(strings(right, "b"), "b_id").select("a", "b")
+    a = _segments(left, most, parts)
+    b = a if right is None else _segments(right, most, parts)
+    n = len(_windows(most))
+    on = f"a.h = b.h AND (a.place < {n} OR b.place < {n}) AND (a.place % {n} <= {most} OR b.place % {n} <= {most})"
+    if right is None:
+        on = f"(a.id < b.id OR a.id = b.id AND a.about < b.about) AND {on}"
+    met = a.alias("a").join(b.alias("b"), F.expr(on) & _near(F.col("a.about"), F.col("b.about"), most)).selectExpr("a.id AS a_id", "b.id AS b_id")
+    # Not persisted: a later call would get it back, though the tables' files may be others by then.
+    met = (met.checkpoint() if met.sparkSession.sparkContext.getCheckpointDir() else met.localCheckpoint()).distinct()
+    if right is None:
+        own = other = _fetched(left, met.selectExpr("explode(array(a_id, b_id)) AS id").distinct(), parts)
+    else:
+        own, other = (_fetched(df, met.selectExpr(f"{c}_id AS id").distinct(), parts) for df, c in ((left, "a"), (right, "b")))
+    return met.join(own.selectExpr("id AS a_id", "s AS a"), "a_id").join(other.selectExpr("id AS b_id", "s AS b"), "b_id").select("a", "b")
+
+
+def _fetched(strings: DataFrame, ids: DataFrame, parts: int | None) -> DataFrame:
+    """(id, s) of the different strings that have one of the ids."""
+    strings = strings.selectExpr("xxhash64(s) AS id", "s")
+    if ids.count() <= FEW_STRINGS:
+        return _dealt(strings.join(F.broadcast(ids), "id", "left_semi").distinct(), parts, "id")
+    return _dealt(strings, parts, "id").join(_dealt(ids, parts, "id"), "id", "left_semi").distinct()
 
 
 def _verified(met: DataFrame, most: int) -> DataFrame:
@@ -480,7 +533,6 @@ def within(strings: DataFrame, most: int) -> DataFrame:
     Null strings are in no pair, and repeated strings count once.
     """
     s = strings.select("s").filter(F.col("s").isNotNull())
-    parts = _parts(s, "s")
-    s = _dealt(s, parts, "s").distinct()
-    met = _meeting(s.withColumnRenamed("s", "a"), s.withColumnRenamed("s", "b"), most, 0, parts, different=True)
-    return _verified(met.filter((F.length("b") > F.length("a")) | (F.col("a") < F.col("b"))), most)
+    met = _meeting(s, None, most, _parts(s, "s")).filter("a != b")
+    sized = [F.struct(F.length(c).alias("n"), F.col(c).alias("s")) for c in "ab"]
+    return _verified(met.select(F.least(*sized)["s"].alias("a"), F.greatest(*sized)["s"].alias("b")), most)

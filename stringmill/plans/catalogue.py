@@ -349,7 +349,7 @@ def bit_parallel_documents(spark, sf):
 @query()
 def edit_join_lines(spark, sf):
     """The different lines of all documents that are within two edits of each other."""
-    lines = spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("s"))
+    lines = documents(spark, sf).select(F.explode(F.split("text", "\n")).alias("s"))
     return approx.within(lines.filter("s != ''"), 2)
 
 

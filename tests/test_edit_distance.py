@@ -114,6 +114,70 @@ def test_segments_do_not_carry_their_strings(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == brute_pairs(strings, 2)
 
 
+def edited(rnd, s, letters, edits):
+    for _ in range(edits):
+        k, kind = rnd.randint(0, len(s)), rnd.randint(0, 2)
+        s = s[:k] + (rnd.choice(letters) if kind else "") + s[k + (kind < 2) :]
+    return s
+
+
+def families(seed):
+    """Strings of all lengths up to 150, those of the same letters and of periods too, each with some that are near it."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(45):
+        letters = rnd.choice(["ab", "aeinorstxyz", "x\U0001f600é"])
+        n = rnd.choice([rnd.randint(0, 20), 16, 32, 63, 64, rnd.randint(20, 150)])
+        base = "".join(rnd.choice(letters) for _ in range(n)) if rnd.random() < 0.8 else (rnd.choice(["a", "xy", "aei"]) * n)[:n]
+        out += [base, *(edited(rnd, base, letters, rnd.randint(1, 4)) for _ in range(3))]
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3, 5])
+def test_pairs_of_longer_strings(spark, most):
+    strings = families(most)
+    got = [tuple(r) for r in approx.within(spark.createDataFrame([(s,) for s in strings], "s string"), most).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(strings, most)
+
+
+def test_strings_of_many_pairs_are_fetched_by_a_shuffle(spark, monkeypatch):
+    strings = families(8)
+    frame = spark.createDataFrame([(s,) for s in [*strings, *strings]], "s string")
+    monkeypatch.setattr(approx, "FEW_STRINGS", 0)
+    for letters in (approx.TASK_LETTERS, 1000):
+        monkeypatch.setattr(approx, "TASK_LETTERS", letters)
+        got = [tuple(r) for r in approx.within(frame, 2).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_pairs(strings, 2)
+    half = [spark.createDataFrame([(s,) for s in own], f"{c} string") for own, c in ((strings[::2], "a"), (strings[1::2], "b"))]
+    got = [tuple(r) for r in approx.distances(*half, 2).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(x, y, d) for x in strings[::2] for y in strings[1::2] if abs(len(x) - len(y)) <= 2 and (d := distance(x, y)) <= 2}
+
+
+def shuffled(spark):
+    """Bytes that all stages have written for others so far."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_less_is_shuffled_than_the_strings(spark):
+    rnd = random.Random(6)
+    strings = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rnd.randint(350, 450))) for _ in range(3000)]
+    near = strings[7][:100] + "-" + strings[7][101:300] + strings[7][301:]
+    frame = spark.createDataFrame([(s,) for s in [*strings, near, *strings]], "s string")
+    before = shuffled(spark)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert [tuple(r) for r in approx.within(frame, 2).collect()] == [(near, strings[7], 2)]
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    # Nor do a string's segments take more: twenty of 30 bytes each would be 1.5 times its letters.
+    assert 0 < shuffled(spark) - before < 0.75 * sum(map(len, strings))
+
+
 def test_distances_of_two_tables(spark):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("abé") for _ in range(rnd.randint(0, 7)))
